@@ -24,7 +24,7 @@ REPEAT_WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 THRESHOLD = 0.5
-FALSE_ALARM = 0.005
+FALSE_ALARM = 0.002
 _BLANK = " \t\n\x0b\x0c\r"
 _ENDS = (".", "!", "?", '"', "”", "…", ":", ";")
 
@@ -109,46 +109,47 @@ def rules() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, float, np.ndarray]:
     """Expectation-maximisation on counted vote patterns (rows of -1, 0, 1).
 
-    Returns each pattern's posterior of good, the share of good, and accuracies[class, rule, vote + 1]. It starts from
-    the belief that a single bad vote tells more than several good ones, since each kind of junk trips few rules; one
-    pseudo-document of each kind keeps probabilities off 0 and 1. Rules are written to be precise, so a bad vote on a
-    good document is taken to be at most `FALSE_ALARM` likely; without this bound, rules that fire on different kinds of
-    junk would look wrong to each other.
+    Returns each pattern's posterior of good, the share of good, and alarms[class, rule], the probability that a rule
+    which votes votes bad on a bad (0) or good (1) document. An abstention tells nothing. It starts from the belief that
+    a single bad vote tells more than several good ones, since each kind of junk trips few rules; pseudo-votes keep
+    probabilities off 0 and 1. Rules are written to be precise, so a bad vote on a good document is taken to be at most
+    `FALSE_ALARM` likely; without this bound, rules that fire on different kinds of junk would look wrong to each other.
     """
-    good = np.where((patterns < 0).any(axis=1), 0.1, 0.9)
+    against, favour = (patterns < 0).astype(float), (patterns > 0).astype(float)
     weight = counts.astype(float)
-    seen = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
-    prior, table = 0.5, np.zeros((2, patterns.shape[1], 3))
+    good = np.where(against.any(axis=1), 0.1, 0.9)
+    prior, alarms = 0.5, np.zeros((2, patterns.shape[1]))
     for _ in range(rounds):
         old = good
-        for k, part in enumerate((1 - good, good)):
-            told = np.einsum("p,prv->rv", weight * part, seen) + 1.0
-            table[k] = told / told.sum(axis=1, keepdims=True)
-        alarm = np.minimum(table[1, :, 0], FALSE_ALARM)
-        table[1, :, 1:] *= ((1 - alarm) / (1 - table[1, :, 0]))[:, None]
-        table[1, :, 0] = alarm
+        for k, part in enumerate((weight * (1 - good), weight * good)):
+            alarms[k] = (part @ against + 0.5) / (part @ (against + favour) + 1.0)
+        alarms[1] = np.minimum(alarms[1], FALSE_ALARM)
+        alarms[0] = np.maximum(alarms[0], alarms[1])
         prior = float(((weight * good).sum() + 1) / (weight.sum() + 2))
-        logs = [np.einsum("prv,rv->p", seen, np.log(t)) for t in table]
-        good = 1 / (1 + np.exp(np.clip(logs[0] + np.log(1 - prior) - logs[1] - np.log(prior), -700, 700)))
+        bad_log, good_log = (against @ np.log(a) + favour @ np.log(1 - a) for a in alarms)
+        good = 1 / (1 + np.exp(np.clip(bad_log + np.log(1 - prior) - good_log - np.log(prior), -700, 700)))
         if np.abs(good - old).max(initial=0) < 1e-10:
             break
-    return good, prior, table
+    return good, prior, alarms
 
 
 def judge(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Counts, votes' posterior `quality` and the verdict `kept`, one row a document."""
+    """Counts, votes' posterior `quality` and the verdict `kept`, one row a document.
+
+    Documents that fail the base rules are decided and take no part in the estimate.
+    """
     votes = rules()
     scratch = Scratch(docs.sparkSession, "quality_rules")
     code = sum(((v + 1) * 3**i for i, v in enumerate(votes.values())), F.lit(0))
     counted = scratch.write(measure(docs).withColumn("pattern", code.cast("int")), "counts")
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    table = counted.groupBy("pattern").count().collect()  # 3^R rows at most
+    table = counted.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"), F.count_if(~base).alias("open")).collect()  # 3^R rows at most
     codes = np.array([r["pattern"] for r in table], np.int64)
     patterns = np.stack([codes // 3**i % 3 - 1 for i in range(len(votes))], axis=1) if len(codes) else np.zeros((0, len(votes)), np.int64)
-    quality, _, _ = estimate(patterns, np.array([r["count"] for r in table]))
+    quality, _, _ = estimate(patterns, np.array([r["open"] for r in table]))
     known = docs.sparkSession.createDataFrame([(int(c), float(q)) for c, q in zip(codes, quality, strict=True)], "pattern int, quality double")
     out = counted.join(F.broadcast(known), "pattern", "left")
     return out.select("doc_id", *FEATURES, base.alias("base_failed"), F.coalesce(F.col("quality"), F.lit(0.0)).alias("quality"), (~base & (F.coalesce(F.col("quality"), F.lit(0.0)) >= threshold)).alias("kept"))
