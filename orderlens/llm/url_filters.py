@@ -57,7 +57,7 @@ def _purity(bad: Column, labelled: Column) -> Column:
     return (bad + WEIGHT * PRIOR) / (labelled + WEIGHT)
 
 
-def build_tree(counts: DataFrame) -> DataFrame:
+def build_tree(counts: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, shape, template, purity) from (host, shape, labelled, bad), one row for each host and shape."""
     pieces = F.split(F.col("shape"), "/", LEVELS)
     tree = counts.withColumn("branch", F.lit(""))
@@ -69,6 +69,7 @@ def build_tree(counts: DataFrame) -> DataFrame:
         alike = F.abs(own - whole) <= TOLERANCE * F.sqrt(whole * (1 - whole) / (F.col("c_labelled") + WEIGHT))
         named = child.join(parent, ["host", "branch"]).select("host", "branch", "segment", F.when(alike, "*").otherwise(F.col("segment")).alias("name"))
         tree = tree.join(named, ["host", "branch", "segment"]).select("host", "shape", "labelled", "bad", F.concat("branch", F.lit("/"), "name").alias("branch"))
+        tree = scratch.write(tree, f"level-{level}")
     leaf = tree.groupBy("host", "branch").agg(_purity(F.sum("bad"), F.sum("labelled")).alias("purity"))
     return tree.join(leaf, ["host", "branch"]).select("host", "shape", F.col("branch").alias("template"), "purity")
 
@@ -81,7 +82,7 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     ruled = parsed.withColumns({"rule": rule, "ruled": verdict, "shape": template(F.col("path"))})
     counts = ruled.groupBy("host", "shape").agg(F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("bad"))
     scratch = Scratch(pages.sparkSession, "url_filters")
-    tree = scratch.write(build_tree(scratch.write(counts, "counts")), "tree")
+    tree = scratch.write(build_tree(scratch.write(counts, "counts"), scratch), "tree")
     out = ruled.join(tree, ["host", "shape"])
     method = F.when(F.col("purity") >= BLOCK, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "template", F.round("purity", 9).alias("purity"))
