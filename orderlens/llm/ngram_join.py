@@ -12,9 +12,12 @@ holds.
 Links only matter through components, which keeps crowded prefixes linear:
 
 * star rounds: in each shingle's group the sets are verified against one pivot, and what links is merged;
-* then all pairs of different components that still share enough prefix shingles are verified, none left out.
+* then all pairs of different components that still share enough prefix shingles are verified, none left out. Places in
+  the prefixes and parity bitmaps of the sets bound how far a pair can differ, so near misses of a crowd are not even
+  paired.
 
-Verification compares whole sets. Sets and shingles are named by 64-bit hashes.
+Verification compares whole sets. A shingle is named by a 48-bit hash, a set
+by a 64-bit one.
 
 Defined cases: null and empty texts have empty sets, are linked with nothing and form components of their own; rows may
 repeat or share an id (the component's id is the least id); a row without an id gets the least id of its component, or
@@ -36,11 +39,12 @@ from .words import SpanHashes, Words, mix, pieces, signed
 
 SHINGLE = 5
 BUCKETS = 1 << 16
-STAR_ROUNDS = 6
+STAR_ROUNDS = 2
+BITMAP = ["b0", "b1", "b2", "b3"]
 
 
 def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text: (text, hash), ordered by both."""
+    """Distinct shingles of each text: (text, 48-bit hash), ordered by both."""
     spans = SpanHashes(words.hashes(), 0)
     owner = words.owner()
     n = words.n - SHINGLE + 1
@@ -48,10 +52,9 @@ def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((words.count > 0) & (words.count < SHINGLE))
     doc = np.append(owner[start], short)
     value = np.append(spans.spans(start, np.int64(SHINGLE)), spans.spans(words.first[short], words.count[short]))
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    new = np.append(True, (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])) if len(doc) else np.zeros(0, bool)
-    return doc[new], value[new]
+    packed = np.sort((doc.astype(np.uint64) << np.uint64(48)) | (value >> np.uint64(16)))  # a run holds fewer than 2^16 texts
+    packed = packed[np.append(True, packed[1:] != packed[:-1])] if len(packed) else packed
+    return (packed >> np.uint64(48)).astype(np.int64), packed << np.uint64(16)
 
 
 def _signatures(doc: np.ndarray, value: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,6 +68,13 @@ def _signatures(doc: np.ndarray, value: np.ndarray, texts: int) -> tuple[np.ndar
     return size, *sums
 
 
+def _bitmaps(doc: np.ndarray, value: np.ndarray, texts: int) -> np.ndarray:
+    """For each set 256 parities of its shingles, as 4 words: two sets differ in as many shingles at least as bits."""
+    cell = doc * 256 + ((value >> np.uint64(20)) & np.uint64(255)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=texts * 256) & 1).astype(np.uint8).reshape(texts, 256)
+    return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (kind 0: id, text hash, size, signature), and bucket counts of the task (kind 1)."""
     loads = np.zeros(BUCKETS, np.int64)
@@ -72,10 +82,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, value = shingle_sets(Words(piece.column("text"), lower=True))
         size, node, check = _signatures(doc, value, piece.num_rows)
         loads += np.bincount((value >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(piece.num_rows, np.int8)), piece.column("_id"), piece.column("_text"), pa.array(size.astype(np.int64)), pa.array(signed(node)), pa.array(signed(check))], names=["kind", "_id", "_text", "n", "node", "check"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(piece.num_rows, np.int8)), piece.column("_id"), piece.column("_text"), pa.array(size.astype(np.int64)), pa.array(signed(node)), pa.array(signed(check)), *(pa.array(b) for b in np.ascontiguousarray(_bitmaps(doc, value, piece.num_rows).T))], names=["kind", "_id", "_text", "n", "node", "check", *BITMAP])
     full = np.flatnonzero(loads)
     nothing = pa.array(np.zeros(len(full), np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(full), np.int8)), pa.array(full), pa.array(loads[full]), nothing, nothing, nothing], names=["kind", "_id", "_text", "n", "node", "check"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(full), np.int8)), pa.array(full), pa.array(loads[full]), *([nothing] * 7)], names=["kind", "_id", "_text", "n", "node", "check", *BITMAP])
 
 
 def crowding(loads: np.ndarray) -> np.ndarray:
@@ -101,7 +111,10 @@ def _prefixes(levels: np.ndarray):
             doc, value = shingle_sets(Words(piece.column("text"), lower=True))
             size, node, _ = _signatures(doc, value, piece.num_rows)
             level = levels[(value >> np.uint64(48)).astype(np.int64)]
-            order = np.lexsort((value, level, doc))
+            crowded = np.flatnonzero(level)
+            crowded = crowded[np.lexsort((value[crowded], level[crowded], doc[crowded]))]
+            order = np.append(np.flatnonzero(level == 0), crowded)
+            order = order[np.argsort(doc[order].astype(np.uint16), kind="stable")]
             doc, value, level = doc[order], value[order], level[order]
             begin = np.cumsum(size) - size
             rank = np.arange(len(doc)) - begin[doc]
@@ -113,7 +126,7 @@ def _prefixes(levels: np.ndarray):
             once[np.unique(node, return_index=True)[1]] = True
             take = (rank < (size - floor + need)[doc]) & once[doc]
             doc = doc[take]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(value[take])), pa.array(signed(node[doc])), pa.array(size[doc].astype(np.int32)), pa.array(need[doc].astype(np.int32))], names=["token", "node", "n", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(value[take])), pa.array(signed(node[doc])), pa.array(size[doc].astype(np.int32)), pa.array(need[doc].astype(np.int32)), pa.array(rank[take].astype(np.int32))], names=["token", "node", "n", "need", "rank"])
 
     return run
 
@@ -144,8 +157,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(linked)], names=["a", "b", "linked"])
 
 
-def _sizes_fit(x: Column, y: Column) -> Column:
-    return (x * 5 >= y * 4) & (y * 5 >= x * 4)
+def _may_link(x, y) -> Column:
+    """Whether two prefix rows can be among the first shared shingles of linked sets.
+
+    Linked sets share at least a = ceil(4/9 (n + m)) shingles, so of their `need` first shared ones each has at most
+    n - a unshared ones and need - 1 shared ones before it, in either set.
+    """
+    spare = F.floor((x("n") + y("n")) * 4 / F.lit(9.0) + 0.9999).cast("int") - F.least(x("need"), y("need"))
+    return (x("n") * 5 >= y("n") * 4) & (y("n") * 5 >= x("n") * 4) & (x("rank") + spare < x("n")) & (y("rank") + spare < y("n"))
 
 
 class _Join:
@@ -158,14 +177,14 @@ class _Join:
 
     def run(self) -> DataFrame:
         write = self.scratch.write
-        scan = write(self.text.mapInArrow(_scan, "kind tinyint, _id bigint, _text bigint, n bigint, node bigint, check bigint"), "scan")
+        scan = write(self.text.mapInArrow(_scan, "kind tinyint, _id bigint, _text bigint, n bigint, node bigint, check bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint"), "scan")
         loads = np.zeros(BUCKETS, np.int64)
         for row in scan.where("kind = 1").groupBy("_id").agg(F.sum("_text").alias("n")).collect():  # BUCKETS rows at most
             loads[row["_id"]] = row["n"]
         sets = scan.where("kind = 0")
         full = sets.where("n > 0")
-        classes = write(full.groupBy("node").agg(F.min("_id").alias("least"), F.min(F.struct("_id", "_text")).alias("at")), "classes")
-        prefixes = self.text.where("text is not null").select("text").mapInArrow(_prefixes(crowding(loads)), "token bigint, node bigint, n int, need int")
+        classes = write(full.groupBy("node").agg(F.min("_id").alias("least"), F.min(F.struct("_id", "_text")).alias("at"), *(F.min(b).alias(b) for b in BITMAP)), "classes")
+        prefixes = self.text.where("text is not null").select("text").mapInArrow(_prefixes(crowding(loads)), "token bigint, node bigint, n int, need int, rank int")
         twice = write(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "twice")
         shared = write(prefixes.join(twice, "token", "left_semi"), "shared")
         low = F.ceil(F.col("n") * 0.8).cast("int")
@@ -175,6 +194,7 @@ class _Join:
         rows = write(shared.join(able, "node", "left_semi").distinct(), "rows")
         self.scratch.drop("twice", "shared")
         wanted = able.join(classes, "node").select("node", "at._id", "at._text")
+        self.bitmaps = classes.select("node", *BITMAP)
         texts = self.text.join(wanted, ["_id", "_text"]).dropDuplicates(["node"]).select("node", "text")
         self.texts = write(texts.mapInArrow(_pack, "node bigint, text binary"), "texts")
         labels, tested = self.links(rows)
@@ -199,22 +219,23 @@ class _Join:
                 named = named.withColumn("component", F.col("node"))
             # Tokens that still join different components, with this round's pivot.
             turn = F.xxhash64("node", F.lit(step))
-            groups = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(turn.alias("turn"), "node", "n", "need", "component")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("low <> high")
+            groups = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(turn.alias("turn"), "node", "n", "need", "component", "rank")).alias("pivot")).where("low <> high")
             groups = write(groups, f"groups-{step}")
             known = write(named.join(groups.select("token"), "token", "left_semi"), f"open-{step}")
-            cost = groups.agg(F.sum(F.col("members") * (F.col("members") - 1)), F.sum("members")).first()
-            if not cost[0]:
+            if groups.isEmpty():
                 break
-            all_pairs = step == STAR_ROUNDS or (step > 0 and cost[0] <= 8 * cost[1])
+            all_pairs = step == STAR_ROUNDS
             if all_pairs:
-                x, y = known.alias("x"), known.alias("y")
-                match = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _sizes_fit(F.col("x.n"), F.col("y.n"))
+                marked = write(known.join(self.bitmaps, "node"), "marked")
+                x, y = marked.alias("x"), marked.alias("y")
+                differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in BITMAP[1:]), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
+                match = (differ * 9 <= F.col("x.n") + F.col("y.n")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
                 pairs = x.join(y, match).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.need", "y.need").alias("need"))
             else:
                 p = F.col("pivot")
-                near = known.join(groups.select("token", "pivot"), "token").where((F.col("component") != p["component"]) & _sizes_fit(F.col("n"), p["n"]))
+                near = known.join(groups.select("token", "pivot"), "token").where((F.col("component") != p["component"]) & _may_link(F.col, p.__getitem__))
                 pairs = near.select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b"), F.least("need", p["need"]).alias("need"))
-            pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need")).where("k >= need").select("a", "b")
+            pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need")).where("k >= need" if all_pairs else "3 * k >= need").select("a", "b")
             if tested is not None:
                 pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
             done = self.verified(pairs, f"tested-{step}")
