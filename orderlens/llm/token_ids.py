@@ -8,6 +8,7 @@ holds `CACHE` words, so its memory is bounded.
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ import pyarrow as pa
 from .words import Words
 
 CACHE = 400_000
+RUN = 100
 END = 2
 
 _loaded: dict[str, "Encoder"] = {}
@@ -44,19 +46,26 @@ class Encoder:
         self.used = 0
 
     def _learn(self, words: list[str]) -> None:
-        lists = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(lengths.sum())
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, total)
-        while self.used + total > len(self.flat):
+        """Encode words in runs of `RUN`, joined by spaces; tokens go to the word in which they begin."""
+        runs = [words[i : i + RUN] for i in range(0, len(words), RUN)]
+        found = self.tokenizer.encode_batch([" ".join(run) for run in runs], add_special_tokens=False)
+        ids, lengths = [], []
+        for run, each in zip(runs, found, strict=True):
+            sizes = np.fromiter(map(len, run), np.int64, len(run)) + 1
+            begin = np.array(each.offsets, np.int64).reshape(-1, 2)[:, 0]
+            edge = np.searchsorted(begin, np.append(0, np.cumsum(sizes)))
+            ids.append(np.array(each.ids, np.uint32))
+            lengths.append(np.diff(edge))
+        flat, length = np.concatenate(ids), np.concatenate(lengths)
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
         first = len(self.known)
         while first + len(words) > len(self.start):
             self.start, self.length = np.append(self.start, np.zeros_like(self.start)), np.append(self.length, np.zeros_like(self.length))
-        self.flat[self.used : self.used + total] = flat
-        self.start[first : first + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.length[first : first + len(words)] = lengths
-        self.used += total
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[first : first + len(words)] = self.used + np.cumsum(length) - length
+        self.length[first : first + len(words)] = length
+        self.used += len(flat)
         self.known.update(zip(words, range(first, first + len(words)), strict=True))
 
     def encode(self, column: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
@@ -65,20 +74,19 @@ class Encoder:
         names = words.vocabulary.to_pylist()
         if len(self.known) + len(names) > CACHE:
             self.clear()
-        missing = [w for w in names if w not in self.known]
-        for i in range(0, len(missing), 20_000):
-            self._learn(missing[i : i + 20_000])
-        code = np.fromiter((self.known[w] for w in names), np.int64, len(names))[words.ids] if names else np.zeros(0, np.int64)
+        code = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(code < 0)
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            code[part] = len(self.known) + np.arange(len(part))
+            self._learn([names[k] for k in part.tolist()])
+        code = code[words.ids]
         length = self.length[code]
         upto = np.append(0, np.cumsum(length))
         begin = upto[words.first] + np.arange(len(words.count) + 1)
         out = np.empty(begin[-1], np.uint32)
+        body = np.ones(len(out), bool)
         out[begin[1:] - 1] = end
-        shift = np.repeat(np.arange(len(words.count)), words.count)
-        out[np.repeat(upto[:-1] + shift, length) + _within(length)] = self.flat[np.repeat(self.start[code], length) + _within(length)]
+        body[begin[1:] - 1] = False
+        out[body] = self.flat[np.arange(upto[-1]) + np.repeat(self.start[code] - upto[:-1], length)]
         return out, begin
-
-
-def _within(length: np.ndarray) -> np.ndarray:
-    """0, 1, ... for each run."""
-    return np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
