@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orderlens.llm import chat_format, fingerprints, ngram_join, packing, quality_classifier, quality_rules, queries, rans_output, source_mixing, substring_dedup, url_filters
 from orderlens.llm.token_ids import Encoder
+from orderlens.llm.words import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -230,10 +232,112 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join.near_duplicate_components(empty).count() == 0
 
 
-def test_pipeline(spark, tmp_path):
+def kept_by_force(rows, labels, noise):
+    """Ids that the classifier keeps: dictionaries of grams, every cut tried, the k largest keys of a sorted list."""
+    grams = [(r["doc_id"], Counter(quality_classifier.grams(Words(pa.array([r["text"]], pa.string()), lower=True))[1].tolist())) for r in rows]
+    judged = {}
+    for r in labels:
+        judged.setdefault(r["doc_id"], []).append(r["quality"] == 1 and r["toxic"] == 0)
+    judged = {i: all(v) for i, v in judged.items()}
+    raw, target = Counter(), Counter()
+    for i, own in grams:
+        raw.update(own)
+        if judged.get(i):
+            target.update(own)
+    part = lambda bucket: bucket < quality_classifier.WORD_BUCKETS
+    total = {(name, p): sum(n for b, n in table.items() if part(b) == p) for name, table in (("raw", raw), ("target", target)) for p in (True, False)}
+    weight = {}
+    for b, n in raw.items():
+        expected = n * total["target", part(b)] / max(total["raw", part(b)], 1)
+        ratio = math.log((target[b] + quality_classifier.PSEUDO) / (expected + quality_classifier.PSEUDO))
+        weight[b] = math.copysign(max(abs(ratio) - quality_classifier.DEADZONE, 0), ratio)
+    score = {i: sum(weight[b] * n for b, n in own.items()) for i, own in grams}
+    known = sorted((score[i], good) for i, good in judged.items() if i in score)
+    n_good = sum(g for _, g in known)
+    cuts = [float("-inf")] + [(a[0] + b[0]) / 2 for a, b in zip(known, known[1:], strict=False) if a[0] != b[0]]
+    cut = max(cuts, key=lambda c: sum(s >= c for s, g in known if g) / n_good + sum(s < c for s, g in known if not g) / (len(known) - n_good))
+    k = sum(s >= cut for s in score.values())
+    return {i for _, i in sorted(((score[i] + noise[i], i) for i in score), reverse=True)[:k]}
+
+
+def targets_by_force(sizes):
+    """Targets of sources: full sources are set aside one round after the other."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    left, target, rest = 1.5 * sum(sizes.values()), {}, set(names)
+    while rest:
+        level = left / sum(weight[s] for s in rest)
+        full = {s for s in rest if level * weight[s] > 2 * sizes[s]}
+        for s in full or rest:
+            target[s] = 2 * sizes[s] if full else level * weight[s]
+            left -= target[s]
+        rest -= full or set(rest)
+    return target
+
+
+def words_left_by_force(texts):
+    words = [WORD.findall(t or "") for t in texts]
+    counts = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    out = []
+    for w in words:
+        gone = [False] * len(w)
+        for i in range(len(w) - 34):
+            if counts[tuple(w[i : i + 35])] > 1:
+                gone[i : i + 35] = [True] * 35
+        out.append([x for x, g in zip(w, gone, strict=True) if not g])
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    where = "/root/testdata/sf0.001"
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "substring dedup", "source mixing", "packing"]
-    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").isEmpty()
-    assert not out.isEmpty()
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    noise = dict(docs.select("doc_id", quality_classifier.gumbel("doc_id")).collect())
+    columns, kept = docs.columns, [docs.collect()]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, where).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert k == 4 or docs.columns == columns
+        kept.append(docs.collect())
+    given, good, single, cleaned, mixed, pieces = kept
+
+    assert {r["doc_id"] for r in good} == kept_by_force(given, spark.read.parquet(f"{where}/labels.parquet").collect(), noise)
+    assert set(good) <= set(given)
+
+    classes = components_by_force([(r["doc_id"], r["text"]) for r in good])
+    assert sorted(r["doc_id"] for r in single) == sorted({c for _, c in classes.values()})
+    assert set(single) <= set(good)
+
+    single = sorted(single, key=lambda r: r["doc_id"])
+    left = {r["doc_id"]: w for r, w in zip(single, words_left_by_force([r["text"] for r in single]), strict=True)}
+    assert {r["doc_id"]: WORD.findall(r["text"] or "") for r in cleaned} == left
+
+    source, sizes, taken = {r["doc_id"]: r["source"] for r in cleaned}, Counter(), Counter()
+    for i, w in left.items():
+        sizes[source[i]] += len(w)
+    each = Counter()
+    for r in mixed:
+        w = WORD.findall(r["text"])
+        assert w and w == left[r["doc_id"]][: len(w)]
+        each[r["doc_id"]] += len(w)
+        taken[r["source"]] += len(w)
+    assert all(n <= 2 * len(left[i]) for i, n in each.items())
+    target = targets_by_force(sizes)
+    assert all(abs(taken[s] - target[s]) <= 64 for s in sizes)
+
+    tokenizer, ids, filled, tokens = Encoder.of(queries.TOKENIZER).tokenizer, {}, Counter(), Counter()
+    for r in mixed:
+        ids.setdefault(r["doc_id"], []).append(np.array([*tokenizer.encode(r["text"], add_special_tokens=False).ids, 2], "<u4"))
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        crcs = {zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes()) for x in ids[r["doc_id"]] if len(x) == r["doc_tokens"]}
+        assert r["ids_crc32"] in crcs
+        assert r["offset"] == filled[r["sequence_id"]]
+        filled[r["sequence_id"]] += r["length"]
+        tokens[r["doc_id"]] += r["length"]
+    assert tokens == {i: sum(map(len, xs)) for i, xs in ids.items()}
+    assert all(n <= 4096 and (n == 4096 or n & (n - 1) == 0) for n in filled.values())
+
+    whole = corpus_pipeline.run(spark, where).groupBy("doc_id").agg(F.sum("length")).collect()
+    assert dict(map(tuple, whole)) == tokens
