@@ -409,6 +409,26 @@ def reasoning_text(spark, sf_dir):
     return reconcile.reasons(_reconciled(spark, sf_dir, "week")[0], MAT)
 
 
+def wide_forecast(spark, sf_dir):
+    first = dt.date.fromisoformat(AS_OF)
+    days = [str(first + dt.timedelta(k)) for k in range(1, WEEKS + 1)]
+    return reports.wide_forecast(_reconciled(spark, sf_dir, "week")[0], MAT, days)
+
+
+def reasoning_daily(spark, sf_dir):
+    return reconcile.daily_reasons(_reconciled(spark, sf_dir, "week")[0], MAT)
+
+
+def holiday_model_layer(spark, sf_dir):
+    """A forecast of the series freed of the company's holiday factors, times the factors of the days ahead."""
+    rows, days = _zero(spark, sf_dir), holidays.calendar(spark, *CALENDAR)
+    levels = [(_company_profile(spark, sf_dir).drop("all"), [])]
+    freed = holidays.with_factor(rows, days, levels).withColumn("y", F.col("y") / F.col("factor")).drop("factor")
+    base = forecasts.seasonal_naive(_numbered(freed, MAT), MAT, WEEKS).select(*MAT, "date", F.col("yhat").alias("base"))
+    ahead = holidays.with_factor(base, days, levels).withColumn("model", F.col("base") * F.col("factor"))
+    return _r(ahead.select(*MAT, "date", "base", "factor", "model"), "base", "factor", "model")
+
+
 def holdout_backtest(spark, sf_dir):
     """The horizon's true totals against a forecast made with the history before it, daily and in total."""
     cut = "2001-07-10"
@@ -477,7 +497,7 @@ QUERIES = {
     multi_model_wide ensemble_average event_text event_merge event_classes date_variance overall_uplift resolved_uplift uplift_ramp
     adjusted_forecast final_forecast_table actual_vs_forecast segment_profile weekday_stats class_counts holiday_calendar
     holiday_profile_company holiday_profile_material holiday_profile_combo holiday_text holiday_effects_wide weekday_shaping
-    reconcile_weekly reconcile_daily recon_summary recon_blocks weekly_overall reasoning_text holdout_backtest latest_run skip_done
+    reconcile_weekly reconcile_daily recon_summary recon_blocks weekly_overall reasoning_text wide_forecast reasoning_daily holiday_model_layer holdout_backtest latest_run skip_done
     upsert_run ets_forecast arima_forecast gbm_forecast model_status""".split()
 }
 

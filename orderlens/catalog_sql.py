@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from .operators import holidays
 from .plans.order_lines import AS_OF, HORIZON, WEEKS
 
@@ -192,4 +194,17 @@ _BODY = {
     "skip_done": f"WITH {RUNS} SELECT DISTINCT {K} FROM lines l WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.run_date = '2001-07-31' AND {_on('r', 'l', K)})",
     "upsert_run": f"WITH {RUNS} SELECT * REPLACE (CASE WHEN run_date = '2001-07-31' AND customer = 'BUILDING' THEN 'override' ELSE model END AS model) FROM runs",
 }
+_WIDE = ", ".join(f"round(round(max(CASE WHEN date = {DAY} + {k} THEN final END), 6), 1) AS \"{dt.date.fromisoformat(AS_OF) + dt.timedelta(k)}\"" for k in range(1, WEEKS + 1))
+_INT = lambda x: f"CAST(CAST(round(round({x}, 6)) AS BIGINT) AS VARCHAR)"
+_SLOTS = [f"{n} wk{'+' if w > 0 else ''}{w}" for n, _, before, after in holidays.HOLIDAYS for w in range(-before, after + 1)]
+_BODY |= {
+    "wide_forecast": f"WITH {WEEKLY} SELECT {M}, {_WIDE} FROM rc GROUP BY {M}",
+    "reasoning_daily": f"""WITH {WEEKLY} SELECT {M}, date, {_INT('backlog')} || ' + ' || {_INT('final - backlog')} || ' = ' || {_INT('final')} AS parts, round(round(adj, 6), 1) AS adj, round(round(final, 6), 1) AS final,
+concat_ws('; ', CASE WHEN demand_class = 'Dormant' THEN 'dormant: backlog only' ELSE demand_class || ' series' END, CASE WHEN backlog > 0 THEN 'booked ' || {_INT('backlog')} || ' lb' END, CASE WHEN adj > 1 THEN 'increased by ' || {_INT('adj')} || ' lb' WHEN adj < -1 THEN 'decreased by ' || {_INT('-adj')} || ' lb' END,
+CASE WHEN demand_class <> 'Dormant' AND backlog - model_final > 1 THEN 'backlog exceeds the model by ' || {_INT('backlog - model_final')} || ' lb' END, CASE WHEN abs(adj) <= 1 THEN 'no reconciliation needed' END) AS reason FROM rc""",
+    "holiday_model_layer": f"""WITH {COMPANY}, {_zero(M, 'lines', DAY, '_k')}, dayf AS (SELECT c.date, coalesce(a.factor, 1.0) AS f FROM cal c LEFT JOIN e2_a a ON a.slot = c.slot),
+zf AS (SELECT {_pre('z', M)}, z.date, z.y / coalesce(d.f, 1.0) AS y FROM zero_k z LEFT JOIN dayf d ON d.date = z.date WHERE NOT z.is_backlog), zh AS (SELECT *, row_number() OVER (PARTITION BY {M} ORDER BY date) AS i, count(*) OVER (PARTITION BY {M}) AS n FROM zf), {_naive(M, 'zh', WEEKS)}
+SELECT {_pre('v', M)}, v.date, round(yhat, 6) AS base, round(coalesce(d.f, 1.0), 6) AS factor, round(yhat * coalesce(d.f, 1.0), 6) AS model FROM naive v LEFT JOIN dayf d ON d.date = v.date""",
+    "holiday_effects_wide": f"WITH {MATERIAL} SELECT material_no, " + ", ".join(f"round(max(CASE WHEN slot = '{x}' THEN factor END), 6) AS \"{x}\"" for x in _SLOTS) + " FROM e2_m GROUP BY material_no",
+}
 SQL = dict(_BODY)

@@ -100,6 +100,20 @@ def estimate(series: DataFrame, keys: list[str], days: DataFrame, k: float, pare
     return out
 
 
+def with_factor(rows: DataFrame, days: DataFrame, levels: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Adds each day's `factor`: that of the first level with evidence for the day's slot, 1 where none has or off holidays.
+
+    `levels` are profiles with the keys they are joined on, the finest first. A profile without keys has one row a slot,
+    so its size is that of the calendar.
+    """
+    out = rows.join(F.broadcast(days.select("date", "slot")), "date", "left")
+    for k, (profile, keys) in enumerate(levels):
+        known = profile.select(*keys, "slot", F.col("factor").alias(f"_factor{k}"))
+        out = out.join(known if keys else F.broadcast(known), [*keys, "slot"], "left")
+    found = F.coalesce(*(F.col(f"_factor{k}") for k in range(len(levels))), F.lit(1.0))
+    return out.withColumn("factor", F.when(F.col("slot").isNull(), 1.0).otherwise(found)).drop("slot", *(f"_factor{k}" for k in range(len(levels))))
+
+
 def summary_text(profile: DataFrame, keys: list[str], top: int = 6, least: float = 0.10) -> DataFrame:
     """The strongest factors as text, with whether they rest on the series' own evidence."""
     strong = profile.where(F.abs(F.col("factor") - 1) >= least)

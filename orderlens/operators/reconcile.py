@@ -90,3 +90,18 @@ def reasons(reconciled: DataFrame, keys: list[str]) -> DataFrame:
         F.when(F.col("over"), "backlog exceeds the model"),
     ))
     return sums.select(*keys, F.array_join(line, "; ").alias("reason"))
+
+
+def daily_reasons(reconciled: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key and day: how backlog and model make the final figure, the adjustment, and why, in words."""
+    whole = lambda c: F.round(F.round(c, 6)).cast("bigint").cast("string")  # noqa: E731; the order of a sum must not decide halves
+    model, adj, over = F.col("has_model"), F.col("adj"), F.col("backlog") - F.col("model_final")
+    line = F.array_compact(F.array(
+        F.when(F.col("demand_class") == "Dormant", "dormant: backlog only").when(~model, "no model: backlog only").otherwise(F.concat("demand_class", F.lit(" series"))),
+        F.when(F.col("backlog") > 0, F.concat(F.lit("booked "), whole(F.col("backlog")), F.lit(" lb"))),
+        F.when(adj > TOLERANCE, F.concat(F.lit("increased by "), whole(adj), F.lit(" lb"))).when(adj < -TOLERANCE, F.concat(F.lit("decreased by "), whole(-adj), F.lit(" lb"))),
+        F.when(model & (over > TOLERANCE), F.concat(F.lit("backlog exceeds the model by "), whole(over), F.lit(" lb"))),
+        F.when(F.abs(adj) <= TOLERANCE, "no reconciliation needed"),
+    ))
+    parts = F.concat(whole(F.col("backlog")), F.lit(" + "), whole(F.col("final") - F.col("backlog")), F.lit(" = "), whole(F.col("final")))
+    return reconciled.select(*keys, "date", parts.alias("parts"), F.round(F.round("adj", 6), 1).alias("adj"), F.round(F.round("final", 6), 1).alias("final"), F.array_join(line, "; ").alias("reason"))

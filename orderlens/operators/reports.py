@@ -35,3 +35,8 @@ def weekly_overall(company: DataFrame, detail: DataFrame) -> DataFrame:
     total = company.groupBy(week).agg(F.sum("backlog").alias("backlog"), F.sum(F.greatest(F.col("model") - F.col("backlog"), F.lit(0.0))).alias("additional"), F.sum("initial").alias("total"))
     own = detail.groupBy(week).agg(F.sum("final").alias("detail"), F.countDistinct("date").alias("days"))
     return total.join(own, "week_end", "left").select("week_end", "backlog", "additional", "total", F.when(F.col("days") == 7, F.col("detail")).alias("detail"))
+
+
+def wide_forecast(final: DataFrame, keys: list[str], days: list[str]) -> DataFrame:
+    """One row a key, one column a day of the horizon, at one decimal; a day without a row is null."""
+    return final.withColumn("_day", F.date_format("date", "yyyy-MM-dd")).groupBy(*keys).pivot("_day", days).agg(F.round(F.round(F.first("final"), 6), 1))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from orderlens import catalog
 from orderlens.functions import cleaning
-from orderlens.operators import events, forecasts, holidays, ingest, models, reconcile, selection, series
+from orderlens.operators import events, forecasts, holidays, ingest, models, reconcile, reports, selection, series
 from orderlens.sources import store, xlsx
 
 SMALL = "/root/testdata/sf0.001"
@@ -111,3 +111,20 @@ def test_reconciled_invariants(spark):
     out = catalog.reconcile_weekly(spark, SMALL)
     assert out.where("final < model_final - 1e-9").isEmpty()
     assert not out.isEmpty()
+
+
+def test_factor_of_the_finest_level_with_evidence(spark):
+    days = spark.createDataFrame([(day(1), "a"), (day(2), "b"), (day(3), "c")], "date date, slot string")
+    series_ = spark.createDataFrame([("k", day(n)) for n in range(1, 5)], "k string, date date")
+    own = spark.createDataFrame([("k", "a", 2.0)], "k string, slot string, factor double")
+    company = spark.createDataFrame([("a", 3.0), ("b", 1.5)], "slot string, factor double")
+    found = holidays.with_factor(series_, days, [(own, ["k"]), (company, [])]).orderBy("date")
+    assert [r["factor"] for r in found.collect()] == [2.0, 1.5, 1.0, 1.0]
+
+
+def test_wide_forecast_and_reasons(spark):
+    out = spark.createDataFrame([("k", day(1), "Regular", True, 3.0, 13.04, 20.0, 20.0), ("k", day(2), "Regular", True, 0.0, 5.0, 0.0, 5.0)], "k string, date date, demand_class string, has_model boolean, adj double, model_final double, backlog double, final double")
+    assert rows(reports.wide_forecast(out, ["k"], ["2026-01-01", "2026-01-02", "2026-01-03"])) == [("k", 20.0, 5.0, None)]
+    first, second = reconcile.daily_reasons(out, ["k"]).orderBy("date").collect()
+    assert (first["parts"], first["reason"]) == ("20 + 0 = 20", "Regular series; booked 20 lb; increased by 3 lb; backlog exceeds the model by 7 lb")
+    assert second["reason"] == "Regular series; no reconciliation needed"
