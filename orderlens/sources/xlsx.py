@@ -58,8 +58,11 @@ def sheet_frames(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
-def write_workbook(path: str, tables: dict[str, tuple[list[str], Iterable[Iterable]]]) -> None:
-    """Small tables as sheets; an empty table gets a note."""
+def write_workbook(path: str, tables: dict[str, tuple[list[str], Iterable[Iterable]]], groups: dict[str, list[tuple[str, int]]] | None = None) -> None:
+    """Small tables as sheets; an empty table gets a note.
+
+    `groups` gives a sheet a row above its header: titles, each merged over a number of columns.
+    """
 
     def letters(k: int) -> str:
         return ("" if k < 26 else letters(k // 26 - 1)) + chr(65 + k % 26)
@@ -79,7 +82,13 @@ def write_workbook(path: str, tables: dict[str, tuple[list[str], Iterable[Iterab
         book.writestr("_rels/.rels", head + '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         book.writestr("xl/workbook.xml", head + f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_REL[1:-1]}"><sheets>' + "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(names, 1)) + "</sheets></workbook>")
         book.writestr("xl/_rels/workbook.xml.rels", head + '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{k}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(names) + 1)) + "</Relationships>")
-        for k, (columns, rows) in enumerate(tables.values(), 1):
+        for k, (name, (columns, rows)) in enumerate(tables.items(), 1):
             body = [list(r) for r in rows] or [["no data"]]
-            lines = "".join(f'<row r="{n}">' + "".join(cell(i, n, v) for i, v in enumerate(r)) + "</row>" for n, r in enumerate([columns, *body], 1))
-            book.writestr(f"xl/worksheets/sheet{k}.xml", head + f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{lines}</sheetData></worksheet>')
+            above, merged = [], ""
+            for title, width in (groups or {}).get(name, []):
+                if width > 1:
+                    merged += f'<mergeCell ref="{letters(len(above))}1:{letters(len(above) + width - 1)}1"/>'
+                above += [title] + [None] * (width - 1)
+            lines = "".join(f'<row r="{n}">' + "".join(cell(i, n, v) for i, v in enumerate(r)) + "</row>" for n, r in enumerate([*([above] if above else []), columns, *body], 1))
+            merged = merged and f"<mergeCells>{merged}</mergeCells>"
+            book.writestr(f"xl/worksheets/sheet{k}.xml", head + f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{lines}</sheetData>{merged}</worksheet>')

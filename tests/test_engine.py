@@ -1,4 +1,5 @@
 import datetime as dt
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +129,11 @@ def test_wide_forecast_and_reasons(spark):
     first, second = reconcile.daily_reasons(out, ["k"]).orderBy("date").collect()
     assert (first["parts"], first["reason"]) == ("20 + 0 = 20", "Regular series; booked 20 lb; increased by 3 lb; backlog exceeds the model by 7 lb")
     assert second["reason"] == "Regular series; no reconciliation needed"
+
+
+def test_workbook_group_titles(tmp_path):
+    path = str(tmp_path / "g.xlsx")
+    xlsx.write_workbook(path, {"Reasoning": (["k", "class", "adj", "final"], [["a", "New", 1.0, 2.0]])}, {"Reasoning": [("Combination", 2), ("2026-01-01", 2)]})
+    assert xlsx.read_workbook(path)["Reasoning"] == [["Combination", None, "2026-01-01"], ["k", "class", "adj", "final"], ["a", "New", "1.0", "2.0"]]
+    with zipfile.ZipFile(path) as book:
+        assert b'<mergeCell ref="A1:B1"/><mergeCell ref="C1:D1"/>' in book.read("xl/worksheets/sheet1.xml")
