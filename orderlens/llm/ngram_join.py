@@ -175,7 +175,8 @@ class _Join:
         self.scratch = Scratch(self.spark, "ngram_join")
         self.text = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64("text").alias("_text"), F.col("text").alias("text"))
 
-    def run(self) -> DataFrame:
+    def classes(self) -> tuple[DataFrame, DataFrame]:
+        """A row for each document, and the classes (node, least, at, component); the component is named by a node."""
         write = self.scratch.write
         scan = write(self.text.mapInArrow(_scan, "kind tinyint, _id bigint, _text bigint, n bigint, node bigint, check bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint"), "scan")
         loads = np.zeros(BUCKETS, np.int64)
@@ -198,10 +199,14 @@ class _Join:
         texts = self.text.join(wanted, ["_id", "_text"]).dropDuplicates(["node"]).select("node", "text")
         self.texts = write(texts.mapInArrow(_pack, "node bigint, text binary"), "texts")
         labels, tested = self.links(rows)
-        merged = classes.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")) if labels is not None else classes.select("node", "least", F.col("node").alias("component"))
+        merged = classes.join(labels, "node", "left").select("node", "least", "at", F.coalesce("component", "node").alias("component")) if labels is not None else classes.select("node", "least", "at", F.col("node").alias("component"))
+        return sets, merged
+
+    def run(self) -> DataFrame:
+        sets, merged = self.classes()
         ids = merged.groupBy("component").agg(F.min("least").alias("component_id"))
-        named = write(merged.join(ids, "component").select("node", "component_id"), "named")
-        out = full.join(named, "node").select("_id", "_text", "n", "component_id").unionByName(sets.where("n = 0").select("_id", "_text", "n", F.col("_id").alias("component_id")))
+        named = self.scratch.write(merged.join(ids, "component").select("node", "component_id"), "named")
+        out = sets.where("n > 0").join(named, "node").select("_id", "_text", "n", "component_id").unionByName(sets.where("n = 0").select("_id", "_text", "n", F.col("_id").alias("component_id")))
         return out
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -261,14 +266,15 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one with the least id, and of equal rows one.
+    """One document of each component stays: the one with the least id, then the least text hash, and of equal rows one.
 
+    Components are told apart by their sets, so a shared or missing id joins none; rows without an id come last.
     Documents without words are all kept. All columns come back unchanged.
     """
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64("text").alias("_text"))
-    found = _Join(docs.select("doc_id", "text")).run()
-    stay = found.where("n > 0 and _id = component_id").groupBy("_id").agg(F.min("_text").alias("_text"))
-    empty = found.where("n = 0").select("_id", "_text").distinct()
+    sets, merged = _Join(docs.select("doc_id", "text")).classes()
+    stay = merged.groupBy("component").agg(F.min("at").alias("at")).select("at._id", "at._text")
+    empty = sets.where("n = 0").select("_id", "_text").distinct()
     kept = keyed.join(stay.withColumn("_one", F.lit(True)).unionByName(empty.withColumn("_one", F.lit(False))), ["_id", "_text"])
     one = kept.where("_one").groupBy("_id", "_text").agg(F.first("_row").alias("_row")).select("_row")
     return one.unionByName(kept.where("not _one").select("_row")).select("_row.*")

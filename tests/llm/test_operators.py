@@ -232,6 +232,14 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join.near_duplicate_components(empty).count() == 0
 
 
+def test_near_duplicates_with_shared_and_missing_ids(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " tail"), (None, text("c")), (7, text("d")), (7, text("e")), (9, text("e") + " tail"), (3, text("f")), (5, text("f")), (5, text("g")), (None, text("g")), (None, None), (5, "")]
+    kept = ngram_join.drop_near_duplicates(spark.createDataFrame([(*r, "en", "s", 0) for r in rows], SCHEMA)).collect()
+    found = Counter((r["doc_id"], (r["text"] or " ")[0]) for r in kept)
+    assert found == Counter([(None, "a"), (None, "b"), (None, "c"), (7, "d"), (7, "e"), (3, "f"), (5, "g"), (None, " "), (5, " ")])
+
+
 def kept_by_force(rows, labels, noise):
     """Ids that the classifier keeps: dictionaries of grams, every cut tried, the k largest keys of a sorted list."""
     grams = [(r["doc_id"], Counter(quality_classifier.grams(Words(pa.array([r["text"]], pa.string()), lower=True))[1].tolist())) for r in rows]
