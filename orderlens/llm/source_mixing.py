@@ -1,9 +1,10 @@
 """Mixing of sources to target weights by a low-discrepancy schedule.
 
 Each source's documents are laid, in a shuffled order, on a line of words that is cut into equal blocks and repeated
-without end. Slots of the mix take golden-ratio points: slot i gets the source whose interval of cumulative targets
-holds the fractional part of i times the golden ratio, so every stretch of the mix has nearly the target shares. A
-slot's rank among its source's slots names the block it takes.
+without end. A source's last block is cut to the words that its rounded target still lacks. Slots of the mix take
+golden-ratio points: slot i gets the source whose interval of cumulative blocks holds the fractional part of i times the
+golden ratio, so every stretch of the mix has nearly the target shares. A slot's rank among its source's slots names the
+block it takes; the few slots that a source gets too many go to the blocks that others got too few for.
 
 No source is sorted or numbered in one task: lines are built from hashed buckets of bounded size, ranks from chunks.
 
@@ -59,10 +60,10 @@ def source_targets(sources: DataFrame) -> DataFrame:
 
 
 def schedule(targets: DataFrame, slots: int) -> DataFrame:
-    """(slot, source, rank): slots dealt to sources by golden-ratio points through the cumulative targets."""
+    """(slot, source, chunk): slots dealt to sources by golden-ratio points through the cumulative `blocks`."""
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     line = Window.orderBy(F.col("source").asc_nulls_last())
-    ends = targets.where("target > 0").withColumn("to", F.sum("target").over(line.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(everything))
+    ends = targets.where("blocks > 0").withColumn("to", F.sum("blocks").over(line.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("blocks").over(everything))
     ends = ends.withColumn("from", F.coalesce(F.lag("to").over(line), F.lit(0.0))).withColumn("to", F.when(F.lead("to").over(line).isNull(), F.lit(1.0)).otherwise(F.col("to")))
     # Each interval lies in the cells of a grid over [0, 1); a slot meets the intervals of its own cell only.
     cells = ends.select("source", "from", "to", F.explode(F.sequence(F.floor(F.col("from") * CELLS).cast("int"), F.least(F.floor(F.col("to") * CELLS), F.lit(CELLS - 1)).cast("int"))).alias("cell"))
@@ -81,20 +82,41 @@ def ranked_schedule(targets: DataFrame, slots: int) -> DataFrame:
     return joined.select("slot", "source", (F.col("before") + F.col("inside")).alias("rank"))
 
 
+def settled_schedule(targets: DataFrame, slots: int, scratch: Scratch) -> DataFrame:
+    """(slot, source, rank) with each of a source's `blocks` ranks once, for slots as many as blocks.
+
+    Spare and missing slots differ from the golden-ratio deal by its discrepancy, a few for each source.
+    """
+    ranked = scratch.write(ranked_schedule(targets, slots), "slots")
+    wanted = targets.select(F.col("source").alias("_source"), "blocks")
+    held = ranked.join(wanted, F.col("source").eqNullSafe(F.col("_source")))
+    spare = held.where("rank >= blocks").select("slot", F.row_number().over(Window.orderBy("slot")).alias("turn"))
+    dealt = ranked.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    short = wanted.join(dealt, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < blocks")
+    short = short.select(F.col("_source").alias("source"), F.explode(F.sequence("n", F.col("blocks") - 1)).alias("rank"))
+    short = short.withColumn("turn", F.row_number().over(Window.orderBy("rank", F.col("source").asc_nulls_last())))
+    return held.where("rank < blocks").select("slot", "source", "rank").unionByName(spare.join(short, "turn").select("slot", "source", "rank"))
+
+
 def mix_sources(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, _text) for every document; `taken` counts words, repeats included."""
+    """(doc_id, source, size, source_size, target, taken, slots, _text) for every document.
+
+    `taken` counts words, repeats included; `slots` holds the first slot of each time that the document is taken.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "source_mixing")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("_text"), F.col("text").alias("text"))
     sized = rows.mapInArrow(_sizes, "doc_id bigint, source string, _text bigint, size bigint")
     sized = scratch.write(sized.withColumn("_row", F.monotonically_increasing_id()), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    targets = scratch.write(source_targets(totals.select("source", "source_size")), "targets")
+    targets = source_targets(totals.select("source", "source_size")).withColumn("goal", F.round("target").cast("bigint"))
+    targets = scratch.write(targets, "targets")
     wanted, count = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0], sized.count()
     if not wanted:
-        return sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), "_text")
+        return sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast("array<bigint>").alias("slots"), "_text")
     block = int(max(16, min(1024, wanted // 16384)))
-    slots = -int(-wanted // block)
+    targets = targets.withColumn("blocks", F.ceil(F.col("goal") / block))
+    slots = targets.agg(F.sum("blocks")).first()[0]
     # The line: buckets of documents by hash, then running sums inside a bucket.
     order = F.xxhash64("doc_id", "_text", F.lit(5))
     lined = sized.withColumn("_order", order).withColumn("bucket", F.pmod(F.shiftrightunsigned("_order", 20), F.lit(max(1, count // BUCKET_ROWS))))
@@ -103,16 +125,19 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     inside = Window.partitionBy("source", "bucket").orderBy("_order", "_row")
     placed = lined.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
     placed = placed.join(buckets, (F.col("bucket") == F.col("_bucket")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_bucket")
-    named = targets.select(F.col("source").alias("_source"), "source_size", "target")
-    placed = scratch.write(placed.join(F.broadcast(named) if totals.count() <= 10_000 else named, F.col("source").eqNullSafe(F.col("_source"))).select("_row", "doc_id", "source", "size", "source_size", "target", "_text", (F.col("before") + F.col("inside")).alias("start")), "line")
-    # Pieces: a document's words in each block of the first two rounds of its line.
-    passes = placed.where("size > 0").select("_row", "source", "size", F.explode(F.array(*(F.col("start") + F.col("source_size") * k for k in range(LIMIT)))).alias("a"))
-    parts = passes.select("_row", "source", "a", (F.col("a") + F.col("size")).alias("b"), F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("a") + F.col("size") - 1) / block))).alias("rank"))
-    parts = parts.select("_row", F.col("source"), "rank", (F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block)).alias("words"))
-    taken_blocks = ranked_schedule(targets, slots).select(F.col("source").alias("_source"), F.col("rank").alias("_rank"))
-    taken = parts.join(taken_blocks, (F.col("rank") == F.col("_rank")) & F.col("source").eqNullSafe(F.col("_source"))).groupBy("_row").agg(F.sum("words").alias("taken"))
+    named = targets.select(F.col("source").alias("_source"), "source_size", "target", "goal")
+    placed = scratch.write(placed.join(F.broadcast(named) if totals.count() <= 10_000 else named, F.col("source").eqNullSafe(F.col("_source"))).select("_row", "doc_id", "source", "size", "source_size", "target", "goal", "_text", (F.col("before") + F.col("inside")).alias("start")), "line")
+    # Pieces: a document's words in each block of the first two rounds of its line, up to the source's goal.
+    passes = placed.where("size > 0").select("_row", "source", "size", "goal", F.posexplode(F.array(*(F.col("start") + F.col("source_size") * k for k in range(LIMIT)))).alias("round", "a")).where("a < goal")
+    passes = passes.withColumn("b", F.least(F.col("a") + F.col("size"), "goal"))
+    parts = passes.select("_row", "source", "round", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))).alias("rank"))
+    parts = parts.select("_row", F.col("source"), "round", "rank", (F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block)).alias("words"))
+    taken_blocks = settled_schedule(targets.select("source", "blocks"), slots, scratch).select("slot", F.col("source").alias("_source"), F.col("rank").alias("_rank"))
+    met = parts.join(taken_blocks, (F.col("rank") == F.col("_rank")) & F.col("source").eqNullSafe(F.col("_source")))
+    first = F.array(*(F.min(F.when(F.col("round") == k, F.col("slot"))) for k in range(LIMIT)))
+    taken = met.groupBy("_row").agg(F.sum("words").alias("taken"), F.array_compact(first).alias("slots"))
     out = placed.join(taken, "_row", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "_text")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "slots", "_text")
 
 
 def _repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

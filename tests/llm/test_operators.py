@@ -132,6 +132,18 @@ def test_source_mixing(spark, docs, empty):
     assert source_mixing.mix_sources(empty).count() == 0
 
 
+def test_small_sources_meet_their_targets_in_a_large_mix(spark):
+    """A mix of 1 million words has blocks of 82 words; sources from 1 word up get their targets to the word."""
+    sizes = {"a": 600_000, "b": 300_000, **{f"s{k:02}": n for k, n in enumerate((1, 2, 7, 10, 20, 30, 40, 44, 46, 50, 60, 70, 90, 100, 130, 200))}}
+    rows = [(at, "w " * min(5000, n - at), "en", s, 0) for s, n in sizes.items() for at in range(0, n, 5000)]
+    found = source_mixing.mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()
+    want, taken = targets_by_force(sizes), Counter()
+    for r in found:
+        taken[r["source"]] += r["taken"]
+        assert len(r["slots"] or []) == -(-r["taken"] // r["size"])
+    assert {s: abs(taken[s] - want[s]) <= 0.5 for s in sizes} == dict.fromkeys(sizes, True)
+
+
 def test_tokens_match_the_library():
     texts = [r[1] or "" for r in corpus()] + ["don't <|endoftext|> x  ÉÀ ß 12,5\u00a0a'\u0301", "\x01 a"]
     encoder = Encoder.of(queries.TOKENIZER)
