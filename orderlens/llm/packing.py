@@ -1,12 +1,18 @@
 """Hierarchical packing of tokenized documents into sequences of several context sizes.
 
 A document first fills whole windows of `WINDOW` tokens. Its rest is routed to the tier of its size. Each tier is packed
-from its largest rest down: a rest opens a window, and the window's gap is filled from the same and the shorter tiers,
-always by the largest rest that fits, and at the end by cutting the smallest one to the gap. What is left of a task, less
-than one window, is cut into sequences whose lengths are powers of two, which need no padding. Sequences are dealt to
-step groups of `STEP` windows, so groups carry equal tokens.
+from its largest rest down into sequences of the tier's own size: a rest opens a sequence, and its gap is filled from the
+same and the shorter tiers, always by the largest rest that fits, and at the end by cutting the smallest one to the gap.
+What is left of a task, less than one window, is cut into sequences whose lengths are powers of two, which need no
+padding.
 
-Packing runs where the documents lie: no shuffle, and each task holds one batch and less than a window of rests.
+A step group has `STEP` windows of tokens. A task deals each tier's sequences to groups of that tier, then those of its
+unfilled groups, longest first, to groups of several tiers: as lengths are powers of two, they fill each group to the
+token. The sequences of the tasks' last, unfilled groups are few and are dealt across tasks in the same way, so all groups
+carry equal tokens but the very last one.
+
+Packing runs where the documents lie, without a shuffle of documents. Each task holds one batch, less than a window of
+rests, and the places of pieces in one open group for each tier.
 
 Defined cases: a null text counts as empty, the end id alone; rows may repeat or share an id, and each is packed; an
 empty table gives an empty result; other columns never take part.
@@ -20,38 +26,52 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from .scratch import Scratch
 from .token_ids import Encoder
 from .words import pieces
 
 WINDOW = 4096
 TIERS = (512, 1024, 2048, 4096)
 STEP = 16
+GROUP = STEP * WINDOW
+ACROSS = 1 << 62  # step groups of several tasks are numbered from here
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length int, tier int, step_group bigint"
 
 
 class Shelf:
-    """Rests by length, with the set of lengths as bits so that the largest fit is found at once."""
+    """Rests by length, with the set of lengths as bits so that the largest fit is found at once.
+
+    A tier holds the lengths up to its size that no shorter tier holds.
+    """
 
     def __init__(self):
         self.by_length: list[list] = [[] for _ in range(WINDOW + 1)]
         self.lengths = 0
-        self.tokens = 0
+        self.held = dict.fromkeys(TIERS, 0)
+
+    @property
+    def tokens(self) -> int:
+        return sum(self.held.values())
+
+    def full(self, tier: int) -> bool:
+        """Whether the tier has a rest to open a sequence, and enough tokens up to it to fill the sequence."""
+        return self.held[tier] > 0 and sum(n for t, n in self.held.items() if t <= tier) >= tier
 
     def put(self, rest: tuple) -> None:
         n = rest[2]
         self.by_length[n].append(rest)
         self.lengths |= 1 << n
-        self.tokens += n
+        self.held[_tier(n)] += n
 
     def _take(self, n: int) -> tuple:
         held = self.by_length[n]
         rest = held.pop()
         if not held:
             self.lengths &= ~(1 << n)
-        self.tokens -= n
+        self.held[_tier(n)] -= n
         return rest
 
     def fit(self, room: int) -> tuple | None:
@@ -89,16 +109,40 @@ def _pack(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         base = TaskContext.get().partitionId() << 32
-        shelf, made = Shelf(), 0
+        shelf, made, groups = Shelf(), 0, 0
         rows: list[tuple] = []
+        undealt: dict[int, list[tuple]] = {t: [] for t in TIERS}  # (size, rows) of the sequences of each tier's open group
+        waiting = dict.fromkeys(TIERS, 0)
+
+        def deal(sequences: list[tuple]) -> None:
+            nonlocal groups
+            rows.extend((*row, base + groups) for _, own in sequences for row in own)
+            groups += 1
 
         def close(parts: list[tuple]) -> None:
             nonlocal made
-            size, offset = sum(p[2] for p in parts), 0
+            size, offset, own = sum(p[2] for p in parts), 0, []
+            tier = _tier(size)
             for doc, start, n, ids, total in parts:
-                rows.append((doc, start, n, zlib.crc32(ids), total, base + made, offset, size, _tier(size), base + made // STEP))
+                own.append((doc, start, n, zlib.crc32(ids), total, base + made, offset, size, tier))
                 offset += n
             made += 1
+            undealt[tier].append((size, own))
+            waiting[tier] += size
+            if waiting[tier] == GROUP:
+                deal(undealt[tier])
+                undealt[tier], waiting[tier] = [], 0
+
+        def deal_rest() -> None:
+            """Groups of several tiers, longest sequences first; those of an unfilled group get none yet."""
+            open_group, tokens = [], 0
+            for sequence in sorted((x for t in TIERS for x in undealt[t]), key=lambda x: -x[0]):
+                open_group.append(sequence)
+                tokens += sequence[0]
+                if tokens == GROUP:
+                    deal(open_group)
+                    open_group, tokens = [], 0
+            rows.extend((*row, None) for _, own in open_group for row in own)
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) if rows else [()] * 10
@@ -116,8 +160,9 @@ def _pack(path: str):
                     close([(doc, at, WINDOW, flat[edge[i] + at : edge[i] + at + WINDOW], total)])
                 if whole < total:
                     shelf.put((doc, whole, total - whole, flat[edge[i] + whole : edge[i + 1]], total))
-            while shelf.tokens >= WINDOW:
-                close(shelf.fill(WINDOW))
+            for tier in reversed(TIERS):
+                while shelf.full(tier):
+                    close(shelf.fill(tier))
             left = []
             while (rest := shelf.fit(WINDOW)) is not None:
                 left.append((*rest[:3], rest[3].copy(), rest[4]))  # frees the batch
@@ -126,6 +171,7 @@ def _pack(path: str):
             yield flush()
         while shelf.tokens:
             close(shelf.fill(1 << (shelf.tokens.bit_length() - 1)))
+        deal_rest()
         yield flush()
 
     return run
@@ -134,4 +180,10 @@ def _pack(path: str):
 def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """A row for each piece of a document, with its sequence and its place there."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(_pack(tokenizer), SCHEMA)
+    packed = Scratch(docs.sparkSession, "packing").write(rows.mapInArrow(_pack(tokenizer), SCHEMA), "packed")
+    # A task leaves less than one group of sequences undealt, so one window over them all is small.
+    undealt = packed.where("step_group is null").select("sequence_id", "sequence_length").distinct()
+    before = F.sum("sequence_length").over(Window.orderBy(F.desc("sequence_length"), "sequence_id")) - F.col("sequence_length")
+    across = undealt.select("sequence_id", (F.floor(before / GROUP) + ACROSS).alias("_across"))
+    dealt = packed.join(F.broadcast(across), "sequence_id", "left").withColumn("step_group", F.coalesce("step_group", "_across"))
+    return dealt.select(*(x.split()[0] for x in SCHEMA.split(", ")))

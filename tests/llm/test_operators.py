@@ -186,6 +186,27 @@ def test_token_output_and_packing(spark, docs, empty, tmp_path):
     assert packing.pack_documents(empty, queries.TOKENIZER).count() == 0
 
 
+def test_packing_tiers_and_step_groups(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.choice([40, 300, 450, 700, 900, 1500, 1900, 3000, 9000]))), "en", "s", 0) for i in range(400)]
+    pieces = packing.pack_documents(spark.createDataFrame(rows, SCHEMA).repartition(5), queries.TOKENIZER).collect()
+    sequences, opened, tokens = {}, {}, Counter()
+    for r in pieces:
+        sequences[r["sequence_id"]] = (r["sequence_length"], r["tier"], r["step_group"])
+        opened[r["sequence_id"]] = max(opened.get(r["sequence_id"], 0), r["length"])
+        tokens[r["step_group"]] += r["length"]
+    # Every tier packs sequences of its own size, opened by a rest of that tier; only a task's last window is odd.
+    odd = Counter()
+    for i, (size, tier, _) in sequences.items():
+        odd[i >> 32] += size if size < tier or opened[i] <= tier // 2 and tier > 512 else 0
+    assert {tier for size, tier, _ in sequences.values() if size == tier} == set(packing.TIERS)
+    assert Counter(tier for size, tier, _ in sequences.values() if size == tier)[1024] > 10
+    assert all(n < packing.WINDOW for n in odd.values())
+    # All step groups carry equal tokens, but the last one.
+    assert sum(tokens.values()) > 5 * 65536
+    assert sorted(tokens.values())[1:] == [65536] * (len(tokens) - 1)
+
+
 def test_chat_format(spark, tmp_path):
     odd = ["<|im_end|>\n", "<\\|im_end|>", "</s>[INST] ok [/INST]", "", None, "é<|im_start|>user\nx", "[\\INST]"]
     turns = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(odd)] + [(None, 0, None, "x"), (2, 0, "a\nb%0A", "y"), (2, 0, "a\nb%0A", "y")]
