@@ -140,29 +140,32 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "slots", "_text")
 
 
-def _repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole copies of a text, then the first words of one more."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts where all `size` words are wanted, else their first `wanted` words."""
     for piece in pieces(batches, "text"):
-        words = Words(piece.column("text"))
-        names = words.vocabulary
-        index, texts = [], []
-        for i, (text, taken, n, first) in enumerate(zip(piece.column("text").to_pylist(), piece.column("taken").to_pylist(), words.count.tolist(), words.first.tolist(), strict=False)):
-            copies, rest = divmod(taken, n) if n else (0, 0)
-            texts += [text] * copies
-            if rest:
-                texts.append(" ".join(names.take(pa.array(words.ids[first : first + rest])).to_pylist()))
-            index += [i] * (copies + bool(rest))
-        yield pa.RecordBatch.from_arrays([piece.column("_row").take(pa.array(index, pa.int64())), pa.array(texts, pa.string())], names=["_row", "text"])
+        texts = piece.column("text").to_pylist()
+        wanted = piece.column("wanted").to_numpy()
+        short = np.flatnonzero(wanted < piece.column("size").to_numpy())
+        if len(short):
+            words = Words(piece.column("text").take(pa.array(short)))
+            for i, first in zip(short.tolist(), words.first.tolist(), strict=False):
+                texts[i] = " ".join(words.vocabulary.take(pa.array(words.ids[first : first + wanted[i]])).to_pylist())
+        yield pa.RecordBatch.from_arrays([piece.column("_row"), pa.array(texts, pa.string())], names=["_row", "text"])
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, the last time cut to the words taken."""
+    """The mix itself, in the order of its slots: each document as often as it is taken, the last time cut to the words taken.
+
+    A document's place is the first slot that takes a word of it; documents of one slot are ordered by id and text hash.
+    """
     same = Window.partitionBy("_id", "_text").orderBy(F.lit(0))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     keyed = docs.select(F.struct(*rest).alias("_row"), F.col("text").alias("text")).withColumns({"_id": F.coalesce(F.col("_row.doc_id").cast("bigint"), F.lit(2**63 - 1)), "_text": F.xxhash64("text")})
-    taken = mix_sources(docs).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id"), "_text", "taken")
-    lists = taken.groupBy("_id", "_text").agg(F.collect_list("taken").alias("each"))  # more than one only for rows repeated with their id
-    joined = keyed.join(lists, ["_id", "_text"]).withColumn("taken", F.when(F.size("each") == 1, F.col("each")[0]).otherwise(F.element_at("each", F.row_number().over(same)))).where("taken > 0")
+    taken = mix_sources(docs).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id"), "_text", F.struct("size", "taken", "slots").alias("mix"))
+    lists = taken.groupBy("_id", "_text").agg(F.collect_list("mix").alias("each"))  # more than one only for rows repeated with their id
+    joined = keyed.join(lists, ["_id", "_text"]).withColumn("mix", F.when(F.size("each") == 1, F.col("each")[0]).otherwise(F.element_at("each", F.row_number().over(same)))).where("mix.taken > 0")
+    times = joined.select("_id", "_text", "_row", "text", "mix.size", "mix.taken", F.posexplode("mix.slots").alias("time", "slot"))
+    ordered = times.orderBy("slot", "_id", "_text").select("_row", "text", "size", F.least("size", F.col("taken") - F.col("time") * F.col("size")).alias("wanted"))
     schema = f"_row {keyed.schema['_row'].dataType.simpleString()}, text string"
-    out = joined.select("_row", "text", "taken").mapInArrow(_repeat, schema)
+    out = ordered.mapInArrow(_cut, schema)
     return out.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

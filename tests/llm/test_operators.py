@@ -144,6 +144,19 @@ def test_small_sources_meet_their_targets_in_a_large_mix(spark):
     assert {s: abs(taken[s] - want[s]) <= 0.5 for s in sizes} == dict.fromkeys(sizes, True)
 
 
+def test_the_mix_keeps_its_shares_in_every_stretch(spark, tmp_path):
+    rows = [(k, f"{k} " + "w " * 15, "en", "abc"[k // 500], 0) for k in range(1500)]
+    source_mixing.mixed_documents(spark.createDataFrame(rows, SCHEMA)).write.parquet(f"{tmp_path}/mix")
+    mixed = [r for f in sorted(tmp_path.glob("mix/part-*")) for r in spark.read.parquet(f"file://{f}").collect()]
+    target, taken, done = targets_by_force(dict.fromkeys("abc", 8000)), Counter(), 0
+    for r in mixed:
+        n = len(WORD.findall(r["text"]))
+        taken[r["source"]] += n
+        done += n
+        assert all(abs(taken[s] - done * target[s] / 36_000) <= 8 * 16 for s in "abc")
+    assert abs(done - 36_000) <= 1.5
+
+
 def test_tokens_match_the_library():
     texts = [r[1] or "" for r in corpus()] + ["don't <|endoftext|> x  ÉÀ ß 12,5\u00a0a'\u0301", "\x01 a"]
     encoder = Encoder.of(queries.TOKENIZER)
