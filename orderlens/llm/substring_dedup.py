@@ -1,7 +1,7 @@
-"""Removal of long repeated word spans, by compaction of a De Bruijn graph of the corpus.
+"""Removal of long repeated word spans, by minimizer runs in place of a compacted De Bruijn graph of the corpus.
 
-Token k-mers (`ANCHOR` words) are the graph's edges. Each window of `WINDOW` words is named by the least-hashed k-mer in
-it; consecutive windows that share this k-mer at one place form a nonbranching path of at most WINDOW - ANCHOR + 1
+No graph is built. Each window of `WINDOW` words is named by the least-hashed k-mer (`ANCHOR` words) in it; consecutive
+windows that share this k-mer at one place form a path of at most WINDOW - ANCHOR + 1
 windows, and only paths travel:
 
 1. k-mers that name a single path in the corpus are dropped: their windows occur once.
@@ -36,7 +36,7 @@ ANCHOR = 10
 
 
 class Paths:
-    """The nonbranching paths of a run of texts, in order of their first window."""
+    """The minimizer runs of a run of texts, in order of their first window."""
 
     def __init__(self, words: Words, window: int = WINDOW, anchor: int = ANCHOR):
         self.words = words
