@@ -12,9 +12,9 @@ holds.
 Links only matter through components, which keeps crowded prefixes linear:
 
 * star rounds: in each shingle's group the sets are verified against one pivot, and what links is merged;
-* then all pairs of different components that still share enough prefix shingles are verified, none left out. Places in
-  the prefixes and parity bitmaps of the sets bound how far a pair can differ, so near misses of a crowd are not even
-  paired.
+* then all pairs of different components that still share enough prefix shingles are verified, none left out. A pair
+  meets once, at its first shared shingle. Places in the prefixes and parity bitmaps of the sets bound how far a pair
+  can differ, so most near misses of a crowd are not even paired.
 
 Verification compares whole sets. A shingle is named by a 48-bit hash, a set
 by a 64-bit one.
@@ -41,6 +41,7 @@ SHINGLE = 5
 BUCKETS = 1 << 16
 STAR_ROUNDS = 2
 BITMAP = ["b0", "b1", "b2", "b3"]
+BEFORE = 4
 
 
 def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -157,13 +158,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(linked)], names=["a", "b", "linked"])
 
 
-def _may_link(x, y) -> Column:
-    """Whether two prefix rows can be among the first shared shingles of linked sets.
+def _may_link(x, y, need: Column | int) -> Column:
+    """Whether two prefix rows can be the last of the first `need` shared shingles of linked sets.
 
     Linked sets share at least a = ceil(4/9 (n + m)) shingles, so of their `need` first shared ones each has at most
     n - a unshared ones and need - 1 shared ones before it, in either set.
     """
-    spare = F.floor((x("n") + y("n")) * 4 / F.lit(9.0) + 0.9999).cast("int") - F.least(x("need"), y("need"))
+    spare = F.floor(((x("n") + y("n")) * 4 + 8) / F.lit(9.0)).cast("int") - need
     return (x("n") * 5 >= y("n") * 4) & (y("n") * 5 >= x("n") * 4) & (x("rank") + spare < x("n")) & (y("rank") + spare < y("n"))
 
 
@@ -198,13 +199,14 @@ class _Join:
         self.bitmaps = classes.select("node", *BITMAP)
         texts = self.text.join(wanted, ["_id", "_text"]).dropDuplicates(["node"]).select("node", "text")
         self.texts = write(texts.mapInArrow(_pack, "node bigint, text binary"), "texts")
-        labels, tested = self.links(rows)
-        merged = classes.join(labels, "node", "left").select("node", "least", "at", F.coalesce("component", "node").alias("component")) if labels is not None else classes.select("node", "least", "at", F.col("node").alias("component"))
+        labels = self.links(rows)
+        merged = write(_named(classes.select("node", "least", "at"), labels), "merged")
+        self.scratch.drop("classes", "able", "rows", "texts")
         return sets, merged
 
     def run(self) -> DataFrame:
         sets, merged = self.classes()
-        ids = merged.groupBy("component").agg(F.min("least").alias("component_id"))
+        ids = self.scratch.write(merged.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
         named = self.scratch.write(merged.join(ids, "component").select("node", "component_id"), "named")
         out = sets.where("n > 0").join(named, "node").select("_id", "_text", "n", "component_id").unionByName(sets.where("n = 0").select("_id", "_text", "n", F.col("_id").alias("component_id")))
         return out
@@ -214,48 +216,78 @@ class _Join:
         second = self.texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         return self.scratch.write(pairs.join(second, "b").join(first, "a").mapInArrow(_verify, "a bigint, b bigint, linked boolean"), name)
 
-    def links(self, rows: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-        write = self.scratch.write
+    def links(self, rows: DataFrame) -> DataFrame | None:
+        """(node, component) of every set that has a link, or None; all links are followed."""
         labels = tested = None
-        edges: list[DataFrame] = []
         for step in range(STAR_ROUNDS + 1):
-            named = rows if labels is None else rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            if labels is None:
-                named = named.withColumn("component", F.col("node"))
             # Tokens that still join different components, with this round's pivot.
-            turn = F.xxhash64("node", F.lit(step))
+            named, turn = _named(rows, labels), F.xxhash64("node", F.lit(step))
             groups = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(turn.alias("turn"), "node", "n", "need", "component", "rank")).alias("pivot")).where("low <> high")
-            groups = write(groups, f"groups-{step}")
-            known = write(named.join(groups.select("token"), "token", "left_semi"), f"open-{step}")
+            groups = self.scratch.write(groups.select("token", "pivot"), f"groups-{step}")
             if groups.isEmpty():
                 break
-            all_pairs = step == STAR_ROUNDS
-            if all_pairs:
-                marked = write(known.join(self.bitmaps, "node"), "marked")
-                x, y = marked.alias("x"), marked.alias("y")
-                differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in BITMAP[1:]), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
-                match = (differ * 9 <= F.col("x.n") + F.col("y.n")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
-                pairs = x.join(y, match).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.need", "y.need").alias("need"))
-            else:
-                p = F.col("pivot")
-                near = known.join(groups.select("token", "pivot"), "token").where((F.col("component") != p["component"]) & _may_link(F.col, p.__getitem__))
-                pairs = near.select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b"), F.least("need", p["need"]).alias("need"))
-            pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need")).where("k >= need" if all_pairs else "3 * k >= need").select("a", "b")
+            last = step == STAR_ROUNDS
+            pairs = self.all_pairs(named, groups) if last else self.pivot_pairs(named, groups)
             if tested is not None:
-                pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
             done = self.verified(pairs, f"tested-{step}")
-            tested = done if tested is None else tested.unionByName(done)
-            self.scratch.drop(f"open-{step}", f"groups-{step}")
-            good = done.where("linked").select("a", "b")
-            if not good.isEmpty():
-                edges.append(good)
-                joined = edges[0]
-                for more in edges[1:]:
-                    joined = joined.unionByName(more)
-                labels = components(joined, self.scratch, f"labels-{step}")
-            if all_pairs:
-                break
-        return labels, tested
+            tested = done.select("a", "b") if tested is None else tested.unionByName(done.select("a", "b"))
+            labels = self.merged(labels, done.where("linked").select("a", "b"), step)
+            self.scratch.drop(f"groups-{step}")
+        return labels
+
+    def pivot_pairs(self, named: DataFrame, groups: DataFrame) -> DataFrame:
+        """Each set with the pivots that it shares a third of the needed prefix tokens with."""
+        p = F.col("pivot")
+        need = F.least("need", p["need"])
+        near = named.join(groups, "token").where((F.col("component") != p["component"]) & _may_link(F.col, p.__getitem__, need))
+        pairs = near.select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b"), need.alias("need"))
+        return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need")).where("3 * k >= need").select("a", "b")
+
+    def all_pairs(self, named: DataFrame, groups: DataFrame) -> DataFrame:
+        """Every pair of sets of different components that shares enough prefix tokens.
+
+        A pair meets at its first shared token only: rows carry the `BEFORE` tokens before their own, and two rows with
+        one of these in common have met before. As the first shared token of linked sets comes early in both, later
+        rows are not paired. At each token the pivot's component, mostly the one that holds the crowd, is met by the
+        sets outside it only. The pairs then count what their whole prefixes share.
+        """
+        write = self.scratch.write
+        known = named.join(groups.select("token", F.col("pivot.component").alias("_crowd")), "token")
+        held = known.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "need", "component")), F.array_sort(F.collect_list(F.struct("rank", "token", (F.col("component") != F.col("_crowd")).alias("outside")))).alias("held"))
+        sets = write(held.join(self.bitmaps, "node"), "sets")
+        before = lambda x, i: F.struct(x["rank"].alias("rank"), x["token"].alias("token"), x["outside"].alias("outside"), F.slice("tokens", F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE))).alias("before"))
+        each = sets.withColumn("tokens", F.col("held.token")).select("node", "n", "component", *BITMAP, F.explode(F.transform("held", before)).alias("own"))
+        marked = write(each.select("node", "n", "component", *BITMAP, "own.*"), "marked")
+        x, y = marked.where("outside").alias("x"), marked.alias("y")
+        differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in BITMAP[1:]), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
+        once = ~F.col("y.outside") | (F.col("x.node") < F.col("y.node"))
+        match = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & once & _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), 1) & (differ * 9 <= F.col("x.n") + F.col("y.n")) & ~F.arrays_overlap("x.before", "y.before")
+        met = x.join(y, match).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        prefix = sets.select("node", "need", F.col("held.token").alias("tokens"))
+        first, second = prefix.toDF("a", "need_a", "tokens_a"), prefix.toDF("b", "need_b", "tokens_b")
+        enough = F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.least("need_a", "need_b")
+        return met.join(second, "b").join(first, "a").where(enough).select("a", "b")
+
+    def merged(self, labels: DataFrame | None, links: DataFrame, step: int) -> DataFrame | None:
+        """Labels after more links; links are contracted to the present components first."""
+        if links.isEmpty():
+            return labels
+        write = self.scratch.write
+        if labels is None:
+            return components(links, self.scratch, f"labels-{step}")
+        for end in ("a", "b"):
+            links = links.join(labels.toDF(end, f"{end}_component"), end, "left").withColumn(end, F.coalesce(f"{end}_component", end)).select("a", "b")
+        found = components(links.where("a <> b").distinct(), self.scratch, f"found-{step}")
+        renamed = labels.join(found.toDF("component", "_to"), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+        return write(renamed.unionByName(found.join(labels, "node", "left_anti")), f"labels-{step}")
+
+
+def _named(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows with the component of their node: its label, or itself."""
+    if labels is None:
+        return rows.withColumn("component", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
