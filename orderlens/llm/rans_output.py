@@ -11,8 +11,9 @@ first (ids of the part before it), doc_ids, lengths, table, payload, crc. A bloc
 32-bit little-endian integers (lanes, ids, precision, words, checkpoints, checkpoint interval), the words in decoding
 order, and for each checkpoint its place in the words followed by its 64-bit states.
 
-Defined cases: a null text counts as empty and yields the end id alone; rows with equal ids are ordered by text; an
-empty table writes no blocks; documents without an id come first; other columns never take part.
+Defined cases: a null text counts as empty and yields the end id alone; rows with equal ids are ordered by the text's
+hash, then by the text, and may be dealt to several parts; an empty table writes no blocks; documents without an id come
+first; other columns never take part.
 """
 
 from __future__ import annotations
@@ -167,7 +168,8 @@ def _write(path: str):
 def write_ids(docs: DataFrame, folder: str, tokenizer: str) -> None:
     """Tokenize every text and write its ids to the folder, in ascending order of doc_id over parts and blocks."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = rows.withColumn("_text", F.xxhash64("text")).repartitionByRange("doc_id", "_text")  # splits equal ids too
+    ordered = dealt.sortWithinPartitions("doc_id", "_text", "text").select("doc_id", "text")
     ordered.mapInArrow(_write(tokenizer), LAYOUT).write.mode("overwrite").parquet(folder)
 
 

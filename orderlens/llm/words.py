@@ -19,6 +19,9 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+# Keys of two independent word hashes.
+HASH_KEYS = ("0123456789123456", "fedcba9876543210")
+
 # Odd multipliers of the wrapping 64-bit span hashes; (B - 1) / 2 is odd, so swapped neighbours keep their difference.
 _BASES = (0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB4B)
 
@@ -77,11 +80,16 @@ class Words:
         self.ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.vocabulary = coded.dictionary
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, the same in every process."""
+    def names(self, *keys: str) -> list[np.ndarray]:
+        """For each hash key the 64-bit hashes of the vocabulary, the same in every process."""
         if self.n == 0:
-            return np.zeros(0, np.uint64)
-        return pd.util.hash_array(self.vocabulary.to_numpy(zero_copy_only=False).astype(object), categorize=False)[self.ids]
+            return [np.zeros(0, np.uint64) for _ in keys]
+        objects = self.vocabulary.to_numpy(zero_copy_only=False).astype(object)
+        return [pd.util.hash_array(objects, hash_key=k, categorize=False) for k in keys]
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        return self.names(HASH_KEYS[0])[0][self.ids] if self.n else np.zeros(0, np.uint64)
 
     def owner(self) -> np.ndarray:
         """The text that each word belongs to."""
