@@ -24,7 +24,7 @@ REPEAT_WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 THRESHOLD = 0.5
-FALSE_ALARM = 0.002
+TRUST = 200.0
 _BLANK = " \t\n\x0b\x0c\r"
 _ENDS = (".", "!", "?", '"', "”", "…", ":", ";")
 
@@ -113,10 +113,11 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tup
     """Expectation-maximisation on counted vote patterns (rows of -1, 0, 1).
 
     Returns each pattern's posterior of good, the share of good, and alarms[class, rule], the probability that a rule
-    which votes votes bad on a bad (0) or good (1) document. An abstention tells nothing. It starts from the belief that
-    a single bad vote tells more than several good ones, since each kind of junk trips few rules; pseudo-votes keep
-    probabilities off 0 and 1. Rules are written to be precise, so a bad vote on a good document is taken to be at most
-    `FALSE_ALARM` likely; without this bound, rules that fire on different kinds of junk would look wrong to each other.
+    which votes votes bad on a bad (0) or good (1) document. An abstention tells nothing, so rules that fire on
+    different kinds of junk do not speak against each other where they abstain. It starts from the belief that a single
+    bad vote tells more than several good ones; pseudo-votes keep probabilities off 0 and 1, and `TRUST` of them say that
+    a rule does not vote bad on good documents. They weigh as much as `TRUST` documents, so that the estimate is free to
+    find a rule inaccurate on any larger corpus.
     """
     against, favour = (patterns < 0).astype(float), (patterns > 0).astype(float)
     weight = counts.astype(float)
@@ -124,10 +125,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tup
     prior, alarms = 0.5, np.zeros((2, patterns.shape[1]))
     for _ in range(rounds):
         old = good
-        for k, part in enumerate((weight * (1 - good), weight * good)):
-            alarms[k] = (part @ against + 0.5) / (part @ (against + favour) + 1.0)
-        alarms[1] = np.minimum(alarms[1], FALSE_ALARM)
-        alarms[0] = np.maximum(alarms[0], alarms[1])
+        for k, (part, trust) in enumerate(((weight * (1 - good), 0.5), (weight * good, TRUST))):
+            alarms[k] = (part @ against + 0.5) / (part @ (against + favour) + 0.5 + trust)
         prior = float(((weight * good).sum() + 1) / (weight.sum() + 2))
         bad_log, good_log = (against @ np.log(a) + favour @ np.log(1 - a) for a in alarms)
         good = 1 / (1 + np.exp(np.clip(bad_log + np.log(1 - prior) - good_log - np.log(prior), -700, 700)))
