@@ -2,14 +2,17 @@
 
 Two generative models of hashed words and word pairs, one fitted on target texts (labelled good and not toxic) and one
 on all texts, give each document the log of their likelihood ratio. Documents are then sampled without replacement in
-proportion to that importance by Gumbel top-k: the k largest values of log weight + Gumbel noise stay.
+proportion to that importance by Gumbel top-k: the k largest values of log weight + standard Gumbel noise stay. (Weights
+need not be normalised: a constant changes no order.) k is the number of documents whose weight reaches a cut, the one
+that separates labelled target texts from other labelled ones best; so the sample is as large as the target's share of
+the corpus, and where weights are close, chance decides.
 
-The raw model counts every document. The target model and k are fitted on at most `LABELLED` labelled documents, the
-documented bound, drawn by the hash of their id. Log ratios are shrunk by `DEADZONE`, so that chance and the share of
+The raw model counts every document. The target model and the cut are fitted on at most `LABELLED` labelled documents,
+the documented bound, drawn by the hash of their id, one text for each id. Log ratios are shrunk by `DEADZONE`, so that chance and the share of
 junk in the raw corpus do not add up over long texts.
 
 Defined cases: a null or empty text has weight 0; rows may repeat or share an id, and copies of a document get equal
-noise; ties go to the lower id; without usable labels nothing is rejected; other columns never take part.
+noise; all documents whose key equals the least one that stays do so too; without usable labels nothing is rejected; other columns never take part.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .scratch import Scratch
 from .words import Words, mix, pieces
@@ -29,7 +33,6 @@ PAIR_BUCKETS = 1 << 15
 PSEUDO = 4.0
 DEADZONE = 1.0
 SEED = 17
-TEMPERATURE = 0.1
 
 
 def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +84,9 @@ def _scores(weights, column: str = "text"):
 
 
 def gumbel(*columns: str) -> Column:
-    """Gumbel noise at the sampling temperature, a function of the columns and the seed."""
+    """Standard Gumbel noise, a function of the columns and the seed."""
     u = (F.shiftrightunsigned(F.xxhash64(*columns, F.lit(SEED)), 11) + 0.5) * F.lit(2.0**-53)
-    return F.lit(-TEMPERATURE) * F.log(-F.log(u))
+    return -F.log(-F.log(u))
 
 
 def best_cut(score: np.ndarray, good: np.ndarray) -> float:
@@ -130,7 +133,8 @@ class Model:
             good = (F.min("quality") == 1) & (F.max("toxic") == 0)
             judged = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(good.alias("good"))
             chosen = judged.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(labelled)
-            sample = Scratch(spark, "quality_classifier").write(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+            found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text"))
+            sample = Scratch(spark, "quality_classifier").write(found, "labelled")
         target = count_grams(sample.where("good")) if sample is not None else raw
         self.weights = spark.sparkContext.broadcast(log_ratios(target, raw))
         if sample is not None:
@@ -162,5 +166,5 @@ def keep_good(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     table = Scratch(docs.sparkSession, "quality_classifier").write(model.scored(docs), "scored")
     least = model.threshold(table)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), gumbel("doc_id").alias("noise"), F.col("text").alias("text"))
-    schema = f"_row {packed.schema['_row'].dataType.simpleString()}, noise double, log_weight double"
+    schema = StructType([packed.schema["_row"], packed.schema["noise"], StructField("log_weight", DoubleType())])
     return packed.mapInArrow(_scores(model.weights), schema).where(F.col("log_weight") + F.col("noise") >= F.lit(least)).select("_row.*")
