@@ -1,12 +1,13 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is ``spark.checkpoint.dir``. Where a session sets none (tests), a temporary folder is made and kept for the
-session. Tables are written by Spark's own committed writer, so a lost executor costs a task, never the data.
+The folder is ``spark.checkpoint.dir``. Where a local session sets none (tests), a temporary folder is made and kept for
+the session. Tables are written by Spark's own committed writer, so a lost executor costs a task, never the data.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,10 +18,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a folder of this process only where none is set."""
+    """The session's shared folder; a folder of this process only where none is set and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="orderlens-")
         atexit.register(shutil.rmtree, _own["dir"], True)

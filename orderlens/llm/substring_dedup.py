@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .scratch import Scratch
 from .words import SpanHashes, Words, pieces, signed
@@ -179,8 +180,8 @@ def _joined(docs: DataFrame) -> DataFrame:
     return keyed.join(marks, ["_id", "_text"], "left").select("_row", "text", "marks")
 
 
-def _schema(joined: DataFrame) -> str:
-    return f"_row {joined.schema['_row'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string"
+def _schema(joined: DataFrame) -> StructType:
+    return StructType([joined.schema["_row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
 
 
 def repeated_word_counts(docs: DataFrame) -> DataFrame:
