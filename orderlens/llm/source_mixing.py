@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from .scratch import Scratch
 from .words import Words, pieces
@@ -35,7 +36,8 @@ CHUNK = 8192
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, "text"):
-        yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "source", "_text")), pa.array(Words(piece.column("text")).count.astype(np.int64))], names=["doc_id", "source", "_text", "size"])
+        rest = [c for c in piece.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in rest), pa.array(Words(piece.column("text")).count.astype(np.int64))], names=[*rest, "size"])
 
 
 def source_targets(sources: DataFrame) -> DataFrame:
@@ -99,21 +101,24 @@ def settled_schedule(targets: DataFrame, slots: int, scratch: Scratch) -> DataFr
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, slots, _text) for every document.
+    """(doc_id, source, size, source_size, target, taken, slots) for every document.
 
     `taken` counts words, repeats included; `slots` holds the first slot of each time that the document is taken.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "source_mixing")
+    scratch = Scratch(docs.sparkSession, "source_mixing")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("_text"), F.col("text").alias("text"))
     sized = rows.mapInArrow(_sizes, "doc_id bigint, source string, _text bigint, size bigint")
-    sized = scratch.write(sized.withColumn("_row", F.monotonically_increasing_id()), "sizes")
+    return _mix(scratch.write(sized.withColumn("_row", F.monotonically_increasing_id()), "sizes"), scratch).drop("_row")
+
+
+def _mix(sized: DataFrame, scratch: Scratch) -> DataFrame:
+    """`mix_sources` of written rows (_row, doc_id, source, _text, size), by `_row`."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     targets = source_targets(totals.select("source", "source_size")).withColumn("goal", F.round("target").cast("bigint"))
     targets = scratch.write(targets, "targets")
     wanted, count = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0], sized.count()
     if not wanted:
-        return sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast("array<bigint>").alias("slots"), "_text")
+        return sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast("array<bigint>").alias("slots"), "_row")
     block = int(max(16, min(1024, wanted // 16384)))
     targets = targets.withColumn("blocks", F.ceil(F.col("goal") / block))
     slots = targets.agg(F.sum("blocks")).first()[0]
@@ -126,7 +131,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     placed = lined.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
     placed = placed.join(buckets, (F.col("bucket") == F.col("_bucket")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_bucket")
     named = targets.select(F.col("source").alias("_source"), "source_size", "target", "goal")
-    placed = scratch.write(placed.join(F.broadcast(named) if totals.count() <= 10_000 else named, F.col("source").eqNullSafe(F.col("_source"))).select("_row", "doc_id", "source", "size", "source_size", "target", "goal", "_text", (F.col("before") + F.col("inside")).alias("start")), "line")
+    placed = scratch.write(placed.join(F.broadcast(named) if totals.count() <= 10_000 else named, F.col("source").eqNullSafe(F.col("_source"))).select("_row", "doc_id", "source", "size", "source_size", "target", "goal", (F.col("before") + F.col("inside")).alias("start")), "line")
     # Pieces: a document's words in each block of the first two rounds of its line, up to the source's goal.
     passes = placed.where("size > 0").select("_row", "source", "size", "goal", F.posexplode(F.array(*(F.col("start") + F.col("source_size") * k for k in range(LIMIT)))).alias("round", "a")).where("a < goal")
     passes = passes.withColumn("b", F.least(F.col("a") + F.col("size"), "goal"))
@@ -137,7 +142,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     first = F.array(*(F.min(F.when(F.col("round") == k, F.col("slot"))) for k in range(LIMIT)))
     taken = met.groupBy("_row").agg(F.sum("words").alias("taken"), F.array_compact(first).alias("slots"))
     out = placed.join(taken, "_row", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "slots", "_text")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "slots", "_row")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,16 +161,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, in the order of its slots: each document as often as it is taken, the last time cut to the words taken.
 
-    A document's place is the first slot that takes a word of it; documents of one slot are ordered by id and text hash.
+    All of a source's blocks up to its goal are taken, so the only document that a block holds in part stands where the
+    goal ends its source's line, and the words of it that the block holds are its first ones. A document's place is the
+    first slot that takes a word of it; documents of one slot are ordered as they were read. Rows are told apart by a
+    number of their own, so equal ids and equal texts meet nowhere.
     """
-    same = Window.partitionBy("_id", "_text").orderBy(F.lit(0))
+    scratch = Scratch(docs.sparkSession, "source_mixing")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    keyed = docs.select(F.struct(*rest).alias("_row"), F.col("text").alias("text")).withColumns({"_id": F.coalesce(F.col("_row.doc_id").cast("bigint"), F.lit(2**63 - 1)), "_text": F.xxhash64("text")})
-    taken = mix_sources(docs).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id"), "_text", F.struct("size", "taken", "slots").alias("mix"))
-    lists = taken.groupBy("_id", "_text").agg(F.collect_list("mix").alias("each"))  # more than one only for rows repeated with their id
-    joined = keyed.join(lists, ["_id", "_text"]).withColumn("mix", F.when(F.size("each") == 1, F.col("each")[0]).otherwise(F.element_at("each", F.row_number().over(same)))).where("mix.taken > 0")
-    times = joined.select("_id", "_text", "_row", "text", "mix.size", "mix.taken", F.posexplode("mix.slots").alias("time", "slot"))
-    ordered = times.orderBy("slot", "_id", "_text").select("_row", "text", "size", F.least("size", F.col("taken") - F.col("time") * F.col("size")).alias("wanted"))
-    schema = f"_row {keyed.schema['_row'].dataType.simpleString()}, text string"
-    out = ordered.mapInArrow(_cut, schema)
+    packed = docs.select(F.monotonically_increasing_id().alias("_id"), F.struct(*rest).alias("_row"), F.col("text").alias("text"))
+    kept = scratch.write(packed, "documents")
+    rows = kept.select(F.col("_id").alias("_row"), F.col("_row.doc_id").cast("bigint").alias("doc_id"), F.col("_row.source").cast("string").alias("source"), F.xxhash64("text").alias("_text"), "text")
+    sized = rows.mapInArrow(_sizes, "_row bigint, doc_id bigint, source string, _text bigint, size bigint")
+    taken = _mix(scratch.write(sized, "sizes"), scratch).where("taken > 0").select(F.col("_row").alias("_id"), "size", "taken", "slots")
+    times = kept.join(taken, "_id").select("_id", "_row", "text", "size", "taken", F.posexplode("slots").alias("time", "slot"))
+    ordered = times.orderBy("slot", "_id").select("_row", "text", "size", F.least("size", F.col("taken") - F.col("time") * F.col("size")).alias("wanted"))
+    out = ordered.mapInArrow(_cut, StructType([packed.schema["_row"], packed.schema["text"]]))
     return out.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
