@@ -59,4 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(scratch.path(f"stage-{k}"))
             docs = spark.read.parquet(scratch.path(f"stage-{k}"))
+            scratch.drop(f"stage-{k - 1}")
     return docs
