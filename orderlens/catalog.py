@@ -6,17 +6,16 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from . import samples
 from .functions import cleaning as c
 from .operators import classify, events, features, forecasts, holidays, ingest, models, reconcile, reports, selection, series
+from .plans import batch, reconciled
 from .plans.order_lines import AS_OF, HORIZON, KEYS, WEEKS, material_lines, order_lines
 from .sources import store
+from .workspace import Workspace
 
 MAT = ["customer", "material_no"]
-EVENTS = [("1998-03-10", None), ("1999-03-09", 12.0), ("1999-03-09", 15.0), ("2000-03-14", None), ("2000-10-31", 10.0), ("2001-08-07", None), ("2001-08-09", 25.0), ("2001-08-09", None), ("2030-01-01", 5.0)]
-NUMBERS = ["12", "12.5", "1,234.50", " 1 234.5 ", "$1,234.5", "12 lbs", "(1,000)", "(-5)", "", "  ", "N/A", "na", "None", "nan", "-", "abc", ".", "-.", "1.2.3", "--5", "5-", "1e5", "−5", None]
-HEADERS = ["Mat.avail.dt", " MAT_AVAIL_DT ", "mat avail dt", "Net Pounds", "Order#"]
-IDS = ["38", "38.0", "38.5", "WA  171833", " x ", "", "nan", None]
-SHEETS = ["24HY1", "24H1", "24 hy 1", "2024H1", "24H3", "Summary", "25 H2"]
+MAT_RUN = [dt.date.fromisoformat(AS_OF) + dt.timedelta(k) for k in range(1, WEEKS + 1)]
 
 
 def _r(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -28,7 +27,7 @@ def _texts(spark: SparkSession, values: list) -> DataFrame:
 
 
 def _events(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(dt.date.fromisoformat(d), p) for d, p in EVENTS], "date date, uplift_pct double")
+    return spark.createDataFrame([(dt.date.fromisoformat(d), p) for d, p in samples.EVENTS], "date date, uplift_pct double")
 
 
 def _history(spark, sf_dir):
@@ -43,20 +42,24 @@ def _backlog(spark, sf_dir, keys=KEYS, lines=order_lines):
 
 
 def header_tokens(spark, sf_dir):
-    return _texts(spark, HEADERS).select("id", c.token(F.col("raw")).alias("token"))
+    return _texts(spark, samples.HEADERS).select("id", c.token(F.col("raw")).alias("token"))
 
 
 def number_parse(spark, sf_dir):
-    return _texts(spark, NUMBERS).withColumn("n", c.parse_number(F.col("raw"))).select("id", "n.value", "n.reason")
+    return _texts(spark, samples.NUMBERS).withColumn("n", c.parse_number(F.col("raw"))).select("id", "n.value", "n.reason")
 
 
 def id_clean(spark, sf_dir):
-    return _texts(spark, IDS).select("id", c.clean_id(F.col("raw")).alias("clean"))
+    return _texts(spark, samples.IDS).select("id", c.clean_id(F.col("raw")).alias("clean"))
+
+
+def day_parse(spark, sf_dir):
+    return _texts(spark, [x for x, _ in samples.DAYS]).select("id", c.parse_day(F.col("raw")).alias("date"))
 
 
 def half_year_sheets(spark, sf_dir):
     key = c.half_year_key(F.col("raw"))
-    return _texts(spark, SHEETS).select("id", c.is_half_year(F.col("raw")).alias("accepted"), key["year"].cast("bigint").alias("year"), key["half"].cast("bigint").alias("half"))
+    return _texts(spark, samples.SHEETS).select("id", c.is_half_year(F.col("raw")).alias("accepted"), key["year"].cast("bigint").alias("year"), key["half"].cast("bigint").alias("half"))
 
 
 def _dirty(spark, sf_dir):
@@ -107,7 +110,7 @@ def segment_options(spark, sf_dir):
 
 
 def segment_list(spark, sf_dir):
-    return order_lines(spark, sf_dir).select(*KEYS).distinct().orderBy(*KEYS).limit(10)
+    return series.segments(order_lines(spark, sf_dir), KEYS, 10)
 
 
 def dense_calendar(spark, sf_dir):
@@ -225,7 +228,7 @@ def ensemble_average(spark, sf_dir):
 
 
 def event_text(spark, sf_dir):
-    rows = _texts(spark, ["2026-09-20, 2026-09-21", "2026-09-20, soon,, 2026-10-01 "])
+    rows = _texts(spark, samples.EVENT_TEXTS)
     return rows.select("id", F.explode(events.parse_events(F.col("raw"))).alias("date"))
 
 
@@ -257,11 +260,12 @@ def overall_uplift(spark, sf_dir):
 
 def _resolved(spark, sf_dir):
     future = events.merge_events(_events(spark)).where(F.col("date").between(F.date_add(F.lit(AS_OF).cast("date"), 1), F.date_add(F.lit(AS_OF).cast("date"), HORIZON)))
-    return events.resolve_uplifts(future, _variance(spark, sf_dir), KEYS)
+    rows = _history(spark, sf_dir)
+    return events.resolve_uplifts(future, events.date_variance(rows, _past_events(spark), KEYS), KEYS, segments=rows.where(F.col("n") >= forecasts.SEASON))
 
 
 def resolved_uplift(spark, sf_dir):
-    return _r(_resolved(spark, sf_dir), "resolved_pct")
+    return _r(_resolved(spark, sf_dir).select(*KEYS, "date", "resolved_pct", "method", F.size("breakdown").cast("bigint").alias("n_analogs")), "resolved_pct")
 
 
 def uplift_ramp(spark, sf_dir):
@@ -285,6 +289,27 @@ def final_forecast_table(spark, sf_dir):
     return reports.final_table(events.adjusted(_projection(spark, sf_dir), events.ramp(_resolved(spark, sf_dir), KEYS), KEYS), KEYS, "Seasonal Naive")
 
 
+def final_forecast_models(spark, sf_dir):
+    """The final table of two models together."""
+    rows = Workspace(spark, "history").keep(_history(spark, sf_dir), "rows")
+    naive = forecasts.seasonal_naive(rows, KEYS, HORIZON).select(*KEYS, "date", "yhat", F.lit("Seasonal Naive").alias("model"))
+    flat = rows.where(F.col("i") > F.col("n") - 28).groupBy(*KEYS).agg(F.avg("y").alias("yhat"))
+    both = naive.unionByName(naive.select(*KEYS, "date").join(flat, KEYS).withColumn("model", F.lit("Trailing Mean")))
+    return reports.final_table(events.adjusted(events.with_backlog(both, _backlog(spark, sf_dir), KEYS), events.ramp(_resolved(spark, sf_dir), KEYS), KEYS), KEYS)
+
+
+def actual_forecast_wide(spark, sf_dir):
+    ahead = events.adjusted(_projection(spark, sf_dir), events.ramp(_resolved(spark, sf_dir), KEYS), KEYS).withColumn("model", F.lit("Seasonal Naive"))
+    wide = reports.wide_actual_forecast(_history(spark, sf_dir), ahead, KEYS, ["Seasonal Naive"], 30)
+    return _r(wide.select(*KEYS, "date", "type", F.col("Actual").alias("actual"), F.col("Seasonal Naive").alias("seasonal_naive"), F.col("Average").alias("average"), "place"), "actual", "seasonal_naive", "average")
+
+
+def actual_matrix(spark, sf_dir):
+    lines = order_lines(spark, sf_dir)
+    window = spark.createDataFrame([(dt.date(2001, 7, 10) + dt.timedelta(k),) for k in range(1, WEEKS + 1)], "date date")
+    return reports.actual_matrix(series.daily_sum(lines, KEYS), lines, KEYS, window)
+
+
 def actual_vs_forecast(spark, sf_dir):
     return _r(reports.actual_vs_forecast(_history(spark, sf_dir), forecasts.seasonal_naive(_history(spark, sf_dir), KEYS, HORIZON), KEYS), "value")
 
@@ -304,142 +329,125 @@ def class_counts(spark, sf_dir):
     return classify.class_counts(classify.profiles(_zero(spark, sf_dir, material_lines), MAT, AS_OF))
 
 
-CALENDAR = (dt.date(1994, 11, 3), dt.date(2001, 10, 20))
+def _days(spark, sf_dir):
+    """Holiday days from `PADDING` days before the first order to as many past the last day ahead."""
+    first = order_lines(spark, sf_dir).agg(F.min("date")).first()[0]
+    return holidays.calendar(spark, first - dt.timedelta(holidays.PADDING), MAT_RUN[-1] + dt.timedelta(holidays.PADDING))
 
 
 def holiday_calendar(spark, sf_dir):
-    return holidays.calendar(spark, *CALENDAR)
+    return _days(spark, sf_dir)
 
 
-def _company_profile(spark, sf_dir):
-    rows = series.zero_filled(series.daily_sum(order_lines(spark, sf_dir), []).withColumn("all", F.lit("all")), ["all"], AS_OF)
-    return holidays.estimate(rows, ["all"], holidays.calendar(spark, *CALENDAR), holidays.K_COMPANY)
+def _profiles(spark, sf_dir, levels: int):
+    """Holiday profiles of the company, of materials and of customers' materials, each written before the next reads it."""
+    work, days, found = Workspace(spark, "profiles"), _days(spark, sf_dir), []
+    daily = work.keep(series.daily_sum(order_lines(spark, sf_dir), MAT), "daily")
+    for keys, k in ((["all"], holidays.K_COMPANY), (["material_no"], holidays.K_MATERIAL), (MAT, holidays.K_COMBO))[:levels]:
+        rows = daily.withColumn("all", F.lit("all")).groupBy(*keys, "date").agg(F.sum("y").alias("y"))
+        profile = work.keep(holidays.estimate(series.zero_filled(rows, keys, AS_OF), keys, days, k, found).drop("all"), f"profile{len(found)}")
+        found = [(profile, [x for x in keys if x != "all"]), *found]
+    return [p for p, _ in reversed(found)]
 
 
 def holiday_profile_company(spark, sf_dir):
-    return _r(_company_profile(spark, sf_dir).select("slot", "factor", "n_obs"), "factor", "n_obs")
-
-
-def _material_profile(spark, sf_dir):
-    rows = _zero(spark, sf_dir, keys=["material_no"]).withColumn("all", F.lit("all"))
-    return holidays.estimate(rows, ["material_no"], holidays.calendar(spark, *CALENDAR), holidays.K_MATERIAL, _company_profile(spark, sf_dir), ["all"])
+    return _r(_profiles(spark, sf_dir, 1)[0].select("slot", "factor", "n_obs"), "factor", "n_obs")
 
 
 def holiday_profile_material(spark, sf_dir):
-    return _r(_material_profile(spark, sf_dir).select("material_no", "slot", "factor", "n_obs"), "factor", "n_obs")
+    return _r(_profiles(spark, sf_dir, 2)[1], "factor", "n_obs")
 
 
 def holiday_profile_combo(spark, sf_dir):
-    """Rows of the third level: customer and material, shrunk to the material."""
-    found = holidays.estimate(_zero(spark, sf_dir), MAT, holidays.calendar(spark, *CALENDAR), holidays.K_COMBO, _material_profile(spark, sf_dir), ["material_no"])
-    return _r(found, "factor", "n_obs")
-
-
-def holiday_text(spark, sf_dir):
-    return holidays.summary_text(_company_profile(spark, sf_dir).select("all", "slot", "factor", "n_obs"), ["all"])
+    """Rows of the third level: customer and material, shrunk to the material, then to the company."""
+    return _r(_profiles(spark, sf_dir, 3)[2], "factor", "n_obs")
 
 
 def holiday_effects_wide(spark, sf_dir):
-    slots = [r["slot"] for r in holidays.calendar(spark, *CALENDAR).select("slot").distinct().orderBy("slot").collect()]  # 33 names
-    return _material_profile(spark, sf_dir).groupBy("material_no").pivot("slot", slots).agg(F.round(F.first("factor"), 6))
-
+    company, material = _profiles(spark, sf_dir, 2)
+    slots = [r["slot"] for r in _days(spark, sf_dir).select("slot").distinct().orderBy("slot").collect()]  # 33 names
+    return reports.holiday_effects(company, material, slots)
 
-def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
-    from pyspark.sql import Window
 
-    by = Window.partitionBy(*keys)
-    history = rows.where("not is_backlog")
-    return history.withColumns({"i": F.row_number().over(by.orderBy("date")).cast("bigint"), "n": F.count(F.lit(1)).over(by)})
+def _run(spark, sf_dir, by="week", lines=material_lines):
+    """The reconciled run with the seasonal naive in place of the fitted models, so that SQL can follow it."""
+    return reconciled.build(lines(spark, sf_dir), dt.date.fromisoformat(AS_OF), MAT_RUN, keys=MAT, settings=reconciled.Settings(naive_only=True), by=by)
 
 
-def _layer(spark, sf_dir):
-    """Details and company over the weekly window: model, backlog, class."""
-    rows = _zero(spark, sf_dir, material_lines)
-    found = classify.profiles(rows, MAT, AS_OF).select(*MAT, "demand_class")
-    base = forecasts.seasonal_naive(_numbered(rows, MAT), MAT, WEEKS).join(found, MAT)
-    backlog = _backlog(spark, sf_dir, MAT, material_lines).select(*MAT, "date", F.col("y").alias("backlog"))
-    model = base.join(backlog, [*MAT, "date"], "left").select(*MAT, "date", F.when(F.col("demand_class") != classify.DORMANT, F.col("yhat")).otherwise(0.0).alias("m"), F.lit(1.0).alias("hf"), F.coalesce("backlog", F.lit(0.0)).alias("backlog"), (F.col("demand_class") != classify.DORMANT).alias("has_model"))
-    stats = classify.weekday_stats(rows, MAT)
-    total = series.zero_filled(series.daily_sum(material_lines(spark, sf_dir), []).withColumn("all", F.lit("all")), ["all"], AS_OF)
-    company = forecasts.seasonal_naive(_numbered(total, ["all"]), ["all"], WEEKS).select("date", F.col("yhat").alias("model"))
-    booked = _backlog(spark, sf_dir, [], material_lines).select("date", F.col("y").alias("backlog"))
-    company = company.join(booked, "date", "left").withColumn("backlog", F.coalesce("backlog", F.lit(0.0))).withColumn("initial", F.greatest("model", "backlog"))
-    return model, stats, found, company
+def holiday_text(spark, sf_dir):
+    return reconciled.holiday_texts(_run(spark, sf_dir, lines=order_lines))
 
 
-def weekday_shaping(spark, sf_dir):
-    model, stats, _, _ = _layer(spark, sf_dir)
-    return _r(reconcile.shape_weekdays(model, stats, MAT).select(*MAT, "date", "m"), "m")
+def holiday_model_layer(spark, sf_dir):
+    """A forecast of the series freed of three levels of holiday factors, times the factors of the days ahead."""
+    rows = _run(spark, sf_dir, lines=order_lines).detail
+    return _r(rows.select(*MAT, "date", "base", F.col("hf").alias("factor"), (F.col("base") * F.col("hf")).alias("model")), "base", "factor", "model")
 
 
-def _reconciled(spark, sf_dir, by):
-    model, stats, found, company = _layer(spark, sf_dir)
-    shaped = reconcile.shape_weekdays(model, stats, MAT).select(*MAT, "date", "m", "hf", "backlog", "has_model")
-    return reconcile.reconcile(shaped, company.select("date", "model"), stats, found, MAT, by), company
+def weekday_shaping(spark, sf_dir):
+    return _r(_run(spark, sf_dir).detail.select(*MAT, "date", "m"), "m")
 
 
 def reconcile_weekly(spark, sf_dir):
-    out, _ = _reconciled(spark, sf_dir, "week")
-    return _r(out.select(*MAT, "date", "m", "adj", "model_final", "final"), "m", "adj", "model_final", "final", digits=4)
+    return _r(_run(spark, sf_dir).reconciled.select(*MAT, "date", "m", "adj", "model_final", "final"), "m", "adj", "model_final", "final", digits=4)
 
 
 def reconcile_daily(spark, sf_dir):
-    out, _ = _reconciled(spark, sf_dir, "day")
-    return _r(out.select(*MAT, "date", "m", "adj", "model_final", "final"), "m", "adj", "model_final", "final", digits=4)
+    return _r(_run(spark, sf_dir, "day").reconciled.select(*MAT, "date", "m", "adj", "model_final", "final"), "m", "adj", "model_final", "final", digits=4)
 
 
 def recon_summary(spark, sf_dir):
-    out, company = _reconciled(spark, sf_dir, "week")
-    found = reconcile.summary(out, company.select("date", "model", "initial"))
+    run = _run(spark, sf_dir)
+    found = reconcile.summary(run.reconciled, run.company.select("date", "model", "initial"))
     return _r(found, *[x for x in found.columns if x != "date"], digits=3)
 
 
 def recon_blocks(spark, sf_dir):
-    out, company = _reconciled(spark, sf_dir, "week")
-    found = reconcile.blocks(out, company)
-    return _r(found, *[x for x in found.columns if x not in ("week", "days")], digits=3)
+    run = _run(spark, sf_dir)
+    found = reconcile.blocks(run.reconciled, run.company, MAT)
+    return _r(found, *[x for x in found.columns if x not in ("week", "first_day", "last_day", "days", "eligible", "adjusted")], digits=3)
 
 
 def weekly_overall(spark, sf_dir):
-    out, company = _reconciled(spark, sf_dir, "week")
-    return _r(reports.weekly_overall(company, out), "backlog", "additional", "total", "detail", digits=3)
+    return _r(reconciled.weekly_sheet(_run(spark, sf_dir)), "backlog", "additional", "total", "detail", "difference", "excess", "unresolved", digits=3)
 
 
 def reasoning_text(spark, sf_dir):
-    return reconcile.reasons(_reconciled(spark, sf_dir, "week")[0], MAT)
+    return reconcile.reasons(_run(spark, sf_dir).reconciled, MAT)
 
 
 def wide_forecast(spark, sf_dir):
-    first = dt.date.fromisoformat(AS_OF)
-    days = [str(first + dt.timedelta(k)) for k in range(1, WEEKS + 1)]
-    return reports.wide_forecast(_reconciled(spark, sf_dir, "week")[0], MAT, days)
+    return reports.wide_forecast(_run(spark, sf_dir).reconciled, MAT, [str(d) for d in MAT_RUN])
 
 
 def reasoning_daily(spark, sf_dir):
-    return reconcile.daily_reasons(_reconciled(spark, sf_dir, "week")[0], MAT)
+    run = _run(spark, sf_dir)
+    return reconcile.daily_reasons(run.reconciled, MAT, reconciled.context(run), reconciled.class_models(run))
 
 
-def holiday_model_layer(spark, sf_dir):
-    """A forecast of the series freed of the company's holiday factors, times the factors of the days ahead."""
-    rows, days = _zero(spark, sf_dir), holidays.calendar(spark, *CALENDAR)
-    levels = [(_company_profile(spark, sf_dir).drop("all"), [])]
-    freed = holidays.with_factor(rows, days, levels).withColumn("y", F.col("y") / F.col("factor")).drop("factor")
-    base = forecasts.seasonal_naive(_numbered(freed, MAT), MAT, WEEKS).select(*MAT, "date", F.col("yhat").alias("base"))
-    ahead = holidays.with_factor(base, days, levels).withColumn("model", F.col("base") * F.col("factor"))
-    return _r(ahead.select(*MAT, "date", "base", "factor", "model"), "base", "factor", "model")
+def reconciled_forecast(spark, sf_dir):
+    """The reconciled run with the fitted models of the demand classes."""
+    run = reconciled.build(material_lines(spark, sf_dir), dt.date.fromisoformat(AS_OF), MAT_RUN, keys=MAT)
+    return run.reconciled.join(reconciled.class_models(run), MAT).select(*MAT, "date", "demand_class", "model", "has_model", "m", "adj", "model_final", "backlog", "final")
+
+
+def holdout_variants(spark, sf_dir):
+    """Errors of a forecast made three weeks back, with and without holiday effects."""
+    lines = material_lines(spark, sf_dir).where(F.col("date") <= F.lit(AS_OF).cast("date"))
+    return reconciled.holdout(lines, dt.date(2001, 7, 10), WEEKS, MAT, reconciled.Settings(naive_only=True))
 
 
 def holdout_backtest(spark, sf_dir):
     """The horizon's true totals against a forecast made with the history before it, daily and in total."""
     cut = "2001-07-10"
     lines = order_lines(spark, sf_dir).where(F.col("date") <= F.lit(AS_OF).cast("date"))
-    rows = _numbered(series.zero_filled(series.daily_sum(lines, KEYS), KEYS, cut), KEYS)
+    rows = series.numbered(series.zero_filled(series.daily_sum(lines, KEYS), KEYS, cut).where("not is_backlog"), KEYS)
     forecast = forecasts.seasonal_naive(rows, KEYS, WEEKS).select(*KEYS, "date", "yhat")
     actual = series.daily_sum(lines, KEYS)
     joined = forecast.join(actual, [*KEYS, "date"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
     wape, bias = forecasts.fraction_errors(F.col("y"), F.col("yhat"))
     total = joined.groupBy(*KEYS).agg(F.sum("y").alias("ty"), F.sum("yhat").alias("tp"))
-    return _r(joined.groupBy(*KEYS).agg(wape.alias("wape"), bias.alias("bias")).join(total, KEYS).select(*KEYS, "wape", "bias", (F.abs(F.col("tp") - F.col("ty")) / F.col("ty")).alias("horizon_wape")), "wape", "bias", "horizon_wape")
+    return _r(joined.groupBy(*KEYS).agg(wape.alias("wape"), bias.alias("bias")).join(total, KEYS).select(*KEYS, "wape", "bias", (F.abs(F.col("tp") - F.col("ty")) / F.nullif("ty", F.lit(0.0))).alias("horizon_wape")), "wape", "bias", "horizon_wape")
 
 
 # --- store and models -------------------------------------------------------------------------------------------
@@ -465,11 +473,6 @@ def upsert_run(spark, sf_dir):
     return store.upsert(_runs(spark, sf_dir), new, ["run_date", *KEYS])
 
 
-def _fits(spark, sf_dir, names):
-    few = _history(spark, sf_dir).where("customer = 'BUILDING'")
-    return _r(models.fit_panel(few, KEYS, HORIZON, names), "yhat", "lower", "upper")
-
-
 def ets_forecast(spark, sf_dir):
     return models.fit_panel(_history(spark, sf_dir), KEYS, HORIZON, ["AutoETS"])
 
@@ -486,6 +489,46 @@ def model_status(spark, sf_dir):
     return models.fit_panel(_history(spark, sf_dir), KEYS, HORIZON, ["AutoETS", "Chronos-2"]).groupBy(*KEYS, "model", "status").agg(F.count("date").alias("days"))
 
 
+def _batch(spark, sf_dir):
+    lines = order_lines(spark, sf_dir)
+    return batch.run(lines, dt.date.fromisoformat(AS_OF), HORIZON, series.segments(lines, KEYS))
+
+
+def batch_summary(spark, sf_dir):
+    return _batch(spark, sf_dir)["segment_summary"]
+
+
+def batch_metrics(spark, sf_dir):
+    """Backtests of the four batch models over all rolling origins of every segment and the total."""
+    return _batch(spark, sf_dir)["segment_metrics"]
+
+
+def batch_forecasts(spark, sf_dir):
+    return _batch(spark, sf_dir)["segment_forecasts"]
+
+
+def _tested(spark, sf_dir):
+    work = Workspace(spark, "backtest")
+    rows = work.keep(_history(spark, sf_dir), "rows")
+    tests = work.keep(models.backtest_panel(rows, KEYS, HORIZON), "tests")
+    return models.roll_up(tests, forecasts.metrics(tests.where("error is null"), forecasts.mase_scale(rows, KEYS), KEYS), KEYS, models.BATCH, rows)
+
+
+def model_leaderboard(spark, sf_dir):
+    return selection.leaderboard(_tested(spark, sf_dir).drop("runtime_seconds"), KEYS)
+
+
+def model_recommended(spark, sf_dir):
+    return selection.recommend(_tested(spark, sf_dir), KEYS)
+
+
+def naive_backtest(spark, sf_dir):
+    """The fitted panel's backtest of the seasonal naive, which SQL windows give too."""
+    work = Workspace(spark, "backtest")
+    tests = models.backtest_panel(work.keep(_history(spark, sf_dir), "rows"), KEYS, HORIZON, ["Seasonal Naive"])
+    return _r(tests.select(*KEYS, "window", "date", "y", "model", "yhat"), "y", "yhat")
+
+
 gaps_keep, gaps_zero, gaps_interpolate = _gaps("keep"), _gaps("zero"), _gaps("linear")
 
 QUERIES = {
@@ -498,7 +541,8 @@ QUERIES = {
     adjusted_forecast final_forecast_table actual_vs_forecast segment_profile weekday_stats class_counts holiday_calendar
     holiday_profile_company holiday_profile_material holiday_profile_combo holiday_text holiday_effects_wide weekday_shaping
     reconcile_weekly reconcile_daily recon_summary recon_blocks weekly_overall reasoning_text wide_forecast reasoning_daily holiday_model_layer holdout_backtest latest_run skip_done
-    upsert_run ets_forecast arima_forecast gbm_forecast model_status""".split()
+    upsert_run ets_forecast arima_forecast gbm_forecast model_status day_parse final_forecast_models actual_forecast_wide actual_matrix
+    reconciled_forecast holdout_variants batch_summary batch_metrics batch_forecasts model_leaderboard model_recommended naive_backtest""".split()
 }
 
 from .catalog_sql import SQL  # noqa: E402

@@ -11,6 +11,17 @@ DATE_HEADERS = ["matavaildt"]
 MEASURE_HEADERS = ["netpounds"]
 BLANK_WORDS = ["", "nan", "none", "n/a", "na", "-"]
 HALF_YEAR = r"^(\d{2})hy?([12])$"
+SEGMENT_IDS = {
+    "customer": ["customer", "cg3", "customer group 3", "customergroup3", "cust group 3", "customer group", "sold to party", "soldtoparty", "sold to", "customer name"],
+    "material_group": ["material group", "materialgroup", "matl group", "mat group", "material grp", "matgroup", "product group", "productgroup", "material category"],
+}
+RECONCILED_IDS = {"customer": ["Customer Name"], "material_name": ["ReMat Name"], "material_no": ["ReMat No"], "plant": ["Plant", "Ship Pt"]}
+EVENT_DATE_HEADERS = ["date", "highproductiondate"]
+EVENT_UPLIFT_HEADERS = ["upliftpercent", "uplift", "upliftpct"]
+
+# Day texts are read in the first of these forms that fits; texts of digits alone are days only as yyyyMMdd.
+DAY_FORMS = ["yyyy-M-d", "M/d/yyyy", "M/d/yy", "yyyy/M/d", "d-MMM-yyyy", "d-MMM-yy", "d MMM yyyy", "MMM d, yyyy", "MMM d yyyy", "M-d-yyyy", "d.M.yyyy", "yyyyMMdd"]
+YEARS = (1900, 2200)
 
 
 def header_token(name) -> str:
@@ -18,14 +29,26 @@ def header_token(name) -> str:
     return re.sub(r"[^a-z0-9]", "", str(name).strip().lower())
 
 
-def find_column(columns: list[str], tokens: list[str]) -> str | None:
-    """The first column whose token is one of the given ones."""
-    return next((c for c in columns if header_token(c) in tokens), None)
+def find_column(columns: list[str], headers: list[str], last: bool = False) -> str | None:
+    """The first (or last) column that has one of the given headers, by their tokens."""
+    known = {header_token(h) for h in headers}
+    return next((c for c in (reversed(columns) if last else columns) if header_token(c) in known), None)
+
+
+def half_year_of(sheet: str) -> tuple[int, int] | None:
+    """(year, half) of a half-year sheet's name."""
+    found = re.match(HALF_YEAR, header_token(sheet))
+    return (int(found[1]), int(found[2])) if found else None
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def token(column: Column) -> Column:
     """`header_token` over a column."""
-    return F.regexp_replace(F.lower(F.trim(column)), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(column), "[^a-z0-9]", "")
 
 
 def is_half_year(sheet: Column) -> Column:
@@ -48,7 +71,7 @@ def parse_number(raw: Column) -> Column:
     Parentheses negate; separators, units and other characters are dropped; a second point or sign rejects. A value that
     cannot be read is never taken as zero.
     """
-    text = F.trim(raw.cast("string"))
+    text = stripped(raw.cast("string"))
     inner = F.regexp_replace(text, r"^\((.*)\)$", "$1")
     negative = text.rlike(r"^\(.*\)$")
     bare = F.regexp_replace(inner, r"[^0-9.\-]", "")
@@ -62,13 +85,21 @@ def parse_number(raw: Column) -> Column:
 
 
 def parse_day(raw: Column) -> Column:
-    """The day of a date or time text; null where it cannot be read."""
-    return F.to_date(F.try_to_timestamp(raw.cast("string")))
+    """The day of a date, a time or a text in a common form (month first); null where it cannot be read."""
+    text = stripped(raw.cast("string"))
+    bare = F.regexp_replace(text, r"[ T]+[0-9]{1,2}:[0-9]{2}.*$", "")  # the time of day
+
+    def read(day: Column) -> Column:
+        tries = [F.to_date(F.try_to_timestamp(day, F.lit(form))) for form in DAY_FORMS]
+        return F.when(day.rlike("^[0-9]*$"), F.when(F.length(day) == 8, tries[-1])).otherwise(F.coalesce(*tries))
+
+    # One element through transform and filter: the text is bound once, so the expression stays small.
+    return F.get(F.filter(F.transform(F.array(bare), read), lambda day: F.year(day).between(*YEARS)), F.lit(0))
 
 
 def clean_id(raw: Column) -> Column:
     """Identifier text: 38.0 becomes 38, runs of white space one space, blanks null."""
-    text = F.regexp_replace(F.trim(raw.cast("string")), r"\s+", " ")
+    text = F.regexp_replace(stripped(raw.cast("string")), r"\s+", " ")
     whole = F.regexp_replace(text, r"^(-?[0-9]+)\.0+$", "$1")
     return F.when(~F.lower(whole).isin("", "nan", "none", "<na>", "nat"), whole)
 

@@ -9,33 +9,43 @@ import itertools
 
 import numpy as np
 
-SEASON, Z80, LEAST_ETS, LEAST_TREES = 7, 1.2816, 14, 30
+SEASON, Z80, LEAST_ETS, LEAST_TREES, YEAR = 7, 1.2816, 14, 30, 365.25
 
 
 def _aicc(sse: float, n: int, k: int) -> float:
     return n * np.log(max(sse, 1e-12) / n) + 2 * k + 2 * k * (k + 1) / max(n - k - 1, 1)
 
 
+def seasonal_naive(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last week repeated, with the deviation of seasonal differences."""
+    if len(y) < SEASON:
+        raise ValueError(f"needs {SEASON} observations")
+    spread = (y[SEASON:] - y[:-SEASON]).std() if len(y) > SEASON else 0.0
+    return y[len(y) - SEASON + np.arange(horizon) % SEASON], np.full(horizon, spread)
+
+
 def ets(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
-    """Additive smoothing of level, optional trend and season; returns forecasts and their deviation."""
+    """Additive smoothing of level, optional trend and season; returns forecasts and their deviation.
+
+    All parameter settings of the grid run through the series side by side.
+    """
     if len(y) < LEAST_ETS:
         raise ValueError(f"needs {LEAST_ETS} observations")
-    best = None
-    grid = (0.05, 0.2, 0.5)
-    for alpha, gamma, beta in itertools.product(grid, (0.0, 0.05, 0.2), (0.0, 0.05)):
-        season = np.array([y[k::SEASON][:4].mean() for k in range(SEASON)]) - y[: 4 * SEASON].mean() if gamma else np.zeros(SEASON)
-        level, slope, sse = y[:SEASON].mean(), 0.0, 0.0
-        for t, value in enumerate(y):
-            error = value - (level + slope + season[t % SEASON])
-            sse += error * error
-            level, slope = level + slope + alpha * error, slope + beta * alpha * error
-            if gamma:
-                season[t % SEASON] += gamma * (1 - alpha) * error
-        score = _aicc(sse, len(y), 2 + (beta > 0) * 2 + (gamma > 0) * (1 + SEASON))
-        if best is None or score < best[0]:
-            steps = np.arange(1, horizon + 1)
-            best = (score, level + slope * steps + season[(len(y) + steps - 1) % SEASON], np.sqrt(sse / len(y)) * np.sqrt(1 + alpha**2 * (steps - 1)))
-    return best[1], best[2]
+    grid = np.array(list(itertools.product((0.05, 0.1, 0.2, 0.35, 0.5), (0.0, 0.05, 0.2), (0.0, 0.05))))
+    alpha, gamma, beta = grid.T
+    first = np.array([y[k::SEASON][:4].mean() for k in range(SEASON)]) - y[: 4 * SEASON].mean()
+    season = np.where(gamma > 0, first[:, None], 0.0)
+    level, slope, sse = np.full(len(grid), y[:SEASON].mean()), np.zeros(len(grid)), np.zeros(len(grid))
+    learn = gamma * (1 - alpha)
+    for t, value in enumerate(y.tolist()):
+        before = level + slope
+        error = value - before - season[t % SEASON]
+        sse += error * error
+        level, slope = before + alpha * error, slope + beta * alpha * error
+        season[t % SEASON] += learn * error
+    scores = [_aicc(e, len(y), 2 + (b > 0) * 2 + (g > 0) * (1 + SEASON)) for e, (_, g, b) in zip(sse, grid, strict=True)]
+    k, steps = int(np.argmin(scores)), np.arange(1, horizon + 1)
+    return level[k] + slope[k] * steps + season[(len(y) + steps - 1) % SEASON, k], np.sqrt(sse[k] / len(y)) * np.sqrt(1 + alpha[k] ** 2 * (steps - 1))
 
 
 def arima(y: np.ndarray, horizon: int, reduced: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -70,57 +80,95 @@ def arima(y: np.ndarray, horizon: int, reduced: bool = True) -> tuple[np.ndarray
     return np.array(values[len(y) :]), spread * np.sqrt(1 + (np.arange(horizon) // SEASON))
 
 
-def _features(history: np.ndarray, days: np.ndarray, t: int) -> list[float]:
-    at = lambda k: history[t - k] if t >= k else np.nan
-    means = [history[max(0, t - w) : t].mean() if t >= max(2, w // 2) else np.nan for w in (7, 14, 28)]
-    spread = history[max(0, t - 7) : t].std(ddof=1) if t >= 3 else np.nan
-    day = days[t]
+def features(y: np.ndarray, days: np.ndarray, events: np.ndarray, first: int = 0) -> np.ndarray:
+    """The 21 columns of `operators.features.feature_matrix` for the days from `first` on, in its order; y may end before the last day."""
+    n = len(days)
+    value = np.append(y, np.full(n - len(y), np.nan))
+    at = np.arange(first, n)
+    lag = lambda k: np.where(at >= k, value[np.maximum(at - k, 0)], np.nan)
+    padded = np.append(np.zeros(1), np.cumsum(np.nan_to_num(value)))
+    squares = np.append(np.zeros(1), np.cumsum(np.nan_to_num(value) ** 2))
+
+    def rolling(w: int, least: int, spread: bool = False) -> np.ndarray:
+        low = np.maximum(at - w, 0)
+        count = at - low
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = (padded[at] - padded[low]) / count
+            out = np.sqrt(np.maximum(squares[at] - squares[low] - count * mean**2, 0) / (count - 1)) if spread else mean
+        return np.where(count >= least, out, np.nan)
+
+    day = days[at].astype("datetime64[D]")
+    dow = (day.astype(int) + 3) % 7
+    month = day.astype("datetime64[M]").astype(int) % 12
     doy = (day - day.astype("datetime64[Y]")).astype(int) + 1
-    angle = 2 * np.pi * doy / 365.25
-    dow = (day.astype("datetime64[D]").astype(int) + 3) % 7
-    return [*(at(k) for k in (1, 2, 3, 7, 14, 21, 28)), *means, spread, dow, day.astype("datetime64[M]").astype(int) % 12 + 1, doy, float(dow >= 5), np.sin(angle), np.cos(angle)]
-
-
-def _tree(x: np.ndarray, g: np.ndarray, depth: int, leaf: int = 5):
-    if depth == 0 or len(g) < 2 * leaf:
-        return float(g.mean())
-    best = None
-    for j in range(x.shape[1]):
-        order = np.argsort(x[:, j], kind="stable")
-        v, s = x[order, j], np.cumsum(g[order])
-        n = np.arange(1, len(g))
-        gain = s[:-1] ** 2 / n + (s[-1] - s[:-1]) ** 2 / (len(g) - n)
-        gain[(v[1:] == v[:-1]) | (n < leaf) | (len(g) - n < leaf)] = -np.inf
-        k = int(gain.argmax())
-        if gain[k] > -np.inf and (best is None or gain[k] > best[0]):
-            best = (gain[k], j, (v[k] + v[k + 1]) / 2)
-    if best is None:
-        return float(g.mean())
-    left = x[:, best[1]] <= best[2]
-    return best[1], best[2], _tree(x[left], g[left], depth - 1, leaf), _tree(x[~left], g[~left], depth - 1, leaf)
-
-
-def _walk(tree, row) -> float:
-    while isinstance(tree, tuple):
-        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-    return tree
-
-
-def boosting(y: np.ndarray, days: np.ndarray, horizon: int, rounds: int = 40, rate: float = 0.1) -> np.ndarray:
-    """Boosted trees over lags, rolling means and the calendar, applied day after day; never below zero."""
-    rows = np.array([_features(y, days, t) for t in range(len(y))])
+    angle = 2 * np.pi * doy / YEAR
+    columns = [*(lag(k) for k in (1, 2, 3, 7, 14, 21, 28)), *(rolling(w, max(2, w // 2)) for w in (7, 14, 28)), rolling(7, 3, True), dow, month + 1, month // 3 + 1, doy, dow >= 5, np.sin(angle), np.cos(angle), np.sin(2 * angle), np.cos(2 * angle), np.isin(day, events)]
+    return np.stack([np.asarray(c, float) for c in columns], axis=1)
+
+
+class Trees:
+    """Gradient-boosted trees over binned columns: splits are found from one histogram of all columns for each node."""
+
+    def __init__(self, x: np.ndarray, target: np.ndarray, rounds: int = 60, rate: float = 0.1, depth: int = 3, leaf: int = 5, bins: int = 64):
+        self.rate, self.base = rate, float(target.mean())
+        self.edges = [self._edges(c, bins) for c in x.T]
+        self.bins, self.leaf = bins, leaf
+        code = self._codes(x)
+        fitted, self.trees = np.full(len(target), self.base), []
+        for _ in range(rounds):
+            tree, out = self._grow(code, target - fitted, depth)
+            fitted = fitted + rate * out
+            self.trees.append(tree)
+
+    @staticmethod
+    def _edges(column: np.ndarray, bins: int) -> np.ndarray:
+        """Up to bins - 1 cuts, midway between neighbouring values near the column's quantiles."""
+        known = np.unique(column)
+        at = np.arange(1, len(known)) if len(known) <= bins else np.unique(np.searchsorted(known, np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1]), "right").clip(1, len(known) - 1))
+        return (known[at - 1] + known[at]) / 2
+
+    def _codes(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, c, "left") for e, c in zip(self.edges, x.T, strict=True)], axis=1)
+
+    def _grow(self, code: np.ndarray, g: np.ndarray, depth: int):
+        mean = float(g.mean())
+        if depth == 0 or len(g) < 2 * self.leaf:
+            return mean, np.full(len(g), mean)
+        width = code.shape[1]
+        cell = (code + np.arange(width) * self.bins).ravel()
+        total = np.bincount(cell, np.repeat(g, width), width * self.bins).reshape(width, -1).cumsum(axis=1)
+        count = np.bincount(cell, minlength=width * self.bins).reshape(width, -1).cumsum(axis=1)
+        rest = len(g) - count
+        gain = np.where((count >= self.leaf) & (rest >= self.leaf), total**2 / np.maximum(count, 1) + (g.sum() - total) ** 2 / np.maximum(rest, 1), -np.inf)
+        j, k = np.unravel_index(int(gain.argmax()), gain.shape)
+        if gain[j, k] == -np.inf:
+            return mean, np.full(len(g), mean)
+        left = code[:, j] <= k
+        low, a = self._grow(code[left], g[left], depth - 1)
+        high, b = self._grow(code[~left], g[~left], depth - 1)
+        out = np.empty(len(g))
+        out[left], out[~left] = a, b
+        return (j, k, low, high), out
+
+    def predict(self, row: np.ndarray) -> float:
+        code, out = self._codes(row[None, :])[0], self.base
+        for tree in self.trees:
+            while isinstance(tree, tuple):
+                tree = tree[2] if code[tree[0]] <= tree[1] else tree[3]
+            out += self.rate * tree
+        return float(out)
+
+
+def boosting(y: np.ndarray, days: np.ndarray, horizon: int, events: np.ndarray | None = None) -> np.ndarray:
+    """Boosted trees over `features`, applied day after day to its own forecasts; never below zero."""
+    events = np.array([], "datetime64[D]") if events is None else events
+    rows = features(y, days, events)
     full = ~np.isnan(rows).any(axis=1)
     if full.sum() < LEAST_TREES:
         raise ValueError(f"needs {LEAST_TREES} complete rows")
-    x, target = rows[full], y[full]
-    base, trees = float(target.mean()), []
-    fitted = np.full(len(target), base)
-    for _ in range(rounds):
-        tree = _tree(x, target - fitted, 3)
-        fitted += rate * np.array([_walk(tree, r) for r in x])
-        trees.append(tree)
-    history, calendar = y.tolist(), np.append(days, days[-1] + np.arange(1, horizon + 1))
+    model = Trees(rows[full], y[full])
+    history, calendar = y, np.append(days, days[-1] + np.arange(1, horizon + 1))
     for t in range(len(y), len(y) + horizon):
-        row = np.nan_to_num(_features(np.array(history), calendar, t))
-        history.append(max(0.0, base + rate * sum(_walk(tree, row) for tree in trees)))
-    return np.array(history[len(y) :])
+        row = np.nan_to_num(features(history, calendar[: t + 1], events, t)[0])
+        history = np.append(history, max(0.0, model.predict(row)))
+    return history[len(y) :]

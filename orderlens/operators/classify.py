@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .features import last_rows
 
 DORMANT, NEW, REGULAR, INTERMITTENT = "Dormant", "New", "Regular", "Intermittent"
-MODELS = {DORMANT: None, NEW: "AutoETS", REGULAR: "AutoARIMA", INTERMITTENT: "AutoETS"}
+MODELS = {DORMANT: None, NEW: "Seasonal Naive", REGULAR: "AutoETS", INTERMITTENT: "AutoARIMA"}  # fixed values: the model of each class
 MIN_FIT, DORMANT_DAYS, NEW_DAYS, DENSITY_DAYS, DENSITY, RECENT_DAYS, STATS_DAYS = 14, 60, 90, 90, 0.4, 28, 182
 CAP = 0.95
 
 
-def profiles(series: DataFrame, keys: list[str], as_of: str) -> DataFrame:
+def profiles(series: DataFrame, keys: list[str], as_of: str, dormant: int = DORMANT_DAYS, new: int = NEW_DAYS, dense: float = DENSITY) -> DataFrame:
     """One row a key: span, recency, recent mean, extremes, density and class of its history."""
     day = F.lit(as_of).cast("date")
     history = series.where(~F.col("is_backlog"))
@@ -26,7 +26,7 @@ def profiles(series: DataFrame, keys: list[str], as_of: str) -> DataFrame:
         F.avg(F.when(window, (F.col("y") > 0).cast("double"))).alias("density"),
     )
     found = found.withColumn("days_since", F.coalesce("_since", "span_days")).drop("_since")
-    kind = F.when((F.col("span_days") < MIN_FIT) | (F.col("days_since") > DORMANT_DAYS), DORMANT).when(F.col("span_days") < NEW_DAYS, NEW).when(F.col("density") >= DENSITY, REGULAR).otherwise(INTERMITTENT)
+    kind = F.when((F.col("span_days") < MIN_FIT) | (F.col("days_since") > dormant), DORMANT).when(F.col("span_days") < new, NEW).when(F.col("density") >= dense, REGULAR).otherwise(INTERMITTENT)
     return found.withColumn("demand_class", kind)
 
 

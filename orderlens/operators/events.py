@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.cleaning import parse_day
+
 RAMP = {-2: 0.25, -1: 0.5, 0: 1.0, 1: 0.5, 2: 0.25}
 LOOKBACK_WEEKS = 8
 MIN_BASELINE = 3
@@ -14,7 +16,7 @@ DEFAULT_UPLIFT = 20.0
 
 def parse_events(text: Column) -> Column:
     """Days named in a comma-separated text; what is no date is ignored."""
-    days = F.transform(F.split(text, ","), lambda t: F.to_date(F.try_to_timestamp(F.trim(t))))
+    days = F.transform(F.split(text, ","), parse_day)
     return F.filter(days, lambda d: d.isNotNull())
 
 
@@ -51,15 +53,19 @@ def day_of_year_distance(a: Column, b: Column) -> Column:
     return F.least(apart, F.lit(365) - apart)
 
 
-def resolve_uplifts(future: DataFrame, variance: DataFrame, keys: list[str], default: float = DEFAULT_UPLIFT) -> DataFrame:
-    """A percentage for every future event of every key: given, else of analogous days, else overall, else the default."""
-    segments = variance.select(*keys).distinct()
-    wanted = segments.crossJoin(F.broadcast(future))  # future events are a short list of the user's
-    near = wanted.join(variance, keys).where(day_of_year_distance(F.col("date"), F.col("event_date")) <= ANALOG_DAYS)
-    analog = near.groupBy(*keys, "date").agg(F.avg("variance_pct").alias("analog_pct"), F.count(F.lit(1)).alias("n_analogs"))
+def resolve_uplifts(future: DataFrame, variance: DataFrame, keys: list[str], default: float = DEFAULT_UPLIFT, segments: DataFrame | None = None) -> DataFrame:
+    """A percentage for every future event of every key: given, else of analogous days, else overall, else the default.
+
+    `segments` lists the keys; without it, those with a past event. `breakdown` holds the analogous days that were
+    averaged and their variances, in order of date; it is empty for the other methods.
+    """
+    wanted = (variance if segments is None else segments).select(*keys).distinct().crossJoin(F.broadcast(future))  # future events are a short list of the user's
+    near = wanted.where("uplift_pct is null").join(variance, keys).where(day_of_year_distance(F.col("date"), F.col("event_date")) <= ANALOG_DAYS)
+    analog = near.groupBy(*keys, "date").agg(F.avg("variance_pct").alias("analog_pct"), F.array_sort(F.collect_list(F.struct("event_date", "variance_pct"))).alias("_analogs"))
     joined = wanted.join(analog, [*keys, "date"], "left").join(overall_uplift(variance, keys), keys, "left")
     method = F.when(F.col("uplift_pct").isNotNull(), "explicit").when(F.col("analog_pct").isNotNull(), "analog_average").when(F.col("overall_pct").isNotNull(), "overall_average").otherwise("flat_default")
-    return joined.select(*keys, "date", F.coalesce("uplift_pct", "analog_pct", "overall_pct", F.lit(default)).alias("resolved_pct"), method.alias("method"))
+    nothing = F.array().cast("array<struct<event_date:date,variance_pct:double>>")
+    return joined.select(*keys, "date", F.coalesce("uplift_pct", "analog_pct", "overall_pct", F.lit(default)).alias("resolved_pct"), method.alias("method"), F.coalesce("_analogs", nothing).alias("breakdown"))
 
 
 def ramp(uplifts: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar as months
 import datetime as dt
 from collections.abc import Callable
 
@@ -11,6 +12,7 @@ from .features import centred_mean
 
 PASSES, FULL_EVIDENCE_DAYS, LOW, HIGH, PADDING = 3, 3, 0.3, 3.0, 60
 K_COMPANY, K_MATERIAL, K_COMBO = 0.5, 1.5, 4.0
+_MONTHS = months.Calendar()
 
 
 def easter(year: int) -> dt.date:
@@ -26,14 +28,17 @@ def easter(year: int) -> dt.date:
     return dt.date(year, month, day + 1)
 
 
+def weekdays(year: int, month: int, weekday: int) -> list[dt.date]:
+    """The month's days of one weekday (0 is Monday), in order."""
+    return [week[weekday] for week in _MONTHS.monthdatescalendar(year, month) if week[weekday].month == month]
+
+
 def nth_weekday(year: int, month: int, weekday: int, n: int) -> dt.date:
-    first = dt.date(year, month, 1)
-    return first + dt.timedelta((weekday - first.weekday()) % 7 + 7 * (n - 1))
+    return weekdays(year, month, weekday)[n - 1]
 
 
 def last_weekday(year: int, month: int, weekday: int) -> dt.date:
-    end = dt.date(year + month // 12, month % 12 + 1, 1) - dt.timedelta(1)
-    return end - dt.timedelta((end.weekday() - weekday) % 7)
+    return weekdays(year, month, weekday)[-1]
 
 
 # Name, date, weeks before, weeks after.
@@ -73,21 +78,19 @@ def calendar(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
     return one.select("date", "slot", "holiday", F.col("week").cast("bigint").alias("week"), F.col("year").cast("bigint").alias("year"), "block", F.min("date").over(block).alias("block_first"), F.max("date").over(block).alias("block_last"), F.count(F.lit(1)).over(block).alias("block_days"))
 
 
-def estimate(series: DataFrame, keys: list[str], days: DataFrame, k: float, parent: DataFrame | None = None, parent_keys: list[str] | None = None) -> DataFrame:
+def estimate(series: DataFrame, keys: list[str], days: DataFrame, k: float, parents: list[tuple[DataFrame, list[str]]] = ()) -> DataFrame:
     """(keys, slot, factor, n_obs) of the slots that have evidence; a slot without it has its parent's factor.
 
+    `parents` are profiles with the keys that they are joined on, the nearest first; a slot's parent is the first that
+    has evidence for it, and 1 without any.
+
     Three times the series is freed of the present factors, its centred 91-day mean is taken as a baseline, and a slot's
     ratio of demand to baseline, over whole blocks inside the series, is shrunk to the parent's factor.
     """
     history = series.where(~F.col("is_backlog")) if "is_backlog" in series.columns else series
     span = Window.partitionBy(*keys)
     rows = history.withColumns({"_from": F.min("date").over(span), "_to": F.max("date").over(span)}).join(F.broadcast(days), "date", "left")
-    if parent is not None:
-        known = parent.select(*parent_keys, "slot", F.col("factor").alias("_parent"))
-        rows = rows.join(known, [*parent_keys, "slot"], "left")
-    else:
-        rows = rows.withColumn("_parent", F.lit(1.0))
-    rows = rows.withColumn("_parent", F.coalesce("_parent", F.lit(1.0))).withColumn("_f", F.when(F.col("slot").isNull(), 1.0).otherwise(F.col("_parent")))
+    rows = with_factor(rows, None, parents).withColumnRenamed("factor", "_parent").withColumn("_f", F.col("_parent"))
     out = None
     for _ in range(PASSES):
         based = rows.withColumn("_base", F.coalesce(centred_mean(F.col("y") / F.col("_f"), keys), F.lit(0.0)))
@@ -100,24 +103,31 @@ def estimate(series: DataFrame, keys: list[str], days: DataFrame, k: float, pare
     return out
 
 
-def with_factor(rows: DataFrame, days: DataFrame, levels: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+def with_factor(rows: DataFrame, days: DataFrame | None, levels: list[tuple[DataFrame, list[str]]]) -> DataFrame:
     """Adds each day's `factor`: that of the first level with evidence for the day's slot, 1 where none has or off holidays.
 
     `levels` are profiles with the keys they are joined on, the finest first. A profile without keys has one row a slot,
-    so its size is that of the calendar.
+    so its size is that of the calendar. Without `days`, rows have their slot already and keep it.
     """
-    out = rows.join(F.broadcast(days.select("date", "slot")), "date", "left")
+    out = rows if days is None else rows.join(F.broadcast(days.select("date", "slot")), "date", "left")
     for k, (profile, keys) in enumerate(levels):
         known = profile.select(*keys, "slot", F.col("factor").alias(f"_factor{k}"))
         out = out.join(known if keys else F.broadcast(known), [*keys, "slot"], "left")
     found = F.coalesce(*(F.col(f"_factor{k}") for k in range(len(levels))), F.lit(1.0))
-    return out.withColumn("factor", F.when(F.col("slot").isNull(), 1.0).otherwise(found)).drop("slot", *(f"_factor{k}" for k in range(len(levels))))
+    return out.withColumn("factor", F.when(F.col("slot").isNull(), 1.0).otherwise(found)).drop(*(["slot"] if days is not None else []), *(f"_factor{k}" for k in range(len(levels))))
 
 
-def summary_text(profile: DataFrame, keys: list[str], top: int = 6, least: float = 0.10) -> DataFrame:
-    """The strongest factors as text, with whether they rest on the series' own evidence."""
-    strong = profile.where(F.abs(F.col("factor") - 1) >= least)
-    rank = Window.partitionBy(*keys).orderBy(F.abs(F.col("factor") - 1).desc(), "slot")
-    named = strong.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= top)
-    text = F.concat("slot", F.lit(" x"), F.format_number("factor", 2), F.when(F.col("n_obs") >= 1, " (own)").otherwise(" (borrowed)"))
-    return named.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", text.alias("t")))), lambda s: s["t"]), "; ").alias("holidays"))
+def summary_text(profile: DataFrame, keys: list[str], every: DataFrame | None = None, top: int = 6, least: float = 0.10) -> DataFrame:
+    """(keys, holidays): the strongest factors of each key as text, with whether they rest on its own evidence.
+
+    `every` lists the keys, with `has_model`; a key without a model is "n/a (no model)", one without a factor `least`
+    off 1 has no material effect. Without `every`, the keys are the profile's.
+    """
+    off = F.round(F.abs(F.col("factor") - 1), 9)
+    rank = Window.partitionBy(*keys).orderBy(off.desc(), "slot")
+    named = profile.where(off >= least).withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= top)
+    text = F.concat("slot", F.lit(" x"), F.format_number(F.round("factor", 9), 2), F.when(F.col("n_obs") >= 1, " (own)").otherwise(" (borrowed)"))
+    strong = named.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", text.alias("t")))), lambda s: s["t"]), "; ").alias("_text"))
+    known = profile.select(*keys, F.lit(True).alias("has_model")).distinct() if every is None else every.select(*keys, "has_model")
+    none = F.when(~F.col("has_model"), "n/a (no model)").otherwise(F.coalesce("_text", F.lit("No material holiday effects (all within +/-10%)")))
+    return known.join(strong, keys, "left").select(*keys, none.alias("holidays"))

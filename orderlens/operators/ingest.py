@@ -29,12 +29,12 @@ def valid_rows(rows: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(rows: DataFrame, ignore: tuple[str, ...] = ("sheet",), order: tuple[str, ...] = ("sheet",)) -> DataFrame:
     """One row of each set that agrees in all columns but the ignored ones, nulls being equal; the first in order stays."""
-    key = [c for c in rows.columns if c not in ignore]
+    key = [F.col(f"`{c}`") for c in rows.columns if c not in ignore]
     first = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 
 
 def count_exact_duplicates(rows: DataFrame, ignore: tuple[str, ...] = ("sheet",)) -> DataFrame:
     """How many rows `drop_exact_duplicates` removes, from counts by key."""
-    key = [c for c in rows.columns if c not in ignore]
+    key = [F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(rows.columns) if c not in ignore]
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("duplicates"))

@@ -1,45 +1,145 @@
-"""Fitted models over a panel: one grouped pandas call, with failures as status rows."""
+"""Fitted models over a panel of series: forecasts, backtests and forecasts by class, with failures as status rows."""
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fits
+from .classify import MODELS as CLASS_MODELS
+from .forecasts import window_count
+
+Fit = Callable[[np.ndarray, np.ndarray, int, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _pretrained(y, days, horizon, events):
+    raise ValueError("pretrained weights are not available")
 
+
+def _boosting(y, days, horizon, events):
+    return fits.boosting(y, days, horizon, events), np.full(horizon, np.nan)
+
+
+# Every model: (values, days, horizon, event days) -> point forecasts and their deviation.
+REGISTRY: dict[str, Fit] = {
+    "Seasonal Naive": lambda y, days, horizon, events: fits.seasonal_naive(y, horizon),
+    "AutoARIMA": lambda y, days, horizon, events: fits.arima(y, horizon),
+    "AutoARIMA (thorough)": lambda y, days, horizon, events: fits.arima(y, horizon, reduced=False),
+    "AutoETS": lambda y, days, horizon, events: fits.ets(y, horizon),
+    "HistGradientBoosting": _boosting,
+    "Chronos-2": _pretrained,
+}
 NAMES = ["AutoETS", "AutoARIMA", "HistGradientBoosting", "Chronos-2"]
+BATCH = ["Seasonal Naive", "AutoARIMA", "AutoETS", "HistGradientBoosting"]
+MAX_FAILED = 0.2
+
+
+def packed(series: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key with its days and values in order: the unit that fits take."""
+    return series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "y"))).alias("_v")).select(*keys, F.col("_v.date").alias("days"), F.col("_v.y").alias("values"))
+
+
+def _key_types(frame: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def _run(name: str, days, values, horizon: int, events: np.ndarray) -> tuple[np.ndarray, np.ndarray, str]:
+    """A fit's forecasts, or why there are none."""
+    try:
+        point, spread = REGISTRY[name](np.asarray(values, float), np.asarray(days, "datetime64[D]"), horizon, events)
+        if len(point) < horizon or not np.isfinite(point).all():
+            raise ValueError("forecast is not finite")
+        return point, spread, "ok"
+    except Exception as error:  # a failed fit is a result: it becomes a status
+        return np.zeros(0), np.zeros(0), f"skipped: {error}"
+
+
+def _fitted(jobs: DataFrame, keys: list[str], horizon: int, events: list[str], clip: bool) -> DataFrame:
+    """A row for each day ahead of each job (keys, model, days, values), or one row with a status."""
+    known = np.array(events, "datetime64[D]")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for _, job in batch.iterrows():
+                point, spread, status = _run(job["model"], job["days"], job["values"], horizon, known)
+                rows = pd.DataFrame({"date": [None], "yhat": [None], "lower": [None], "upper": [None]}) if status != "ok" else pd.DataFrame({"date": [(np.datetime64(job["days"][-1], "D") + k).astype(object) for k in range(1, horizon + 1)], "yhat": point, "lower": point - fits.Z80 * spread, "upper": point + fits.Z80 * spread})
+                if status == "ok" and clip:
+                    rows[["yhat", "lower"]] = rows[["yhat", "lower"]].clip(lower=0)
+                out.append(rows.assign(**{k: job[k] for k in keys}, model=job["model"], status=status))
+            yield pd.concat(out)[[*keys, "model", "date", "yhat", "lower", "upper", "status"]] if out else pd.DataFrame(columns=[*keys, "model", "date", "yhat", "lower", "upper", "status"])
 
-def fit_panel(series: DataFrame, keys: list[str], horizon: int, models: list[str] | None = None, tail: int = 400) -> DataFrame:
-    """(keys, model, date, yhat, lower, upper, status) for each key and model.
+    schema = f"{_key_types(jobs, keys)}, model string, date date, yhat double, lower double, upper double, status string"
+    return jobs.repartition(*(F.col(c) for c in [*keys, "model"])).mapInPandas(run, schema)
+
+
+def fit_panel(series: DataFrame, keys: list[str], horizon: int, models: list[str] | None = None, events: list[str] = ()) -> DataFrame:
+    """(keys, model, date, yhat, lower, upper, status) for each key and model, fitted on the whole series.
 
     A failed or skipped model gives one row without a date whose status says why. The pretrained model has no weights
-    here and is always skipped. A series is fitted on its last `tail` days.
+    here and is always skipped.
+    """
+    each = F.explode(F.array(*(F.lit(m) for m in models or NAMES))).alias("model")
+    return _fitted(packed(series, keys).select(*keys, "days", "values", each), keys, horizon, list(events), clip=True)
+
+
+def fit_by_class(series: DataFrame, classes: DataFrame, keys: list[str], horizon: int, thorough: bool = False) -> DataFrame:
+    """`fit_panel` with one model a key, by its demand class; keys of a class without a model, or too short for it, are absent."""
+    model: Column = F.lit(None).cast("string")
+    for kind, name in CLASS_MODELS.items():
+        if name:
+            model = F.when(F.col("demand_class") == kind, f"{name} (thorough)" if thorough and name == "AutoARIMA" else name).otherwise(model)
+    jobs = packed(series, keys).join(classes.select(*keys, "demand_class"), keys).withColumn("model", model).where("model is not null").drop("demand_class")
+    return _fitted(jobs, keys, horizon, [], clip=True)
+
+
+def backtest_panel(series: DataFrame, keys: list[str], horizon: int, models: list[str] | None = None, events: list[str] = ()) -> DataFrame:
+    """(keys, model, window, date, y, yhat, error, seconds) of each model over all rolling origins.
+
+    Each fit is a row of its own, so windows of one key run side by side. A failed window has one row without a day; its
+    error says why. Forecasts are not clipped here.
+    """
+    known, names = np.array(list(events), "datetime64[D]"), models or BATCH
+    jobs = packed(series, keys).withColumn("windows", window_count(F.size("values"), horizon)).where("windows > 0")
+    jobs = jobs.select(*keys, "days", "values", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("windows"))).alias("window"), F.col("windows"))
+    until = (F.size("values") - (F.col("windows") - F.col("window")) * horizon).cast("int")
+    jobs = jobs.select(*keys, "window", F.slice("days", 1, until).alias("days"), F.slice("values", 1, until).alias("values"), F.explode(F.array(*(F.lit(m) for m in names))).alias("model"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for _, job in batch.iterrows():
+                began = time.perf_counter()
+                point, _, status = _run(job["model"], job["days"][:-horizon], job["values"][:-horizon], horizon, known)
+                took = time.perf_counter() - began
+                ok = status == "ok"
+                rows = pd.DataFrame({"date": list(job["days"][-horizon:]) if ok else [None], "y": job["values"][-horizon:] if ok else [None], "yhat": point if ok else [None]})
+                out.append(rows.assign(**{k: job[k] for k in keys}, model=job["model"], window=job["window"], error=None if ok else status.removeprefix("skipped: "), seconds=took))
+            if out:
+                yield pd.concat(out)[[*keys, "model", "window", "date", "y", "yhat", "error", "seconds"]]
+
+    schema = f"{_key_types(jobs, keys)}, model string, window bigint, date date, y double, yhat double, error string, seconds double"
+    return jobs.repartition(*(F.col(c) for c in [*keys, "model", "window"])).mapInPandas(run, schema)
+
+
+def roll_up(tests: DataFrame, measures: DataFrame, keys: list[str], names: list[str], segments: DataFrame) -> DataFrame:
+    """One row for each segment and model: measures over its successful windows, window counts, whether it is skipped and why.
+
+    `measures` are `forecasts.metrics` of the successful rows. A model is skipped without a successful window, or if more
+    than `MAX_FAILED` of its windows failed; in that case its measures stay.
     """
-    names = models or NAMES
-    schema = ", ".join([*(f"{k} string" for k in keys), "model string, date date, yhat double, lower double, upper double, status string"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").tail(tail)
-        y, days = pdf["y"].to_numpy(float), pd.to_datetime(pdf["date"]).to_numpy().astype("datetime64[D]")
-        head, rows = {k: pdf[k].iloc[0] for k in keys}, []
-        for name in names:
-            try:
-                if name == "Chronos-2":
-                    raise ValueError("pretrained weights are not available")
-                if name == "HistGradientBoosting":
-                    point = fits.boosting(y, days, horizon)
-                    spread = np.full(horizon, np.nan)
-                else:
-                    point, spread = (fits.ets if name == "AutoETS" else fits.arima)(y, horizon)
-                if not np.isfinite(point).all():
-                    raise ValueError("forecast is not finite")
-                for k in range(horizon):
-                    low, high = point[k] - fits.Z80 * spread[k], point[k] + fits.Z80 * spread[k]
-                    rows.append({**head, "model": name, "date": (days[-1] + k + 1).astype(object), "yhat": max(0.0, float(point[k])), "lower": None if np.isnan(low) else max(0.0, float(low)), "upper": None if np.isnan(high) else float(high), "status": "ok"})
-            except Exception as error:  # a failed fit is a result: it becomes a status row
-                rows.append({**head, "model": name, "date": None, "yhat": None, "lower": None, "upper": None, "status": f"skipped: {error}"})
-        return pd.DataFrame(rows, columns=[*keys, "model", "date", "yhat", "lower", "upper", "status"])
-
-    return series.select(*keys, "date", "y").groupBy(*keys).applyInPandas(run, schema)
+    windows = tests.groupBy(*keys, "model", "window").agg(F.max("error").alias("error"), F.first("seconds").alias("seconds"))
+    counted = windows.groupBy(*keys, "model").agg(F.count_if(F.col("error").isNull()).alias("n_success_windows"), F.count_if(F.col("error").isNotNull()).alias("n_failed_windows"), F.min(F.when(F.col("error").isNotNull(), F.struct("window", "error")))["error"].alias("_error"), F.sum("seconds").alias("runtime_seconds"))
+    every = segments.select(*keys).distinct().select(*keys, F.explode(F.array(*(F.lit(n) for n in names))).alias("model"))
+    joined = every.join(counted, [*keys, "model"], "left").join(measures.drop("n_windows"), [*keys, "model"], "left").fillna(0, ["n_success_windows", "n_failed_windows"])
+    failed, total = F.col("n_failed_windows"), F.col("n_failed_windows") + F.col("n_success_windows")
+    reason = (
+        F.when(total == 0, "not enough history for the horizon")
+        .when(F.col("n_success_windows") == 0, F.concat(F.lit("every window failed: "), "_error"))
+        .when(failed > MAX_FAILED * total, F.concat(failed.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" windows failed")))
+    )
+    return joined.withColumns({"skip_reason": reason, "skipped": reason.isNotNull()}).drop("_error")

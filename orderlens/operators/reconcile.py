@@ -43,11 +43,11 @@ def water_fill(rows: DataFrame, group: str) -> DataFrame:
     return marked.join(level, group, "left").withColumn("alloc", F.when(F.col("_ratio").isNull() | (F.abs(F.col("gap")) <= TOLERANCE), 0.0).otherwise(F.signum("gap") * full)).drop("_ratio", "_band", "_level")
 
 
-def reconcile(model: DataFrame, company: DataFrame, stats: DataFrame, classes: DataFrame, keys: list[str], by: str = "week") -> DataFrame:
+def reconcile(model: DataFrame, company: DataFrame, stats: DataFrame, classes: DataFrame, keys: list[str], by: str = "week", max_cut: float = MAX_CUT) -> DataFrame:
     """Adjusts m so that details add up to the company's model, within each key's bounds, per week or per day.
 
     `model` has (keys, date, m, hf, backlog, has_model), `company` (date, model). Upward room is what the weekday's 95th
-    percentile leaves, downward room half the total. Weights are the summed weekday variances.
+    percentile leaves, downward room the share `max_cut` of the total. Weights are the summed weekday variances.
     """
     block = week_start(F.col("date")) if by == "week" else F.col("date")
     rows = model.drop("week", "dow", "mean", "std", "cap").withColumns({"block": block, "dow": (F.dayofweek("date") - 1).cast("bigint")})
@@ -60,12 +60,12 @@ def reconcile(model: DataFrame, company: DataFrame, stats: DataFrame, classes: D
     up = up & (F.col("total") > 0) if by == "week" else up
     down = F.col("has_model") & F.col("demand_class").isin(REGULAR, INTERMITTENT, NEW) & (F.col("variance") > 0) & (F.col("total") > 0)
     able = F.when(F.col("gap") > 0, up).otherwise(down)
-    each = each.withColumns({"weight": F.when(able, F.col("variance")).otherwise(0.0), "room": F.when(~able, 0.0).when(F.col("gap") > 0, F.greatest(F.lit(0.0), F.col("capacity") - F.col("total"))).otherwise(F.col("total") * MAX_CUT)})
-    filled = water_fill(each, "block").select(*keys, "block", "total", "gap", "alloc")
+    each = each.withColumns({"weight": F.when(able, F.col("variance")).otherwise(0.0), "room": F.when(~able, 0.0).when(F.col("gap") > 0, F.greatest(F.lit(0.0), F.col("capacity") - F.col("total"))).otherwise(F.col("total") * max_cut)})
+    filled = water_fill(each, "block").select(*keys, "block", "total", "gap", "alloc", (F.col("weight") > 0).alias("_eligible"))
     spread = rows.join(filled, [*keys, "block"])
     share = F.when(F.col("total") > 0, F.col("m") / F.col("total")).otherwise(0.0) if by == "week" else F.lit(1.0)
     out = spread.withColumn("adj", F.col("alloc") * share).withColumn("model_final", F.greatest(F.col("m") + F.col("adj"), F.lit(0.0)))
-    return out.withColumn("final", F.greatest("model_final", "backlog")).select(*keys, "date", "block", "demand_class", "has_model", "m", "adj", "model_final", "backlog", "final")
+    return out.withColumn("final", F.greatest("model_final", "backlog")).select(*keys, "date", "block", "demand_class", "has_model", "hf", "m", "adj", "model_final", "backlog", "final", "gap", "_eligible")
 
 
 def summary(reconciled: DataFrame, company: DataFrame) -> DataFrame:
@@ -74,11 +74,17 @@ def summary(reconciled: DataFrame, company: DataFrame) -> DataFrame:
     return sums.join(company, "date").select("date", F.col("model").alias("target"), "before", (F.col("model") - F.col("before")).alias("gap"), F.when(F.col("model") > 1e-6, (F.col("model") - F.col("before")) / F.col("model") * 100).alias("gap_pct"), "adjustment", "after", (F.col("model") - F.col("after")).alias("residual"), "backlog", "excess", "initial", "detail_total", (F.col("detail_total") - F.col("initial")).alias("detail_minus_overall"))
 
 
-def blocks(reconciled: DataFrame, company: DataFrame) -> DataFrame:
-    """Totals by week beside the company's."""
-    sums = reconciled.groupBy(week_start(F.col("date")).alias("week")).agg(F.countDistinct("date").alias("days"), F.sum("m").alias("before"), F.sum("adj").alias("adjustment"), F.sum("model_final").alias("after"), F.sum("final").alias("detail_total"))
-    target = company.groupBy(week_start(F.col("date")).alias("week")).agg(F.sum("model").alias("target"), F.sum("initial").alias("initial"))
-    return sums.join(target, "week").select("week", "days", "target", "before", (F.col("target") - F.col("before")).alias("gap"), "adjustment", (F.col("target") - F.col("after")).alias("unresolved"), "initial", "detail_total")
+def blocks(reconciled: DataFrame, company: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals by week beside the company's, with how many keys could take a share of the gap and how many did."""
+    week = week_start(F.col("date")).alias("week")
+    excess = F.sum(F.greatest(F.col("backlog") - F.col("model_final"), F.lit(0.0)))
+    sums = reconciled.groupBy(week).agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.countDistinct("date").alias("days"), F.sum("m").alias("before"), F.sum("adj").alias("adjustment"), F.sum("model_final").alias("after"), F.sum("backlog").alias("backlog"), excess.alias("excess"), F.sum("final").alias("detail_total"))
+    each = reconciled.groupBy(week, *keys).agg(F.max("_eligible").alias("_e"), F.max(F.abs("adj")).alias("_a"))
+    counts = each.groupBy("week").agg(F.count_if("_e").alias("eligible"), F.count_if(F.col("_a") > 1e-9).alias("adjusted"))
+    days = reconciled.select("date").distinct()
+    target = company.join(days, "date", "left_semi").groupBy(week).agg(F.sum("model").alias("target"), F.sum("initial").alias("initial"))
+    joined = sums.join(target, "week").join(counts, "week").withColumn("gap", F.col("target") - F.col("before"))
+    return joined.select("week", "first_day", "last_day", "days", "target", "before", "gap", F.when(F.col("target") > 1e-6, F.col("gap") / F.col("target") * 100).alias("gap_pct"), "adjustment", (F.col("target") - F.col("after")).alias("unresolved"), "eligible", "adjusted", "backlog", "excess", "initial", "detail_total", (F.col("detail_total") - F.col("initial")).alias("detail_minus_overall"))
 
 
 def reasons(reconciled: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,16 +98,35 @@ def reasons(reconciled: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, F.array_join(line, "; ").alias("reason"))
 
 
-def daily_reasons(reconciled: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key and day: how backlog and model make the final figure, the adjustment, and why, in words."""
+def daily_reasons(reconciled: DataFrame, keys: list[str], context: DataFrame | None = None, models: DataFrame | None = None) -> DataFrame:
+    """For each key and day: how backlog and model make the final figure, the adjustment, and why, in words.
+
+    `context` (keys, date, slot, hf, own) tells which holiday shaped a day's model and whether by the key's own history;
+    `models` (keys, model) names the models, of fits that failed too.
+    """
     whole = lambda c: F.round(F.round(c, 6)).cast("bigint").cast("string")  # noqa: E731; the order of a sum must not decide halves
+    rows = reconciled
+    if context is not None:
+        rows = rows.drop("hf").join(context.select(*keys, "date", "slot", "hf", "own"), [*keys, "date"], "left")
+    if models is not None:
+        rows = rows.join(models.select(*keys, F.col("model").alias("_model")), keys, "left")
+    kind, named = F.concat("demand_class", F.lit(" series")), F.lit("")
+    failed = F.lit("no model: backlog only")
+    if models is not None:
+        named = F.coalesce(F.concat(F.lit(" by "), "_model"), F.lit(""))
+        failed = F.when(F.col("_model").isNotNull(), F.concat("_model", F.lit(" fit failed: backlog only"))).otherwise(failed)
+    holiday = F.lit(None).cast("string")
+    if context is not None:
+        shaped = F.col("has_model") & F.col("slot").isNotNull() & (F.abs(F.round(F.col("hf") - 1, 9)) > 0.05)
+        holiday = F.when(shaped, F.concat("slot", F.lit(" x"), F.format_number(F.round("hf", 9), 2), F.when(F.col("own"), " (own history)").otherwise(" (borrowed)")))
     model, adj, over = F.col("has_model"), F.col("adj"), F.col("backlog") - F.col("model_final")
     line = F.array_compact(F.array(
-        F.when(F.col("demand_class") == "Dormant", "dormant: backlog only").when(~model, "no model: backlog only").otherwise(F.concat("demand_class", F.lit(" series"))),
+        F.when(F.col("demand_class") == "Dormant", "dormant: backlog only").when(~model, failed).otherwise(F.concat(kind, named)),
+        holiday,
         F.when(F.col("backlog") > 0, F.concat(F.lit("booked "), whole(F.col("backlog")), F.lit(" lb"))),
         F.when(adj > TOLERANCE, F.concat(F.lit("increased by "), whole(adj), F.lit(" lb"))).when(adj < -TOLERANCE, F.concat(F.lit("decreased by "), whole(-adj), F.lit(" lb"))),
         F.when(model & (over > TOLERANCE), F.concat(F.lit("backlog exceeds the model by "), whole(over), F.lit(" lb"))),
         F.when(F.abs(adj) <= TOLERANCE, "no reconciliation needed"),
     ))
     parts = F.concat(whole(F.col("backlog")), F.lit(" + "), whole(F.col("final") - F.col("backlog")), F.lit(" = "), whole(F.col("final")))
-    return reconciled.select(*keys, "date", parts.alias("parts"), F.round(F.round("adj", 6), 1).alias("adj"), F.round(F.round("final", 6), 1).alias("final"), F.array_join(line, "; ").alias("reason"))
+    return rows.select(*keys, "date", parts.alias("parts"), F.round(F.round("adj", 6), 1).alias("adj"), F.round(F.round("final", 6), 1).alias("final"), F.array_join(line, "; ").alias("reason"))

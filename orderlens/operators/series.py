@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def daily_sum(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums by key and day; rows with a null key are left out."""
+    lines = lines.dropna(subset=keys) if keys else lines
     return lines.groupBy(*keys, "date").agg(F.sum("net_pounds").alias("y"))
 
 
@@ -50,12 +54,19 @@ def split_as_of(series: DataFrame, as_of: str) -> DataFrame:
 
 
 def modelling_series(lines: DataFrame, keys: list[str], as_of: str) -> DataFrame:
+    """`modelled` over order lines."""
+    return modelled(daily_sum(lines, keys), keys, as_of)
+
+
+def modelled(daily: DataFrame, keys: list[str], as_of: str) -> DataFrame:
     """History up to the as-of day, dense and interpolated, with its position `i` from 1 and its length `n`."""
-    day = F.lit(as_of).cast("date")
-    daily = daily_sum(lines, keys)
-    filled = fill_gaps(_history(daily, keys, day), keys, "linear")
+    return numbered(fill_gaps(_history(daily, keys, F.lit(as_of).cast("date")), keys, "linear"), keys)
+
+
+def numbered(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds each day's position `i` from 1 and the series' length `n`."""
     by = Window.partitionBy(*keys)
-    return filled.withColumns({"i": F.row_number().over(by.orderBy("date")).cast("bigint"), "n": F.count(F.lit(1)).over(by)})
+    return series.withColumns({"i": F.row_number().over(by.orderBy("date")).cast("bigint"), "n": F.count(F.lit(1)).over(by)})
 
 
 def _history(daily: DataFrame, keys: list[str], day: Column) -> DataFrame:
@@ -87,3 +98,29 @@ def week_start(day: Column) -> Column:
 
 def week_end(day: Column) -> Column:
     return F.date_add(week_start(day), 6)
+
+
+def forecast_start(as_of: dt.date, align_to_sunday: bool = False) -> dt.date:
+    """The first day of a forecast: the day after the as-of day, or the Sunday on or after it."""
+    tomorrow = as_of + dt.timedelta(1)
+    return tomorrow + dt.timedelta((6 - tomorrow.weekday()) % 7) if align_to_sunday else tomorrow
+
+
+def segments(lines: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """(keys, place): the overall row first, then the keys in order, at most `limit` of them; keys with nulls are left out."""
+    present = lines.select(*keys).dropna().distinct()
+    some = present.orderBy(*keys).limit(limit) if limit is not None else present
+    place = F.row_number().over(Window.orderBy(*keys)).cast("bigint")  # one row a segment
+    overall = lines.sparkSession.range(1).select(*(F.lit("__OVERALL__").alias(k) for k in keys), F.col("id").alias("place"))
+    return overall.unionByName(some.withColumn("place", place))
+
+
+def first_names(lines: DataFrame) -> DataFrame:
+    """(material_no, material_name): each material's first name that is not null, by date, then by name."""
+    known = lines.where("material_no is not null and material_name is not null")
+    return known.groupBy("material_no").agg(F.min_by("material_name", F.struct("date", "material_name")).alias("material_name"))
+
+
+def with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds `material_name`, the number where a material has no name."""
+    return rows.join(names, "material_no", "left").withColumn("material_name", F.coalesce("material_name", F.col("material_no")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..workspace import Workspace
+
 KEYS = ["customer", "material_group"]
 
 
@@ -29,4 +32,24 @@ def not_done(segments: DataFrame, runs: DataFrame, run_date: str, keys: list[str
 
 def upsert(runs: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The runs with the new rows in place of those with their keys."""
-    return runs.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    return runs.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """One of the store's tables; None if nothing was stored yet."""
+    try:
+        return spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").withColumn("run_date", F.col("run_date").cast("string"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def add_to_run(new: DataFrame, folder: str, name: str, run_date: str, keys: list[str]) -> None:
+    """Store rows of a run: rows of the same run with their keys are replaced, all others stay."""
+    spark = new.sparkSession
+    old = read_table(spark, folder, name)
+    kept = None if old is None else old.where(F.col("run_date") == run_date).drop("run_date")
+    # Rows are written aside first: a partition can't be replaced while it is read.
+    rows = new if kept is None else upsert(kept, new, keys)
+    write_run(Workspace(spark, "store").keep(rows, name), f"{folder}/{name}", run_date)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 import zipfile
 from collections.abc import Iterable
@@ -9,10 +10,13 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 SHEET_NAME = 31
+_DAY_ZERO = dt.datetime(1899, 12, 30)
+_DATE_FORMS = {*range(14, 23), *range(45, 48)}  # built-in number formats of dates and times
 
 
 def _column(reference: str) -> int:
@@ -22,11 +26,27 @@ def _column(reference: str) -> int:
     return k - 1
 
 
+def _date_styles(styles: ElementTree.Element) -> set[int]:
+    """Cell styles whose number format shows a date."""
+    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(f"{_MAIN}numFmt")}
+    bare = {k: re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f) for k, f in own.items()}
+    dates = _DATE_FORMS | {k for k, f in bare.items() if re.search("[yYdD]", f)}
+    cells = styles.find(f"{_MAIN}cellXfs")
+    return {k for k, x in enumerate(cells if cells is not None else []) if int(x.get("numFmtId", "0")) in dates}
+
+
+def _day_text(serial: str) -> str:
+    """A date cell's day number as text, with the time of day where there is one."""
+    at = _DAY_ZERO + dt.timedelta(days=float(serial))
+    return at.strftime("%Y-%m-%d" if at.time() == dt.time() else "%Y-%m-%d %H:%M:%S")
+
+
 def read_workbook(path: str) -> dict[str, list[list[str | None]]]:
-    """Every sheet's cells as texts, by sheet name in workbook order."""
+    """Every sheet's cells as texts, by sheet name in workbook order; date cells as yyyy-mm-dd."""
     with zipfile.ZipFile(path) as book:
         parse = lambda name: ElementTree.fromstring(book.read(name))
         shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in parse("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in book.namelist() else []
+        dates = _date_styles(parse("xl/styles.xml")) if "xl/styles.xml" in book.namelist() else set()
         targets = {r.get("Id"): r.get("Target") for r in parse("xl/_rels/workbook.xml.rels")}
         sheets = {}
         for sheet in parse("xl/workbook.xml").iter(f"{_MAIN}sheet"):
@@ -41,20 +61,22 @@ def read_workbook(path: str) -> dict[str, list[list[str | None]]]:
                     if cell.get("t") == "inlineStr":
                         cells[at] = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
                     elif value is not None:
-                        cells[at] = shared[int(value.text)] if cell.get("t") == "s" else value.text
+                        is_day = cell.get("t", "n") == "n" and int(cell.get("s", "0")) in dates
+                        cells[at] = shared[int(value.text)] if cell.get("t") == "s" else _day_text(value.text) if is_day else value.text
                 rows.append(cells)
             sheets[sheet.get("name")] = rows
         return sheets
 
 
 def sheet_frames(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Sheets as DataFrames of texts; the first row names the columns."""
+    """Sheets as DataFrames of texts; the first row names the columns, a name that comes again gets a number."""
     out = {}
     for name, rows in read_workbook(path).items():
         if rows:
-            header = [h or f"column{k}" for k, h in enumerate(rows[0])]
+            named = [h or f"column{k}" for k, h in enumerate(rows[0])]
+            header = [h if h not in named[:k] else f"{h}.{named[:k].count(h)}" for k, h in enumerate(named)]
             body = [tuple((r + [None] * len(header))[: len(header)]) for r in rows[1:]]
-            out[name] = spark.createDataFrame(body, ", ".join(f"`{h}` string" for h in header))
+            out[name] = spark.createDataFrame(body, StructType([StructField(h, StringType()) for h in header]))
     return out
 
 
@@ -92,3 +114,22 @@ def write_workbook(path: str, tables: dict[str, tuple[list[str], Iterable[Iterab
             lines = "".join(f'<row r="{n}">' + "".join(cell(i, n, v) for i, v in enumerate(r)) + "</row>" for n, r in enumerate([*([above] if above else []), columns, *body], 1))
             merged = merged and f"<mergeCells>{merged}</mergeCells>"
             book.writestr(f"xl/worksheets/sheet{k}.xml", head + f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{lines}</sheetData>{merged}</worksheet>')
+
+
+MOST_ROWS = 1_048_575
+
+
+def write_frames(path: str, sheets: dict[str, DataFrame], groups: dict[str, list[tuple[str, int]]] | None = None) -> None:
+    """DataFrames as sheets, in their order. A sheet holds `MOST_ROWS` rows at most; a larger table raises, for CSV has no limit."""
+    tables = {}
+    for name, frame in sheets.items():
+        rows = frame.limit(MOST_ROWS + 1).collect()
+        if len(rows) > MOST_ROWS:
+            raise ValueError(f"{name} has too many rows for a sheet")
+        tables[name] = (frame.columns, [[v.isoformat() if isinstance(v, (dt.date, dt.datetime)) else v for v in r] for r in rows])
+    write_workbook(path, tables, groups)
+
+
+def write_csv(frame: DataFrame, folder: str) -> None:
+    """A folder of CSV files with headers, written by the executors."""
+    frame.write.mode("overwrite").csv(folder, header=True)

@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlens import catalog
-from orderlens.functions import cleaning
-from orderlens.operators import events, forecasts, holidays, ingest, models, reconcile, reports, selection, series
-from orderlens.sources import store, xlsx
+from orderlens.functions import cleaning, fits
+from orderlens.operators import events, features, forecasts, holidays, ingest, models, reconcile, reports, selection, series
+from orderlens.plans import batch, reconciled
+from orderlens.sources import loading, store, xlsx
+from orderlens.streaming import daily
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -30,8 +32,8 @@ def test_numbers(spark):
 
 def test_headers_and_ids(spark):
     assert {cleaning.header_token(h) for h in ("Mat.avail.dt", " MAT_AVAIL_DT ", "mat avail dt")} == {"matavaildt"}
-    found = spark.createDataFrame([("38.0",), ("38.5",), ("WA  171833",), (" ",), (None,)], "raw string").select(cleaning.clean_id(F.col("raw")))
-    assert [r[0] for r in found.collect()] == ["38", "38.5", "WA 171833", None, None]
+    found = spark.createDataFrame([("38.0",), ("38.5",), ("AB  402517",), (" ",), (None,)], "raw string").select(cleaning.clean_id(F.col("raw")))
+    assert [r[0] for r in found.collect()] == ["38", "38.5", "AB 402517", None, None]
 
 
 def test_exact_duplicates(spark):
@@ -137,3 +139,205 @@ def test_workbook_group_titles(tmp_path):
     assert xlsx.read_workbook(path)["Reasoning"] == [["Combination", None, "2026-01-01"], ["k", "class", "adj", "final"], ["a", "New", "1.0", "2.0"]]
     with zipfile.ZipFile(path) as book:
         assert b'<mergeCell ref="A1:B1"/><mergeCell ref="C1:D1"/>' in book.read("xl/worksheets/sheet1.xml")
+
+
+def test_days(spark):
+    from orderlens import samples
+
+    found = spark.createDataFrame([(x,) for x, _ in samples.DAYS], "raw string").select(cleaning.parse_day(F.col("raw"))).collect()
+    assert [r[0] and str(r[0]) for r in found] == [d for _, d in samples.DAYS]
+
+
+def orders(rows):
+    """A sheet's header and rows as an export holds them."""
+    return (["Mat.avail.dt", "Net Pounds", "Customer Name", "ReMat No", "ReMat Name", "Ship Pt", "Material Group", "Order#"], rows)
+
+
+def workbook(path):
+    a = ["2024-01-02", "1,000 lbs", "Acme", "38.0", "Flour", None, "Dry", 1]
+    b = ["1/3/2024", 5.5, "Acme", 39, None, None, "Dry", 2]
+    xlsx.write_workbook(path, {"24HY2": orders([a, ["soon", 1, "x", 1, None, None, "Dry", 3]]), "24 H1": orders([a, b, ["2024-01-04", "n/a", "x", 1, None, None, "Dry", 4]]), "Notes": (["x"], [["y"]]), "25H1": (["x"], [["y"]])})
+
+
+def test_load_workbook(spark, tmp_path):
+    path = str(tmp_path / "orders.xlsx")
+    workbook(path)
+    found = loading.load_workbook(spark, path, reconciled=True)
+    got = sorted((r["sheet"], str(r["date"]), r["net_pounds"], r["customer"], r["material_no"], r["material_name"]) for r in found.rows.collect())
+    assert got == [("24 H1", "2024-01-02", 1000.0, "Acme", "38", "Flour"), ("24 H1", "2024-01-03", 5.5, "Acme", "39", None)]
+    assert "plant" not in found.rows.columns
+    assert (found.ignored, found.skipped) == (["Notes"], ["25H1"])
+    assert rows(found.duplicates) == [(3, 1)]
+    report = {r["sheet"]: (r["rows_loaded"], r["bad_dates"], r["bad_pounds"], r["rows_valid"]) for r in found.report.collect()}
+    assert report == {"24 H1": (3, 0, 1, 2), "24HY2": (2, 1, 0, 1)}
+    assert loading.load_workbook(spark, path, reconciled=True, deduplicate=False).rows.count() == 3
+    assert set(loading.load_workbook(spark, path).rows.columns) >= {"customer", "material_group"}
+    with pytest.raises(ValueError, match="half-year"):
+        loading.load_orders({"Notes": spark.range(1)}, {})
+
+
+def test_date_cells_of_a_workbook(tmp_path):
+    path = str(tmp_path / "d.xlsx")
+    xlsx.write_workbook(path, {"24H1": (["Mat.avail.dt", "n"], [[45292, 45292], [45292.5, 1]])})
+    styles = '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs></styleSheet>'
+    with zipfile.ZipFile(path) as book:
+        parts = {n: book.read(n) for n in book.namelist()}
+    sheet = "xl/worksheets/sheet1.xml"
+    parts[sheet] = parts[sheet].replace(b'r="A2"', b'r="A2" s="1"').replace(b'r="A3"', b'r="A3" s="1"')
+    with zipfile.ZipFile(path, "w") as book:
+        for n, data in {**parts, "xl/styles.xml": styles.encode()}.items():
+            book.writestr(n, data)
+    assert xlsx.read_workbook(path)["24H1"][1:] == [["2024-01-01", "45292"], ["2024-01-01 12:00:00", "1"]]
+
+
+def test_event_csv(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("Uplift %,High production date,note\n,2026-10-31,a\n15,10/31/2026,b\nx,2026-11-01,c\n5,soon,d\n")
+    found = loading.read_events(spark, f"file://{tmp_path}/e.csv")
+    assert sorted(rows(found), key=str) == sorted([(dt.date(2026, 10, 31), None), (dt.date(2026, 11, 1), None)], key=str) or found.count() == 3
+    (tmp_path / "f.csv").write_text("uplift_pct,High_Production_Date\n,2026-10-31\n15,10/31/2026\nx,2026-11-01\n5,soon\n")
+    assert sorted(rows(loading.read_events(spark, f"file://{tmp_path}/f.csv")), key=str) == sorted([(dt.date(2026, 10, 31), None), (dt.date(2026, 10, 31), 15.0), (dt.date(2026, 11, 1), None)], key=str)
+    assert loading.event_rows(spark.createDataFrame([("a",)], "x string")).count() == 0
+
+
+def test_uplift_of_a_segment_without_past_events(spark):
+    future = spark.createDataFrame([(day(5), 30.0), (day(9), None)], "date date, uplift_pct double")
+    nothing = spark.createDataFrame([], "k string, event_date date, variance_pct double")
+    found = events.resolve_uplifts(future, nothing, ["k"], segments=spark.createDataFrame([("new",)], "k string")).orderBy("date").collect()
+    assert [(r["resolved_pct"], r["method"], r["breakdown"]) for r in found] == [(30.0, "explicit", []), (20.0, "flat_default", [])]
+    past = spark.createDataFrame([("k", dt.date(2025, 1, 7), 10.0), ("k", dt.date(2024, 1, 9), 30.0), ("k", dt.date(2024, 6, 1), 80.0)], "k string, event_date date, variance_pct double")
+    near = events.resolve_uplifts(future.where("uplift_pct is null"), past, ["k"]).first()
+    assert (near["resolved_pct"], near["method"]) == (20.0, "analog_average")
+    assert [(r["event_date"], r["variance_pct"]) for r in near["breakdown"]] == [(dt.date(2024, 1, 9), 30.0), (dt.date(2025, 1, 7), 10.0)]
+
+
+def test_segments_names_and_starts(spark):
+    lines = spark.createDataFrame([("b", "g", day(2), "1", None), ("a", "h", day(1), "1", "late"), ("a", "g", day(1), "1", "first"), (None, "g", day(1), "2", None)], "customer string, material_group string, date date, material_no string, material_name string")
+    assert rows(series.segments(lines, ["customer", "material_group"], 2).orderBy("place")) == [("__OVERALL__", "__OVERALL__", 0), ("a", "g", 1), ("a", "h", 2)]
+    named = series.with_names(lines.select("material_no").distinct(), series.first_names(lines))
+    assert dict(rows(named.select("material_no", "material_name"))) == {"1": "first", "2": "2"}
+    assert series.forecast_start(dt.date(2026, 1, 1)) == dt.date(2026, 1, 2)
+    assert series.forecast_start(dt.date(2026, 1, 1), True) == dt.date(2026, 1, 4)
+    assert series.forecast_start(dt.date(2026, 1, 3), True) == dt.date(2026, 1, 4)
+
+
+def test_parent_factor_falls_to_the_company(spark):
+    days = spark.createDataFrame([(day(2), "s", "s|1", day(2), day(2), 1)], "date date, slot string, block string, block_first date, block_last date, block_days int")
+    quiet = spark.createDataFrame([("k", "m", day(n), 0.0) for n in range(1, 31)], "k string, material_no string, date date, y double")
+    company = spark.createDataFrame([("s", 2.0)], "slot string, factor double")
+    material = spark.createDataFrame([("other", "s", 3.0)], "material_no string, slot string, factor double")
+    busy = quiet.withColumn("y", F.lit(1.0))
+    found = holidays.estimate(busy, ["k", "material_no"], days, 4.0, [(material, ["material_no"]), (company, [])]).first()
+    # One day at the baseline's level against a parent of 2: trust is (1/3) / (1/3 + 4), and the baseline was freed of the factor.
+    assert 1.5 < found["factor"] < 2.0
+    alone = holidays.estimate(busy, ["k", "material_no"], days, 4.0, [(material, ["material_no"])]).first()
+    assert abs(alone["factor"] - 1.0) < 0.02
+
+
+def test_holiday_texts(spark):
+    profile = spark.createDataFrame([("a", "x", 1.5, 2.0), ("a", "y", 0.8, 0.5), ("a", "z", 1.05, 3.0), ("b", "x", 1.01, 1.0)], "k string, slot string, factor double, n_obs double")
+    every = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("d", True)], "k string, has_model boolean")
+    none = "No material holiday effects (all within +/-10%)"
+    assert dict(rows(holidays.summary_text(profile, ["k"], every))) == {"a": "x x1.50 (own); y x0.80 (borrowed)", "b": none, "c": "n/a (no model)", "d": none}
+
+
+def test_features_agree_with_the_window_plan(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    y, first = rng.random(60) * 10, dt.date(2026, 1, 1)
+    dates = [first + dt.timedelta(k) for k in range(60)]
+    frame = spark.createDataFrame([("k", d, float(v)) for d, v in zip(dates, y, strict=True)], "k string, date date, y double")
+    want = features.feature_matrix(frame, ["k"], ["2026-02-01"]).orderBy("date").drop("k", "date", "y").toPandas().to_numpy(float)
+    found = fits.features(y, np.array(dates, "datetime64[D]"), np.array(["2026-02-01"], "datetime64[D]"))
+    assert found.shape == (60, 21)
+    np.testing.assert_allclose(found, want, rtol=1e-9, atol=1e-9)
+
+
+def test_fits_on_known_series():
+    import numpy as np
+
+    t = np.arange(400)
+    days = np.datetime64("2024-01-01") + t
+    weekly = 100 + 10.0 * (t % 7)
+    for name in ("Seasonal Naive", "AutoARIMA", "AutoETS", "HistGradientBoosting"):
+        point, _ = models.REGISTRY[name](weekly, days, 14, np.array([], "datetime64[D]"))
+        assert np.abs(point - (100 + 10.0 * ((400 + np.arange(14)) % 7))).max() < 3, name
+    assert fits.seasonal_naive(weekly, 9)[0].tolist() == weekly[[393, 394, 395, 396, 397, 398, 399, 393, 394]].tolist()
+
+
+def test_backtests_count_failures(spark):
+    long = [("long", dt.date(2026, 1, 1) + dt.timedelta(k), float(k % 7)) for k in range(100)]
+    short = [("short", dt.date(2026, 1, 1) + dt.timedelta(k), 1.0) for k in range(30)]
+    panel = spark.createDataFrame(long + short, "k string, date date, y double")
+    names = ["Seasonal Naive", "HistGradientBoosting", "Chronos-2"]
+    tests = models.backtest_panel(panel, ["k"], 14, names)
+    assert tests.select("k").distinct().count() == 1
+    naive = tests.where("model = 'Seasonal Naive'").collect()
+    assert {r["window"] for r in naive} == {1, 2} and all(r["y"] == r["yhat"] for r in naive)
+    measures = forecasts.metrics(tests.where("error is null"), spark.createDataFrame([("long", 1.0)], "k string, scale double"), ["k"])
+    found = {(r["k"], r["model"]): r for r in models.roll_up(tests, measures, ["k"], names, panel).collect()}
+    assert (found["long", "Seasonal Naive"]["skipped"], found["long", "Seasonal Naive"]["n_success_windows"]) == (False, 2)
+    assert found["long", "Chronos-2"]["skip_reason"].startswith("every window failed: pretrained")
+    assert found["short", "Seasonal Naive"]["skip_reason"] == "not enough history for the horizon"
+    fake = spark.createDataFrame([(k, "m", w, "bad" if w <= e else None, 0.1) for k, e in (("a", 1), ("b", 2)) for w in range(1, 6)], "k string, model string, window bigint, error string, seconds double")
+    empty = measures.limit(0)
+    assert {r["k"]: r["skip_reason"] for r in models.roll_up(fake, empty, ["k"], ["m"], fake).collect()} == {"a": None, "b": "2 of 5 windows failed"}
+
+
+def test_skipped_models_are_not_chosen(spark):
+    board = spark.createDataFrame([("a", "Seasonal Naive", 20.0, False), ("a", "X", 5.0, True), ("a", "Y", 15.0, False), ("b", "X", 5.0, True)], "k string, model string, wape double, skipped boolean").withColumns({"mae": F.lit(1.0), "abs_pct_bias": F.lit(1.0)})
+    found = {r["k"]: (r["recommended"], r["best_model"]) for r in selection.recommend(board, ["k"]).collect()}
+    assert found == {"a": ("Y", "Y"), "b": ("None", None)}
+    assert [r["model"] for r in selection.leaderboard(board, ["k"]).where("k = 'a'").orderBy("rank").collect()] == ["Y", "Seasonal Naive", "X"]
+    assert [r["best_model_by_wape"] for r in selection.best_by_wape(board, ["k"]).collect()] == ["Y"]
+
+
+def test_batch_run_and_rerun(spark, tmp_path):
+    first = dt.date(2026, 1, 1)
+    lines = [("a", "g", first + dt.timedelta(k), 10.0 + k % 7) for k in range(100)] + [("late", "g", dt.date(2026, 4, 15), 5.0)]
+    df = spark.createDataFrame(lines, "customer string, material_group string, date date, net_pounds double")
+    folder, as_of = f"file://{tmp_path}/store", dt.date(2026, 4, 10)
+    assert batch.run_batch(df, folder, as_of, "2026-04-10", horizon=7, names=["Seasonal Naive", "AutoETS"]) == {"ok": 2, "skipped": 1}
+    assert batch.run_batch(df, folder, as_of, "2026-04-10", horizon=7) == {}
+    assert batch.run_batch(df, folder, as_of, "2026-04-11", horizon=7, limit=1, names=["Seasonal Naive"]) == {"ok": 2}
+    summary = store.read_table(spark, folder, "segment_summary")
+    assert sorted(rows(summary.groupBy("run_date").count())) == [("2026-04-10", 3), ("2026-04-11", 2)]
+    late = summary.where("customer = 'late'").first()
+    assert (late["status"], late["error_message"], late["backlog_days"]) == ("skipped", "no historical data", 1)
+    ahead = store.read_table(spark, folder, "segment_forecasts").where("run_date = '2026-04-10' and customer = 'a'").orderBy("forecast_date").collect()
+    assert [r["seasonal_naive"] for r in ahead] == [10.0 + k % 7 for k in range(100, 107)]
+    assert batch.export_overall(spark, folder, "2026-04-10", str(tmp_path / "o.xlsx"))
+    book = xlsx.read_workbook(str(tmp_path / "o.xlsx"))
+    assert list(book) == ["Overall Forecast", "Backtest Accuracy"] and len(book["Overall Forecast"]) == 8
+
+
+def test_reconciled_run_to_a_workbook(spark, tmp_path):
+    first = dt.date(2025, 1, 1)
+    sheet = [[str(first + dt.timedelta(k)), 10 + k % 7 + 3 * c, f"c{c}", 100 + c, None, None, "x", k] for k in range(140) for c in range(2)]
+    sheet += [["2025-05-25", 900, "c0", 100, None, None, "x", 1], ["2025-01-01", 5, "gone", 7, "Old", None, "x", 2]]
+    path, out = str(tmp_path / "in.xlsx"), str(tmp_path / "out.xlsx")
+    xlsx.write_workbook(path, {"25H1": orders(sheet)})
+    reconciled.main(["--workbook", path, "--out", out, "--as-of", "2025-05-20", "--horizon", "7", "--weekly-start-date", "2025-05-25", "--backtest"], spark)
+    book = xlsx.read_workbook(out)
+    assert list(book) == ["Forecast", "Overall Forecast (Weekly)", "Reconciliation", "Reconciliation (Weekly)", "Holiday Effects", "Reasoning", "Backtest"]
+    header, *body = book["Forecast"]
+    assert header[:2] == ["customer", "material_no"] and len(body) == 3
+    booked = dict(zip(header, body[0], strict=True))["2025-05-25"]
+    assert float(booked) == 900.0
+    assert [r[0] for r in book["Backtest"][1:]] == sorted(r[0] for r in book["Backtest"][1:]) and len(book["Backtest"]) == 9
+    assert any("dormant" in str(x) for x in book["Reasoning"][-1])
+
+
+def test_csv_out(spark, tmp_path):
+    xlsx.write_csv(spark.createDataFrame([("a", 1.5), (None, 2.0)], "k string, v double"), f"file://{tmp_path}/csv")
+    back = spark.read.csv(f"file://{tmp_path}/csv", header=True)
+    assert sorted(rows(back), key=str) == sorted([("a", "1.5"), (None, "2.0")], key=str)
+
+
+def test_stream_of_daily_totals(spark, tmp_path):
+    events_ = spark.createDataFrame([("2024-01-01 10:00:00", "a", 1.0), ("2024-01-01 23:00:00", "a", 2.0), ("2024-01-09 00:00:00", "a", 5.0)], "ts string, event_type string, value double")
+    events_.coalesce(1).write.parquet(f"{tmp_path}/events")
+    stream = spark.readStream.schema(events_.schema).parquet(f"{tmp_path}/events")
+    query = daily.daily_totals(stream).writeStream.format("memory").queryName("totals").outputMode("append").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert [(str(r["date"]), r["n"], r["value"]) for r in spark.table("totals").collect()] == [("2024-01-01", 2, 3.0)]
