@@ -1,18 +1,25 @@
-"""Removal of long repeated word spans, by minimizer runs in place of a compacted De Bruijn graph of the corpus.
-
-No graph is built. Each window of `WINDOW` words is named by the least-hashed k-mer (`ANCHOR` words) in it; consecutive
-windows that share this k-mer at one place form a path of at most WINDOW - ANCHOR + 1
-windows, and only paths travel:
-
-1. k-mers that name a single path in the corpus are dropped: their windows occur once.
-2. Paths are grouped by (k-mer, hash of all their words). A path found twice is repeated as a whole.
-3. Where a k-mer also names a path found once, paths may overlap in part. One representative of each of its distinct
-   paths is opened into windows, these are counted over the corpus, and each path gets a bit mask of repeated windows.
-4. Source coordinates (document, first word, length, mask) go back to the documents, which drop the covered words.
-
-Equal windows have equal least k-mers at equal places, so no repeat is lost; a window is matched by two independent
-64-bit hashes. No group is gathered: counts are partial sums, and the joins that carry occurrences have both sides
-freshly dealt, so adaptive execution splits hot keys.
+"""Removal of long repeated word spans by compaction of a De Bruijn graph of the corpus.
+
+Edges of the graph are the windows of `WINDOW` words, nodes the spans of WINDOW - 1 words between two of them. A path of
+edges that does not branch is compacted:
+
+1. inside a text, first: consecutive windows that share their least-hashed span of `ANCHOR` words at one place form a
+   run, and runs stand for their edges from here on. Equal windows have equal least spans at equal places.
+2. Least spans that name a single run in the corpus are dropped: their windows occur once.
+3. Runs are counted by (least span, hash of all their words), with the runs before and after them in every text. A run
+   found twice is repeated as a whole. Its out-degree is one if all its occurrences are followed by one and the same run,
+   its in-degree is one if all are preceded by one and the same.
+4. Where a run's only successor has it as its only predecessor, the two join. Chains of such links compact by pointer
+   doubling joins into unbranched paths, which are named by their first run; each occurrence of that run begins an
+   occurrence of the whole path.
+5. Where a least span also names a run found once, runs may overlap in part. One representative of each of its distinct
+   runs is opened into windows, these are counted over the corpus, and each run gets a bit mask of repeated windows.
+6. Source coordinates (document, first word, windows, mask) of paths and of masked runs go back to the documents, which
+   drop the covered words.
+
+No repeat is lost; a window is matched by two independent 64-bit hashes, and words are not compared once more. No group
+is gathered: counts and degrees are partial aggregates, and the joins that carry occurrences have both sides freshly
+dealt, so adaptive execution splits hot keys.
 
 Defined cases: a null text has no words; a text shorter than a window keeps all words; a repeated row repeats all its
 windows; rows may share an id; a row without an id is kept; other columns never take part.
@@ -83,10 +90,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, "text"):
         paths = Paths(Words(piece.column("text")))
-        take = pa.array(paths.doc)
+        take, name = pa.array(paths.doc), signed(paths.keys()) if len(paths.start) else np.zeros(0, np.int64)
+        same = paths.doc[1:] == paths.doc[:-1]
+        after, before = np.append(np.where(same, name[1:], 0), 0)[: len(name)], np.append(0, np.where(same, name[:-1], 0))[: len(name)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(signed(paths.anchor.astype(np.uint64))), pa.array(signed(paths.keys()) if len(paths.start) else np.zeros(0, np.int64)), piece.column("_id").take(take), piece.column("_text").take(take), pa.array((paths.start - paths.words.first[paths.doc]).astype(np.int32)), pa.array(paths.length.astype(np.int8))],
-            names=["anchor", "path", "_id", "_text", "start", "length"],
+            [pa.array(signed(paths.anchor.astype(np.uint64))), pa.array(name), piece.column("_id").take(take), piece.column("_text").take(take), pa.array((paths.start - paths.words.first[paths.doc]).astype(np.int32)), pa.array(paths.length.astype(np.int8)), pa.array(before), pa.array(after)],
+            names=["anchor", "path", "_id", "_text", "start", "length", "before", "after"],
         )
 
 
@@ -114,8 +123,12 @@ def _covered(words: Words, marks: pa.ListArray, window: int = WINDOW) -> np.ndar
     if not len(flat):
         return np.zeros(words.n, bool)
     start = flat.field("start").to_numpy().astype(np.int64) + words.first[doc]
-    mask = flat.field("mask").to_numpy().astype(np.int64)
+    mask, windows = flat.field("mask").to_numpy().astype(np.int64), flat.field("windows").to_numpy()
     edges = np.zeros(words.n + 1, np.int64)
+    whole = windows > 0
+    np.add.at(edges, start[whole], 1)
+    np.add.at(edges, (start + windows + window - 1)[whole], -1)
+    start, mask = start[~whole], mask[~whole]
     for bit in range(WINDOW - ANCHOR + 1):
         hit = start[(mask >> bit) & 1 == 1] + bit
         np.add.at(edges, hit, 1)
@@ -148,26 +161,55 @@ def _cut(digest: bool):
     return run
 
 
+def unbranched_paths(kinds: DataFrame, scratch: Scratch) -> DataFrame:
+    """(anchor, path, windows) of the first run of each unbranched path of repeated runs, and the path's windows.
+
+    A link joins run and successor where out-degree and in-degree are one. Every chain ends, as the last run of a text has
+    no successor; each round doubles how far a run's pointer reaches back, and the windows that lie in between.
+    """
+    runs = kinds.where("n > 1").select("anchor", "path", "length", *(F.when(F.col(f"{x}_low") == F.col(f"{x}_high"), F.col(f"{x}_low")).alias(x) for x in ("before", "after")))
+    runs = scratch.write(runs, "runs")
+    first = runs.where("after <> 0").select(F.col("path").alias("back"), F.col("after").alias("path"), F.col("length").cast("bigint").alias("far"))
+    pointers = scratch.write(runs.where("before <> 0").select("path", F.col("before").alias("back")).join(first, ["path", "back"]).distinct(), "pointers-0")
+    step = 0
+    while True:
+        further = pointers.toDF("back", "_back", "_far")
+        jumped = pointers.join(further, "back", "left").select("path", F.coalesce("_back", "back").alias("back"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), F.col("_back").isNotNull().alias("moved"))
+        step += 1
+        jumped = scratch.write(jumped, f"pointers-{step}")
+        scratch.drop(f"pointers-{step - 1}")
+        pointers = jumped.select("path", "back", "far")
+        if jumped.where("moved").isEmpty():
+            break
+    reach = runs.join(pointers, "path", "left").select(F.coalesce("back", "path").alias("path"), (F.coalesce("far", F.lit(0)) + F.col("length")).alias("windows"))
+    totals = reach.groupBy("path").agg(F.max("windows").cast("int").alias("windows"))
+    return runs.join(pointers.select("path"), "path", "left_anti").select("anchor", "path").join(totals, "path")
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Coordinates of repeated windows: (_id, _text, marks), marks being an array of (start, mask of window starts)."""
+    """Coordinates of repeated windows: (_id, _text, marks), marks being an array of (start, windows, mask of window starts).
+
+    A mark with windows > 0 covers that many windows from its start; one with 0 those of its mask.
+    """
     text = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64("text").alias("_text"), "text").where("text is not null")
     named = text.select("text").mapInArrow(_counts, "anchor bigint, n bigint")
     twice = scratch.write(named.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
-    found = text.mapInArrow(_occurrences, "anchor bigint, path bigint, _id bigint, _text bigint, start int, length tinyint")
+    found = text.mapInArrow(_occurrences, "anchor bigint, path bigint, _id bigint, _text bigint, start int, length tinyint, before bigint, after bigint")
     paths = scratch.write(found.join(twice, "anchor", "left_semi"), "paths")
-    kinds = scratch.write(paths.groupBy("anchor", "path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_text", "start", "length")).alias("at")), "kinds")
+    ends = [f(x).alias(f"{x}_{n}") for x in ("before", "after") for n, f in (("low", F.min), ("high", F.max))]
+    kinds = scratch.write(paths.groupBy("anchor", "path").agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("length"), F.min(F.struct("_id", "_text", "start", "length")).alias("at"), *ends), "kinds")
     branching = scratch.write(kinds.where("n = 1").select("anchor").distinct(), "branching")
     listed = kinds.join(branching, "anchor", "left_semi").select("at.*", "anchor", "path", "n")
     listed = listed.groupBy("_id", "_text").agg(F.collect_list(F.struct("start", "length", "anchor", "path", "n")).alias("paths"))
     opened = text.join(listed, ["_id", "_text"]).dropDuplicates(["_id", "_text"]).select("text", "paths").mapInArrow(_open, "anchor bigint, path bigint, offset tinyint, window bigint, n bigint")
     windows = scratch.write(opened, "windows")
     again = scratch.write(windows.groupBy("anchor", "window").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "window"), "again")
-    partly = windows.join(again, ["anchor", "window"], "left_semi").groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, cast(offset as int))")).alias("mask"))
-    whole = kinds.where("n > 1").select("anchor", "path", F.lit(2 ** (WINDOW - ANCHOR + 1) - 1).cast("bigint").alias("mask"))
-    masks = scratch.write(whole.unionByName(partly).groupBy("anchor", "path").agg(F.bit_or("mask").alias("mask")), "masks")
-    marks = paths.join(masks, ["anchor", "path"]).select("_id", "_text", "start", F.expr("mask & (shiftleft(1L, cast(length as int)) - 1)").alias("mask"))
-    marks = scratch.write(marks.where("mask <> 0").groupBy("_id", "_text").agg(F.collect_set(F.struct("start", "mask")).alias("marks")), "marks")
-    scratch.drop("anchors", "paths", "kinds", "branching", "windows", "again", "masks")
+    partly = windows.where("n = 1").join(again, ["anchor", "window"], "left_semi").groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, cast(offset as int))")).alias("mask"))
+    whole = unbranched_paths(kinds, scratch).select("anchor", "path", "windows", F.lit(0).cast("bigint").alias("mask"))
+    spans = scratch.write(whole.unionByName(partly.withColumn("windows", F.lit(0))), "spans")
+    marks = paths.select("anchor", "path", "_id", "_text", "start").join(spans, ["anchor", "path"]).groupBy("_id", "_text").agg(F.collect_set(F.struct("start", "windows", "mask")).alias("marks"))
+    marks = scratch.write(marks, "marks")
+    scratch.drop("anchors", "paths", "kinds", "branching", "windows", "again", "runs", "spans")
     return marks
 
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlens.llm import chat_format, fingerprints, ngram_join, packing, quality_classifier, quality_rules, queries, rans_output, source_mixing, substring_dedup, url_filters
+from orderlens.llm.scratch import Scratch
 from orderlens.llm.token_ids import Encoder
 from orderlens.llm.words import Words, mix
 
@@ -151,6 +152,40 @@ def test_substring_dedup(spark, docs, empty):
     assert substring_dedup.repeated_word_counts(empty).count() == 0
 
 
+def test_repeated_runs_compact_to_unbranched_paths(spark):
+    """A passage shared as a whole is one path; where copies go on differently, the path ends."""
+    rng = random.Random(11)
+    word = lambda k: " ".join(f"{''.join(rng.choice('abcdefgh') for _ in range(6))}" for _ in range(k))
+    passage, fork, tails = word(300), word(200), [word(80) for _ in range(6)]
+    texts = [f"{tails[0]} {passage} {tails[1]}", f"{tails[2]} {passage} {tails[3]}", f"{fork} {tails[4]}", f"{fork} {tails[4]}", f"{fork} {tails[5]}"]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    marks = {r["_id"]: r["marks"] for r in substring_dedup.repeated_spans(df, Scratch(spark, "test")).collect()}
+    whole = {i: sorted((m["start"], m["windows"]) for m in found if m["windows"]) for i, found in marks.items()}
+    runs = [(w.start, w.length) for w in (substring_dedup.Paths(Words(pa.array([t]))) for t in texts)]
+    assert len(runs[0][0]) > 15
+    # One path for the passage's inner runs, at the passage's place in both texts.
+    assert len(whole[0]) == len(whole[1]) == 1
+    assert 80 <= whole[0][0][0] < 80 + 30 and whole[0][0][1] > 300 - 34 - 60
+    # The copies of document 2 are one path to the fork and one behind it, document 4 has the first.
+    assert len(whole[2]) == len(whole[3]) == 2 and len(whole[4]) == 1
+    assert whole[2][0] == whole[4][0] and whole[2][1][0] == whole[2][0][0] + whole[2][0][1]
+
+
+def test_substring_dedup_on_overlapping_texts(spark):
+    """Few sentences in random order: runs overlap in part, repeat inside a text, and branch everywhere; odd columns pass."""
+    rng = random.Random(12)
+    sentences = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(8, 30))) for _ in range(12)]
+    texts = [" ".join(rng.choice(sentences) for _ in range(rng.randint(1, 12))) for _ in range(60)] + [None, "", sentences[0] * 1]
+    texts += [" ".join([sentences[1]] * 40)]
+    rows = [(i if i % 7 else None, t, i, 1, 2) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, `my-col x` int, _row int, marks int")
+    left = words_left_by_force(texts)
+    kept = substring_dedup.remove_repeated_spans(df)
+    assert kept.columns == df.columns
+    assert {r["my-col x"]: WORD.findall(r["text"] or "") for r in kept.collect()} == dict(enumerate(left))
+    assert substring_dedup.remove_repeated_spans(df.limit(0)).count() == 0
+
+
 def test_quality_rules(spark, docs, empty):
     found = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
     for i, text, *_ in corpus():
