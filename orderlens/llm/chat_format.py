@@ -114,19 +114,21 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = np.bincount(number, minlength=len(formatted)) if len(key) else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([get("conv_id").take(pa.array(np.flatnonzero(new))), pa.array(turns.astype(np.int64)), formatted.cast(pa.string()), spans], names=["conv_id", "n_turns", "formatted", "loss"])
 
-    held: pa.Table | None = None
+    held: list[pa.RecordBatch] = []  # slices of the conversation that is still open
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        if not held.num_rows:
+        if not batch.num_rows:
             continue
-        key = pc.fill_null(held.column("conv_id"), -(2**63)).to_numpy()
+        key = pc.fill_null(batch.column(batch.schema.get_field_index("conv_id")), -(2**63)).to_numpy(zero_copy_only=False)
+        if held and pc.fill_null(held[-1].column(0).slice(held[-1].num_rows - 1), -(2**63))[0].as_py() != key[0]:
+            yield done(pa.Table.from_batches(held))
+            held = []
         last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
         if last:
-            yield done(held.slice(0, last))
-            held = held.slice(last)
-    if held is not None and held.num_rows:
-        yield done(held)
+            yield done(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield done(pa.Table.from_batches(held))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:

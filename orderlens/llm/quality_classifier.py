@@ -77,7 +77,7 @@ def _scores(weights, column: str = "text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, column):
             doc, bucket = grams(Words(piece.column(column), lower=True))
-            score = np.bincount(doc, weights=weights.value[bucket], minlength=piece.num_rows)
+            score = np.bincount(doc, weights=weights.value[bucket], minlength=piece.num_rows).astype(float)  # of no grams it would be whole numbers
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in piece.schema.names if c != column), pa.array(score)], names=[*(c for c in piece.schema.names if c != column), "log_weight"])
 
     return run
