@@ -536,3 +536,75 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
     whole = corpus_pipeline.run(spark, where).groupBy("doc_id").agg(F.sum("length")).collect()
     assert dict(map(tuple, whole)) == tokens
+
+
+def odd_documents(spark):
+    """Null and shared ids, null, empty and very long texts, ties, repeated rows, and columns whose names clash."""
+    rng = random.Random(13)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(800_000))  # 5 MB
+    texts = [(None, None), (None, "a b"), (None, "one two three four five six seven"), (3, "x y z w v u t"), (3, "x y z w v u t"), (3, "other words in this one here"), (5, ""), (5, " \t\n"), (6, long), (7, "tie tie"), (8, "tie tie")]
+    rows = [(i, t, "en", None if k % 4 == 0 else f"s{k % 3}", 0, k, "r", 2, 3) for k, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, `my-col x` int, _row string, marks int, _id int"), texts
+
+
+def test_all_operators_take_odd_tables(spark, tmp_path):
+    df, texts = odd_documents(spark)
+    labels = spark.createDataFrame([(3, 1, 0), (7, 1, 0), (8, 0, 1), (None, 1, None)], "doc_id bigint, quality int, toxic int")
+    ids = Counter(i for i, _ in texts)
+    tokenizer = Encoder.of(queries.TOKENIZER).tokenizer
+    sizes = Counter()
+    for i, t in texts:
+        sizes[i] += len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+    for k, part in enumerate((df, df.limit(0))):
+        want = ids if k == 0 else Counter()
+        counted = lambda out: Counter(r["doc_id"] for r in out.select("doc_id").collect())
+        assert counted(fingerprints.fingerprint_neighbours(part)) == want
+        assert counted(substring_dedup.repeated_word_counts(part)) == want
+        assert counted(quality_rules.judge(part)) == want
+        assert counted(quality_classifier.classify(part, labels)) == want
+        assert counted(source_mixing.mix_sources(part)) == want
+        assert counted(ngram_join.near_duplicate_components(part)) == want
+        rans_output.write_ids(part, f"file://{tmp_path}/ids{k}", queries.TOKENIZER)
+        read = rans_output.read_digests(spark, f"file://{tmp_path}/ids{k}").collect()
+        assert Counter(r["doc_id"] for r in read) == want
+        tokens, packed = Counter(), Counter()
+        for r in read:
+            tokens[r["doc_id"]] += r["n_tokens"]
+        for r in packing.pack_documents(part, queries.TOKENIZER).select("doc_id", "length").collect():
+            packed[r["doc_id"]] += r["length"]
+        assert tokens == packed == (sizes if k == 0 else Counter())
+    found = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.near_duplicate_components(df).collect()}
+    assert found[3, 3] == 3 and found[8, 1] == found[7, 1] == 7 and found[None, 3] is None
+
+
+def test_all_stages_take_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, _ = odd_documents(spark)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert k == 4 or out.schema == docs.schema
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert not docs.isEmpty()
+
+
+def test_chat_and_urls_take_odd_tables(spark, tmp_path):
+    turns = [(None, 0, "user", "x", 1), (None, None, None, None, 1), (1, 0, "user", "long " * 1_000_000, 1), (1, 0, "user", "b", 1), (2, 1, "assistant", "", 1), (2, 1, "assistant", "", 1)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string, formatted int").repartition(3)
+    for k, part in enumerate((df, df.limit(0))):
+        chat_format.format_conversations(part).write.parquet(f"{tmp_path}/chat{k}")
+        read = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat_format.read_digests(spark, f"{tmp_path}/chat{k}").collect()}
+        assert read == ({None: (2, 0), 1: (2, 0), 2: (2, 0)} if k == 0 else {})
+    urls = [(1, "http://a.b/x/1"), (1, "http://a.b/x/1"), (None, None), (2, ""), (3, "http://a.b/" + "y/" * 50_000)]
+    pages = spark.createDataFrame([(*u, "r", "s") for u in urls], "page_id bigint, url string, rule string, `my-col x` string")
+    assert Counter(r["page_id"] for r in url_filters.judge_urls(pages).collect()) == Counter(i for i, _ in urls)
+
+
+def test_one_long_conversation_over_many_batches(spark):
+    """A conversation that spans several Arrow batches stays one row, and its neighbours keep theirs."""
+    batch = lambda keys: pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(["user"] * len(keys)), pa.array([str(k) for k in keys])], names=["conv_id", "role", "text"])
+    out = [b for b in chat_format._format(iter([batch([1, 1]), batch([1]), batch([]), batch([1, 2]), batch([3]), batch([3, None])]))]
+    found = [(i, n) for b in out for i, n in zip(b.column("conv_id").to_pylist(), b.column("n_turns").to_pylist(), strict=True)]
+    assert found == [(1, 4), (2, 1), (3, 2), (None, 1)]
