@@ -37,7 +37,7 @@ def water_fill(rows: DataFrame, group: str) -> DataFrame:
     rising = Window.partitionBy(group).orderBy("_band")
     bands = bands.withColumns({"_r0": F.coalesce(F.sum("_r").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "_w1": F.coalesce(F.sum("_wt").over(rising.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))}).select(group, "_band", "_r0", "_w1")
     inside = Window.partitionBy(group, "_band").orderBy("_ratio", "weight", "room")
-    level = marked.where("_ratio is not null").join(bands, [group, "_band"]).withColumns({"_before": F.col("_r0") + F.coalesce(F.sum("room").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "_open": F.col("_w1") + F.sum("weight").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+    level = marked.where("_ratio is not null").join(bands, [group, "_band"]).withColumns({"_before": F.col("_r0") + F.coalesce(F.sum("room").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "_open": F.col("_w1") + F.sum("weight").over(Window.partitionBy(group, "_band")) - F.coalesce(F.sum("weight").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))})
     level = level.withColumn("_l", (F.abs(F.col("gap")) - F.col("_before")) / F.col("_open")).where("_l <= _ratio and _l >= 0").groupBy(group).agg(F.max("_l").alias("_level"))
     full = F.when(F.col("_level").isNull(), F.col("room")).otherwise(F.least(F.col("_level") * F.col("weight"), F.col("room")))
     return marked.join(level, group, "left").withColumn("alloc", F.when(F.col("_ratio").isNull() | (F.abs(F.col("gap")) <= TOLERANCE), 0.0).otherwise(F.signum("gap") * full)).drop("_ratio", "_band", "_level")

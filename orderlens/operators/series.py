@@ -41,10 +41,11 @@ def fill_gaps(series: DataFrame, keys: list[str], treatment: str) -> DataFrame:
         return series.withColumn("y", F.coalesce("y", F.lit(0.0)))
     if treatment != "linear":
         raise ValueError(f"unknown treatment {treatment!r}")
-    by = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("date")
-    past, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
+    by = Window.partitionBy(*(keys or [F.lit(0)]))
+    # Both frames grow from their start, so each is one pass; a frame that runs to the end would be read anew for every row.
+    past, ahead = (by.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("date"), F.col("date").desc()))
     day = F.when(F.col("y").isNotNull(), F.col("date"))
-    marked = series.withColumns({"_y0": F.last("y", True).over(past), "_d0": F.last(day, True).over(past), "_y1": F.first("y", True).over(ahead), "_d1": F.first(day, True).over(ahead)})
+    marked = series.withColumns({"_y0": F.last("y", True).over(past), "_d0": F.last(day, True).over(past), "_y1": F.last("y", True).over(ahead), "_d1": F.last(day, True).over(ahead)})
     between = F.col("_y0") + (F.col("_y1") - F.col("_y0")) * F.datediff("date", "_d0") / F.datediff("_d1", "_d0")
     return marked.withColumn("y", F.coalesce("y", F.when(F.col("_y0").isNotNull() & F.col("_y1").isNotNull(), between), "_y0", "_y1")).drop("_y0", "_y1", "_d0", "_d1")
 
