@@ -29,3 +29,19 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         if not moved:
             scratch.drop(f"{label}-edges", f"{label}-near")
             return labels
+
+
+def named(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows with the component of their node: its label, or itself."""
+    if labels is None:
+        return rows.withColumn("component", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def contracted(labels: DataFrame, edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    """Labels (node, component) after more edges (a, b), which are contracted to the present components first."""
+    for end in ("a", "b"):
+        edges = edges.join(labels.toDF(end, f"{end}_component"), end, "left").withColumn(end, F.coalesce(f"{end}_component", end)).select("a", "b")
+    found = components(edges.where("a <> b").distinct(), scratch, f"{label}-found")
+    renamed = labels.join(found.toDF("component", "_to"), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return scratch.write(renamed.unionByName(found.join(labels, "node", "left_anti")), label)

@@ -1,11 +1,11 @@
-"""The contract queries of the ten operators, and the SQL of those that SQL can express."""
+"""The contract queries of the thirteen operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, fingerprints, ngram_join, packing, quality_classifier, quality_rules, rans_output, source_mixing, substring_dedup, url_filters
+from . import chat_format, filter_audit, fingerprints, ngram_join, packing, periodic_runs, quality_classifier, quality_rules, rans_output, simhash_join, source_mixing, substring_dedup, url_filters
 from .scratch import Scratch
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -64,7 +64,39 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_quality_rules, op4_quality_classifier, op5_source_mixing, op6_token_id_output, op7_chat_formatting, op8_packing, op9_url_filters, op10_ngram_jaccard_join)}
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join.simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where the id's checksum h ends in 0, the words from place a on repeat with period p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    sized = words.withColumn("n", F.size("w")).where("n > 0").withColumn("a", F.col("g") % F.col("n"))
+    rest = F.col("n") - F.col("a")
+    sized = sized.withColumn("p", F.floor(rest / (F.col("g") % 8 + 3)) + 1)
+    tail = F.flatten(F.array_repeat(F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int")), F.ceil(rest / F.col("p")).cast("int")))
+    edited = F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), F.slice(tail, F.lit(1), rest.cast("int")))
+    return sized.select("doc_id", F.array_join(edited, " ").alias("text")).unionByName(words.where("w is null or size(w) = 0").select("doc_id", "text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_with_planted_periods(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")))
+    # Runs are ordered by start, then period, so that the first of the greatest exponent stays.
+    best = F.reduce("runs", F.col("runs")[0], lambda a, x: F.when(x["length"] * a["period"] > a["length"] * x["period"], x).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best)).withColumn("lines", F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_substring_dedup, op3_quality_rules, op4_quality_classifier, op5_source_mixing, op6_token_id_output, op7_chat_formatting, op8_packing, op9_url_filters, op10_ngram_jaccard_join, op11_simhash_near_dedup, op12_periodic_runs, op13_filter_audit)}
 
 
 def _url_sql() -> str:
@@ -103,4 +135,20 @@ SELECT s.doc_id, len(s.w)::BIGINT AS n_words, coalesce(len(h.ps), 0)::BIGINT AS
   sha256(array_to_string(CASE WHEN h.ps IS NULL THEN s.w ELSE [x FOR x, k IN s.w IF NOT list_contains(h.ps, k)] END, ' ')) AS kept_sha256
 FROM split s LEFT JOIN holes h ON s.doc_id = h.doc_id"""
 
-SQL = {"op2_substring_dedup": SUBSTRING_SQL, "op9_url_filters": _url_sql()}
+AUDIT_SQL = """WITH words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+masks AS (SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 'E' ELSE '' END AS fails FROM words),
+known AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masks LEFT JOIN known USING (doc_id) GROUP BY part, fails),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, step, substr(o, step, 1) AS x, substr(o, 1, step - 1) AS before FROM (SELECT o, unnest(range(1, 6)) AS step FROM orders)),
+each AS (SELECT s.o, s.step, s.x, c.*, contains(c.fails, s.x) AS failed, length(translate(c.fails, s.before, '')) < length(c.fails) AS gone FROM steps s, cells c),
+counted AS (SELECT part, o, step, x, sum(CASE WHEN NOT failed AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN failed AND NOT gone THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN failed AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = x THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN failed AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN failed AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM each GROUP BY part, o, step, x)
+SELECT part, o AS filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley FROM counted"""
+
+SQL = {"op2_substring_dedup": SUBSTRING_SQL, "op9_url_filters": _url_sql(), "op13_filter_audit": AUDIT_SQL}
