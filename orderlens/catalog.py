@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,7 +13,7 @@ from .operators import classify, events, features, forecasts, holidays, ingest,
 from .plans import batch, reconciled
 from .plans.order_lines import AS_OF, HORIZON, KEYS, WEEKS, material_lines, order_lines
 from .sources import store
-from .workspace import Workspace
+from .workspace import Workspace, shared_folder
 
 MAT = ["customer", "material_no"]
 MAT_RUN = [dt.date.fromisoformat(AS_OF) + dt.timedelta(k) for k in range(1, WEEKS + 1)]
@@ -77,6 +78,14 @@ def dq_report(spark, sf_dir):
     return ingest.quality_report(_dirty(spark, sf_dir))
 
 
+def dq_numeric(spark, sf_dir):
+    """Measures and ids of numeric columns, large and small, as Parquet sheets hold them."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    measure = F.when(F.col("l_linenumber") == 1, F.col("l_extendedprice") * 1000).when(F.col("l_linenumber") == 2, F.col("l_discount") / 1000).when(F.col("l_linenumber") == 3, F.lit(float("nan"))).when(F.col("l_linenumber") < 6, -F.col("l_quantity"))
+    sheet = lines.select("l_orderkey", "l_linenumber", measure.cast("double").alias("measure"), F.when(F.col("l_linenumber") % 2 == 1, F.col("l_partkey") * 1e6).otherwise(F.col("l_partkey") + 0.5).alias("id"))
+    return sheet.withColumn("n", c.parse_number(F.col("measure"))).select("l_orderkey", "l_linenumber", "n.value", "n.reason", c.clean_id(F.col("id")).alias("id"))
+
+
 def exact_dedup(spark, sf_dir):
     kept = ingest.drop_exact_duplicates(ingest.valid_rows(_dirty(spark, sf_dir)))
     return kept.groupBy("sheet").agg(F.count(F.lit(1)).alias("n"), F.sum("net_pounds").alias("pounds"))
@@ -286,7 +295,7 @@ def adjusted_forecast(spark, sf_dir):
 
 
 def final_forecast_table(spark, sf_dir):
-    return reports.final_table(events.adjusted(_projection(spark, sf_dir), events.ramp(_resolved(spark, sf_dir), KEYS), KEYS), KEYS, "Seasonal Naive")
+    return reports.stamped(reports.final_table(events.adjusted(_projection(spark, sf_dir), events.ramp(_resolved(spark, sf_dir), KEYS), KEYS), KEYS, "Seasonal Naive"), dt.datetime.fromisoformat(AS_OF))
 
 
 def final_forecast_models(spark, sf_dir):
@@ -342,8 +351,10 @@ def holiday_calendar(spark, sf_dir):
 def _profiles(spark, sf_dir, levels: int):
     """Holiday profiles of the company, of materials and of customers' materials, each written before the next reads it."""
     work, days, found = Workspace(spark, "profiles"), _days(spark, sf_dir), []
-    daily = work.keep(series.daily_sum(order_lines(spark, sf_dir), MAT), "daily")
-    for keys, k in ((["all"], holidays.K_COMPANY), (["material_no"], holidays.K_MATERIAL), (MAT, holidays.K_COMBO))[:levels]:
+    kinds = [(["all"], holidays.K_COMPANY), (["material_no"], holidays.K_MATERIAL), (MAT, holidays.K_COMBO)][:levels]
+    daily = series.daily_sum(order_lines(spark, sf_dir), [x for x in kinds[-1][0] if x != "all"])
+    daily = work.keep(daily, "daily") if levels > 1 else daily
+    for keys, k in kinds:
         rows = daily.withColumn("all", F.lit("all")).groupBy(*keys, "date").agg(F.sum("y").alias("y"))
         profile = work.keep(holidays.estimate(series.zero_filled(rows, keys, AS_OF), keys, days, k, found).drop("all"), f"profile{len(found)}")
         found = [(profile, [x for x in keys if x != "all"]), *found]
@@ -473,6 +484,17 @@ def upsert_run(spark, sf_dir):
     return store.upsert(_runs(spark, sf_dir), new, ["run_date", *KEYS])
 
 
+def committed_runs(spark, sf_dir):
+    """The runs of `upsert_run`, each committed to a store of manifests, and read back through the newest one."""
+    kept = store.Store(spark, f"{shared_folder(spark)}/orderlens/store-{uuid.uuid4().hex}")
+    runs = _runs(spark, sf_dir)
+    for day in ("2001-07-30", "2001-07-31"):
+        kept.commit({"runs": runs.where(F.col("run_date") == day).drop("run_date")}, day, KEYS)
+    new = kept.table("runs").where("run_date = '2001-07-31' and customer = 'BUILDING'").withColumn("model", F.lit("override"))
+    kept.commit({"runs": new.drop("run_date")}, "2001-07-31", KEYS)
+    return kept.table("runs")
+
+
 def ets_forecast(spark, sf_dir):
     return models.fit_panel(_history(spark, sf_dir), KEYS, HORIZON, ["AutoETS"])
 
@@ -541,7 +563,7 @@ QUERIES = {
     adjusted_forecast final_forecast_table actual_vs_forecast segment_profile weekday_stats class_counts holiday_calendar
     holiday_profile_company holiday_profile_material holiday_profile_combo holiday_text holiday_effects_wide weekday_shaping
     reconcile_weekly reconcile_daily recon_summary recon_blocks weekly_overall reasoning_text wide_forecast reasoning_daily holiday_model_layer holdout_backtest latest_run skip_done
-    upsert_run ets_forecast arima_forecast gbm_forecast model_status day_parse final_forecast_models actual_forecast_wide actual_matrix
+    upsert_run committed_runs dq_numeric ets_forecast arima_forecast gbm_forecast model_status day_parse final_forecast_models actual_forecast_wide actual_matrix
     reconciled_forecast holdout_variants batch_summary batch_metrics batch_forecasts model_leaderboard model_recommended naive_backtest""".split()
 }
 

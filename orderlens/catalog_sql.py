@@ -149,7 +149,7 @@ _BODY = {
     "dup_count": f"WITH {DIRTY}, g AS (SELECT count(*) AS n FROM dirty WHERE date IS NOT NULL AND v IS NOT NULL GROUP BY customer, material_group, material_no, plant, order_no, day_text, pounds_text) SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM g",
     "daily_total": f"WITH {LINES} SELECT date, sum(net_pounds) AS y FROM lines GROUP BY date",
     "daily_by_segment": f"WITH {LINES} SELECT {K}, date, sum(net_pounds) AS y FROM lines GROUP BY ALL",
-    "overall_grouping_sets": f"WITH {LINES} SELECT {K}, date, sum(net_pounds) AS y, CAST(0 AS BIGINT) AS overall FROM lines GROUP BY ALL UNION ALL SELECT '__OVERALL__', '__OVERALL__', date, sum(net_pounds), 1 FROM lines GROUP BY date",
+    "overall_grouping_sets": f"WITH {LINES} SELECT {K}, date, sum(net_pounds) AS y, CAST(0 AS BIGINT) AS overall FROM lines WHERE customer IS NOT NULL AND material_group IS NOT NULL GROUP BY ALL UNION ALL SELECT '__OVERALL__', '__OVERALL__', date, sum(net_pounds), 1 FROM lines GROUP BY date",
     "filtered_daily": f"WITH {LINES} SELECT date, sum(net_pounds) AS y FROM lines WHERE customer = 'BUILDING' GROUP BY date",
     "segment_options": f"WITH {LINES} SELECT customer, string_agg(DISTINCT material_group, ', ' ORDER BY material_group) AS groups, count(DISTINCT material_group) AS n FROM lines GROUP BY customer",
     "segment_list": f"WITH {LINES} SELECT DISTINCT {K} FROM lines ORDER BY ALL LIMIT 10",
@@ -183,7 +183,7 @@ _BODY = {
     "uplift_ramp": f"WITH {RESOLVED} SELECT {K}, date, {_R('share')} FROM rp",
     "combined_projection": f"WITH {_history()}, {PROJECT} SELECT {K}, date, {_R('yhat', 'backlog', 'combined')} FROM pj",
     "adjusted_forecast": f"WITH {ADJUST} SELECT {K}, date, {_R('combined', 'share', 'final_forecast')} FROM ad",
-    "final_forecast_table": f"WITH {ADJUST} SELECT {K}, date AS forecast_date, 'Seasonal Naive' AS model, round(yhat, 2) AS base_forecast, round(backlog, 2) AS known_backlog, round(combined, 2) AS combined_projection, round(share * 100, 2) AS uplift_pct, round(final_forecast, 2) AS final_forecast, share > 0 AS is_high_production_date FROM ad",
+    "final_forecast_table": f"WITH {ADJUST} SELECT {K}, date AS forecast_date, 'Seasonal Naive' AS model, round(yhat, 2) AS base_forecast, round(backlog, 2) AS known_backlog, round(combined, 2) AS combined_projection, round(share * 100, 2) AS uplift_pct, round(final_forecast, 2) AS final_forecast, share > 0 AS is_high_production_date, '2001-07-31T00:00:00' AS generated_at FROM ad",
     "actual_vs_forecast": f"WITH {_history()}, {_naive(K, 'hist', HORIZON)} SELECT {K}, date, round(y, 6) AS value, 'actual' AS type FROM hist UNION ALL SELECT {K}, date, round(yhat, 6), 'forecast' FROM naive",
     "segment_profile": f"WITH {PROFILE} SELECT {M}, span_days, {_R('recent_avg')}, y_min, y_max, {_R('density')}, days_since, demand_class FROM pf",
     "weekday_stats": f"WITH {PROFILE} SELECT {M}, dow, {_R('mean', 'std', 'cap')} FROM st",
@@ -202,6 +202,9 @@ _BODY = {
     "holdout_backtest": f"WITH {LINES}, kept AS (SELECT * FROM lines WHERE date <= {DAY}), {_zero(K, 'kept', chr(68) + 'ATE ' + chr(39) + '2001-07-10' + chr(39))}, zh AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY date) AS i, count(*) OVER (PARTITION BY {K}) AS n FROM zero WHERE NOT is_backlog), {_naive(K, 'zh', WEEKS)}, {_daily(K, 'kept')}, j AS (SELECT {_pre('f', K)}, yhat, coalesce(d.y, 0.0) AS y FROM naive f LEFT JOIN daily d ON {_on('f', 'd', K)} AND f.date = d.date) SELECT {K}, round(sum(abs(yhat - y)) / nullif(sum(abs(y)), 0), 6) AS wape, round(sum(yhat - y) / nullif(sum(abs(y)), 0), 6) AS bias, round(abs(sum(yhat) - sum(y)) / nullif(sum(y), 0), 6) AS horizon_wape FROM j GROUP BY ALL",
     "latest_run": f"WITH {RUNS} SELECT * FROM runs r WHERE run_date = (SELECT max(run_date) FROM runs q WHERE {_on('q', 'r', K)})",
     "skip_done": f"WITH {RUNS} SELECT DISTINCT {K} FROM lines l WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.run_date = '2001-07-31' AND {_on('r', 'l', K)})",
+    "dq_numeric": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN l_extendedprice * 1000 WHEN l_linenumber = 2 THEN l_discount / 1000 WHEN l_linenumber IN (4, 5) THEN -l_quantity END AS value,
+  CASE WHEN l_linenumber = 3 OR l_linenumber > 5 THEN 'missing' END AS reason, CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_partkey * 1000000 AS VARCHAR) ELSE l_partkey || '.5' END AS id FROM lineitem""",
+    "committed_runs": f"WITH {RUNS} SELECT * REPLACE (CASE WHEN run_date = '2001-07-31' AND customer = 'BUILDING' THEN 'override' ELSE model END AS model) FROM runs",
     "upsert_run": f"WITH {RUNS} SELECT * REPLACE (CASE WHEN run_date = '2001-07-31' AND customer = 'BUILDING' THEN 'override' ELSE model END AS model) FROM runs",
 }
 _WIDE = ", ".join(f"round(round(max(CASE WHEN date = {DAY} + {k} THEN final END), 6), 1) AS \"{dt.date.fromisoformat(AS_OF) + dt.timedelta(k)}\"" for k in range(1, WEEKS + 1))

@@ -65,11 +65,22 @@ def half_year_key(sheet: Column) -> Column:
     return F.struct(part(1, 99).alias("year"), part(2, 9).alias("half"))
 
 
+def _is_number(raw: Column) -> Column:
+    """Whether the column's type is numeric; known when the plan is made."""
+    return F.typeof(raw).rlike(r"^(tinyint|smallint|int|bigint|float|double|decimal.*)$")
+
+
+def _as_double(raw: Column) -> Column:
+    """The value of a numeric column; its own text reads back exactly. Not-a-number counts as missing."""
+    number = raw.cast("string").try_cast("double")
+    return F.when(~F.isnan(number), number)
+
+
 def parse_number(raw: Column) -> Column:
     """struct(value, reason): a number read from text, or why there is none (missing, blank, unparseable).
 
     Parentheses negate; separators, units and other characters are dropped; a second point or sign rejects. A value that
-    cannot be read is never taken as zero.
+    cannot be read is never taken as zero. Columns of a numeric type pass as they are.
     """
     text = stripped(raw.cast("string"))
     inner = F.regexp_replace(text, r"^\((.*)\)$", "$1")
@@ -80,7 +91,9 @@ def parse_number(raw: Column) -> Column:
     number = F.when((points <= 1) & (signs <= 1) & bare.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"), bare).try_cast("double")
     blank = F.lower(text).isin(BLANK_WORDS)
     value = F.when(~blank, F.when(negative, -number).otherwise(number))
-    reason = F.when(raw.isNull(), "missing").when(blank, "blank").when(value.isNull(), "unparseable")
+    numeric, given = _is_number(raw), _as_double(raw)
+    value = F.when(numeric, given).otherwise(value)
+    reason = F.when(raw.isNull() | (numeric & given.isNull()), "missing").when(~numeric & blank, "blank").when(value.isNull(), "unparseable")
     return F.struct(value.alias("value"), reason.alias("reason"))
 
 
@@ -98,8 +111,10 @@ def parse_day(raw: Column) -> Column:
 
 
 def clean_id(raw: Column) -> Column:
-    """Identifier text: 38.0 becomes 38, runs of white space one space, blanks null."""
-    text = F.regexp_replace(stripped(raw.cast("string")), r"\s+", " ")
+    """Identifier text: 38.0 becomes 38, runs of white space one space, blanks null; whole numbers never in powers of ten."""
+    number = _as_double(raw)
+    plain = F.when(F.typeof(raw).isin("float", "double") & (number == F.floor(number)) & (F.abs(number) < 2.0**63), number.try_cast("bigint").cast("string"))
+    text = F.regexp_replace(stripped(F.coalesce(plain, raw.cast("string"))), r"\s+", " ")
     whole = F.regexp_replace(text, r"^(-?[0-9]+)\.0+$", "$1")
     return F.when(~F.lower(whole).isin("", "nan", "none", "<na>", "nat"), whole)
 

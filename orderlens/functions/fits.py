@@ -1,19 +1,11 @@
-"""Model fits for one series in numpy: exponential smoothing, seasonal ARIMA, gradient boosting.
-
-They are this engine's own approximations of the usual automatic models: a small search with an information criterion.
-"""
+"""Fits of one series in numpy: the seasonal naive and gradient boosting."""
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 
-SEASON, Z80, LEAST_ETS, LEAST_TREES, YEAR = 7, 1.2816, 14, 30, 365.25
-
-
-def _aicc(sse: float, n: int, k: int) -> float:
-    return n * np.log(max(sse, 1e-12) / n) + 2 * k + 2 * k * (k + 1) / max(n - k - 1, 1)
+SEASON, LEAST_TREES, YEAR = 7, 30, 365.25
+Z80, Z_NAIVE = 1.2816, 1.28  # fixed values: half-widths of 80% intervals in deviations
 
 
 def seasonal_naive(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
@@ -24,62 +16,6 @@ def seasonal_naive(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]
     return y[len(y) - SEASON + np.arange(horizon) % SEASON], np.full(horizon, spread)
 
 
-def ets(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
-    """Additive smoothing of level, optional trend and season; returns forecasts and their deviation.
-
-    All parameter settings of the grid run through the series side by side.
-    """
-    if len(y) < LEAST_ETS:
-        raise ValueError(f"needs {LEAST_ETS} observations")
-    grid = np.array(list(itertools.product((0.05, 0.1, 0.2, 0.35, 0.5), (0.0, 0.05, 0.2), (0.0, 0.05))))
-    alpha, gamma, beta = grid.T
-    first = np.array([y[k::SEASON][:4].mean() for k in range(SEASON)]) - y[: 4 * SEASON].mean()
-    season = np.where(gamma > 0, first[:, None], 0.0)
-    level, slope, sse = np.full(len(grid), y[:SEASON].mean()), np.zeros(len(grid)), np.zeros(len(grid))
-    learn = gamma * (1 - alpha)
-    for t, value in enumerate(y.tolist()):
-        before = level + slope
-        error = value - before - season[t % SEASON]
-        sse += error * error
-        level, slope = before + alpha * error, slope + beta * alpha * error
-        season[t % SEASON] += learn * error
-    scores = [_aicc(e, len(y), 2 + (b > 0) * 2 + (g > 0) * (1 + SEASON)) for e, (_, g, b) in zip(sse, grid, strict=True)]
-    k, steps = int(np.argmin(scores)), np.arange(1, horizon + 1)
-    return level[k] + slope[k] * steps + season[(len(y) + steps - 1) % SEASON, k], np.sqrt(sse[k] / len(y)) * np.sqrt(1 + alpha[k] ** 2 * (steps - 1))
-
-
-def arima(y: np.ndarray, horizon: int, reduced: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Seasonally differenced autoregression with moving-average terms by two-step least squares, orders by AICc."""
-    if len(y) < 3 * SEASON:
-        raise ValueError(f"needs {3 * SEASON} observations")
-    z = y[SEASON:] - y[:-SEASON]
-    long = min(2 * SEASON, len(z) // 4)
-    lags = lambda x, ks, start: np.stack([x[start - k : len(x) - k] for k in ks], axis=1) if ks else np.zeros((len(x) - start, 0))
-    whole = lags(z, range(1, long + 1), long)
-    noise = np.append(np.zeros(long), z[long:] - whole @ np.linalg.lstsq(whole, z[long:], rcond=None)[0])
-    best, most = None, 2 if reduced else 5
-    for p, q, sp, sq in itertools.product(range(most + 1), range(most + 1), (0, 1), (0, 1)):
-        if reduced and p + q + sp + sq > 3:
-            continue
-        ar, ma = [*range(1, p + 1), *([SEASON] * sp)], [*range(1, q + 1), *([SEASON] * sq)]
-        start = 2 * SEASON if len(z) > 4 * SEASON else SEASON
-        design = np.hstack([lags(z, ar, start), lags(noise, ma, start)])
-        target = z[start:]
-        fit = np.linalg.lstsq(design, target, rcond=None)[0] if design.shape[1] else np.zeros(0)
-        sse = float(((target - design @ fit) ** 2).sum())
-        score = _aicc(sse, len(target), len(fit) + 1)
-        if best is None or score < best[0]:
-            best = (score, ar, ma, fit, np.sqrt(sse / len(target)))
-    _, ar, ma, fit, spread = best
-    path, shocks, values = z.tolist(), noise.tolist(), y.tolist()
-    for _ in range(horizon):
-        step = sum(c * path[-k] for c, k in zip(fit, ar)) + sum(c * shocks[-k] for c, k in zip(fit[len(ar) :], ma))  # noqa: B905
-        path.append(step)
-        shocks.append(0.0)
-        values.append(values[-SEASON] + step)
-    return np.array(values[len(y) :]), spread * np.sqrt(1 + (np.arange(horizon) // SEASON))
-
-
 def features(y: np.ndarray, days: np.ndarray, events: np.ndarray, first: int = 0) -> np.ndarray:
     """The 21 columns of `operators.features.feature_matrix` for the days from `first` on, in its order; y may end before the last day."""
     n = len(days)

@@ -6,10 +6,11 @@ import calendar as months
 import datetime as dt
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .features import centred_mean
-
+CENTRED, CENTRED_LEAST = 91, 28
 PASSES, FULL_EVIDENCE_DAYS, LOW, HIGH, PADDING = 3, 3, 0.3, 3.0, 60
 K_COMPANY, K_MATERIAL, K_COMBO = 0.5, 1.5, 4.0
 _MONTHS = months.Calendar()
@@ -78,6 +79,35 @@ def calendar(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
     return one.select("date", "slot", "holiday", F.col("week").cast("bigint").alias("week"), F.col("year").cast("bigint").alias("year"), "block", F.min("date").over(block).alias("block_first"), F.max("date").over(block).alias("block_last"), F.count(F.lit(1)).over(block).alias("block_days"))
 
 
+def _fit_slots(days: np.ndarray, y: np.ndarray, parent: np.ndarray, calendar: dict[str, np.ndarray], k: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots with evidence, their factors and their observations, of one series in the order of its days."""
+    at = np.minimum(np.searchsorted(calendar["day"], days), len(calendar["day"]) - 1)
+    row = np.flatnonzero(calendar["day"][at] == days)
+    slot, block = calendar["slot"][at[row]], calendar["block"][at[row]]
+    whole = (calendar["block_first"] >= days[0]) & (calendar["block_last"] <= days[-1])
+    low, high = np.maximum(np.arange(len(y)) - CENTRED // 2, 0), np.minimum(np.arange(len(y)) + CENTRED // 2 + 1, len(y))
+    blocks, slots = len(calendar["block_days"]), len(parent)
+    factor, has = parent, np.zeros(slots, bool)
+    counted = np.zeros(slots)
+    for _ in range(PASSES):
+        freed = y.copy()
+        freed[row] /= factor[slot]
+        sums = np.append(0.0, np.cumsum(freed))
+        base = np.where(high - low >= CENTRED_LEAST, (sums[high] - sums[low]) / (high - low), 0.0)[row]
+        used = whole[block] & (base > 0)
+        total = lambda value: np.bincount(block[used], value[used], blocks)  # noqa: B023, E731
+        demand, expected, sold, seen = total(y[row]), total(base), total((y[row] > 0).astype(float)), total(np.ones(len(row)))
+        good = (seen == calendar["block_days"]) & (expected > 0)
+        of = calendar["block_slot"][good]
+        has = np.bincount(of, minlength=slots) > 0
+        counted = np.bincount(of, np.minimum(1.0, sold[good] / FULL_EVIDENCE_DAYS), slots)
+        ratio = np.bincount(of, demand[good], slots)[has] / np.bincount(of, expected[good], slots)[has]
+        trust = counted[has] / (counted[has] + k)
+        factor = parent.copy()
+        factor[has] = np.clip(trust * ratio + (1 - trust) * parent[has], LOW, HIGH)
+    return np.flatnonzero(has), factor[has], counted[has]
+
+
 def estimate(series: DataFrame, keys: list[str], days: DataFrame, k: float, parents: list[tuple[DataFrame, list[str]]] = ()) -> DataFrame:
     """(keys, slot, factor, n_obs) of the slots that have evidence; a slot without it has its parent's factor.
 
@@ -86,21 +116,51 @@ def estimate(series: DataFrame, keys: list[str], days: DataFrame, k: float, pare
 
     Three times the series is freed of the present factors, its centred 91-day mean is taken as a baseline, and a slot's
     ratio of demand to baseline, over whole blocks inside the series, is shrunk to the parent's factor.
+
+    The series is dealt by its keys once, each packed into a row; its parents' factors are joined to that row, and all
+    passes run over its arrays, the centred mean by prefix sums. The calendar and a profile without keys, of a row a slot,
+    go to the tasks with the code.
     """
+    spark = series.sparkSession
     history = series.where(~F.col("is_backlog")) if "is_backlog" in series.columns else series
-    span = Window.partitionBy(*keys)
-    rows = history.withColumns({"_from": F.min("date").over(span), "_to": F.max("date").over(span)}).join(F.broadcast(days), "date", "left")
-    rows = with_factor(rows, None, parents).withColumnRenamed("factor", "_parent").withColumn("_f", F.col("_parent"))
-    out = None
-    for _ in range(PASSES):
-        based = rows.withColumn("_base", F.coalesce(centred_mean(F.col("y") / F.col("_f"), keys), F.lit(0.0)))
-        usable = based.where((F.col("block_first") >= F.col("_from")) & (F.col("block_last") <= F.col("_to")) & (F.col("_base") > 0))
-        blocks = usable.groupBy(*keys, "block", "slot", "_parent", "block_days").agg(F.sum("y").alias("_y"), F.sum("_base").alias("_b"), F.count_if(F.col("y") > 0).alias("_nz"), F.count(F.lit(1)).alias("_n")).where("_n = block_days and _b > 0")
-        slots = blocks.groupBy(*keys, "slot", "_parent").agg(F.sum("_y").alias("_y"), F.sum("_b").alias("_b"), F.sum(F.least(F.lit(1.0), F.col("_nz") / FULL_EVIDENCE_DAYS)).alias("n_obs"))
-        trust = F.col("n_obs") / (F.col("n_obs") + k)
-        out = slots.select(*keys, "slot", F.greatest(F.lit(LOW), F.least(F.lit(HIGH), trust * F.col("_y") / F.col("_b") + (1 - trust) * F.col("_parent"))).alias("factor"), "n_obs")
-        rows = rows.drop("_f").join(out.select(*keys, "slot", F.col("factor").alias("_f")), [*keys, "slot"], "left").withColumn("_f", F.when(F.col("slot").isNull(), 1.0).otherwise(F.coalesce("_f", "_parent")))
-    return out
+    known = days.toPandas().sort_values("date")  # the calendar
+    slots, slot = np.unique(known["slot"].to_numpy(str), return_inverse=True)
+    names, first, block = np.unique(known["block"].to_numpy(str), return_index=True, return_inverse=True)
+    number = lambda c: known[c].to_numpy("datetime64[D]").astype(np.int64)
+    calendar = {"day": number("date"), "slot": slot, "block": block, "block_slot": slot[first], "block_first": number("block_first")[first], "block_last": number("block_last")[first], "block_days": known["block_days"].to_numpy()[first]}
+    place = {name: i for i, name in enumerate(slots)}
+    packed = history.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.unix_date("date").alias("day"), F.col("y").cast("double").alias("y")))).alias("_v")).select(*keys, F.col("_v.day").alias("_days"), F.col("_v.y").alias("_y"))
+    shared, joined = [], []  # factors by slot, the nearest level first
+    for level, (profile, on) in enumerate(parents):
+        if on:
+            own = profile.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("slot", "factor"))).alias(f"_level{level}"))
+            packed = packed.join(own, on, "left")
+            joined.append(level)
+        shared.append({} if on else {r["slot"]: r["factor"] for r in profile.select("slot", "factor").collect()})  # a row a slot
+
+    def run(batches):
+        for batch in batches:
+            got = batch.to_pydict()
+            found, out = [], []
+            for i in range(batch.num_rows):
+                parent = np.ones(len(slots))
+                for level in reversed(range(len(shared))):
+                    held = got[f"_level{level}"][i] or () if level in joined else shared[level].items()
+                    for name, value in held:
+                        if name in place:
+                            parent[place[name]] = value
+                which, factor, counted = _fit_slots(np.array(got["_days"][i]), np.array(got["_y"][i]), parent, calendar, k)
+                found.append(np.full(len(which), i))
+                out.append((which, factor, counted))
+            if out and len(calendar["day"]):
+                which, factor, counted = (np.concatenate(x) for x in zip(*out, strict=True))
+                row = pa.array(np.concatenate(found))
+                yield pa.RecordBatch.from_arrays([*(batch.column(key).take(row) for key in keys), pa.array(slots[which].tolist(), pa.string()), pa.array(factor), pa.array(counted)], names=[*keys, "slot", "factor", "n_obs"])
+
+    schema = ", ".join([*(f"`{key}` {series.schema[key].dataType.simpleString()}" for key in keys), "slot string", "factor double", "n_obs double"])
+    if not len(known):
+        return spark.createDataFrame([], schema)
+    return packed.mapInArrow(run, schema)
 
 
 def with_factor(rows: DataFrame, days: DataFrame | None, levels: list[tuple[DataFrame, list[str]]]) -> DataFrame:

@@ -6,36 +6,59 @@ import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import fits
+from ..functions import arima, ets, fits
 from .classify import MODELS as CLASS_MODELS
 from .forecasts import window_count
 
-Fit = Callable[[np.ndarray, np.ndarray, int, np.ndarray], tuple[np.ndarray, np.ndarray]]
+Outcome = tuple[np.ndarray, np.ndarray] | str
+# Many series at once: (values, days, horizon, event days) -> of each its forecasts and their deviation, or why there are none.
+Fit = Callable[[list[np.ndarray], list[np.ndarray], int, np.ndarray], list[Outcome]]
 
 
-def _pretrained(y, days, horizon, events):
-    raise ValueError("pretrained weights are not available")
+def _each(fit: Callable[[np.ndarray, np.ndarray, int, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Fit:
+    """A fit of one series as one of many; a failed fit is a result."""
+
+    def one(y, days, horizon, events) -> Outcome:
+        try:
+            return fit(y, days, horizon, events)
+        except Exception as error:
+            return str(error)
+
+    return lambda values, days, horizon, events: [one(y, d, horizon, events) for y, d in zip(values, days, strict=True)]
+
+
+def _together(fit: Callable[[list[np.ndarray], int], list], least: int) -> Fit:
+    """A fit that takes series side by side; where it fails on all of them, each is fitted by itself."""
 
+    def many(values, days, horizon, events) -> list[Outcome]:
+        try:
+            return [f"needs {least} observations" if f is None else (f.point, f.spread) for f in fit(values, horizon)]
+        except Exception as error:
+            return [str(error)] if len(values) == 1 else [many([y], days, horizon, events)[0] for y in values]
 
-def _boosting(y, days, horizon, events):
-    return fits.boosting(y, days, horizon, events), np.full(horizon, np.nan)
+    return many
+
+
+def _pretrained(y, days, horizon, events):
+    raise ValueError("pretrained weights are not available")
 
 
-# Every model: (values, days, horizon, event days) -> point forecasts and their deviation.
 REGISTRY: dict[str, Fit] = {
-    "Seasonal Naive": lambda y, days, horizon, events: fits.seasonal_naive(y, horizon),
-    "AutoARIMA": lambda y, days, horizon, events: fits.arima(y, horizon),
-    "AutoARIMA (thorough)": lambda y, days, horizon, events: fits.arima(y, horizon, reduced=False),
-    "AutoETS": lambda y, days, horizon, events: fits.ets(y, horizon),
-    "HistGradientBoosting": _boosting,
-    "Chronos-2": _pretrained,
+    "Seasonal Naive": _each(lambda y, days, horizon, events: fits.seasonal_naive(y, horizon)),
+    "AutoARIMA": _together(arima.fit_many, arima.LEAST),
+    "AutoARIMA (thorough)": _together(lambda values, horizon: arima.fit_many(values, horizon, arima.WIDE), arima.LEAST),
+    "AutoETS": _together(ets.fit_many, ets.LEAST),
+    "HistGradientBoosting": _each(lambda y, days, horizon, events: (fits.boosting(y, days, horizon, events), np.full(horizon, np.nan))),
+    "Chronos-2": _each(_pretrained),
 }
 NAMES = ["AutoETS", "AutoARIMA", "HistGradientBoosting", "Chronos-2"]
 BATCH = ["Seasonal Naive", "AutoARIMA", "AutoETS", "HistGradientBoosting"]
 MAX_FAILED = 0.2
+LEAST_FINAL = 21  # days of history that a stored forecast needs
+TOGETHER = 128  # series that are fitted side by side at most
 
 
 def packed(series: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,44 +70,68 @@ def _key_types(frame: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def _run(name: str, days, values, horizon: int, events: np.ndarray) -> tuple[np.ndarray, np.ndarray, str]:
-    """A fit's forecasts, or why there are none."""
-    try:
-        point, spread = REGISTRY[name](np.asarray(values, float), np.asarray(days, "datetime64[D]"), horizon, events)
-        if len(point) < horizon or not np.isfinite(point).all():
-            raise ValueError("forecast is not finite")
-        return point, spread, "ok"
-    except Exception as error:  # a failed fit is a result: it becomes a status
-        return np.zeros(0), np.zeros(0), f"skipped: {error}"
+def outcomes(name: str, values: list[np.ndarray], days: list[np.ndarray], horizon: int, events: np.ndarray, least: int = 0) -> list[Outcome]:
+    """Each series' forecasts by the model, or why there are none; a series of fewer than `least` days is not fitted."""
+    out: list[Outcome] = [f"needs {least} observations" if len(y) < least else "" for y in values]
+    use = [i for i, y in enumerate(values) if len(y) >= least]
+    for k in range(0, len(use), TOGETHER):
+        some = use[k : k + TOGETHER]
+        for i, found in zip(some, REGISTRY[name]([values[i] for i in some], [days[i] for i in some], horizon, events), strict=True):
+            bad = not isinstance(found, str) and (len(found[0]) < horizon or not np.isfinite(found[0]).all())
+            out[i] = "forecast is not finite" if bad else found
+    return out
+
+
+def _jobs(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray], dict[str, list[int]]]:
+    """Values and days of a batch's rows, and the rows of each model."""
+    days = [np.array(d, "datetime64[D]") for d in batch.column("days").to_pylist()]
+    values = [np.array(v, float) for v in batch.column("values").to_pylist()]
+    rows: dict[str, list[int]] = {}
+    for i, name in enumerate(batch.column("model").to_pylist()):
+        rows.setdefault(name, []).append(i)
+    return values, days, rows
 
 
-def _fitted(jobs: DataFrame, keys: list[str], horizon: int, events: list[str], clip: bool) -> DataFrame:
+def _fitted(jobs: DataFrame, keys: list[str], horizon: int, events: list[str], clip: bool, least: int = 0) -> DataFrame:
     """A row for each day ahead of each job (keys, model, days, values), or one row with a status."""
     known = np.array(events, "datetime64[D]")
+    names = [*keys, "model", "date", "yhat", "lower", "upper", "status"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for _, job in batch.iterrows():
-                point, spread, status = _run(job["model"], job["days"], job["values"], horizon, known)
-                rows = pd.DataFrame({"date": [None], "yhat": [None], "lower": [None], "upper": [None]}) if status != "ok" else pd.DataFrame({"date": [(np.datetime64(job["days"][-1], "D") + k).astype(object) for k in range(1, horizon + 1)], "yhat": point, "lower": point - fits.Z80 * spread, "upper": point + fits.Z80 * spread})
-                if status == "ok" and clip:
-                    rows[["yhat", "lower"]] = rows[["yhat", "lower"]].clip(lower=0)
-                out.append(rows.assign(**{k: job[k] for k in keys}, model=job["model"], status=status))
-            yield pd.concat(out)[[*keys, "model", "date", "yhat", "lower", "upper", "status"]] if out else pd.DataFrame(columns=[*keys, "model", "date", "yhat", "lower", "upper", "status"])
+            values, days, rows = _jobs(batch)
+            row, date, table, status = [], [], [], []
+            for name, mine in rows.items():
+                width = fits.Z_NAIVE if name == "Seasonal Naive" else fits.Z80
+                for i, found in zip(mine, outcomes(name, [values[i] for i in mine], [days[i] for i in mine], horizon, known, least), strict=True):
+                    if isinstance(found, str):
+                        row.append([i])
+                        date.append(np.full(1, np.datetime64("NaT"), "datetime64[D]"))
+                        table.append(np.full((3, 1), np.nan))
+                        status.append(f"skipped: {found}")
+                        continue
+                    point, spread = found
+                    lower, upper = point - width * spread, point + width * spread
+                    row.append([i] * horizon)
+                    date.append(days[i][-1] + np.arange(1, horizon + 1))
+                    table.append(np.stack([np.maximum(point, 0), np.maximum(lower, 0), upper]) if clip else np.stack([point, lower, upper]))
+                    status += ["ok"] * horizon
+            if row:
+                at, numbers = pa.array(np.concatenate(row)), np.concatenate(table, axis=1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in [*keys, "model"]), pa.array(np.concatenate(date)), *(pa.array(x, from_pandas=True) for x in numbers), pa.array(status, pa.string())], names=names)
 
     schema = f"{_key_types(jobs, keys)}, model string, date date, yhat double, lower double, upper double, status string"
-    return jobs.repartition(*(F.col(c) for c in [*keys, "model"])).mapInPandas(run, schema)
+    return jobs.select(*keys, "model", "days", "values").repartition(*(F.col(c) for c in [*keys, "model"])).mapInArrow(run, schema)
 
 
-def fit_panel(series: DataFrame, keys: list[str], horizon: int, models: list[str] | None = None, events: list[str] = ()) -> DataFrame:
+def fit_panel(series: DataFrame, keys: list[str], horizon: int, models: list[str] | None = None, events: list[str] = (), least: int = 0) -> DataFrame:
     """(keys, model, date, yhat, lower, upper, status) for each key and model, fitted on the whole series.
 
-    A failed or skipped model gives one row without a date whose status says why. The pretrained model has no weights
-    here and is always skipped.
+    A failed or skipped model gives one row without a date whose status says why, and so does a key with fewer than
+    `least` days. The pretrained model has no weights here and is always skipped.
     """
     each = F.explode(F.array(*(F.lit(m) for m in models or NAMES))).alias("model")
-    return _fitted(packed(series, keys).select(*keys, "days", "values", each), keys, horizon, list(events), clip=True)
+    return _fitted(packed(series, keys).select(*keys, "days", "values", each), keys, horizon, list(events), True, least)
 
 
 def fit_by_class(series: DataFrame, classes: DataFrame, keys: list[str], horizon: int, thorough: bool = False) -> DataFrame:
@@ -100,30 +147,41 @@ def fit_by_class(series: DataFrame, classes: DataFrame, keys: list[str], horizon
 def backtest_panel(series: DataFrame, keys: list[str], horizon: int, models: list[str] | None = None, events: list[str] = ()) -> DataFrame:
     """(keys, model, window, date, y, yhat, error, seconds) of each model over all rolling origins.
 
-    Each fit is a row of its own, so windows of one key run side by side. A failed window has one row without a day; its
-    error says why. Forecasts are not clipped here.
+    A key and model is one row with one copy of the history; its windows are cut in the task and fitted side by side. A
+    failed window has one row without a day; its error says why. Forecasts are not clipped here. `seconds` is a window's
+    share of the time that its model took.
     """
     known, names = np.array(list(events), "datetime64[D]"), models or BATCH
     jobs = packed(series, keys).withColumn("windows", window_count(F.size("values"), horizon)).where("windows > 0")
-    jobs = jobs.select(*keys, "days", "values", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("windows"))).alias("window"), F.col("windows"))
-    until = (F.size("values") - (F.col("windows") - F.col("window")) * horizon).cast("int")
-    jobs = jobs.select(*keys, "window", F.slice("days", 1, until).alias("days"), F.slice("values", 1, until).alias("values"), F.explode(F.array(*(F.lit(m) for m in names))).alias("model"))
+    jobs = jobs.select(*keys, "days", "values", "windows", F.explode(F.array(*(F.lit(m) for m in names))).alias("model"))
+    columns = [*keys, "model", "window", "date", "y", "yhat", "error", "seconds"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for _, job in batch.iterrows():
+            values, days, rows = _jobs(batch)
+            windows = batch.column("windows").to_pylist()
+            row, window, date, y, yhat, error, seconds = ([] for _ in range(7))
+            for name, mine in rows.items():
+                cuts = [(i, w, len(values[i]) - (windows[i] - w + 1) * horizon) for i in mine for w in range(1, windows[i] + 1)]
                 began = time.perf_counter()
-                point, _, status = _run(job["model"], job["days"][:-horizon], job["values"][:-horizon], horizon, known)
-                took = time.perf_counter() - began
-                ok = status == "ok"
-                rows = pd.DataFrame({"date": list(job["days"][-horizon:]) if ok else [None], "y": job["values"][-horizon:] if ok else [None], "yhat": point if ok else [None]})
-                out.append(rows.assign(**{k: job[k] for k in keys}, model=job["model"], window=job["window"], error=None if ok else status.removeprefix("skipped: "), seconds=took))
-            if out:
-                yield pd.concat(out)[[*keys, "model", "window", "date", "y", "yhat", "error", "seconds"]]
+                found = outcomes(name, [values[i][:n] for i, _, n in cuts], [days[i][:n] for i, _, n in cuts], horizon, known)
+                took = (time.perf_counter() - began) / max(1, len(cuts))
+                for (i, w, n), one in zip(cuts, found, strict=True):
+                    failed = isinstance(one, str)
+                    many = 1 if failed else horizon
+                    row += [i] * many
+                    window += [w] * many
+                    date.append(np.full(1, np.datetime64("NaT"), "datetime64[D]") if failed else days[i][n : n + horizon])
+                    y.append(np.full(1, np.nan) if failed else values[i][n : n + horizon])
+                    yhat.append(np.full(1, np.nan) if failed else one[0])
+                    error += [one if failed else None] * many
+                    seconds += [took] * many
+            if row:
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in [*keys, "model"]), pa.array(window, pa.int64()), pa.array(np.concatenate(date)), pa.array(np.concatenate(y), from_pandas=True), pa.array(np.concatenate(yhat), from_pandas=True), pa.array(error, pa.string()), pa.array(seconds)], names=columns)
 
     schema = f"{_key_types(jobs, keys)}, model string, window bigint, date date, y double, yhat double, error string, seconds double"
-    return jobs.repartition(*(F.col(c) for c in [*keys, "model", "window"])).mapInPandas(run, schema)
+    return jobs.repartition(*(F.col(c) for c in [*keys, "model"])).mapInArrow(run, schema)
 
 
 def roll_up(tests: DataFrame, measures: DataFrame, keys: list[str], names: list[str], segments: DataFrame) -> DataFrame:

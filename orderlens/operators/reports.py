@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .series import week_end
@@ -22,9 +24,10 @@ def final_table(adjusted: DataFrame, keys: list[str], model: str | None = None)
     return adjusted.select(*keys, F.col("date").alias("forecast_date"), named, two("yhat").alias("base_forecast"), two("backlog").alias("known_backlog"), two("combined").alias("combined_projection"), two(F.col("share") * 100).alias("uplift_pct"), two("final_forecast").alias("final_forecast"), (F.col("share") > 0).alias("is_high_production_date"))
 
 
-def stamped(table: DataFrame) -> DataFrame:
-    """Adds `generated_at`, the time of the run."""
-    return table.withColumn("generated_at", F.current_timestamp())
+def stamped(table: DataFrame, at: dt.datetime | None = None) -> DataFrame:
+    """Adds `generated_at`, the time of the run to the second as ISO text; `at` fixes it."""
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss") if at is None else F.lit(at.isoformat(timespec="seconds"))
+    return table.withColumn("generated_at", now)
 
 
 def wide_actual_forecast(history: DataFrame, forecasts: DataFrame, keys: list[str], models: list[str], lookback: int | None = None) -> DataFrame:

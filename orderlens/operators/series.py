@@ -14,8 +14,13 @@ def daily_sum(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def daily_with_overall(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Daily sums of every segment and of all together, in one aggregation; `overall` marks the total's rows."""
+    """Daily sums of every segment and of all together, in one aggregation; `overall` marks the total's rows.
+
+    Rows with a null key are in the total only.
+    """
     both = lines.groupingSets([[F.col("date")], [*(F.col(k) for k in keys), F.col("date")]], *keys, "date").agg(F.sum("net_pounds").alias("y"), F.grouping(keys[0]).cast("bigint").alias("overall"))
+    for key in keys:
+        both = both.where((F.col("overall") == 1) | F.col(key).isNotNull())
     return both.select(*(F.when(F.col("overall") == 1, "__OVERALL__").otherwise(F.col(k)).alias(k) for k in keys), "date", "y", "overall")
 
 

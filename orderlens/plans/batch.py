@@ -2,7 +2,7 @@
 
     python -m orderlens.plans.batch --workbook orders.xlsx --store results --excel-out overall.xlsx --as-of 2026-06-30
 
-The store has three tables, partitioned by run date: segment_summary, segment_metrics and segment_forecasts. Segments
+The store has three tables of runs: segment_summary, segment_metrics and segment_forecasts, committed together. Segments
 that a run has stored already are skipped.
 """
 
@@ -40,7 +40,8 @@ def wide_forecasts(found: DataFrame, backlog: DataFrame) -> DataFrame:
 def run(lines: DataFrame, as_of: dt.date, horizon: int, segments: DataFrame, names: list[str] | None = None) -> dict[str, DataFrame]:
     """The three result tables of the segments, without their run date.
 
-    A segment without history is "skipped", one without any forecast "error"; neither stops the others.
+    A segment without history is "skipped", one without any forecast "error"; neither stops the others. Forecasts need
+    `models.LEAST_FINAL` days of history.
     """
     names, day = names or models.BATCH, as_of.isoformat()
     work = Workspace(lines.sparkSession, "batch")
@@ -50,7 +51,7 @@ def run(lines: DataFrame, as_of: dt.date, horizon: int, segments: DataFrame, nam
     good = tests.where("error is null")
     measures = forecasts.metrics(good, forecasts.mase_scale(history, KEYS), KEYS)
     metrics = work.keep(models.roll_up(tests, measures, KEYS, names, history.select(*KEYS).distinct()), "metrics")
-    found = work.keep(models.fit_panel(history, KEYS, horizon, names), "found")
+    found = work.keep(models.fit_panel(history, KEYS, horizon, names, least=models.LEAST_FINAL), "found")
     backlog = daily.where(F.col("date") > F.lit(as_of)).select(*KEYS, "date", F.col("y").alias("known_backlog"))
     wide = wide_forecasts(found, backlog)
     span = history.groupBy(*KEYS).agg(F.count(F.lit(1)).cast("int").alias("historical_days"))
@@ -76,8 +77,7 @@ def run_batch(lines: DataFrame, folder: str, as_of: dt.date, run_date: str, hori
         wanted = store.not_done(wanted, stored, run_date)
     if wanted.isEmpty():
         return {}
-    for name, table in run(lines, as_of, horizon, wanted, names).items():
-        store.add_to_run(table, folder, name, run_date, KEYS)
+    store.Store(spark, folder).commit(run(lines, as_of, horizon, wanted, names), run_date, KEYS)
     done = store.read_table(spark, folder, "segment_summary").where(F.col("run_date") == run_date).join(wanted, KEYS, "left_semi")
     return {r["status"]: r["n"] for r in done.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
 

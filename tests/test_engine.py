@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlens import catalog
-from orderlens.functions import cleaning, fits
+from orderlens.functions import arima, cleaning, ets, fits
 from orderlens.operators import events, features, forecasts, holidays, ingest, models, reconcile, reports, selection, series
 from orderlens.plans import batch, reconciled
 from orderlens.sources import loading, store, xlsx
@@ -36,6 +36,21 @@ def test_headers_and_ids(spark):
     assert [r[0] for r in found.collect()] == ["38", "38.5", "AB 402517", None, None]
 
 
+def test_numeric_columns(spark):
+    """Numbers of numeric columns are taken as they are, and whole ids never turn to powers of ten."""
+    df = spark.createDataFrame([(12_000_000.0, 12_000_000.0), (123_456_789.5, 38.0), (0.0005, 38.5), (1e-5, -7.0), (-5.0, 1e15), (float("nan"), float("nan")), (None, None)], "x double, id double")
+    found = rows(df.select("x", cleaning.parse_number(F.col("x")).alias("n"), cleaning.clean_id(F.col("id")).alias("id")).select("n.value", "n.reason", "id"))
+    assert found == [(12_000_000.0, None, "12000000"), (123_456_789.5, None, "38"), (0.0005, None, "38.5"), (1e-5, None, "-7"), (-5.0, None, "1000000000000000"), (None, "missing", None), (None, "missing", None)]
+    other = df.limit(1).select(*(cleaning.parse_number(F.lit(v).cast(t))["value"] for v, t in (("12000000.25", "decimal(20,4)"), ("9007199254740993", "bigint"), ("-3", "tinyint"), ("2.5e7", "float"))), cleaning.clean_id(F.lit(12_000_000).cast("bigint")), cleaning.clean_id(F.lit("1E3")))
+    assert rows(other) == [(12_000_000.25, 9007199254740992.0, -3.0, 2.5e7, "12000000", "1E3")]
+
+
+def test_segments_with_null_keys_are_in_the_total_only(spark):
+    df = spark.createDataFrame([("a", "g", day(1), 1.0), (None, "g", day(1), 2.0)], "customer string, material_group string, date date, net_pounds double")
+    found = rows(series.daily_with_overall(df, ["customer", "material_group"]).orderBy("overall"))
+    assert found == [("a", "g", day(1), 1.0, 0), ("__OVERALL__", "__OVERALL__", day(1), 3.0, 1)]
+
+
 def test_exact_duplicates(spark):
     df = spark.createDataFrame([("24H1", "a", 1.0), ("24H2", "a", 1.0), ("24H1", "b", 1.0)], "sheet string, order_no string, net_pounds double")
     assert rows(ingest.count_exact_duplicates(df)) == [(3, 1)]
@@ -260,11 +275,87 @@ def test_fits_on_known_series():
     days = np.datetime64("2024-01-01") + t
     weekly = 100 + 10.0 * (t % 7)
     for name in ("Seasonal Naive", "AutoARIMA", "AutoETS", "HistGradientBoosting"):
-        point, _ = models.REGISTRY[name](weekly, days, 14, np.array([], "datetime64[D]"))
+        point, _ = models.outcomes(name, [weekly], [days], 14, np.array([], "datetime64[D]"))[0]
         assert np.abs(point - (100 + 10.0 * ((400 + np.arange(14)) % 7))).max() < 3, name
     assert fits.seasonal_naive(weekly, 9)[0].tolist() == weekly[[393, 394, 395, 396, 397, 398, 399, 393, 394]].tolist()
 
 
+def test_smoothing_recovers_planted_forms():
+    """Series of known form and parameters, fitted side by side with shorter ones."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    season = np.array([3.0, 1, -2, 4, 0, -5, -1]) * 4
+    forms = {f.name: f for f in ets.FORMS}
+    planted = [("ANN", (0.3, 0, 0, 1)), ("ANA", (0.2, 0, 0.1, 1)), ("AAN", (0.5, 0.1, 0, 1)), ("AAdA", (0.4, 0.2, 0.1, 0.9)), ("MNM", (0.3, 0, 0.2, 1)), ("MNN", (0.6, 0, 0, 1))]
+    series = []
+    for name, parameters in planted:
+        form = forms[name]
+        parts = 1 + season / 80 if form.season == "M" else season if form.season == "A" else np.zeros(7)
+        series.append(ets.simulate(form, parameters, 1200, 200.0, 0.1 if form.trend else 0.0, parts, rng.normal(0, 0.05 if form.relative else 5.0, 1200)))
+    found = ets.fit_many([*series, series[0][-200:], series[1][:10]], 14)
+    for (name, parameters), fit in zip(planted, found, strict=False):
+        assert fit.form == name
+        used = [k for k, on in enumerate((True, forms[name].trend, forms[name].season != "N", forms[name].damped)) if on]
+        assert all(abs(fit.parameters[k] - parameters[k]) < 0.08 for k in used), (name, fit.parameters)
+    assert found[6] is not None and found[7] is None
+    alone = ets.fit_many([series[0][-200:]], 14)[0]
+    assert np.allclose(alone.point, found[6].point, rtol=1e-3) and alone.form == found[6].form
+    # A recursion by hand: the last states of fixed parameters.
+    y = np.array([10.0, 12, 9, 14, 11, 13, 10, 12, 15, 11, 9, 12, 13, 14, 10, 11])
+    lanes = ets.lanes_of([y], [[ets.FORMS.index(forms["AAdN"])]])
+    states = ets.smooth(lanes, np.array([[0.3], [0.1], [0.0], [0.9]]))[1]
+    level, slope, squares = lanes.level[0], lanes.slope[0], 0.0
+    for v in y:
+        e = v - level - 0.9 * slope
+        level, slope, squares = level + 0.9 * slope + 0.3 * e, 0.9 * slope + 0.1 * e, squares + e * e
+    assert np.allclose([states["level"][0], states["slope"][0], states["squares"][0]], [level, slope, squares])
+
+
+def test_arima_likelihood_is_exact():
+    """The filter's likelihood against the density of a multivariate normal."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for ar, ma in (([0.6], [0.5]), ([0.5, -0.3], []), ([], [0.4, 0.2]), ([0.3] + [0.0] * 5 + [0.5, -0.15], [])):
+        w = arima.simulate(ar, ma, 50, rng.normal(size=400))
+        size = max(len(ar), len(ma) + 1)
+        phi, theta = np.zeros(size), np.zeros(size)
+        phi[: len(ar)], theta[0], theta[1 : len(ma) + 1] = ar, 1, ma
+        weights = arima._weights(phi, theta, 0, 0, 600)
+        covariance = np.array([(weights[: 600 - k] * weights[k:]).sum() for k in range(50)])[np.abs(np.subtract.outer(np.arange(50), np.arange(50)))]
+        square = w @ np.linalg.solve(covariance, w)
+        lanes = arima.Lanes(w[:, None], np.zeros(1, int), np.zeros(1, int), np.zeros((4, 1), int), np.zeros(1))
+        assert arima.kalman(lanes, phi[:, None], theta[:, None])[0][0] == pytest.approx(50 * np.log(square / 50) + np.linalg.slogdet(covariance)[1], abs=1e-4)
+
+
+def test_arima_finds_planted_orders():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    planted = {"ar": ([0.7], [], 0, 0), "both": ([0.6], [0.5], 0, 0), "walk": ([], [-0.5], 1, 0), "weekly ar": ([0.5] + [0.0] * 5 + [0.6, -0.3], [], 0, 0), "weekly": ([0.4], [0.0] * 6 + [-0.6], 0, 1), "two": ([0.5, -0.4], [], 0, 0)}
+    series = [arima.simulate(a, m, 1200, rng.normal(0, 3, 1500), d, s) + 50 for a, m, d, s in planted.values()]
+    found = dict(zip(planted, arima.fit_many([*series, series[0][:10]], 14), strict=False))
+    want = {"ar": ((1, 0, 0, 0), (0, 0)), "both": ((1, 1, 0, 0), (0, 0)), "walk": ((0, 1, 0, 0), (1, 0)), "weekly ar": ((1, 0, 1, 0), (0, 0)), "weekly": ((1, 0, 0, 1), (0, 1)), "two": ((2, 0, 0, 0), (0, 0))}
+    assert {k: f.differences for k, f in found.items()} == {k: v[1] for k, v in want.items()}
+    same = sum(found[k].orders == v[0] for k, v in want.items())
+    assert same >= 5, {k: f.orders for k, f in found.items()}
+    # Differences are undone: forecasts go on from the last day, and their deviations grow where there is a unit root.
+    assert abs(found["walk"].point[0] - series[2][-1]) < 15 and found["walk"].spread[-1] > 1.5 * found["walk"].spread[0]
+    assert np.abs(found["weekly"].point[:7] - series[4][-7:]).max() < 15
+    assert arima.fit_many([series[0][:10]], 14) == [None]
+
+
+def test_stored_forecasts_need_three_weeks(spark):
+    first = dt.date(2026, 1, 1)
+    lines = [(k, "g", first + dt.timedelta(i), 10.0 + i % 7) for k, n in (("short", 20), ("enough", 21)) for i in range(40 - n, 40)]
+    df = spark.createDataFrame(lines, "customer string, material_group string, date date, net_pounds double")
+    found = batch.run(df, dt.date(2026, 2, 9), 7, series.segments(df, batch.KEYS), ["Seasonal Naive", "AutoETS"])
+    summary = {r["customer"]: (r["status"], r["error_message"]) for r in found["segment_summary"].collect()}
+    assert summary["short"] == ("error", "skipped: needs 21 observations") and summary["enough"] == ("ok", None)
+    assert {r["customer"] for r in found["segment_forecasts"].select("customer").distinct().collect()} == {"enough", "__OVERALL__"}
+
+
 def test_backtests_count_failures(spark):
     long = [("long", dt.date(2026, 1, 1) + dt.timedelta(k), float(k % 7)) for k in range(100)]
     short = [("short", dt.date(2026, 1, 1) + dt.timedelta(k), 1.0) for k in range(30)]
@@ -311,6 +402,45 @@ def test_batch_run_and_rerun(spark, tmp_path):
     assert list(book) == ["Overall Forecast", "Backtest Accuracy"] and len(book["Overall Forecast"]) == 8
 
 
+def test_a_run_is_committed_whole_or_not_at_all(spark, tmp_path):
+    """A run that dies between its tables leaves nothing for readers; its segments are offered again."""
+    folder = f"file://{tmp_path}/runs"
+    kept = store.Store(spark, folder)
+    one = spark.createDataFrame([("a", "g", 1.0), ("b", "g", 1.0)], "customer string, material_group string, v double")
+    dies = one.withColumn("v", F.raise_error(F.lit("killed")).cast("double"))
+    assert kept.table("summary") is None and kept.manifest() == (0, {})
+    with pytest.raises(Exception, match="killed"):
+        kept.commit({"summary": one, "metrics": dies}, "2026-01-01")
+    assert kept.versions() == [] and kept.table("summary") is None
+    assert kept.commit({"summary": one, "metrics": one}, "2026-01-01") == 1
+    with pytest.raises(Exception, match="killed"):
+        kept.commit({"summary": one, "metrics": dies}, "2026-01-02")
+    assert rows(store.not_done(one, kept.table("summary"), "2026-01-02").select("customer").orderBy("customer")) == [("a",), ("b",)]
+    # A rename that never came: staged folders and a stray manifest are not read, and vacuum removes them.
+    assert kept.vacuum() == 4
+    assert kept.commit({"summary": one.where("customer = 'a'").withColumn("v", F.lit(2.0))}, "2026-01-01") == 2
+    assert sorted(rows(kept.table("summary").select("customer", "v"))) == [("a", 2.0), ("b", 1.0)]
+    assert sorted(rows(kept.table("summary", 1).select("customer", "v"))) == [("a", 1.0), ("b", 1.0)]
+    assert kept.vacuum() == 2 and kept.versions() == [2]
+    assert sorted(rows(kept.table("metrics").select("customer", "run_date"))) == [("a", "2026-01-01"), ("b", "2026-01-01")]
+
+
+def test_commits_side_by_side(spark, tmp_path, monkeypatch):
+    """A commit whose number is taken meanwhile reads the newer manifest; neither run's rows are lost."""
+    kept = store.Store(spark, f"file://{tmp_path}/runs")
+    one = spark.createDataFrame([("a", "g", 1.0)], "customer string, material_group string, v double")
+    other, put, raced = one.withColumn("customer", F.lit("b")), kept._put, []
+
+    def late(version, tables):
+        if not raced:
+            raced.append(store.Store(spark, kept.folder).commit({"summary": other}, "2026-01-01"))
+        return put(version, tables)
+
+    monkeypatch.setattr(kept, "_put", late)
+    assert kept.commit({"summary": one}, "2026-01-01") == 2 and raced == [1]
+    assert sorted(r["customer"] for r in kept.table("summary").collect()) == ["a", "b"]
+
+
 def test_reconciled_run_to_a_workbook(spark, tmp_path):
     first = dt.date(2025, 1, 1)
     sheet = [[str(first + dt.timedelta(k)), 10 + k % 7 + 3 * c, f"c{c}", 100 + c, None, None, "x", k] for k in range(140) for c in range(2)]
