@@ -23,8 +23,13 @@ def _r(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-def _texts(spark: SparkSession, values: list) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(values)), "id bigint, raw string")
+def _texts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """(id, raw): a text for each order line, as exports hold them: one of the kind's forms with the line's own value in it."""
+    forms, mark, value = samples.TEXTS[kind]
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    line = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.expr(value).alias("_value"))
+    form = F.element_at(F.array(*(F.lit(x).cast("string") for x in forms)), (F.col("id") % len(forms) + 1).cast("int"))
+    return line.select("id", F.replace(form, F.lit(mark), F.col("_value")).alias("raw"))
 
 
 def _events(spark: SparkSession) -> DataFrame:
@@ -43,24 +48,26 @@ def _backlog(spark, sf_dir, keys=KEYS, lines=order_lines):
 
 
 def header_tokens(spark, sf_dir):
-    return _texts(spark, samples.HEADERS).select("id", c.token(F.col("raw")).alias("token"))
+    return _texts(spark, sf_dir, "headers").select("id", c.token(F.col("raw")).alias("token"))
 
 
 def number_parse(spark, sf_dir):
-    return _texts(spark, samples.NUMBERS).withColumn("n", c.parse_number(F.col("raw"))).select("id", "n.value", "n.reason")
+    return _texts(spark, sf_dir, "numbers").withColumn("n", c.parse_number(F.col("raw"))).select("id", "n.value", "n.reason")
 
 
 def id_clean(spark, sf_dir):
-    return _texts(spark, samples.IDS).select("id", c.clean_id(F.col("raw")).alias("clean"))
+    return _texts(spark, sf_dir, "ids").select("id", c.clean_id(F.col("raw")).alias("clean"))
 
 
 def day_parse(spark, sf_dir):
-    return _texts(spark, [x for x, _ in samples.DAYS]).select("id", c.parse_day(F.col("raw")).alias("date"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.to_date("l_shipdate").alias("day"))
+    forms = F.array(*(F.date_format("day", f) for f, _ in samples.DAY_TEXTS))
+    return lines.withColumn("raw", F.element_at(forms, (F.col("id") % len(samples.DAY_TEXTS) + 1).cast("int"))).select("id", c.parse_day(F.col("raw")).alias("date"))
 
 
 def half_year_sheets(spark, sf_dir):
     key = c.half_year_key(F.col("raw"))
-    return _texts(spark, samples.SHEETS).select("id", c.is_half_year(F.col("raw")).alias("accepted"), key["year"].cast("bigint").alias("year"), key["half"].cast("bigint").alias("half"))
+    return _texts(spark, sf_dir, "sheets").select("id", c.is_half_year(F.col("raw")).alias("accepted"), key["year"].cast("bigint").alias("year"), key["half"].cast("bigint").alias("half"))
 
 
 def _dirty(spark, sf_dir):
@@ -237,12 +244,14 @@ def ensemble_average(spark, sf_dir):
 
 
 def event_text(spark, sf_dir):
-    rows = _texts(spark, samples.EVENT_TEXTS)
+    rows = _texts(spark, sf_dir, "events")
     return rows.select("id", F.explode(events.parse_events(F.col("raw"))).alias("date"))
 
 
 def event_merge(spark, sf_dir):
-    return events.merge_events(_events(spark))
+    """A user's list as long as the order lines: many percentages a day, some missing."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return events.merge_events(lines.select(F.to_date("l_shipdate").alias("date"), F.when(F.col("l_linenumber") > 2, F.col("l_discount") * 100).alias("uplift_pct")))
 
 
 def event_classes(spark, sf_dir):
@@ -499,6 +508,11 @@ def ets_forecast(spark, sf_dir):
     return models.fit_panel(_history(spark, sf_dir), KEYS, HORIZON, ["AutoETS"])
 
 
+def ets_recursion(spark, sf_dir):
+    """Damped trend and weekly season smoothed with fixed parameters over every segment's whole history."""
+    return _r(models.smoothed(_history(spark, sf_dir), KEYS, "AAdA", (0.2, 0.05, 0.1, 0.9)), "level", "slope", "season", "deviation", digits=4)
+
+
 def arima_forecast(spark, sf_dir):
     return models.fit_panel(_history(spark, sf_dir), KEYS, HORIZON, ["AutoARIMA"])
 
@@ -563,7 +577,7 @@ QUERIES = {
     adjusted_forecast final_forecast_table actual_vs_forecast segment_profile weekday_stats class_counts holiday_calendar
     holiday_profile_company holiday_profile_material holiday_profile_combo holiday_text holiday_effects_wide weekday_shaping
     reconcile_weekly reconcile_daily recon_summary recon_blocks weekly_overall reasoning_text wide_forecast reasoning_daily holiday_model_layer holdout_backtest latest_run skip_done
-    upsert_run committed_runs dq_numeric ets_forecast arima_forecast gbm_forecast model_status day_parse final_forecast_models actual_forecast_wide actual_matrix
+    upsert_run committed_runs dq_numeric ets_recursion ets_forecast arima_forecast gbm_forecast model_status day_parse final_forecast_models actual_forecast_wide actual_matrix
     reconciled_forecast holdout_variants batch_summary batch_metrics batch_forecasts model_leaderboard model_recommended naive_backtest""".split()
 }
 

@@ -175,7 +175,7 @@ _BODY = {
     "best_by_wape": f"WITH {MEASURE} SELECT {K}, model AS best_model_by_wape, {_R('wape')} FROM least_wape",
     "multi_model_wide": f"WITH {_history()}, {TESTS} SELECT {K}, date, round(naive, 6) AS seasonal_naive, round(weekday, 6) AS weekday_mean, round(flat, 6) AS trailing_mean, round((naive + weekday + flat) / 3, 6) AS average FROM wide",
     "ensemble_average": f"WITH {_history()}, {_naive(K, 'hist', HORIZON)}, {BACKLOG}, fl AS (SELECT {K}, avg(y) AS yhat FROM hist WHERE i > n - 28 GROUP BY ALL), u AS (SELECT {K}, date, yhat FROM naive UNION ALL SELECT {_pre('n', K)}, n.date, f.yhat FROM naive n JOIN fl f ON {_on('n', 'f', K)}) SELECT {_pre('u', K)}, u.date, round(avg(greatest(u.yhat, coalesce(b.y, 0))), 6) AS average FROM u LEFT JOIN bl b ON {_on('u', 'b', K)} AND u.date = b.date GROUP BY ALL",
-    "event_merge": f"WITH {EVENTS} SELECT * FROM ev",
+    "event_merge": "SELECT CAST(l_shipdate AS DATE) AS date, max(CASE WHEN l_linenumber > 2 THEN l_discount * 100 END) AS uplift_pct FROM lineitem GROUP BY 1",
     "event_classes": f"WITH {LINES}, {EVENTS}, s AS (SELECT min(date) AS lo, max(date) AS hi FROM lines WHERE date <= {DAY}) SELECT date, uplift_pct, CASE WHEN date BETWEEN lo AND hi THEN 'historical' WHEN date > {DAY} AND date <= {DAY} + {HORIZON} THEN 'future' ELSE 'out_of_range' END AS kind FROM ev CROSS JOIN s",
     "date_variance": f"WITH {VARIANCE} SELECT {K}, event_date, {_R('actual', 'baseline', 'variance_pct')}, n_baseline FROM vr",
     "overall_uplift": f"WITH {VARIANCE} SELECT {K}, {_R('overall_pct')}, n_dates FROM ou",
@@ -234,20 +234,26 @@ SELECT {K}, date AS forecast_date, model, round(yhat, 2) AS base_forecast, round
 }
 
 
-def _values(texts: list) -> str:
-    return "t AS (SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, " + ("NULL" if x is None else "'" + x.replace("'", "''") + "'") + ")" for k, x in enumerate(texts)) + ") v(id, raw))"
+def _texts(kind: str) -> str:
+    forms, mark, value = samples.TEXTS[kind]
+    held = ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in forms)
+    return f"t AS (SELECT l_orderkey * 10 + l_linenumber AS id, replace(list_extract([{held}], CAST((l_orderkey * 10 + l_linenumber) % {len(forms)} + 1 AS INTEGER)), '{mark}', {value}) AS raw FROM lineitem)"
 
 
 _TOKEN = "regexp_replace(lower(raw), '[^a-z0-9]', '', 'g')"
 _TRIM = "regexp_replace(raw, '^\\s+|\\s+$', '', 'g')"
 _BODY |= {
-    "header_tokens": f"WITH {_values(samples.HEADERS)} SELECT id, {_TOKEN} AS token FROM t",
-    "half_year_sheets": f"WITH {_values(samples.SHEETS)}, k AS (SELECT id, regexp_matches({_TOKEN}, '^[0-9]{{2}}hy?[12]$') AS accepted, {_TOKEN} AS token FROM t) SELECT id, accepted, CASE WHEN accepted THEN left(token, 2)::BIGINT ELSE 99 END AS year, CASE WHEN accepted THEN right(token, 1)::BIGINT ELSE 9 END AS half FROM k",
-    "id_clean": f"WITH {_values(samples.IDS)}, k AS (SELECT id, regexp_replace({_TRIM}, '\\s+', ' ', 'g') AS x FROM t) SELECT id, CASE WHEN lower(x) IN ('', 'nan', 'none', '<na>', 'nat') THEN NULL WHEN regexp_matches(x, '^-?[0-9]+\\.0+$') THEN split_part(x, '.', 1) ELSE x END AS clean FROM k",
-    "number_parse": f"""WITH {_values(samples.NUMBERS)}, k AS (SELECT id, raw, {_TRIM} AS x FROM t), b AS (SELECT *, lower(x) IN ('', 'nan', 'none', 'n/a', 'na', '-') AS blank, regexp_matches(x, '^\\(.*\\)$') AS negative, regexp_replace(x, '[^0-9.-]', '', 'g') AS bare FROM k),
+    "header_tokens": f"WITH {_texts('headers')} SELECT id, {_TOKEN} AS token FROM t",
+    "half_year_sheets": f"WITH {_texts('sheets')}, k AS (SELECT id, regexp_matches({_TOKEN}, '^[0-9]{{2}}hy?[12]$') AS accepted, {_TOKEN} AS token FROM t) SELECT id, accepted, CASE WHEN accepted THEN left(token, 2)::BIGINT ELSE 99 END AS year, CASE WHEN accepted THEN right(token, 1)::BIGINT ELSE 9 END AS half FROM k",
+    "id_clean": f"WITH {_texts('ids')}, k AS (SELECT id, regexp_replace({_TRIM}, '\\s+', ' ', 'g') AS x FROM t) SELECT id, CASE WHEN lower(x) IN ('', 'nan', 'none', '<na>', 'nat') THEN NULL WHEN regexp_matches(x, '^-?[0-9]+\\.0+$') THEN split_part(x, '.', 1) ELSE x END AS clean FROM k",
+    "number_parse": f"""WITH {_texts('numbers')}, k AS (SELECT id, raw, {_TRIM} AS x FROM t), b AS (SELECT *, lower(x) IN ('', 'nan', 'none', 'n/a', 'na', '-') AS blank, regexp_matches(x, '^\\(.*\\)$') AS negative, regexp_replace(x, '[^0-9.-]', '', 'g') AS bare FROM k),
 v AS (SELECT *, CASE WHEN NOT blank AND regexp_matches(bare, '^-?([0-9]+[.]?[0-9]*|[.][0-9]+)$') THEN (CASE WHEN negative THEN -1 ELSE 1 END) * CAST(bare AS DOUBLE) END AS value FROM b) SELECT id, value, CASE WHEN raw IS NULL THEN 'missing' WHEN blank THEN 'blank' WHEN value IS NULL THEN 'unparseable' END AS reason FROM v""",
-    "event_text": f"WITH {_values(samples.EVENT_TEXTS)} SELECT id, date FROM (SELECT id, try_cast(trim(unnest(string_split(raw, ','))) AS DATE) AS date FROM t) WHERE date IS NOT NULL",
-    "day_parse": "WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, " + ("NULL" if d is None else f"DATE '{d}'") + ")" for k, (_, d) in enumerate(samples.DAYS)) + ") v(id, date)) SELECT * FROM t",
+    "event_text": f"WITH {_texts('events')} SELECT id, date FROM (SELECT id, try_cast(trim(unnest(string_split(raw, ','))) AS DATE) AS date FROM t) WHERE date IS NOT NULL",
+    "day_parse": "SELECT id, CASE list_extract([" + ", ".join(f"'{k}'" for _, k in samples.DAY_TEXTS) + f"], CAST(id % {len(samples.DAY_TEXTS)} + 1 AS INTEGER)) WHEN 'day' THEN day WHEN 'short' THEN make_date(2000 + year(day) % 100, month(day), day(day)) END AS date FROM (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_shipdate AS DATE) AS day FROM lineitem)",
+    "ets_recursion": f"""WITH RECURSIVE {_history()}, starts AS (SELECT {K}, avg(y) AS level, list(y ORDER BY i) AS first FROM hist WHERE i <= 7 GROUP BY {K} HAVING count(*) = 7),
+r AS ( SELECT {K}, CAST(0 AS BIGINT) AS i, level, 0.0::DOUBLE AS slope, list_transform(first, lambda v: v - level) AS season, 0.0::DOUBLE AS squares FROM starts
+UNION ALL SELECT {K}, i, q + 0.2 * e, 0.9 * slope + 0.05 * e, list_append(season[2:], season[1] + 0.1 * e), squares + e * e FROM (SELECT {_pre('r', K)}, h.i, r.slope, r.season, r.squares, r.level + 0.9 * r.slope AS q, h.y - r.level - 0.9 * r.slope - r.season[1] AS e FROM r JOIN hist h ON {_on('r', 'h', K)} AND h.i = r.i + 1))
+SELECT {_pre('r', K)}, round(level, 4) AS level, round(slope, 4) AS slope, round(season[1], 4) AS season, round(sqrt(squares / r.i), 4) AS deviation FROM r JOIN (SELECT {K}, max(n) AS n FROM hist GROUP BY {K}) s ON {_on('r', 's', K)} AND r.i = s.n""",
 }
 _BODY["naive_backtest"] = f"WITH {_history()}, {TESTS} SELECT {K}, \"window\", date, {_R('y')}, model, {_R('yhat')} FROM bt WHERE model = 'Seasonal Naive'"
 # Every step of a query is evaluated once.

@@ -15,9 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .search import descend
+
 SEASON, LEAST = 7, 21
 STRONG, KPSS_LEVEL, MOST_DIFFERENCES = 0.64, 0.463, 2  # fixed values: bound of seasonal strength, 5% point of the test
-SETTLE, ROUNDS = 120, 10
+SETTLE = 120
 
 
 @dataclass(frozen=True)
@@ -131,18 +133,29 @@ def _gains(phi: np.ndarray, theta: np.ndarray, days: int) -> tuple[np.ndarray, n
     noise = load[:, :, None] * load[:, None, :]
     state, power = noise.copy(), move.copy()
     for _ in range(12):  # doubling: the first 2^12 terms of the stationary variance
-        state = state + power @ state @ power.transpose(0, 2, 1)
+        more = power @ state @ power.transpose(0, 2, 1)
+        state = state + more
+        if np.abs(more).max(initial=0) < 1e-9:
+            break
         power = power @ power
+    # From a stationary start the variance moves by products of one vector, so a day costs a vector, not a matrix.
+    ahead = lambda v: phi * v[0] + np.concatenate([v[1:], np.zeros((1, count))])
+    f = np.maximum(state[:, 0, 0], 1e-12)
+    k = ahead(state[:, :, 0].T)
+    change, weight = k.copy(), -1 / f
     gain, variance = np.zeros((days, size, count)), np.ones((days, count))
     for t in range(days):
-        f = np.maximum(state[:, 0, 0], 1e-12)
-        k = (move @ state[:, :, :1])[:, :, 0] / f[:, None]
-        gain[t], variance[t] = k.T, f
-        new = move @ state @ move.transpose(0, 2, 1) + noise - k[:, :, None] * k[:, None, :] * f[:, None, None]
-        if np.abs(new - state).max(initial=0) < 1e-7:
-            gain[t:], variance[t:] = k.T, f
+        gain[t], variance[t] = k / f, f
+        first = change[0]
+        new_f = np.maximum(f + first * first * weight, 1e-12)
+        if np.abs(new_f - f).max(initial=0) < 1e-9:
+            gain[t:], variance[t:] = gain[t], f
             break
-        state = new
+        moved = ahead(change)
+        k = k + moved * (weight * first)
+        weight = weight + weight * weight * first * first / f
+        f = new_f
+        change = moved - k / f * first
     return gain, variance
 
 
@@ -157,6 +170,7 @@ def kalman(lanes: Lanes, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray
     lane = np.arange(count)
     settled = int(lanes.begin.max(initial=0)) + days - 1
     last, flat = gain[-1], 1 / variance[-1]
+    old = np.seterr(all="ignore")  # a lane that runs away scores infinity
     for t in range(rows):
         c = starts[t]
         if not c:
@@ -172,6 +186,7 @@ def kalman(lanes: Lanes, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray
         new = phi[:, :c] * now[0] + k[:, :c] * error
         new[:-1] += now[1:]
         state[:, :c] = new
+    np.seterr(**old)
     logs = np.cumsum(np.log(variance), axis=0)
     determinant = logs[np.minimum(n, days) - 1, lane] + np.maximum(n - days, 0) * np.log(variance[-1])
     squares = np.maximum(squares, 1e-300)
@@ -179,46 +194,11 @@ def kalman(lanes: Lanes, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray
     return np.where(np.isfinite(fit), fit, np.inf), squares / n, state
 
 
-def descend(score, x: np.ndarray, rounds: int = ROUNDS, step: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Quasi-Newton minimum in every lane at once; `score` takes (points, dimensions, lanes).
+def _fit(series: list[np.ndarray], jobs: list[tuple[int, tuple[int, int, int, int], bool]], near: dict[int, list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, Lanes, tuple, list]:
+    """Fits (series, orders, with a mean); returns values, free numbers, lanes, sizes, and the jobs in the order of lanes.
 
-    A round scores a lane's forward differences together, then steps of several lengths along its direction together.
+    `near` has the free numbers of a series' best model so far, from which its neighbours start.
     """
-    d, n = x.shape
-    lengths = np.array([1.0, 0.5, 0.2, 0.05, 0.01, 2.0])
-    inverse = np.repeat(np.eye(d)[None], n, axis=0) * 1e-3
-    value = gradient = moved = None
-    for _ in range(rounds):
-        around = np.concatenate([x[None], x[None] + step * np.eye(d)[:, :, None]])
-        found = score(around)
-        value, slope = found[0], (found[1:] - found[0]) / step
-        slope = np.where(np.isfinite(slope), slope, 0.0)
-        if gradient is not None:
-            change = slope - gradient
-            inner = (moved * change).sum(axis=0)
-            use = inner > 1e-8
-            scale = np.where(use, 1 / np.where(use, inner, 1), 0)
-            hy = np.einsum("lij,jl->il", inverse, change)
-            yhy = (change * hy).sum(axis=0)
-            s, h = moved.T, hy.T
-            inverse = inverse + ((scale + scale**2 * yhy)[:, None, None] * s[:, :, None] * s[:, None, :] - scale[:, None, None] * (h[:, :, None] * s[:, None, :] + s[:, :, None] * h[:, None, :]))
-        direction = -np.einsum("lij,jl->il", inverse, slope)
-        direction = np.clip(direction, -2, 2)
-        tries = np.clip(x[None] + lengths[:, None, None] * direction[None], -8, 8)
-        found = score(tries)
-        best = found.argmin(axis=0)
-        better = found[best, np.arange(n)] < value
-        to = np.where(better, tries[best, :, np.arange(n)].T, x)
-        moved, gradient = to - x, slope
-        gain = np.where(better, value - found[best, np.arange(n)], 0)
-        x, value = to, np.where(better, found[best, np.arange(n)], value)
-        if gain.max(initial=0) < 1e-3:
-            break
-    return x, value
-
-
-def _fit(series: list[np.ndarray], jobs: list[tuple[int, tuple[int, int, int, int], bool]]) -> tuple[np.ndarray, np.ndarray, Lanes, tuple, list]:
-    """Fits (series, orders, with a mean); returns values, free numbers, lanes, sizes, and the jobs in the order of lanes."""
     rows = max(len(w) for w in series)
     jobs = sorted(jobs, key=lambda j: -len(series[j[0]]))
     w = np.full((rows, len(series)), np.nan)
@@ -237,8 +217,12 @@ def _fit(series: list[np.ndarray], jobs: list[tuple[int, tuple[int, int, int, in
         flat = np.moveaxis(x, 0, 2).reshape(sum(most), count * points)
         return kalman(many, *_polynomials(many, flat, most))[0].reshape(count, points).T
 
-    start = np.zeros((sum(most), count))
-    value, x = (score(start[None])[0], start) if not sum(most) else descend(score, start + 0.2)[::-1]
+    start, edge = np.full((sum(most), count), 0.2), np.cumsum([0, *most])
+    for lane, job in enumerate(jobs):
+        for k, known in enumerate(near.get(job[0], ())):
+            size = min(len(known), most[k])
+            start[edge[k] : edge[k] + size, lane] = known[:size]
+    value, x = (score(start[None])[0], start) if not sum(most) else descend(score, start)[::-1]
     return value, x, lanes, most, jobs
 
 
@@ -293,8 +277,10 @@ def fit_many(series: list[np.ndarray], horizon: int, limits: Limits = REDUCED) -
     trim = lambda o: tuple(min(a, m) for a, m in zip(o, limits.most, strict=True))
     wanted = {(s, trim(o), may[s]) for s in range(len(use)) for o in FIRST if sum(trim(o)) <= limits.total}
     models: dict[tuple, tuple] = {}
+    near: dict[int, list[np.ndarray]] = {}
     while wanted:
-        value, x, lanes, most, jobs = _fit(held, sorted(wanted))
+        value, x, lanes, most, jobs = _fit(held, sorted(wanted), near)
+        edge = np.cumsum([0, *most])
         phi, theta = _polynomials(lanes, x, most)
         improved = set()
         for lane, job in enumerate(jobs):
@@ -303,6 +289,7 @@ def fit_many(series: list[np.ndarray], horizon: int, limits: Limits = REDUCED) -
             if job[0] not in best or tried[job] < tried[best[job[0]]] - 1e-6:
                 best[job[0]] = job
                 improved.add(job[0])
+                near[job[0]] = [x[edge[k] : edge[k] + job[1][k], lane].copy() for k in range(4)]
                 models[job] = (phi[:, lane].copy(), theta[:, lane].copy(), lanes.mean[lane])
         wanted = {(s, o, m) for s in improved for o, m in _neighbours(best[s][1], best[s][2], limits, may[s])} - tried.keys()
     for s, i in enumerate(use):

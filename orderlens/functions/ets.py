@@ -2,8 +2,8 @@
 
 Every series gets every admissible state-space form: additive or multiplicative error, no, additive or damped trend, no,
 additive or multiplicative weekly season. All forms of all series are lanes of the same arrays, so one pass over the days
-serves them all. Parameters are fitted by likelihood with a simplex search in which every lane moves its own simplex, and
-forms are compared by AICc.
+serves them all. Parameters are fitted by likelihood: the best of some starts, then quasi-Newton steps in every lane, whose
+points are lanes too. Forms are compared by AICc.
 
 Multiplicative forms need positive series; additive errors are not combined with a multiplicative season.
 """
@@ -14,10 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .search import descend
+
 SEASON, LEAST = 7, 14
 # Bounds of the usual parameter region.
 ALPHA, PHI = (1e-4, 0.9999), (0.8, 0.98)
-ROUNDS = 60
+ROUNDS = 12
 
 
 @dataclass(frozen=True)
@@ -111,7 +113,7 @@ def smooth(lanes: Lanes, parameters: np.ndarray) -> tuple[np.ndarray, dict[str,
     phi = np.where([f.damped for f in kind], phi, 1.0)
     gamma_add, gamma_times = (np.where([f.season == s for f in kind], gamma, 0.0) for s in "AM")
     level, slope, add, times = lanes.level.copy(), lanes.slope.copy(), lanes.add.copy(), lanes.times.copy()
-    squares, logs = np.zeros(len(level)), np.zeros(len(level))
+    squares, logs, product = np.zeros(len(level)), np.zeros(len(level)), np.ones(len(level))
     starts = np.searchsorted(lanes.begin, np.arange(len(lanes.y)), "right")  # lanes under way on each row: the first so many
     some = bool(relative.any())
     with np.errstate(all="ignore"):
@@ -124,8 +126,13 @@ def smooth(lanes: Lanes, parameters: np.ndarray) -> tuple[np.ndarray, dict[str,
             hat = q * s + a
             error = row[lanes.of[:c]] - hat
             if some:
-                squares[:c] += np.where(relative[:c], error / hat, error) ** 2
-                logs[:c] += np.where(relative[:c], np.log(np.abs(hat)), 0.0)
+                unit = np.where(relative[:c], hat, 1.0)
+                off = error / unit
+                squares[:c] += off * off
+                product[:c] *= unit
+                if t % 16 == 15:  # before the products grow too large
+                    logs += np.log(np.abs(product))
+                    product[:] = 1.0
                 step = error / s
                 times[k, :c] = s + gamma_times[:c] * error / q
             else:
@@ -135,7 +142,7 @@ def smooth(lanes: Lanes, parameters: np.ndarray) -> tuple[np.ndarray, dict[str,
             slope[:c] = move + beta[:c] * step
             add[k, :c] = a + gamma_add[:c] * error
         n = len(lanes.y) - lanes.begin
-        fit = n * np.log(np.maximum(squares, 1e-300) / n) + 2 * logs
+        fit = n * np.log(np.maximum(squares, 1e-300) / n) + 2 * (logs + np.log(np.abs(product)))
     return np.where(np.isfinite(fit), fit, np.inf), {"level": level, "slope": slope, "add": add, "times": times, "squares": squares, "phi": phi, "beta": beta, "alpha": alpha, "gamma": gamma_add + gamma_times}
 
 
@@ -152,31 +159,6 @@ def _wide(lanes: Lanes, times: int) -> Lanes:
     return Lanes(lanes.y, repeat(lanes.begin), repeat(lanes.of), repeat(lanes.form), repeat(lanes.level), repeat(lanes.slope), repeat(lanes.add), repeat(lanes.times))
 
 
-def minimise(score, x: np.ndarray, size: float = 1.0, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Simplex search in every lane at once; x holds a start (dimensions, lanes), `score` takes (points, dimensions, lanes).
-
-    A round scores a lane's reflection, expansion, both contractions and a step towards its best corner together. Where
-    none of the first four is an improvement, the worst corner takes that step.
-    """
-    d, n = x.shape
-    corners = np.repeat(x[None], d + 1, axis=0)
-    for k in range(d):
-        corners[k + 1, k] += size
-    value = score(corners)
-    lane = np.arange(n)
-    for _ in range(rounds):
-        order = np.argsort(value, axis=0, kind="stable")
-        corners, value = np.take_along_axis(corners, order[:, None, :], axis=0), np.take_along_axis(value, order, axis=0)
-        worst, middle = corners[-1], corners[:-1].mean(axis=0)
-        tries = np.stack([middle + f * (middle - worst) for f in (1.0, 2.0, 0.5, -0.5)] + [(worst + corners[0]) / 2])
-        found = score(tries)
-        reflect, expand, outside, inside, _ = found
-        take = np.where(reflect < value[0], np.where(expand < reflect, 1, 0), np.where(reflect < value[-2], 0, np.where((reflect < value[-1]) & (outside <= reflect), 2, np.where(inside < value[-1], 3, 4))))
-        corners[-1], value[-1] = tries[take, :, lane].T, found[take, lane]
-    best = value.argmin(axis=0)
-    return corners[best, :, lane].T, value[best, lane]
-
-
 def _steps(phi: np.ndarray, horizon: int) -> np.ndarray:
     """Sums of the powers of phi from 1 to h, for h up to the horizon."""
     return np.cumsum(phi[None, :] ** np.arange(1, horizon + 1)[:, None], axis=0)
@@ -211,7 +193,7 @@ def fit_many(series: list[np.ndarray], horizon: int) -> list[Fit | None]:
         return smooth(_wide(lanes, points), _bounded(flat))[0].reshape(count, points).T
 
     first = score(np.repeat(_STARTS.T[:, :, None], count, axis=2))
-    x, fit = minimise(score, _STARTS[:, first.argmin(axis=0)])
+    x, fit = descend(score, _STARTS[:, first.argmin(axis=0)], ROUNDS)
     states = smooth(lanes, _bounded(x))[1]
     n = len(lanes.y) - lanes.begin
     k = np.array([FORMS[f].parameters for f in lanes.form])
@@ -235,6 +217,27 @@ def fit_many(series: list[np.ndarray], horizon: int) -> list[Fit | None]:
     return out
 
 
+def last_states(series: list[np.ndarray], form: Form, parameters: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Level, slope, the next day's season, and the one-step errors' deviation of each series, for fixed parameters.
+
+    The first week's mean is the first level, its days' distances from it the first season; the first slope is 0.
+    """
+    lanes = lanes_of(series, [[FORMS.index(form)] for _ in series])
+    for lane, s in enumerate(lanes.of):
+        week = series[s][:SEASON]
+        lanes.level[lane], lanes.slope[lane] = week.mean(), 0.0
+        row = (lanes.begin[lane] + np.arange(SEASON)) % SEASON
+        if form.season == "A":
+            lanes.add[row, lane] = week - week.mean()
+        elif form.season == "M":
+            lanes.times[row, lane] = week / week.mean()
+    states = smooth(lanes, np.repeat(np.array(parameters)[:, None], len(series), axis=1))[1]
+    back = np.argsort(lanes.of)
+    season = states["times" if form.season == "M" else "add"][len(lanes.y) % SEASON]
+    n = len(lanes.y) - lanes.begin
+    return tuple(x[back] for x in (states["level"], states["slope"], season, np.sqrt(states["squares"] / n)))
+
+
 def simulate(form: Form, parameters: tuple[float, float, float, float], n: int, level: float, slope: float, season: np.ndarray, noise: np.ndarray) -> np.ndarray:
     """A series of the form with known parameters; `season` holds SEASON summands or factors."""
     alpha, beta, gamma, phi = parameters

@@ -82,6 +82,13 @@ def outcomes(name: str, values: list[np.ndarray], days: list[np.ndarray], horizo
     return out
 
 
+def _dealt(jobs: DataFrame, keys: list[str]) -> DataFrame:
+    """Jobs over all cores: their number is given, as otherwise small rows of long work are gathered in few tasks."""
+    spark = jobs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return jobs.repartition(tasks, *(F.col(c) for c in [*keys, "model"]))
+
+
 def _jobs(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray], dict[str, list[int]]]:
     """Values and days of a batch's rows, and the rows of each model."""
     days = [np.array(d, "datetime64[D]") for d in batch.column("days").to_pylist()]
@@ -121,7 +128,7 @@ def _fitted(jobs: DataFrame, keys: list[str], horizon: int, events: list[str], c
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in [*keys, "model"]), pa.array(np.concatenate(date)), *(pa.array(x, from_pandas=True) for x in numbers), pa.array(status, pa.string())], names=names)
 
     schema = f"{_key_types(jobs, keys)}, model string, date date, yhat double, lower double, upper double, status string"
-    return jobs.select(*keys, "model", "days", "values").repartition(*(F.col(c) for c in [*keys, "model"])).mapInArrow(run, schema)
+    return _dealt(jobs.select(*keys, "model", "days", "values"), keys).mapInArrow(run, schema)
 
 
 def fit_panel(series: DataFrame, keys: list[str], horizon: int, models: list[str] | None = None, events: list[str] = (), least: int = 0) -> DataFrame:
@@ -134,6 +141,23 @@ def fit_panel(series: DataFrame, keys: list[str], horizon: int, models: list[str
     return _fitted(packed(series, keys).select(*keys, "days", "values", each), keys, horizon, list(events), True, least)
 
 
+def smoothed(series: DataFrame, keys: list[str], form: str, parameters: tuple[float, float, float, float]) -> DataFrame:
+    """(keys, level, slope, season, deviation): the last states of exponential smoothing with fixed parameters.
+
+    `form` is one of `ets.FORMS` by name; keys with less than a season are absent.
+    """
+    kind = next(f for f in ets.FORMS if f.name == form)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.array(v, float) for v in batch.column("values").to_pylist()]
+            if values:
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(x) for x in ets.last_states(values, kind, parameters))], names=[*keys, "level", "slope", "season", "deviation"])
+
+    jobs = packed(series, keys).where(F.size("values") >= ets.SEASON).select(*keys, "values")
+    return jobs.mapInArrow(run, f"{_key_types(jobs, keys)}, level double, slope double, season double, deviation double")
+
+
 def fit_by_class(series: DataFrame, classes: DataFrame, keys: list[str], horizon: int, thorough: bool = False) -> DataFrame:
     """`fit_panel` with one model a key, by its demand class; keys of a class without a model, or too short for it, are absent."""
     model: Column = F.lit(None).cast("string")
@@ -181,7 +205,7 @@ def backtest_panel(series: DataFrame, keys: list[str], horizon: int, models: lis
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in [*keys, "model"]), pa.array(window, pa.int64()), pa.array(np.concatenate(date)), pa.array(np.concatenate(y), from_pandas=True), pa.array(np.concatenate(yhat), from_pandas=True), pa.array(error, pa.string()), pa.array(seconds)], names=columns)
 
     schema = f"{_key_types(jobs, keys)}, model string, window bigint, date date, y double, yhat double, error string, seconds double"
-    return jobs.repartition(*(F.col(c) for c in [*keys, "model"])).mapInArrow(run, schema)
+    return _dealt(jobs, keys).mapInArrow(run, schema)
 
 
 def roll_up(tests: DataFrame, measures: DataFrame, keys: list[str], names: list[str], segments: DataFrame) -> DataFrame:
