@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import samples
 from .functions import cleaning as c
-from .operators import classify, events, features, forecasts, holidays, ingest, models, reconcile, reports, selection, series
+from .operators import boosted, classify, events, features, forecasts, holidays, ingest, models, reconcile, reports, selection, series
 from .plans import batch, reconciled
 from .plans.order_lines import AS_OF, HORIZON, KEYS, WEEKS, material_lines, order_lines
 from .sources import store
@@ -521,6 +521,17 @@ def gbm_forecast(spark, sf_dir):
     return models.fit_panel(_history(spark, sf_dir), KEYS, HORIZON, ["HistGradientBoosting"])
 
 
+def boosted_panel(spark, sf_dir):
+    """Errors over each segment's last days: of one boosted model of all segments, of one for each, and of the last week again."""
+    rows = Workspace(spark, "boosted").keep(_history(spark, sf_dir).where(F.col("n") >= 60 + HORIZON), "rows")
+    panel = boosted.held_out_errors(rows, KEYS, HORIZON).withColumnRenamed("wape", "panel_wape")
+    history, held = rows.where(F.col("i") <= F.col("n") - HORIZON), rows.where(F.col("i") > F.col("n") - HORIZON).select(*KEYS, "date", "y")
+    each = models.fit_panel(history, KEYS, HORIZON, ["HistGradientBoosting", "Seasonal Naive"]).where("status = 'ok'").join(held, [*KEYS, "date"])
+    wape = F.sum(F.abs(F.col("y") - F.col("yhat"))) / F.nullif(F.sum(F.abs("y")), F.lit(0.0)) * 100
+    wide = each.groupBy(*KEYS).pivot("model", ["HistGradientBoosting", "Seasonal Naive"]).agg(wape)
+    return panel.join(wide.toDF(*KEYS, "own_wape", "naive_wape"), KEYS, "left")
+
+
 def model_status(spark, sf_dir):
     return models.fit_panel(_history(spark, sf_dir), KEYS, HORIZON, ["AutoETS", "Chronos-2"]).groupBy(*KEYS, "model", "status").agg(F.count("date").alias("days"))
 
@@ -577,7 +588,7 @@ QUERIES = {
     adjusted_forecast final_forecast_table actual_vs_forecast segment_profile weekday_stats class_counts holiday_calendar
     holiday_profile_company holiday_profile_material holiday_profile_combo holiday_text holiday_effects_wide weekday_shaping
     reconcile_weekly reconcile_daily recon_summary recon_blocks weekly_overall reasoning_text wide_forecast reasoning_daily holiday_model_layer holdout_backtest latest_run skip_done
-    upsert_run committed_runs dq_numeric ets_recursion ets_forecast arima_forecast gbm_forecast model_status day_parse final_forecast_models actual_forecast_wide actual_matrix
+    upsert_run committed_runs dq_numeric boosted_panel ets_recursion ets_forecast arima_forecast gbm_forecast model_status day_parse final_forecast_models actual_forecast_wide actual_matrix
     reconciled_forecast holdout_variants batch_summary batch_metrics batch_forecasts model_leaderboard model_recommended naive_backtest""".split()
 }
 

@@ -89,7 +89,8 @@ def export_overall(spark: SparkSession, folder: str, run_date: str, path: str) -
     if ahead.isEmpty():
         return False
     accuracy = store.read_table(spark, folder, "segment_metrics").where(mine).select("model", "wape", "mae", "accuracy_score", "skipped", "skip_reason").orderBy("model")
-    xlsx.write_frames(path, {"Overall Forecast": ahead, "Backtest Accuracy": accuracy})
+    values = {c: xlsx.TENTH for c, t in [*ahead.dtypes, *accuracy.dtypes] if t == "double"}
+    xlsx.write_frames(path, {"Overall Forecast": ahead, "Backtest Accuracy": accuracy}, looks={n: xlsx.Look(values) for n in ("Overall Forecast", "Backtest Accuracy")})
     return True
 
 

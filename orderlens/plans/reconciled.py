@@ -212,7 +212,11 @@ def export(run: Run, path: str, reasoning: bool = True, backtest: DataFrame | No
         groups["Reasoning"] = [("Combination", len(known.columns)), *((n, len(fields)) for n in names)]
     if backtest is not None:
         sheets["Backtest"] = backtest.orderBy("metric")
-    xlsx.write_frames(path, sheets, groups)
+    form = {"Holiday Effects": xlsx.THOUSANDTH, "Reasoning": xlsx.TENTH, "Backtest": xlsx.TENTH}
+    still = {"Forecast": (len(run.keys), 1), "Reconciliation": (1, 1), "Reconciliation (Weekly)": (2, 1), "Holiday Effects": (2, 1), "Reasoning": (len(run.keys), 1)}
+    numbers = lambda df: [c for c, t in df.dtypes if t in ("double", "float", "bigint", "int") or t.startswith("decimal")]
+    looks = {n: xlsx.Look({c: form.get(n, xlsx.WHOLE) for c in numbers(df)}, None, still.get(n, (0, 1)), {c: 24 for c in run.keys if c in df.columns}) for n, df in sheets.items()}
+    xlsx.write_frames(path, sheets, groups, looks)
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from orderlens import catalog
 from orderlens.functions import arima, cleaning, ets, fits
-from orderlens.operators import events, features, forecasts, holidays, ingest, models, reconcile, reports, selection, series
+from orderlens.operators import boosted, events, features, forecasts, holidays, ingest, models, reconcile, reports, selection, series
 from orderlens.plans import batch, reconciled
-from orderlens.sources import loading, store, xlsx
+from orderlens.sources import loading, store, workbook_source, xlsx
 from orderlens.streaming import daily
 
 SMALL = "/root/testdata/sf0.001"
@@ -198,13 +198,49 @@ def test_date_cells_of_a_workbook(tmp_path):
     with zipfile.ZipFile(path) as book:
         parts = {n: book.read(n) for n in book.namelist()}
     sheet = "xl/worksheets/sheet1.xml"
-    parts[sheet] = parts[sheet].replace(b'r="A2"', b'r="A2" s="1"').replace(b'r="A3"', b'r="A3" s="1"')
+    parts[sheet] = parts[sheet].replace(b'<row><c s="2"', b'<row><c s="1"')
     with zipfile.ZipFile(path, "w") as book:
         for n, data in {**parts, "xl/styles.xml": styles.encode()}.items():
             book.writestr(n, data)
     assert xlsx.read_workbook(path)["24H1"][1:] == [["2024-01-01", "45292"], ["2024-01-01 12:00:00", "1"]]
 
 
+def test_workbooks_as_a_source(spark, tmp_path):
+    """A task for each sheet of a folder of workbooks; by sheet name under the header's names."""
+    for k in range(2):
+        xlsx.write_workbook(str(tmp_path / f"b{k}.xlsx"), {"24H1": (["a", None, "a"], [[k, "x", 1e-7], [None, "y<", dt.date(2024, 2, 29)]]), f"only{k}": (["z"], [[1]])})
+    workbook_source.register(spark)
+    every = spark.read.format("orderlens_xlsx").load(str(tmp_path))
+    assert every.rdd.getNumPartitions() == 4
+    assert sorted((r["sheet"], r["row"], *r["cells"]) for r in every.where("workbook like '%b1.xlsx'").collect()) == [("24H1", 1, "a", None, "a"), ("24H1", 2, "1", "x", "0.0000001"), ("24H1", 3, None, "y<", "2024-02-29"), ("only1", 1, "z"), ("only1", 2, "1")]
+    one = spark.read.format("orderlens_xlsx").option("sheet", "24H1").load(f"file://{tmp_path}")
+    assert one.columns == ["a", "column1", "a.1"] and one.count() == 4
+    assert rows(one.where("column1 = 'x'").orderBy("a").select("`a.1`", "a")) == [("0.0000001", "0"), ("0.0000001", "1")]
+    frames = xlsx.sheet_frames(spark, str(tmp_path / "b0.xlsx"))
+    assert list(frames) == ["24H1", "only0"] and rows(frames["only0"]) == [("1",)]
+    with pytest.raises(Exception, match="no workbook has a sheet"):
+        spark.read.format("orderlens_xlsx").option("sheet", "none").load(str(tmp_path))
+
+
+def test_styled_sheets_written_by_tasks(spark, tmp_path):
+    """Many rows without collect; fills, number formats, dates and frozen rows in the workbook's XML."""
+    path = str(tmp_path / "big.xlsx")
+    frame = spark.range(30_000).repartitionByRange(5, "id").select("id", F.when(F.col("id") % 2 == 0, "Forecast").otherwise("Actual").alias("type"), (F.col("id") / 3).alias("v"), F.expr("date_add(date'2024-01-01', cast(id % 100 as int))").alias("day")).sortWithinPartitions("id")
+    look = xlsx.Look({"v": "#,##0.0"}, ("type", "Forecast", "FFF2CC"), (1, 1), {"id": 24})
+    xlsx.write_frames(path, {"big": frame, "none": frame.where("false"), "plain": frame.limit(1)}, looks={"big": look})
+    book = xlsx.read_workbook(path)
+    assert [r[0] for r in book["big"][1:]] == [str(i) for i in range(30_000)] and book["big"][5][3] == "2024-01-05"
+    assert book["none"][1][0] == "no data" and len(book["plain"]) == 2
+    with zipfile.ZipFile(path) as archive:
+        sheet, styles = archive.read("xl/worksheets/sheet1.xml").decode(), archive.read("xl/styles.xml").decode()
+    assert 'formatCode="#,##0.0"' in styles and 'rgb="FFFFF2CC"' in styles and "<b/>" in styles
+    assert '<pane xSplit="1" ySplit="1"' in sheet and '<col min="1" max="1" width="24"' in sheet
+    shared = xlsx._Styles([look])
+    assert f'<c s="{shared.of("#,##0.0", "FFF2CC")}"><v>0.0</v>' in sheet and f'<c s="{shared.of("#,##0.0", "")}"><v>0.3333333333333333</v>' in sheet
+    with pytest.raises(ValueError, match="too many rows"):
+        xlsx.write_frames(str(tmp_path / "over.xlsx"), {"over": spark.range(xlsx.MOST_ROWS + 1)})
+
+
 def test_event_csv(spark, tmp_path):
     (tmp_path / "e.csv").write_text("Uplift %,High production date,note\n,2026-10-31,a\n15,10/31/2026,b\nx,2026-11-01,c\n5,soon,d\n")
     found = loading.read_events(spark, f"file://{tmp_path}/e.csv")
@@ -346,6 +382,26 @@ def test_arima_finds_planted_orders():
     assert arima.fit_many([series[0][:10]], 14) == [None]
 
 
+def test_boosted_panel(spark):
+    """Features of the next day agree with the window plan, and one model of several series follows their weeks."""
+    first = dt.date(2025, 1, 1)
+    size = {"a": 10.0, "b": 1000.0, "c": 3.0}
+    shape = [1.0, 2.0, 3.0, 2.0, 1.0, 0.5, 0.5]
+    data = [(k, first + dt.timedelta(i), v * shape[i % 7]) for k, v in size.items() for i in range(20 if k == "c" else 150)]
+    panel = spark.createDataFrame(data, "k string, date date, y double")
+    whole = {r["k"]: r for r in features.feature_matrix(panel, ["k"]).where("(k = 'c' and date = '2025-01-20') or (k <> 'c' and date = '2025-05-30')").collect()}
+    before = panel.where("(k = 'c' and date < '2025-01-20') or (k <> 'c' and date < '2025-05-30')").groupBy("k").agg(F.max("date").alias("day"), F.array_sort(F.collect_list(F.struct("date", "y"))).alias("v"))
+    told = before.select("k", *(c.alias(n) for n, c in boosted.next_features(F.col("v.y"), F.date_add("day", 1)).items())).collect()
+    for r in told:
+        for n in boosted.NAMES[:-1]:
+            want = whole[r["k"]][n]
+            assert r[n] == (want if want is None else pytest.approx(want, rel=1e-6, abs=1e-6)), n
+    found = boosted.forecast(boosted.train(panel, ["k"], rounds=10), panel, ["k"], 7).orderBy("k", "date").collect()
+    assert [r["date"] for r in found if r["k"] == "a"] == [first + dt.timedelta(150 + i) for i in range(7)]
+    for k, n in (("a", 150), ("b", 150), ("c", 20)):
+        assert [r["yhat"] for r in found if r["k"] == k] == pytest.approx([size[k] * shape[(n + i) % 7] for i in range(7)], rel=0.35)
+
+
 def test_stored_forecasts_need_three_weeks(spark):
     first = dt.date(2026, 1, 1)
     lines = [(k, "g", first + dt.timedelta(i), 10.0 + i % 7) for k, n in (("short", 20), ("enough", 21)) for i in range(40 - n, 40)]
