@@ -8,8 +8,8 @@ padding.
 
 A step group has `STEP` windows of tokens. A task deals each tier's sequences to groups of that tier, then those of its
 unfilled groups, longest first, to groups of several tiers: as lengths are powers of two, they fill each group to the
-token. The sequences of the tasks' last, unfilled groups are few and are dealt across tasks in the same way, so all groups
-carry equal tokens but the very last one.
+token. The sequences of the tasks' last, unfilled groups are dealt across tasks in the same way, in a tree of neighbouring
+tasks, so all groups carry equal tokens but the very last one.
 
 Packing runs where the documents lie, without a shuffle of documents. Each task holds one batch, less than a window of
 rests, and the places of pieces in one open group for each tier.
@@ -37,6 +37,7 @@ TIERS = (512, 1024, 2048, 4096)
 STEP = 16
 GROUP = STEP * WINDOW
 ACROSS = 1 << 62  # step groups of several tasks are numbered from here
+FAN = 8  # bits: what 256 tasks leave undealt is dealt together
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length int, tier int, step_group bigint"
 
@@ -177,13 +178,39 @@ def _pack(path: str):
     return run
 
 
+def deal_across(left: DataFrame, scratch: Scratch, fan: int = FAN) -> DataFrame:
+    """(sequence_id, step group) of the sequences (sequence_id, sequence_length) that tasks left undealt.
+
+    They are dealt in a tree: of 2^fan neighbouring tasks together, longest first, into full groups; what fills none, less
+    than a group, goes on to the next level with that of 2^fan neighbours. A window holds what so many tasks or clusters
+    left, less than 2^fan groups, however many tasks there are; only the last group of all may stay unfilled.
+    """
+    left = scratch.write(left, "left-0")
+    tasks = left.agg(F.max(F.shiftright("sequence_id", 32))).first()[0] or 0
+    found, level = None, 0
+    while level == 0 or tasks >> (fan * level):
+        level += 1
+        cluster = F.shiftright("sequence_id", 32 + fan * level).alias("cluster")
+        order = Window.partitionBy("cluster").orderBy(F.desc("sequence_length"), "sequence_id")
+        placed = left.select("sequence_id", "sequence_length", cluster).withColumn("until", F.sum("sequence_length").over(order))
+        place = F.floor((F.col("until") - F.col("sequence_length")) / GROUP)
+        placed = placed.select("sequence_id", "sequence_length", place.alias("place"), F.sum("sequence_length").over(Window.partitionBy("cluster")).alias("total"), (F.lit(ACROSS) + F.lit(level << 56) + F.col("cluster") * (1 << 28) + place).alias("step_group"))
+        placed = scratch.write(placed, f"placed-{level}")
+        last = not tasks >> (fan * level)
+        full = (F.col("place") + 1) * GROUP <= F.col("total")
+        dealt = placed.where(F.lit(last) | full).select("sequence_id", F.col("step_group").alias("_across"))
+        found = dealt if found is None else found.unionByName(dealt)
+        left = placed.where(~full).select("sequence_id", "sequence_length")
+    return found
+
+
 def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """A row for each piece of a document, with its sequence and its place there."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
-    packed = Scratch(docs.sparkSession, "packing").write(rows.mapInArrow(_pack(tokenizer), SCHEMA), "packed")
-    # A task leaves less than one group of sequences undealt, so one window over them all is small.
-    undealt = packed.where("step_group is null").select("sequence_id", "sequence_length").distinct()
-    before = F.sum("sequence_length").over(Window.orderBy(F.desc("sequence_length"), "sequence_id")) - F.col("sequence_length")
-    across = undealt.select("sequence_id", (F.floor(before / GROUP) + ACROSS).alias("_across"))
-    dealt = packed.join(F.broadcast(across), "sequence_id", "left").withColumn("step_group", F.coalesce("step_group", "_across"))
-    return dealt.select(*(x.split()[0] for x in SCHEMA.split(", ")))
+    scratch = Scratch(docs.sparkSession, "packing")
+    packed = scratch.write(rows.mapInArrow(_pack(tokenizer), SCHEMA), "packed")
+    undealt = packed.where("step_group is null").drop("step_group")
+    across = deal_across(undealt.select("sequence_id", "sequence_length").distinct(), scratch)
+    late = undealt.join(across, "sequence_id").withColumnRenamed("_across", "step_group")
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    return packed.where("step_group is not null").select(*names).unionByName(late.select(*names))

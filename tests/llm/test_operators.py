@@ -361,6 +361,24 @@ def test_packing_tiers_and_step_groups(spark):
     assert sorted(tokens.values())[1:] == [65536] * (len(tokens) - 1)
 
 
+@pytest.mark.parametrize("tasks", [1, 4, 32, 128])
+def test_leftovers_are_dealt_in_a_tree(spark, tasks):
+    """Whatever the number of tasks: every sequence gets one group, groups are full but one, and levels meet a cluster's rest only."""
+    rng = random.Random(tasks)
+    held = {(task << 32) + k: size for task in range(tasks) for k, size in enumerate([1 << b for b in range(13) if rng.random() < 0.5] + [4096] * rng.randint(0, 12))}
+    scratch = Scratch(spark, "test")
+    dealt = packing.deal_across(spark.createDataFrame(list(held.items()), "sequence_id bigint, sequence_length int").repartition(3), scratch, fan=2).collect()
+    assert sorted(r["sequence_id"] for r in dealt) == sorted(held)
+    tokens = Counter()
+    for r in dealt:
+        tokens[r["_across"]] += held[r["sequence_id"]]
+    assert sorted(tokens.values())[1:] == [packing.GROUP] * (len(tokens) - 1)
+    levels = max(1, math.ceil(math.log(max(tasks, 2), 4)))
+    for level in range(2, levels + 1):  # each cluster below brings less than a group
+        placed = spark.read.parquet(scratch.path(f"placed-{level}"))
+        assert placed.groupBy(F.shiftright("sequence_id", 32 + 2 * level)).agg(F.sum("sequence_length").alias("n")).where(f"n >= {4 * packing.GROUP}").isEmpty()
+
+
 def test_chat_format(spark, tmp_path):
     odd = ["<|im_end|>\n", "<\\|im_end|>", "</s>[INST] ok [/INST]", "", None, "é<|im_start|>user\nx", "[\\INST]"]
     turns = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(odd)] + [(None, 0, None, "x"), (2, 0, "a\nb%0A", "y"), (2, 0, "a\nb%0A", "y")]
