@@ -16,8 +16,8 @@ Links only matter through components, which keeps crowded prefixes linear:
   meets once, at its first shared shingle. Places in the prefixes and parity bitmaps of the sets bound how far a pair
   can differ, so most near misses of a crowd are not even paired.
 
-Verification compares whole sets. A shingle is named by a 48-bit hash, a set
-by a 64-bit one.
+Verification compares whole sets. A shingle is named by a 48-bit hash. A set is named by a 64-bit one; names that two sets
+share, told by a second hash of 64 bits, are made anew from both, so a set is known by 128 bits.
 
 Defined cases: null and empty texts have empty sets, are linked with nothing and form components of their own; rows may
 repeat or share an id (the component's id is the least id); a row without an id gets the least id of its component, or
@@ -40,6 +40,7 @@ from .words import SpanHashes, Words, mix, pieces, signed
 SHINGLE = 5
 BUCKETS = 1 << 16
 STAR_ROUNDS = 2
+NODE_BITS = 64
 BITMAP = ["b0", "b1", "b2", "b3"]
 BEFORE = 4
 
@@ -76,12 +77,23 @@ def _bitmaps(doc: np.ndarray, value: np.ndarray, texts: int) -> np.ndarray:
     return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named_sets(doc: np.ndarray, value: np.ndarray, texts: int, bits: int, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, name and second signature of each text's set; names in `shared` stand for several sets and are made anew."""
+    size, node, check = _signatures(doc, value, texts)
+    node = node & np.uint64((1 << bits) - 1)
+    return size, np.where(np.isin(node, shared), node ^ check, node) if len(shared) else node, check
+
+
+def _scan(bits: int):
+    return lambda batches: _scanned(batches, bits)
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """A row for each document (kind 0: id, text hash, size, signature), and bucket counts of the task (kind 1)."""
     loads = np.zeros(BUCKETS, np.int64)
     for piece in pieces(batches, "text"):
         doc, value = shingle_sets(Words(piece.column("text"), lower=True))
-        size, node, check = _signatures(doc, value, piece.num_rows)
+        size, node, check = _named_sets(doc, value, piece.num_rows, bits, np.zeros(0, np.uint64))
         loads += np.bincount((value >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(piece.num_rows, np.int8)), piece.column("_id"), piece.column("_text"), pa.array(size.astype(np.int64)), pa.array(signed(node)), pa.array(signed(check)), *(pa.array(b) for b in np.ascontiguousarray(_bitmaps(doc, value, piece.num_rows).T))], names=["kind", "_id", "_text", "n", "node", "check", *BITMAP])
     full = np.flatnonzero(loads)
@@ -106,11 +118,11 @@ def base_need(n):
     return np.minimum(overlap_floor(n), 1 + n // 32)
 
 
-def _prefixes(levels: np.ndarray):
+def _prefixes(levels: np.ndarray, bits: int, shared: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             doc, value = shingle_sets(Words(piece.column("text"), lower=True))
-            size, node, _ = _signatures(doc, value, piece.num_rows)
+            size, node, _ = _named_sets(doc, value, piece.num_rows, bits, shared)
             level = levels[(value >> np.uint64(48)).astype(np.int64)]
             crowded = np.flatnonzero(level)
             crowded = crowded[np.lexsort((value[crowded], level[crowded], doc[crowded]))]
@@ -171,7 +183,8 @@ def _may_link(x, y, need: Column | int) -> Column:
 class _Join:
     """One run of the join; the tables of each step are written, and dropped when nothing reads them any more."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, bits: int = NODE_BITS):
+        self.bits = bits
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark, "ngram_join")
         self.text = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64("text").alias("_text"), F.col("text").alias("text"))
@@ -179,14 +192,20 @@ class _Join:
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """A row for each document, and the classes (node, least, at, component); the component is named by a node."""
         write = self.scratch.write
-        scan = write(self.text.mapInArrow(_scan, "kind tinyint, _id bigint, _text bigint, n bigint, node bigint, check bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint"), "scan")
+        scan = write(self.text.mapInArrow(_scan(self.bits), "kind tinyint, _id bigint, _text bigint, n bigint, node bigint, check bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint"), "scan")
         loads = np.zeros(BUCKETS, np.int64)
         for row in scan.where("kind = 1").groupBy("_id").agg(F.sum("_text").alias("n")).collect():  # BUCKETS rows at most
             loads[row["_id"]] = row["n"]
         sets = scan.where("kind = 0")
         full = sets.where("n > 0")
-        classes = write(full.groupBy("node").agg(F.min("_id").alias("least"), F.min(F.struct("_id", "_text")).alias("at"), *(F.min(b).alias(b) for b in BITMAP)), "classes")
-        prefixes = self.text.where("text is not null").select("text").mapInArrow(_prefixes(crowding(loads)), "token bigint, node bigint, n int, need int, rank int")
+        of = lambda rows: rows.groupBy("node").agg(F.min("_id").alias("least"), F.min(F.struct("_id", "_text")).alias("at"), F.min("check").alias("low"), F.max("check").alias("high"), *(F.min(b).alias(b) for b in BITMAP))
+        classes = write(of(full), "classes")
+        # Names of several sets: n^2 / 2^65 of n sets, 3 of 10 billion.
+        shared = [r["node"] for r in classes.where("low <> high").select("node").collect()]
+        if shared:
+            sets = sets.withColumn("node", F.when(F.col("node").isin(shared), F.col("node").bitwiseXOR(F.col("check"))).otherwise(F.col("node")))
+            classes = write(of(sets.where("n > 0")), "classes-anew")
+        prefixes = self.text.where("text is not null").select("text").mapInArrow(_prefixes(crowding(loads), self.bits, np.array(shared, np.int64).view(np.uint64)), "token bigint, node bigint, n int, need int, rank int")
         twice = write(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "twice")
         shared = write(prefixes.join(twice, "token", "left_semi"), "shared")
         low = F.ceil(F.col("n") * 0.8).cast("int")
@@ -201,7 +220,7 @@ class _Join:
         self.texts = write(texts.mapInArrow(_pack, "node bigint, text binary"), "texts")
         labels = self.links(rows)
         merged = write(_named(classes.select("node", "least", "at"), labels), "merged")
-        self.scratch.drop("classes", "able", "rows", "texts")
+        self.scratch.drop("classes", "classes-anew", "able", "rows", "texts")
         return sets, merged
 
     def run(self) -> DataFrame:
@@ -290,10 +309,10 @@ def _named(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def near_duplicate_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs."""
+def near_duplicate_components(docs: DataFrame, bits: int = NODE_BITS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs; fewer `bits` make sets share names, for tests."""
     nobody = F.lit(2**63 - 1)
-    found = _Join(docs.select("doc_id", "text")).run()
+    found = _Join(docs.select("doc_id", "text"), bits).run()
     return found.select(F.when(F.col("_id") != nobody, F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("component_id") != nobody, F.col("component_id")).alias("component_id"))
 
 

@@ -151,4 +151,14 @@ counted AS (SELECT part, o, step, x, sum(CASE WHEN NOT failed AND NOT gone THEN
 SELECT part, o AS filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
   good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley FROM counted"""
 
-SQL = {"op2_substring_dedup": SUBSTRING_SQL, "op9_url_filters": _url_sql(), "op13_filter_audit": AUDIT_SQL}
+JACCARD_SQL = """WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM split WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON r.other = w.a),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, s.doc_id) AS component_id FROM split s LEFT JOIN sizes z ON s.doc_id = z.doc_id LEFT JOIN least l ON s.doc_id = l.doc_id"""
+
+SQL = {"op10_ngram_jaccard_join": JACCARD_SQL, "op2_substring_dedup": SUBSTRING_SQL, "op9_url_filters": _url_sql(), "op13_filter_audit": AUDIT_SQL}

@@ -437,6 +437,41 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join.near_duplicate_components(empty).count() == 0
 
 
+def test_sets_that_share_a_name_stay_apart(spark, docs):
+    """With names of four bits most sets share one; they are told apart by their second hash."""
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicate_components(docs, bits=4).collect()}
+    assert found == components_by_force(corpus())
+
+
+def test_crowd_of_near_misses(spark):
+    """More than a thousand texts that share most of their words but few links, so that the last round meets them."""
+    rng = random.Random(12)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for i in range(1200):
+        words = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 2, 3, 3, 4])):
+            words[at] = f"x{rng.randrange(500)}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(56)} for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                low, high = sorted((root(i), root(j)))
+                parent[high] = low
+    want = {i: root(i) for i in range(len(rows))}
+    assert len(set(want.values())) > 100
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicate_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert found == want
+
+
 def test_near_duplicates_with_shared_and_missing_ids(spark):
     text = lambda c: " ".join(f"{c}{k}" for k in range(60))
     rows = [(None, text("a")), (None, text("b")), (None, text("b") + " tail"), (None, text("c")), (7, text("d")), (7, text("e")), (9, text("e") + " tail"), (3, text("f")), (5, text("f")), (5, text("g")), (None, text("g")), (None, None), (5, "")]
