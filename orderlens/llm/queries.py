@@ -108,19 +108,19 @@ def _url_sql() -> str:
     steps = []
     for k in range(u.LEVELS):
         last = f"array_to_string(parts[{u.LEVELS}:], '/')" if k == u.LEVELS - 1 else f"coalesce(parts[{k + 1}], '')"
-        own, whole = pure("c.bad", "c.labelled"), pure("p.bad", "p.labelled")
+        whole, others = "(p.bad / p.labelled)", "(p.labelled - c.labelled)"
         steps.append(f"""
 s{k} AS (SELECT *, {last} AS segment FROM t{k}),
 c{k} AS (SELECT host, branch, segment, sum(labelled) AS labelled, sum(bad) AS bad FROM s{k} GROUP BY ALL),
 p{k} AS (SELECT host, branch, sum(labelled) AS labelled, sum(bad) AS bad FROM c{k} GROUP BY ALL),
-n{k} AS (SELECT c.host, c.branch, c.segment, CASE WHEN abs({own} - {whole}) <= {u.TOLERANCE} * sqrt({whole} * (1 - {whole}) / (c.labelled + {u.WEIGHT})) THEN '*' ELSE c.segment END AS name
+n{k} AS (SELECT c.host, c.branch, c.segment, CASE WHEN c.labelled = 0 OR {others} = 0 OR abs(c.bad / c.labelled - (p.bad - c.bad) / {others}) <= {u.TOLERANCE} * sqrt({whole} * (1 - {whole}) * (1 / c.labelled + 1 / {others})) THEN '*' ELSE c.segment END AS name
   FROM c{k} c JOIN p{k} p ON c.host = p.host AND c.branch = p.branch),
 t{k + 1} AS (SELECT s.host, s.shape, s.parts, s.labelled, s.bad, s.branch || '/' || n.name AS branch FROM s{k} s JOIN n{k} n ON s.host = n.host AND s.branch = n.branch AND s.segment = n.segment)""")
     return f"""WITH rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM rests),
 parsed AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
 ruled AS (SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS ruled, array_to_string(list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda s: s <> ''), '/') AS shape FROM parsed),
-t0 AS (SELECT host, shape, string_split(shape, '/') AS parts, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS bad, '' AS branch FROM ruled GROUP BY host, shape),{",".join(steps)},
+t0 AS (SELECT host, shape, string_split(shape, '/') AS parts, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS bad, '' AS branch FROM (SELECT DISTINCT host, path, shape, ruled FROM ruled) GROUP BY host, shape),{",".join(steps)},
 leaf AS (SELECT host, branch, {pure("sum(bad)", "sum(labelled)")} AS purity FROM t{u.LEVELS} GROUP BY ALL)
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.ruled, CASE WHEN l.purity >= {u.BLOCK} THEN 'block' ELSE 'allow' END) AS verdict, t.branch AS template, round(l.purity, 9) AS purity
 FROM ruled r JOIN t{u.LEVELS} t ON r.host = t.host AND r.shape = t.shape JOIN leaf l ON t.host = l.host AND t.branch = l.branch"""

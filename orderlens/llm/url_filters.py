@@ -1,13 +1,14 @@
 """URL filter by a path-template tree, in DataFrame functions only.
 
 Explicit rules decide first. For all other urls each host has a tree of path templates: runs of digits in a segment
-become wildcards, and from the root down, children of a node that are statistically similar to it in their labelled
-share of bad urls are merged into one wildcard branch, while dissimilar children keep branches of their own. A template
-is blocked where its smoothed labelled purity, the share of bad among its labelled urls, reaches `BLOCK`.
+become wildcards, and from the root down, children of a node whose labelled share of bad urls does not differ from that
+of their siblings by a two-sample test are merged into one wildcard branch, while others keep branches of their own. A
+child without labels, or whose siblings have none, gives no reason to set it apart and is merged. A template is blocked
+where its smoothed labelled purity, the share of bad among its labelled urls, reaches `BLOCK`.
 
-The urls that rules decide are the labels. The tree is built from counts by distinct template, so a hot host costs
-partial sums, and the join back to the urls is one that adaptive execution can split. The rule list is configuration
-and compiles into the plan.
+The urls that rules decide are the labels; equal urls count once, so repeated rows change no verdict. The tree is built
+from counts by distinct template, so a hot host costs partial sums, and the join back to the urls is one that adaptive
+execution can split. The rule list is configuration and compiles into the plan.
 
 Defined cases: a null url, or one without "://", has an empty host and path; such urls form one host; a template
 without labels is allowed; an empty table gives an empty result; rows may repeat or share an id; other columns never
@@ -65,8 +66,9 @@ def build_tree(counts: DataFrame, scratch: Scratch) -> DataFrame:
         tree = tree.withColumn("segment", F.coalesce(F.get(pieces, F.lit(level)), F.lit("")))
         child = tree.groupBy("host", "branch", "segment").agg(F.sum("labelled").alias("c_labelled"), F.sum("bad").alias("c_bad"))
         parent = child.groupBy("host", "branch").agg(F.sum("c_labelled").alias("p_labelled"), F.sum("c_bad").alias("p_bad"))
-        own, whole = _purity(F.col("c_bad"), F.col("c_labelled")), _purity(F.col("p_bad"), F.col("p_labelled"))
-        alike = F.abs(own - whole) <= TOLERANCE * F.sqrt(whole * (1 - whole) / (F.col("c_labelled") + WEIGHT))
+        known, others, whole = F.col("c_labelled"), F.col("p_labelled") - F.col("c_labelled"), F.col("p_bad") / F.col("p_labelled")
+        apart = F.abs(F.col("c_bad") / known - (F.col("p_bad") - F.col("c_bad")) / others)
+        alike = F.when((known == 0) | (others == 0), True).otherwise(apart <= TOLERANCE * F.sqrt(whole * (1 - whole) * (1 / known + 1 / others)))
         named = child.join(parent, ["host", "branch"]).select("host", "branch", "segment", F.when(alike, "*").otherwise(F.col("segment")).alias("name"))
         tree = tree.join(named, ["host", "branch", "segment"]).select("host", "shape", "labelled", "bad", F.concat("branch", F.lit("/"), "name").alias("branch"))
         tree = scratch.write(tree, f"level-{level}")
@@ -80,7 +82,8 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumns({"rule": rule, "ruled": verdict, "shape": template(F.col("path"))})
-    counts = ruled.groupBy("host", "shape").agg(F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("bad"))
+    once = ruled.select("host", "path", "shape", "ruled").distinct()
+    counts = once.groupBy("host", "shape").agg(F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("bad"))
     scratch = Scratch(pages.sparkSession, "url_filters")
     tree = scratch.write(build_tree(scratch.write(counts, "counts"), scratch), "tree")
     out = ruled.join(tree, ["host", "shape"])

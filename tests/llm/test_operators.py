@@ -407,6 +407,52 @@ def test_url_filters(spark):
     assert url_filters.judge_urls(df.limit(0)).count() == 0
 
 
+def url_verdicts_by_force(rows, rules):
+    """Verdicts of (host, path): the rule's, else that of the template in a tree of three levels."""
+    def ruled(host, path):
+        fits = [(len(h + p), v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    shape = lambda path: [s for s in re.sub("[0-9]+", "*", path).split("/") if s]
+    parts = lambda path: [*shape(path)[:2], *["/".join(shape(path)[2:])] * (len(shape(path)) > 2)] + [""] * (3 - min(3, len(shape(path))))
+    urls = {u: (u[0], parts(u[1]), ruled(*u)) for u in set(rows)}
+    branch = dict.fromkeys(urls, ())
+    tally = lambda us: (sum(urls[u][2] is not None for u in us), sum(urls[u][2] == "block" for u in us))
+    for level in range(3):
+        nodes, named = {}, {}
+        for u, (host, p, _) in urls.items():
+            nodes.setdefault((host, branch[u]), {}).setdefault(p[level], []).append(u)
+        for children in nodes.values():
+            n, bad = tally([u for us in children.values() for u in us])
+            for name, us in children.items():
+                k, b = tally(us)
+                same = not k or k == n or abs(b / k - (bad - b) / (n - k)) <= 2.0 * math.sqrt(bad / n * (1 - bad / n) * (1 / k + 1 / (n - k)))
+                named |= dict.fromkeys(us, "*" if same else name)
+        branch = {u: (*branch[u], named[u]) for u in urls}
+    leaves = {}
+    for u, (host, _, _) in urls.items():
+        leaves.setdefault((host, branch[u]), []).append(u)
+    pure = {leaf: (tally(us)[1] + 0.2) / (tally(us)[0] + 2) for leaf, us in leaves.items()}
+    return [urls[u][2] or ("block" if pure[urls[u][0], branch[u]] >= 0.5 else "allow") for u in rows]
+
+
+def test_url_tree_against_brute_force(spark):
+    """Hosts with some segments labelled bad, some good, some not; repeated rows keep every verdict."""
+    rng = random.Random(3)
+    rules = [("bad.org", "/de/", "block"), ("bad.org", "/fr/", "allow"), ("mixed.org", "/a/x", "block"), ("mixed.org", "/a/y", "allow"), ("mixed.org", "/b/", "block")]
+    rows = [(rng.choice(["bad.org", "www.bad.org", "mixed.org", "m.mixed.org", "new.org"]), "/" + "/".join(rng.choice(["de", "fr", "a", "b", "en"] if k == 0 else ["x", "y", "z7", "q"]) + rng.choice(["", str(rng.randrange(50))]) * (k > 0) for k in range(rng.randint(0, 4)))) for _ in range(1500)]
+    want = url_verdicts_by_force(rows, rules)
+    pages = spark.createDataFrame([(i, f"http://{h}{p}?z#y") for i, (h, p) in enumerate(rows)], "page_id bigint, url string")
+    verdicts = lambda df: {(r["page_id"], r["verdict"]) for r in url_filters.judge_urls(df, rules).collect()}
+    found = verdicts(pages)
+    assert found == set(enumerate(want))
+    assert set(want) == {"allow", "block"}
+    again = pages
+    for _ in range(4):
+        again = again.unionByName(pages.where("page_id % 3 = 0"))
+    assert verdicts(again) == found
+
+
 def components_by_force(rows):
     sets = {}
     for i, text, *_ in rows:
