@@ -37,14 +37,14 @@ def wide_forecasts(found: DataFrame, backlog: DataFrame) -> DataFrame:
     return wide.join(average, [*KEYS, "forecast_date"]).select(*KEYS, "forecast_date", *(F.col(f"`{m}`").alias(c) for m, c in COLUMNS.items()), "average", "known_backlog")
 
 
-def run(lines: DataFrame, as_of: dt.date, horizon: int, segments: DataFrame, names: list[str] | None = None) -> dict[str, DataFrame]:
+def run(lines: DataFrame, as_of: dt.date, horizon: int, segments: DataFrame, names: list[str] | None = None, work: Workspace | None = None) -> dict[str, DataFrame]:
     """The three result tables of the segments, without their run date.
 
     A segment without history is "skipped", one without any forecast "error"; neither stops the others. Forecasts need
-    `models.LEAST_FINAL` days of history.
+    `models.LEAST_FINAL` days of history. The tables read those of `work`.
     """
     names, day = names or models.BATCH, as_of.isoformat()
-    work = Workspace(lines.sparkSession, "batch")
+    work = work or Workspace(lines.sparkSession, "batch")
     daily = work.keep(daily_of(lines, segments), "daily")
     history = work.keep(series.modelled(daily, KEYS, day), "history")
     tests = work.keep(models.backtest_panel(history, KEYS, horizon, names), "tests")
@@ -77,9 +77,13 @@ def run_batch(lines: DataFrame, folder: str, as_of: dt.date, run_date: str, hori
         wanted = store.not_done(wanted, stored, run_date)
     if wanted.isEmpty():
         return {}
-    store.Store(spark, folder).commit(run(lines, as_of, horizon, wanted, names), run_date, KEYS)
+    work = Workspace(spark, "batch")
+    wanted = work.keep(wanted, "wanted")
+    store.Store(spark, folder).commit(run(lines, as_of, horizon, wanted, names, work), run_date, KEYS)
     done = store.read_table(spark, folder, "segment_summary").where(F.col("run_date") == run_date).join(wanted, KEYS, "left_semi")
-    return {r["status"]: r["n"] for r in done.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["status"]: r["n"] for r in done.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    work.close()
+    return counts
 
 
 def export_overall(spark: SparkSession, folder: str, run_date: str, path: str) -> bool:

@@ -49,6 +49,7 @@ class Run:
     fitted: DataFrame  # keys, model
     calendar: DataFrame
     profiles: dict[str, DataFrame] = field(default_factory=dict)
+    work: Workspace | None = None  # the tables that all of these read
 
 
 def _window(spark: SparkSession, days: list[dt.date]) -> DataFrame:
@@ -135,7 +136,7 @@ def build(lines: DataFrame, as_of: dt.date, days: list[dt.date], overall_days: l
     detail = work.keep(model.select(*keys, "date", "base", "hf", "m", "backlog", "has_model", "demand_class"), "detail")
     target = company.join(F.broadcast(window), "date", "left_semi").select("date", "model")
     out = work.keep(reconcile.reconcile(detail.drop("base", "demand_class"), target, stats, classes, keys, by, settings.max_cut), "reconciled")
-    return Run(keys, as_of, days, company, detail, out, classes, fitted.select(*keys, "model").distinct(), calendar, profiles)
+    return Run(keys, as_of, days, company, detail, out, classes, fitted.select(*keys, "model").distinct(), calendar, profiles, work)
 
 
 def context(run: Run) -> DataFrame:
@@ -260,6 +261,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     run = build(lines, as_of, days, overall, settings=settings)
     tested = holdout(lines, a.backtest_cutoff or as_of - dt.timedelta(a.horizon), a.horizon, settings=settings) if a.backtest else None
     export(run, a.out, not a.no_reasoning, tested)
+    run.work.close()
 
 
 if __name__ == "__main__":

@@ -40,3 +40,8 @@ class Workspace:
         path = f"{self.base}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        """Remove the run's tables, once nothing reads them any more."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
