@@ -18,6 +18,7 @@ from ..sources import loading, xlsx
 from ..workspace import Workspace
 
 ALL = ["all"]
+VARIANTS = ["With holiday effects", "Without holiday effects"]
 
 
 @dataclass
@@ -175,22 +176,31 @@ def holdout(lines: DataFrame, cutoff: dt.date, horizon: int, keys: list[str] | N
     days = [cutoff + dt.timedelta(k) for k in range(1, horizon + 1)]
     window = _window(lines.sparkSession, days)
     actual_company = window.join(series.daily_sum(lines, []), "date", "left").fillna(0.0, ["y"])
-    values = None
-    for label, flag in (("With holiday effects", True), ("Without holiday effects", False)):
+    own = company = None
+    for label, flag in zip(VARIANTS, (True, False), strict=True):
         run = build(lines, cutoff, days, keys=keys, settings=Settings(**{**settings.__dict__, "use_holidays": flag, "include_backlog": False}))
-        actual = reports.actual_matrix(series.daily_sum(lines, run.keys), run.classes, run.keys, window)
-        own = actual.join(run.reconciled.select(*run.keys, "date", "m", "model_final"), [*run.keys, "date"])
-        company = actual_company.join(run.company.select("date", F.col("model").alias("m")), "date")
-        covered = own.groupBy("date").agg(F.sum("y").alias("y"), F.sum("m").alias("m"))
-        ends = own.groupBy(*run.keys).agg(F.sum("y").alias("y"), F.sum("m").alias("m"), F.sum("model_final").alias("model_final"))
-        week = lambda df: df.groupBy(series.week_end(F.col("date")).alias("week")).agg(F.sum("y").alias("y"), F.sum("m").alias("m"))
-        wape = lambda df, p, name: df.agg(forecasts.fraction_errors(F.col("y"), F.col(p))[0].alias("value")).select(F.lit(name).alias("metric"), "value")
-        bias = company.agg(forecasts.fraction_errors(F.col("y"), F.col("m"))[1].alias("value")).select(F.lit("company bias").alias("metric"), "value")
-        rows = [wape(company, "m", "company daily WAPE"), wape(week(company), "m", "company weekly WAPE"), bias, wape(covered, "m", "covered keys daily WAPE before reconciliation"), wape(week(covered), "m", "covered keys weekly WAPE before reconciliation"), wape(own, "model_final", "key daily WAPE reconciled"), wape(ends, "model_final", "key horizon WAPE reconciled"), wape(ends, "m", "key horizon WAPE before reconciliation")]
-        for r in rows:
-            r = r.withColumn("variant", F.lit(label))
-            values = r if values is None else values.unionByName(r)
-    return reports.variant_pivot(values, ["With holiday effects", "Without holiday effects"])
+        mine = run.reconciled.select(*run.keys, "date", "m", "model_final", F.lit(label).alias("variant"))
+        whole = run.company.select("date", F.col("model").alias("m"), F.lit(label).alias("variant"))
+        own, company = (mine, whole) if own is None else (own.unionByName(mine), company.unionByName(whole))
+    # The variant is a key from here on: every measure is one aggregate over both. Classes do not depend on it.
+    actual = reports.actual_matrix(series.daily_sum(lines, run.keys), run.classes, run.keys, window)
+    own, company = actual.join(own, [*run.keys, "date"]), actual_company.join(company, "date")
+    sums, week = [F.sum("y").alias("y"), F.sum("m").alias("m")], series.week_end(F.col("date")).alias("week")
+    by = lambda df, *more: df.groupBy("variant", *more)
+    error = lambda p, k=0: forecasts.fraction_errors(F.col("y"), F.col(p))[k]
+    covered = by(own, "date").agg(*sums)
+    measures = [
+        by(company).agg(error("m").alias("company daily WAPE"), error("m", 1).alias("company bias")),
+        by(by(company, week).agg(*sums)).agg(error("m").alias("company weekly WAPE")),
+        by(covered).agg(error("m").alias("covered keys daily WAPE before reconciliation")),
+        by(by(covered, week).agg(*sums)).agg(error("m").alias("covered keys weekly WAPE before reconciliation")),
+        by(own).agg(error("model_final").alias("key daily WAPE reconciled")),
+        by(by(own, *run.keys).agg(*sums, F.sum("model_final").alias("model_final"))).agg(error("model_final").alias("key horizon WAPE reconciled"), error("m").alias("key horizon WAPE before reconciliation")),
+    ]
+    values = measures[0]
+    for more in measures[1:]:
+        values = values.join(more, "variant")
+    return reports.variant_pivot(values.unpivot("variant", [c for c in values.columns if c != "variant"], "metric", "value"), VARIANTS)
 
 
 def export(run: Run, path: str, reasoning: bool = True, backtest: DataFrame | None = None) -> None:
