@@ -454,7 +454,8 @@ def reconciled_forecast(spark, sf_dir):
 def holdout_variants(spark, sf_dir):
     """Errors of a forecast made three weeks back, with and without holiday effects."""
     lines = material_lines(spark, sf_dir).where(F.col("date") <= F.lit(AS_OF).cast("date"))
-    return reconciled.holdout(lines, dt.date(2001, 7, 10), WEEKS, MAT, reconciled.Settings(naive_only=True))
+    found = reconciled.holdout(lines, dt.date(2001, 7, 10), WEEKS, MAT, reconciled.Settings(naive_only=True))
+    return _r(found, *reconciled.VARIANTS)
 
 
 def holdout_backtest(spark, sf_dir):

@@ -256,5 +256,26 @@ UNION ALL SELECT {K}, i, q + 0.2 * e, 0.9 * slope + 0.05 * e, list_append(season
 SELECT {_pre('r', K)}, round(level, 4) AS level, round(slope, 4) AS slope, round(season[1], 4) AS season, round(sqrt(squares / r.i), 4) AS deviation FROM r JOIN (SELECT {K}, max(n) AS n FROM hist GROUP BY {K}) s ON {_on('r', 's', K)} AND r.i = s.n""",
 }
 _BODY["naive_backtest"] = f"WITH {_history()}, {TESTS} SELECT {K}, \"window\", date, {_R('y')}, model, {_R('yhat')} FROM bt WHERE model = 'Seasonal Naive'"
+
+
+def _held_out(cut: str, holidays_used: bool) -> str:
+    """Rows of a run made at the cut with orders up to the as-of day, by key and of the company (null keys); without holidays the calendar is empty."""
+    text = WEEKLY.replace(DAY, f"DATE '{cut}'").replace("END AS material_no FROM lines)", f"END AS material_no FROM lines WHERE date <= {DAY})")
+    text = text if holidays_used else text.replace("FROM hn WINDOW b", "FROM hn WHERE false WINDOW b")
+    return f"(WITH {text} SELECT {M}, date, m, model_final FROM rc UNION ALL SELECT NULL, NULL, date, model, NULL FROM co)"
+
+
+_ERROR = lambda p, k="abs": f"sum({k}({p} - y)) / nullif(sum(abs(y)), 0)"
+_BOTH = "sum(y) AS y, sum(m) AS m"
+_BODY["holdout_variants"] = f"""WITH {MIXED}, known AS (SELECT * FROM mixed WHERE date <= {DAY}), {_daily(M, 'known', 'own_days')}, all_days AS (SELECT date, sum(net_pounds) AS y FROM known GROUP BY date),
+found AS (SELECT 'With holiday effects' AS variant, * FROM {_held_out('2001-07-10', True)} UNION ALL SELECT 'Without holiday effects', * FROM {_held_out('2001-07-10', False)}),
+company AS (SELECT variant, f.date, m, coalesce(d.y, 0.0) AS y FROM found f LEFT JOIN all_days d ON f.date = d.date WHERE f.material_no IS NULL),
+own AS (SELECT variant, {_pre('f', M)}, f.date, m, model_final, coalesce(d.y, 0.0) AS y FROM found f LEFT JOIN own_days d ON {_on('f', 'd', M)} AND f.date = d.date WHERE f.material_no IS NOT NULL),
+weeks AS (SELECT variant, {_WEEK} AS week, {_BOTH} FROM company GROUP BY ALL), covered AS (SELECT variant, date, {_BOTH} FROM own GROUP BY ALL), covered_weeks AS (SELECT variant, {_WEEK} AS week, {_BOTH} FROM covered GROUP BY ALL),
+horizon AS (SELECT variant, {M}, {_BOTH}, sum(model_final) AS model_final FROM own GROUP BY ALL),
+told AS (SELECT 'company daily WAPE' AS metric, variant, {_ERROR('m')} AS v FROM company GROUP BY ALL UNION ALL SELECT 'company bias', variant, {_ERROR('m', '')} FROM company GROUP BY ALL UNION ALL SELECT 'company weekly WAPE', variant, {_ERROR('m')} FROM weeks GROUP BY ALL
+UNION ALL SELECT 'covered keys daily WAPE before reconciliation', variant, {_ERROR('m')} FROM covered GROUP BY ALL UNION ALL SELECT 'covered keys weekly WAPE before reconciliation', variant, {_ERROR('m')} FROM covered_weeks GROUP BY ALL UNION ALL SELECT 'key daily WAPE reconciled', variant, {_ERROR('model_final')} FROM own GROUP BY ALL
+UNION ALL SELECT 'key horizon WAPE reconciled', variant, {_ERROR('model_final')} FROM horizon GROUP BY ALL UNION ALL SELECT 'key horizon WAPE before reconciliation', variant, {_ERROR('m')} FROM horizon GROUP BY ALL)
+SELECT metric, round(max(v) FILTER (variant = 'With holiday effects'), 6) AS "With holiday effects", round(max(v) FILTER (variant = 'Without holiday effects'), 6) AS "Without holiday effects" FROM told GROUP BY metric"""
 # Every step of a query is evaluated once.
 SQL = {name: text.replace(" AS (SELECT", " AS MATERIALIZED (SELECT") for name, text in _BODY.items()}
