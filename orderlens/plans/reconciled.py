@@ -67,51 +67,84 @@ def _forecast(history: DataFrame, classes: DataFrame, keys: list[str], steps: in
     return found.where("status = 'ok'").select(*keys, "date", F.col("yhat").alias("base"), "model")
 
 
-def build(lines: DataFrame, as_of: dt.date, days: list[dt.date], overall_days: list[dt.date] | None = None, keys: list[str] | None = None, settings: Settings | None = None, by: str = "week") -> Run:
-    """Forecast the company and every key over the days, and reconcile the keys with the company.
+@dataclass
+class History:
+    """What every variant of a run reads: it depends on the lines, the as-of day and the classes' bounds only."""
 
-    `lines` are (date, net_pounds, customer, material_no, ...); lines after the as-of day are booked backlog. The
-    company's series holds every line, also those with a null key.
-    """
+    work: Workspace
+    keys: list[str]
+    daily: DataFrame  # keys, date, y
+    total: DataFrame  # date, y, all
+    calendar: DataFrame
+    rows: DataFrame  # zero-filled series of the keys
+    classes: DataFrame
+    stats: DataFrame  # keys, dow, mean, std, cap
+    company_rows: DataFrame
+    company_class: DataFrame
+    material_rows: DataFrame
+
+
+def prepare(lines: DataFrame, as_of: dt.date, last: dt.date, keys: list[str] | None = None, settings: Settings | None = None, work: Workspace | None = None) -> History:
+    """Series, classes and calendar of a run whose last day ahead is `last`, each written once."""
     spark, settings = lines.sparkSession, settings or Settings()
-    work = Workspace(spark, "reconciled")
-    overall_days = overall_days or days
+    work = work or Workspace(spark, "reconciled")
     keys = keys or [*(["plant"] if "plant" in lines.columns else []), "customer", "material_no"]
-    if min(days[0], overall_days[0]) <= as_of:
-        raise ValueError("forecast days must be after the as-of day")
-    day, steps = as_of.isoformat(), (max(days[-1], overall_days[-1]) - as_of).days
-    window, overall_window = _window(spark, days), _window(spark, overall_days)
-
-    daily = work.keep(series.daily_sum(lines, keys), "daily")
-    total = work.keep(series.daily_sum(lines, []).withColumn("all", F.lit("all")), "total")
-    first = lines.agg(F.min("date")).first()[0]
+    day, bounds = as_of.isoformat(), (settings.dormant_days, settings.new_days, settings.density)
+    # The lines are read once: the series of every level are sums of these cells, null keys among them.
+    cells = work.keep(lines.groupBy(*dict.fromkeys([*keys, "material_no"]), "date").agg(F.sum("net_pounds").alias("net_pounds")), "cells")
+    daily = work.keep(series.daily_sum(cells, keys), "daily")
+    total = work.keep(series.daily_sum(cells, []).withColumn("all", F.lit("all")), "total")
+    first = total.agg(F.min("date")).first()[0]
     if first is None or first > as_of:
         raise ValueError("no order on or before the as-of day")
-    calendar = work.keep(holidays.calendar(spark, first - dt.timedelta(holidays.PADDING), max(days[-1], overall_days[-1]) + dt.timedelta(holidays.PADDING)), "calendar")
-
+    calendar = work.keep(holidays.calendar(spark, first - dt.timedelta(holidays.PADDING), last + dt.timedelta(holidays.PADDING)), "calendar")
     every = series.zero_filled(daily, keys, day)
     if settings.limit is not None:
         every = every.join(series.segments(daily, keys, settings.limit).select(*keys), keys, "left_semi")
     rows = work.keep(every, "rows")
-    classes = work.keep(classify.profiles(rows, keys, day, settings.dormant_days, settings.new_days, settings.density), "classes")
     company_rows = work.keep(series.zero_filled(total, ALL, day), "company_rows")
-    company_class = work.keep(classify.profiles(company_rows, ALL, day, settings.dormant_days, settings.new_days, settings.density), "company_class")
+    return History(
+        work, keys, daily, total, calendar, rows,
+        work.keep(classify.profiles(rows, keys, day, *bounds), "classes"),
+        work.keep(classify.weekday_stats(rows, keys), "stats"),
+        company_rows,
+        work.keep(classify.profiles(company_rows, ALL, day, *bounds), "company_class"),
+        series.zero_filled(series.daily_sum(cells, ["material_no"]), ["material_no"], day),
+    )
+
+
+def build(lines: DataFrame, as_of: dt.date, days: list[dt.date], overall_days: list[dt.date] | None = None, keys: list[str] | None = None, settings: Settings | None = None, by: str = "week", history: History | None = None) -> Run:
+    """Forecast the company and every key over the days, and reconcile the keys with the company.
+
+    `lines` are (date, net_pounds, customer, material_no, ...); lines after the as-of day are booked backlog. The
+    company's series holds every line, also those with a null key. `history` may be shared by runs that differ in their
+    variant only; it is closed with its own workspace then.
+    """
+    spark, settings = lines.sparkSession, settings or Settings()
+    overall_days = overall_days or days
+    if min(days[0], overall_days[0]) <= as_of:
+        raise ValueError("forecast days must be after the as-of day")
+    last = max(days[-1], overall_days[-1])
+    work = history.work.part("run") if history else Workspace(spark, "reconciled")
+    past = history or prepare(lines, as_of, last, keys, settings, work)
+    keys, steps = past.keys, (last - as_of).days
+    window, overall_window = _window(spark, days), _window(spark, overall_days)
+    daily, total, calendar, rows, classes, company_rows, company_class, stats = past.daily, past.total, past.calendar, past.rows, past.classes, past.company_rows, past.company_class, past.stats
 
     profiles: dict[str, DataFrame] = {}
     levels: list[tuple[DataFrame, list[str]]] = []
     if settings.use_holidays:
         profiles["company"] = work.keep(holidays.estimate(company_rows, ALL, calendar, holidays.K_COMPANY).drop("all"), "company_profile")
         levels = [(profiles["company"], [])]
-        by_material = work.keep(series.zero_filled(series.daily_sum(lines, ["material_no"]), ["material_no"], day), "material_rows")
-        profiles["material"] = work.keep(holidays.estimate(by_material, ["material_no"], calendar, holidays.K_MATERIAL, levels), "material_profile")
+        profiles["material"] = work.keep(holidays.estimate(past.material_rows, ["material_no"], calendar, holidays.K_MATERIAL, levels), "material_profile")
         levels = [(profiles["material"], ["material_no"]), *levels]
         modelled = rows.join(classes.where(F.col("demand_class") != classify.DORMANT).select(*keys), keys, "left_semi")
         profiles["key"] = work.keep(holidays.estimate(modelled, keys, calendar, settings.holiday_k, levels), "key_profile")
         levels = [(profiles["key"], keys), *levels]
 
-    def freed(history: DataFrame, found: list) -> DataFrame:
-        past = history.where("not is_backlog")
-        return holidays.with_factor(past, calendar, found).withColumn("y", F.col("y") / F.col("factor")).drop("factor") if found else past
+    def freed(each: DataFrame, found: list) -> DataFrame:
+        known = each.where("not is_backlog")
+        return holidays.with_factor(known, calendar, found).withColumn("y", F.col("y") / F.col("factor")).drop("factor") if found else known
 
     # The company.
     base = _forecast(freed(company_rows, levels[-1:]), company_class, ALL, steps, settings, True).select("date", "base")
@@ -130,7 +163,6 @@ def build(lines: DataFrame, as_of: dt.date, days: list[dt.date], overall_days: l
     grid = holidays.with_factor(grid, calendar, levels).withColumn("hf", F.when(F.col("has_model"), F.col("factor")).otherwise(1.0)).drop("factor") if levels else grid.withColumn("hf", F.lit(1.0))
     own = daily.where(F.col("date") > F.lit(as_of)).select(*keys, "date", F.col("y").alias("backlog"))
     grid = grid.join(own, [*keys, "date"], "left").fillna(0.0, ["backlog"]) if settings.include_backlog else grid.select("*", nothing)
-    stats = work.keep(classify.weekday_stats(rows, keys), "stats")
     model = grid.withColumn("m", F.col("base") * F.col("hf"))
     if settings.weekday_shaping:
         model = reconcile.shape_weekdays(model, stats, keys).drop("week", "dow", "mean", "std", "cap")
@@ -170,20 +202,24 @@ def weekly_sheet(run: Run) -> DataFrame:
     return reports.weekly_overall(run.company, run.reconciled, slots)
 
 
-def holdout(lines: DataFrame, cutoff: dt.date, horizon: int, keys: list[str] | None = None, settings: Settings | None = None) -> DataFrame:
-    """(metric, With holiday effects, Without holiday effects): errors of a forecast made at the cutoff, without backlog."""
+def holdout(lines: DataFrame, cutoff: dt.date, horizon: int, keys: list[str] | None = None, settings: Settings | None = None, work: Workspace | None = None) -> DataFrame:
+    """(metric, With holiday effects, Without holiday effects): errors of a forecast made at the cutoff, without backlog.
+
+    Both variants share one history. The result reads the tables of `work`.
+    """
     settings = settings or Settings()
     days = [cutoff + dt.timedelta(k) for k in range(1, horizon + 1)]
     window = _window(lines.sparkSession, days)
-    actual_company = window.join(series.daily_sum(lines, []), "date", "left").fillna(0.0, ["y"])
+    past = prepare(lines, cutoff, days[-1], keys, settings, work)
+    actual_company = window.join(past.total.select("date", "y"), "date", "left").fillna(0.0, ["y"])
     own = company = None
     for label, flag in zip(VARIANTS, (True, False), strict=True):
-        run = build(lines, cutoff, days, keys=keys, settings=Settings(**{**settings.__dict__, "use_holidays": flag, "include_backlog": False}))
+        run = build(lines, cutoff, days, history=past, settings=Settings(**{**settings.__dict__, "use_holidays": flag, "include_backlog": False}))
         mine = run.reconciled.select(*run.keys, "date", "m", "model_final", F.lit(label).alias("variant"))
         whole = run.company.select("date", F.col("model").alias("m"), F.lit(label).alias("variant"))
         own, company = (mine, whole) if own is None else (own.unionByName(mine), company.unionByName(whole))
     # The variant is a key from here on: every measure is one aggregate over both. Classes do not depend on it.
-    actual = reports.actual_matrix(series.daily_sum(lines, run.keys), run.classes, run.keys, window)
+    actual = reports.actual_matrix(past.daily, run.classes, run.keys, window)
     own, company = actual.join(own, [*run.keys, "date"]), actual_company.join(company, "date")
     sums, week = [F.sum("y").alias("y"), F.sum("m").alias("m")], series.week_end(F.col("date")).alias("week")
     by = lambda df, *more: df.groupBy("variant", *more)
@@ -269,7 +305,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     settings = Settings(not a.no_holidays, True, not a.no_weekday_shaping, a.thorough_arima, a.holiday_k, a.max_cut_frac, a.dormant_inactivity_days, a.new_min_history_days, a.regular_density_threshold, a.limit)
     lines = loading.load_workbook(spark, a.workbook, reconciled=True).rows
     run = build(lines, as_of, days, overall, settings=settings)
-    tested = holdout(lines, a.backtest_cutoff or as_of - dt.timedelta(a.horizon), a.horizon, settings=settings) if a.backtest else None
+    held = run.work.part("holdout")
+    tested = holdout(lines, a.backtest_cutoff or as_of - dt.timedelta(a.horizon), a.horizon, settings=settings, work=held) if a.backtest else None
     export(run, a.out, not a.no_reasoning, tested)
     run.work.close()
 

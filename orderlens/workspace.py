@@ -32,8 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
 class Workspace:
     """The tables of one run."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.base = spark, f"{shared_folder(spark)}/orderlens/{label}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, label: str, inside: Workspace | None = None):
+        self.spark, self.base = spark, f"{inside.base if inside else shared_folder(spark) + '/orderlens'}/{label}-{uuid.uuid4().hex}"
+
+    def part(self, label: str) -> Workspace:
+        """A workspace inside this one, which goes when this one is closed."""
+        return Workspace(self.spark, label, self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df, and read it back."""
