@@ -206,6 +206,7 @@ class _Join:
             sets = sets.withColumn("node", F.when(F.col("node").isin(shared), F.col("node").bitwiseXOR(F.col("check"))).otherwise(F.col("node")))
             classes = write(of(sets.where("n > 0")), "classes-anew")
         prefixes = self.text.where("text is not null").select("text").mapInArrow(_prefixes(crowding(loads), self.bits, np.array(shared, np.int64).view(np.uint64)), "token bigint, node bigint, n int, need int, rank int")
+        prefixes = write(prefixes, "prefixes")
         twice = write(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "twice")
         shared = write(prefixes.join(twice, "token", "left_semi"), "shared")
         low = F.ceil(F.col("n") * 0.8).cast("int")
@@ -213,7 +214,7 @@ class _Join:
         able = shared.groupBy("node").agg(F.countDistinct("token").alias("k"), F.first("n").alias("n")).where(F.col("k") >= enough).select("node")
         able = write(able, "able")
         rows = write(shared.join(able, "node", "left_semi").distinct(), "rows")
-        self.scratch.drop("twice", "shared")
+        self.scratch.drop("prefixes", "twice", "shared")
         wanted = able.join(classes, "node").select("node", "at._id", "at._text")
         self.bitmaps = classes.select("node", *BITMAP)
         texts = self.text.join(wanted, ["_id", "_text"]).dropDuplicates(["node"]).select("node", "text")
