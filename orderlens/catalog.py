@@ -555,6 +555,24 @@ def batch_forecasts(spark, sf_dir):
     return _batch(spark, sf_dir)["segment_forecasts"]
 
 
+def _naive_batch(spark, sf_dir):
+    """The batch run with the seasonal naive alone, so that SQL can follow all of its tables."""
+    lines = order_lines(spark, sf_dir)
+    return batch.run(lines, dt.date.fromisoformat(AS_OF), HORIZON, series.segments(lines, KEYS), ["Seasonal Naive"])
+
+
+def batch_naive_summary(spark, sf_dir):
+    return _naive_batch(spark, sf_dir)["segment_summary"]
+
+
+def batch_naive_metrics(spark, sf_dir):
+    return _r(_naive_batch(spark, sf_dir)["segment_metrics"], "wape", "mae", "rmse", "smape", "mase", "bias", "abs_pct_bias", "accuracy_score")
+
+
+def batch_naive_forecasts(spark, sf_dir):
+    return _r(_naive_batch(spark, sf_dir)["segment_forecasts"], "seasonal_naive", "average", "known_backlog")
+
+
 def _tested(spark, sf_dir):
     work = Workspace(spark, "backtest")
     rows = work.keep(_history(spark, sf_dir), "rows")
@@ -590,7 +608,7 @@ QUERIES = {
     holiday_profile_company holiday_profile_material holiday_profile_combo holiday_text holiday_effects_wide weekday_shaping
     reconcile_weekly reconcile_daily recon_summary recon_blocks weekly_overall reasoning_text wide_forecast reasoning_daily holiday_model_layer holdout_backtest latest_run skip_done
     upsert_run committed_runs dq_numeric boosted_panel ets_recursion ets_forecast arima_forecast gbm_forecast model_status day_parse final_forecast_models actual_forecast_wide actual_matrix
-    reconciled_forecast holdout_variants batch_summary batch_metrics batch_forecasts model_leaderboard model_recommended naive_backtest""".split()
+    reconciled_forecast holdout_variants batch_summary batch_metrics batch_forecasts batch_naive_summary batch_naive_metrics batch_naive_forecasts model_leaderboard model_recommended naive_backtest""".split()
 }
 
 from .catalog_sql import SQL  # noqa: E402

@@ -277,5 +277,18 @@ told AS (SELECT 'company daily WAPE' AS metric, variant, {_ERROR('m')} AS v FROM
 UNION ALL SELECT 'covered keys daily WAPE before reconciliation', variant, {_ERROR('m')} FROM covered GROUP BY ALL UNION ALL SELECT 'covered keys weekly WAPE before reconciliation', variant, {_ERROR('m')} FROM covered_weeks GROUP BY ALL UNION ALL SELECT 'key daily WAPE reconciled', variant, {_ERROR('model_final')} FROM own GROUP BY ALL
 UNION ALL SELECT 'key horizon WAPE reconciled', variant, {_ERROR('model_final')} FROM horizon GROUP BY ALL UNION ALL SELECT 'key horizon WAPE before reconciliation', variant, {_ERROR('m')} FROM horizon GROUP BY ALL)
 SELECT metric, round(max(v) FILTER (variant = 'With holiday effects'), 6) AS "With holiday effects", round(max(v) FILTER (variant = 'Without holiday effects'), 6) AS "Without holiday effects" FROM told GROUP BY metric"""
+# The batch's segments: those of all lines together, and each with both keys.
+_EVERY = f"every AS (SELECT '__OVERALL__' AS customer, '__OVERALL__' AS material_group, date, net_pounds FROM lines UNION ALL SELECT {K}, date, net_pounds FROM lines WHERE customer IS NOT NULL AND material_group IS NOT NULL)"
+_BATCH = MEASURE.replace(LINES, f"{LINES}, {_EVERY}", 1).replace("FROM lines GROUP BY ALL", "FROM every GROUP BY ALL", 1)
+_BATCH += f", wanted AS (SELECT '__OVERALL__' AS customer, '__OVERALL__' AS material_group UNION ALL SELECT DISTINCT {K} FROM lines WHERE customer IS NOT NULL AND material_group IS NOT NULL), booked AS (SELECT {K}, date, y AS known_backlog FROM daily WHERE date > {DAY})"
+_SHORT, _NONE = "'needs 21 observations'", "'not enough history for the horizon'"
+_BODY |= {
+    "batch_naive_summary": f"""WITH {_BATCH}, b AS (SELECT {K}, count(*) AS d FROM booked GROUP BY ALL), j AS (SELECT w.*, coalesce(c.n, 0) AS days, coalesce(b.d, 0) AS booked_days, c.windows FROM wanted w LEFT JOIN counted c ON {_on('c', 'w', K)} LEFT JOIN b ON {_on('b', 'w', K)})
+SELECT {K}, days::INTEGER AS historical_days, booked_days::INTEGER AS backlog_days, CASE WHEN windows > 0 THEN 'Seasonal Naive' END AS best_model_by_wape, CASE WHEN days = 0 THEN 'skipped' WHEN days < 21 THEN 'error' ELSE 'ok' END AS status, CASE WHEN days = 0 THEN 'no historical data' WHEN days < 21 THEN {_SHORT} END AS error_message FROM j""",
+    "batch_naive_metrics": f"""WITH {_BATCH}, nv AS (SELECT * FROM ms WHERE model = 'Seasonal Naive') SELECT {_pre('c', K)}, 'Seasonal Naive' AS model, {_MEASURES}, round(greatest(0.0, 100 - wape), 6) AS accuracy_score, windows::BIGINT AS n_success_windows, 0::BIGINT AS n_failed_windows, windows = 0 AS skipped, CASE WHEN windows = 0 THEN {_NONE} END AS skip_reason
+FROM counted c LEFT JOIN nv m ON {_on('m', 'c', K)}""",
+    "batch_naive_forecasts": f"""WITH {_BATCH}, {_naive(K, 'hist', HORIZON)}, f AS (SELECT {_pre('n', K)}, n.date, greatest(n.yhat, coalesce(b.known_backlog, 0.0)) AS v, coalesce(b.known_backlog, 0.0) AS known_backlog FROM naive n JOIN counted c ON {_on('c', 'n', K)} LEFT JOIN booked b ON {_on('b', 'n', K)} AND b.date = n.date WHERE c.n >= 21)
+SELECT {K}, date AS forecast_date, round(v, 6) AS seasonal_naive, NULL::DOUBLE AS autoarima, NULL::DOUBLE AS autoets, NULL::DOUBLE AS hgb, round(v, 6) AS average, round(known_backlog, 6) AS known_backlog FROM f""",
+}
 # Every step of a query is evaluated once.
 SQL = {name: text.replace(" AS (SELECT", " AS MATERIALIZED (SELECT") for name, text in _BODY.items()}
