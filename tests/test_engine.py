@@ -131,6 +131,20 @@ def test_reconciled_invariants(spark):
     assert not out.isEmpty()
 
 
+def test_history_of_lines_with_null_keys(spark):
+    lines = spark.createDataFrame([(day(1), 2.0, "c", "m"), (day(1), 3.0, "c", "m"), (day(1), 5.0, None, "m"), (day(2), 7.0, "c", None), (day(3), 1.0, "d", "n")], "date date, net_pounds double, customer string, material_no string")
+    past = reconciled.prepare(lines, day(3), day(5))
+    assert past.keys == ["customer", "material_no"]
+    assert rows(past.daily.orderBy("customer").drop("date")) == [("c", "m", 5.0), ("d", "n", 1.0)]
+    assert rows(past.total.orderBy("date").select("y")) == [(10.0,), (7.0,), (1.0,)]
+    assert rows(past.material_rows.where("material_no = 'm'").orderBy("date").select("y")) == [(10.0,), (0.0,), (0.0,)]
+    one = past.work.part("run").keep(past.daily, "daily")
+    assert one.count() == 2
+    past.work.close()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE|does not exist"):
+        spark.read.parquet(one.inputFiles()[0]).count()
+
+
 def test_factor_of_the_finest_level_with_evidence(spark):
     days = spark.createDataFrame([(day(1), "a"), (day(2), "b"), (day(3), "c")], "date date, slot string")
     series_ = spark.createDataFrame([("k", day(n)) for n in range(1, 5)], "k string, date date")
