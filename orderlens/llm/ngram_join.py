@@ -11,7 +11,9 @@ holds.
 
 Links only matter through components, which keeps crowded prefixes linear:
 
-* star rounds: in each shingle's group the sets are verified against one pivot, and what links is merged;
+* star rounds: in each shingle's group the sets are verified against two pivots, and what links is merged. One is drawn
+  by a hash, the other is the set with the fewest rarer shingles: the text that the near copies of a crowd were made
+  from, or the one closest to it. Sets that meet at the crowd's shingles have few rare ones, so they mostly link with it;
 * then all pairs of different components that still share enough prefix shingles are verified, none left out. A pair
   meets once, at its first shared shingle. Places in the prefixes and parity bitmaps of the sets bound how far a pair
   can differ, so most near misses of a crowd are not even paired.
@@ -240,10 +242,11 @@ class _Join:
         """(node, component) of every set that has a link, or None; all links are followed."""
         labels = tested = None
         for step in range(STAR_ROUNDS + 1):
-            # Tokens that still join different components, with this round's pivot.
-            named, turn = _named(rows, labels), F.xxhash64("node", F.lit(step))
-            groups = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(turn.alias("turn"), "node", "n", "need", "component", "rank")).alias("pivot")).where("low <> high")
-            groups = self.scratch.write(groups.select("token", "pivot"), f"groups-{step}")
+            # Tokens that still join different components, with this round's pivots.
+            named, turn = _named(rows, labels), F.xxhash64("node", F.lit(step)).alias("turn")
+            row = F.struct("node", "n", "need", "component", "rank").alias("row")
+            groups = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(turn, row)).alias("drawn"), F.min(F.struct("rank", turn, row)).alias("central")).where("low <> high")
+            groups = self.scratch.write(groups.select("token", F.array_distinct(F.array("drawn.row", "central.row")).alias("pivots")), f"groups-{step}")
             if groups.isEmpty():
                 break
             last = step == STAR_ROUNDS
@@ -260,7 +263,7 @@ class _Join:
         """Each set with the pivots that it shares a third of the needed prefix tokens with."""
         p = F.col("pivot")
         need = F.least("need", p["need"])
-        near = named.join(groups, "token").where((F.col("component") != p["component"]) & _may_link(F.col, p.__getitem__, need))
+        near = named.join(groups.select("token", F.explode("pivots").alias("pivot")), "token").where((F.col("component") != p["component"]) & _may_link(F.col, p.__getitem__, need))
         pairs = near.select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b"), need.alias("need"))
         return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("need")).where("3 * k >= need").select("a", "b")
 
@@ -269,11 +272,13 @@ class _Join:
 
         A pair meets at its first shared token only: rows carry the `BEFORE` tokens before their own, and two rows with
         one of these in common have met before. As the first shared token of linked sets comes early in both, later
-        rows are not paired. At each token the pivot's component, mostly the one that holds the crowd, is met by the
-        sets outside it only. The pairs then count what their whole prefixes share.
+        rows are not paired. At each token the component with the most sets, which holds the crowd, is met by the sets
+        outside it only. The pairs then count what their whole prefixes share.
         """
         write = self.scratch.write
-        known = named.join(groups.select("token", F.col("pivot.component").alias("_crowd")), "token")
+        sizes = named.join(groups.select("token"), "token").groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+        crowds = sizes.groupBy("token").agg(F.max(F.struct("k", "component")).alias("most")).select("token", F.col("most.component").alias("_crowd"))
+        known = named.join(crowds, "token")
         held = known.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "need", "component")), F.array_sort(F.collect_list(F.struct("rank", "token", (F.col("component") != F.col("_crowd")).alias("outside")))).alias("held"))
         sets = write(held.join(self.bitmaps, "node"), "sets")
         before = lambda x, i: F.struct(x["rank"].alias("rank"), x["token"].alias("token"), x["outside"].alias("outside"), F.slice("tokens", F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE))).alias("before"))

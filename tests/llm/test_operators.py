@@ -518,6 +518,30 @@ def test_crowd_of_near_misses(spark):
     assert found == want
 
 
+def test_crowd_around_a_text_is_joined_by_its_centre(spark, monkeypatch):
+    """A crowd of edited copies links with the text they were made from, so few pairs are left to compare one by one."""
+    rng = random.Random(5)
+    base, rows = [f"w{k}" for k in range(150)], [(0, " ".join(f"w{k}" for k in range(150)))]
+    for i in range(1, 700):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 3, 4, 6, 8])):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words)))
+    met = {}
+    verified = ngram_join._Join.verified
+
+    def counted(self, pairs, name):
+        met[name] = pairs.count()
+        return verified(self, pairs, name)
+
+    monkeypatch.setattr(ngram_join._Join, "verified", counted)
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicate_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    centre = {tuple(base[k : k + 5]) for k in range(146)}
+    linked = [i for i, t in rows if 9 * len(centre ^ {tuple(t.split()[k : k + 5]) for k in range(146)}) <= 2 * 146]
+    assert len(linked) > 300 and all(found[i] == 0 for i in linked)
+    assert sum(met.values()) < 6 * len(rows)
+
+
 def test_near_duplicates_with_shared_and_missing_ids(spark):
     text = lambda c: " ".join(f"{c}{k}" for k in range(60))
     rows = [(None, text("a")), (None, text("b")), (None, text("b") + " tail"), (None, text("c")), (7, text("d")), (7, text("e")), (9, text("e") + " tail"), (3, text("f")), (5, text("f")), (5, text("g")), (None, text("g")), (None, None), (5, "")]
