@@ -76,25 +76,28 @@ def _as_double(raw: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+def _bound(value: Column, use) -> Column:
+    """`use` over a value that is computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_number(raw: Column) -> Column:
     """struct(value, reason): a number read from text, or why there is none (missing, blank, unparseable).
 
     Parentheses negate; separators, units and other characters are dropped; a second point or sign rejects. A value that
     cannot be read is never taken as zero. Columns of a numeric type pass as they are.
     """
-    text = stripped(raw.cast("string"))
-    inner = F.regexp_replace(text, r"^\((.*)\)$", "$1")
-    negative = text.rlike(r"^\(.*\)$")
-    bare = F.regexp_replace(inner, r"[^0-9.\-]", "")
-    points = F.length(bare) - F.length(F.replace(bare, F.lit("."), F.lit("")))
-    signs = F.length(bare) - F.length(F.replace(bare, F.lit("-"), F.lit("")))
-    number = F.when((points <= 1) & (signs <= 1) & bare.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"), bare).try_cast("double")
-    blank = F.lower(text).isin(BLANK_WORDS)
-    value = F.when(~blank, F.when(negative, -number).otherwise(number))
     numeric, given = _is_number(raw), _as_double(raw)
-    value = F.when(numeric, given).otherwise(value)
-    reason = F.when(raw.isNull() | (numeric & given.isNull()), "missing").when(~numeric & blank, "blank").when(value.isNull(), "unparseable")
-    return F.struct(value.alias("value"), reason.alias("reason"))
+
+    def read(text: Column, bare: Column) -> Column:
+        points = F.length(bare) - F.length(F.replace(bare, F.lit("."), F.lit("")))
+        signs = F.length(bare) - F.length(F.replace(bare, F.lit("-"), F.lit("")))
+        number = F.when((points <= 1) & (signs <= 1) & bare.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"), bare).try_cast("double")
+        blank = F.lower(text).isin(BLANK_WORDS)
+        value = F.when(~blank, F.when(text.rlike(r"^\(.*\)$"), -number).otherwise(number))
+        return _bound(F.when(numeric, given).otherwise(value), lambda value: F.struct(value.alias("value"), F.when(raw.isNull() | (numeric & given.isNull()), "missing").when(~numeric & blank, "blank").when(value.isNull(), "unparseable").alias("reason")))
+
+    return _bound(stripped(raw.cast("string")), lambda text: _bound(F.regexp_replace(F.regexp_replace(text, r"^\((.*)\)$", "$1"), r"[^0-9.\-]", ""), lambda bare: read(text, bare)))
 
 
 def parse_day(raw: Column) -> Column:

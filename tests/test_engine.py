@@ -541,3 +541,9 @@ def test_stream_of_daily_totals(spark, tmp_path):
     query = daily.daily_totals(stream).writeStream.format("memory").queryName("totals").outputMode("append").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert [(str(r["date"]), r["n"], r["value"]) for r in spark.table("totals").collect()] == [("2024-01-01", 2, 3.0)]
+
+
+def test_numbers_bind_their_text_once(spark):
+    """The text is cleaned once for the value and the reason, not again for every use."""
+    plan = spark.createDataFrame([("1,5",)], "raw string").withColumn("n", cleaning.parse_number(F.col("raw"))).select("n.value", "n.reason")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 3
