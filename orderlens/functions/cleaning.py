@@ -19,8 +19,23 @@ RECONCILED_IDS = {"customer": ["Customer Name"], "material_name": ["ReMat Name"]
 EVENT_DATE_HEADERS = ["date", "highproductiondate"]
 EVENT_UPLIFT_HEADERS = ["upliftpercent", "uplift", "upliftpct"]
 
-# Day texts are read in the first of these forms that fits; texts of digits alone are days only as yyyyMMdd.
-DAY_FORMS = ["yyyy-M-d", "M/d/yyyy", "M/d/yy", "yyyy/M/d", "d-MMM-yyyy", "d-MMM-yy", "d MMM yyyy", "MMM d, yyyy", "MMM d yyyy", "M-d-yyyy", "d.M.yyyy", "yyyyMMdd"]
+# Day texts are read in the first of these forms that fits; texts of digits alone are days only as yyyyMMdd. Beside each form
+# stands a shape that all of its texts of four-digit years have: a text that a form can't read costs an exception, one of
+# another shape does not.
+DAY_FORMS = {
+    "yyyy-M-d": r"^[0-9]{4}-[-+0-9]+$",
+    "M/d/yyyy": r"^[-+0-9]+/[-+0-9]+/[0-9]{4}$",
+    "M/d/yy": r"^[-+0-9]+/[-+0-9]+/[0-9]{2}$",
+    "yyyy/M/d": r"^[0-9]{4}/[-+0-9]+/[-+0-9]+$",
+    "d-MMM-yyyy": r"^[-+0-9]+-[^0-9]+-[0-9]{4}$",
+    "d-MMM-yy": r"^[-+0-9]+-[^0-9]+-[0-9]{2}$",
+    "d MMM yyyy": r"^[-+0-9]+ [^0-9]+ [0-9]{4}$",
+    "MMM d, yyyy": r"^[^0-9]+ [-+0-9]+, [0-9]{4}$",
+    "MMM d yyyy": r"^[^0-9]+ [-+0-9]+ [0-9]{4}$",
+    "M-d-yyyy": r"^[-+0-9]+-[0-9]{4}$",
+    "d.M.yyyy": r"^[-+0-9]+\.[-+0-9]+\.[0-9]{4}$",
+    "yyyyMMdd": r"^[0-9]{8}$",
+}
 YEARS = (1900, 2200)
 
 
@@ -106,7 +121,7 @@ def parse_day(raw: Column) -> Column:
     bare = F.regexp_replace(text, r"[ T]+[0-9]{1,2}:[0-9]{2}.*$", "")  # the time of day
 
     def read(day: Column) -> Column:
-        tries = [F.to_date(F.try_to_timestamp(day, F.lit(form))) for form in DAY_FORMS]
+        tries = [F.when(day.rlike(shape), F.to_date(F.try_to_timestamp(day, F.lit(form)))) for form, shape in DAY_FORMS.items()]
         return F.when(day.rlike("^[0-9]*$"), F.when(F.length(day) == 8, tries[-1])).otherwise(F.coalesce(*tries))
 
     # One element through transform and filter: the text is bound once, so the expression stays small.

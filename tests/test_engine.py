@@ -543,6 +543,12 @@ def test_stream_of_daily_totals(spark, tmp_path):
     assert [(str(r["date"]), r["n"], r["value"]) for r in spark.table("totals").collect()] == [("2024-01-01", 2, 3.0)]
 
 
+def test_days_with_years_beyond_a_timestamp(spark):
+    """A year that no timestamp holds is no day, and no error."""
+    rows = spark.createDataFrame([("+123456789-01-05",), ("1/2/+123456789",), ("2024-01-05",), ("5-jan-24",)], "raw string")
+    assert [str(r[0]) for r in rows.select(cleaning.parse_day(F.col("raw"))).collect()] == ["None", "None", "2024-01-05", "2024-01-05"]
+
+
 def test_numbers_bind_their_text_once(spark):
     """The text is cleaned once for the value and the reason, not again for every use."""
     plan = spark.createDataFrame([("1,5",)], "raw string").withColumn("n", cleaning.parse_number(F.col("raw"))).select("n.value", "n.reason")
