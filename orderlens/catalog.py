@@ -277,9 +277,9 @@ def overall_uplift(spark, sf_dir):
     return _r(events.overall_uplift(_variance(spark, sf_dir), KEYS), "overall_pct")
 
 
-def _resolved(spark, sf_dir):
+def _resolved(spark, sf_dir, rows=None):
     future = events.merge_events(_events(spark)).where(F.col("date").between(F.date_add(F.lit(AS_OF).cast("date"), 1), F.date_add(F.lit(AS_OF).cast("date"), HORIZON)))
-    rows = _history(spark, sf_dir)
+    rows = _history(spark, sf_dir) if rows is None else rows
     return events.resolve_uplifts(future, events.date_variance(rows, _past_events(spark), KEYS), KEYS, segments=rows.where(F.col("n") >= forecasts.SEASON))
 
 
@@ -314,7 +314,7 @@ def final_forecast_models(spark, sf_dir):
     naive = forecasts.seasonal_naive(rows, KEYS, HORIZON).select(*KEYS, "date", "yhat", F.lit("Seasonal Naive").alias("model"))
     flat = rows.where(F.col("i") > F.col("n") - 28).groupBy(*KEYS).agg(F.avg("y").alias("yhat"))
     both = naive.unionByName(naive.select(*KEYS, "date").join(flat, KEYS).withColumn("model", F.lit("Trailing Mean")))
-    return reports.final_table(events.adjusted(events.with_backlog(both, _backlog(spark, sf_dir), KEYS), events.ramp(_resolved(spark, sf_dir), KEYS), KEYS), KEYS)
+    return reports.final_table(events.adjusted(events.with_backlog(both, _backlog(spark, sf_dir), KEYS), events.ramp(_resolved(spark, sf_dir, rows), KEYS), KEYS), KEYS)
 
 
 def actual_forecast_wide(spark, sf_dir):
@@ -498,7 +498,7 @@ def upsert_run(spark, sf_dir):
 def committed_runs(spark, sf_dir):
     """The runs of `upsert_run`, each committed to a store of manifests, and read back through the newest one."""
     kept = store.Store(spark, f"{shared_folder(spark)}/orderlens/store-{uuid.uuid4().hex}")
-    runs = _runs(spark, sf_dir)
+    runs = Workspace(spark, "runs").keep(_runs(spark, sf_dir), "runs")
     for day in ("2001-07-30", "2001-07-31"):
         kept.commit({"runs": runs.where(F.col("run_date") == day).drop("run_date")}, day, KEYS)
     new = kept.table("runs").where("run_date = '2001-07-31' and customer = 'BUILDING'").withColumn("model", F.lit("override"))

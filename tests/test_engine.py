@@ -553,3 +553,16 @@ def test_numbers_bind_their_text_once(spark):
     """The text is cleaned once for the value and the reason, not again for every use."""
     plan = spark.createDataFrame([("1,5",)], "raw string").withColumn("n", cleaning.parse_number(F.col("raw"))).select("n.value", "n.reason")
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 3
+
+
+def test_committed_runs_commit_a_written_table(spark, monkeypatch):
+    """The runs are made once; no commit makes them from the order lines again."""
+    plans, commit = [], store.Store.commit
+
+    def kept(self, tables, *rest):
+        plans.append(tables["runs"]._jdf.queryExecution().optimizedPlan().toString())
+        return commit(self, tables, *rest)
+
+    monkeypatch.setattr(store.Store, "commit", kept)
+    catalog.committed_runs(spark, "/root/testdata/sf0.001").count()
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
