@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orderlens import catalog
 from orderlens.functions import arima, cleaning, ets, fits
 from orderlens.operators import boosted, events, features, forecasts, holidays, ingest, models, reconcile, reports, selection, series
-from orderlens.plans import batch, reconciled
+from orderlens.plans import batch, order_lines, reconciled
 from orderlens.sources import loading, store, workbook_source, xlsx
 from orderlens.streaming import daily
 
@@ -566,3 +566,31 @@ def test_committed_runs_commit_a_written_table(spark, monkeypatch):
     monkeypatch.setattr(store.Store, "commit", kept)
     catalog.committed_runs(spark, "/root/testdata/sf0.001").count()
     assert len(plans) == 3 and not any("Join" in p for p in plans)
+
+
+def test_order_lines_are_dealt_twice_at_most(spark):
+    """Lines meet whole orders, then parts, and no join carries their timestamps."""
+
+    def joins(node):
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        return [*([node] if node.nodeName() == "Join" else []), *(j for child in below for j in joins(child))]
+
+    plan = order_lines.material_lines(spark, SMALL).groupBy("customer", "material_no", "date").agg(F.sum("net_pounds"))._jdf.queryExecution().optimizedPlan()
+    over = [j for j in joins(plan) if "l_quantity" in j.output().mkString(" ")]
+    assert len(over) == 2 and not any("l_shipdate" in j.output().mkString(" ") for j in over)
+
+
+def test_order_lines_of_repeated_and_missing_keys(spark, tmp_path):
+    """Every pair of a line and an order, customer and part of its keys is a row; lines without one of them are none."""
+    stamp = dt.datetime(2001, 7, 1, 23, 59)
+    tables = {
+        "lineitem": ([(1, 1, 1, 1.0, stamp), (1, 1, 1, 1.0, stamp), (2, 1, 1, 2.0, None), (3, 1, 1, 4.0, stamp), (4, 9, 1, 8.0, stamp), (None, 1, 1, 16.0, stamp), (5, 1, None, 32.0, stamp)], "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_shipdate timestamp_ntz"),
+        "orders": ([(1, 1, stamp), (1, 2, stamp), (2, 1, None), (3, 9, stamp), (4, 1, stamp), (None, 1, stamp), (5, None, stamp)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"),
+        "customer": ([(1, "a"), (2, None), (2, "BUILDING")], "c_custkey long, c_mktsegment string"),
+        "part": ([(1, "t", "b")], "p_partkey long, p_type string, p_brand string"),
+    }
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = rows(order_lines.material_lines(spark, str(tmp_path)).select("sheet", "date", "net_pounds", "customer", "material_no", "plant", "order_no", "doc_dt"))
+    first = [("01H2", stamp.date(), 1.0, c, m, "1", 1, stamp.date()) for c, m in (("a", "b"), (None, "b"), ("BUILDING", "t")) for _ in range(2)]
+    assert sorted(found, key=str) == sorted([*first, (None, None, 2.0, "a", "b", "1", 2, None)], key=str)
